@@ -31,6 +31,20 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def desc_key(df: DataFrame, name: str) -> Column:
+    """A key that sorts ascending in the descending order of ``name``.
+
+    For ``min_by`` picks: numbers are negated, dates turned into negative day
+    numbers. Text has no such key; sort it ascending or pick with ``max_by``.
+    """
+    dtype = dict(df.dtypes)[name]
+    if dtype == "date":
+        return -F.unix_date(F.col(name))
+    if dtype == "string":
+        raise TypeError(f"no descending key for text column {name}")
+    return -F.col(name)
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column | str],
                     rank_col: str | None = None) -> DataFrame:
     """The first row of each ``keys`` group under ``order`` (all columns kept).

@@ -1 +1,109 @@
-"""Placeholder."""
+"""RFM segmentation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import rfm as R
+from ledgerlens.plans.eda import money_out, money_out_sql
+from ledgerlens.plans.oracle import r, ratio, with_sales
+from ledgerlens.plans.registry import register
+from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_lines
+
+RFM_INPUT = ["customer_name", "order_date", "order_id", "sales"]
+
+RAW_SQL = """raw AS (
+        SELECT customer_name,
+               CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales)) AS BIGINT) AS recency,
+               COUNT(DISTINCT order_id) AS frequency,
+               ROUND(SUM(sales), 2) AS monetary
+        FROM sales GROUP BY customer_name)"""
+
+SCORED_SQL = """scored AS (
+        SELECT *,
+               CAST(NTILE(4) OVER (ORDER BY recency DESC, customer_name) AS BIGINT) AS r_score,
+               CAST(NTILE(4) OVER (ORDER BY frequency ASC, customer_name) AS BIGINT) AS f_score,
+               CAST(NTILE(4) OVER (ORDER BY monetary ASC, customer_name) AS BIGINT) AS m_score
+        FROM raw)"""
+
+
+def segment_case_sql(other: str = R.OTHER_LABEL) -> str:
+    return f"""CASE
+        WHEN r_score = 4 AND f_score = 4 AND m_score = 4 THEN 'A_ Champion'
+        WHEN r_score = 4 AND f_score >= 3 AND m_score = 4 THEN 'B_ Loyal Customer'
+        WHEN r_score >= 3 AND f_score >= 3 AND m_score >= 3 THEN 'C_Potential Loyalist'
+        WHEN r_score = 4 AND f_score = 1 THEN 'D_New Customer'
+        WHEN r_score <= 2 AND f_score >= 3 THEN 'E_At Risk Customer'
+        WHEN r_score = 1 AND f_score = 1 THEN 'F_Lost Customer'
+        ELSE '{other}' END"""
+
+
+def segmented_sql(other: str = R.OTHER_LABEL) -> str:
+    """CTE list (without WITH) ending in ``seg``: one labelled row per customer."""
+    return f"""{RAW_SQL},
+    {SCORED_SQL},
+    seg AS (SELECT *, {segment_case_sql(other)} AS customer_segment FROM scored)"""
+
+
+@register("r01_recency", with_sales("""
+    SELECT customer_name, MAX(order_date) AS last_purchase_date,
+           CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales)) AS BIGINT) AS recency_days
+    FROM sales GROUP BY customer_name ORDER BY recency_days, customer_name"""), "R01")
+def r01(spark, d):
+    return R.recency(sales_lines(spark, d, ["customer_name", "order_date"]))
+
+
+@register("r02_distinct_customer_names", with_sales(
+    "SELECT COUNT(DISTINCT customer_name) AS distinct_customers FROM sales"), "R02")
+def r02(spark, d):
+    return sales_lines(spark, d, ["customer_name"]).agg(
+        F.countDistinct("customer_name").alias("distinct_customers"))
+
+
+@register("r03_latest_row_per_customer", with_sales(f"""
+    SELECT {money_out_sql(SALES_COLUMNS)}, CAST(rw_no AS BIGINT) AS rw_no FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_name
+                                     ORDER BY order_id DESC, {", ".join(ROW_ORDER)}) AS rw_no
+        FROM sales) t
+    WHERE rw_no = 1 ORDER BY order_id, line_number"""), "R03")
+def r03(spark, d):
+    best = R.latest_row_per_customer(sales_lines(spark, d))
+    return best.select(*money_out(SALES_COLUMNS), "rw_no").orderBy("order_id", "line_number")
+
+
+@register("r04_rfm_raw", with_sales(f"""
+    WITH {RAW_SQL}
+    SELECT customer_name, recency, frequency, CAST(monetary AS DOUBLE) AS monetary FROM raw"""), "R04")
+def r04(spark, d):
+    raw = R.rfm_raw(sales_lines(spark, d, RFM_INPUT))
+    return raw.withColumn("monetary", F.col("monetary").cast("double"))
+
+
+@register("r05_rfm_scores", with_sales(f"""
+    WITH {RAW_SQL}, {SCORED_SQL}
+    SELECT customer_name, recency, frequency, CAST(monetary AS DOUBLE) AS monetary,
+           r_score, f_score, m_score FROM scored"""), "R05")
+def r05(spark, d):
+    scored = R.rfm_scores(R.rfm_raw(sales_lines(spark, d, RFM_INPUT)))
+    return scored.withColumn("monetary", F.col("monetary").cast("double"))
+
+
+@register("r06_rfm_segments", with_sales(f"""
+    WITH {segmented_sql()}
+    SELECT customer_name, recency, frequency, CAST(monetary AS DOUBLE) AS monetary,
+           r_score, f_score, m_score, customer_segment FROM seg"""), "R06")
+def r06(spark, d):
+    seg = R.rfm_segments(sales_lines(spark, d, RFM_INPUT))
+    return seg.withColumn("monetary", F.col("monetary").cast("double"))
+
+
+@register("r07_segment_shares", with_sales(f"""
+    WITH {segmented_sql()},
+    per AS (SELECT customer_segment, COUNT(*) AS total_customers, ROUND(SUM(monetary), 2) AS total_revenue
+            FROM seg GROUP BY 1)
+    SELECT customer_segment,
+           {r(ratio('total_revenue', 'SUM(total_revenue) OVER ()') + ' * 100')} AS per_contribute,
+           {r(ratio('total_customers', 'SUM(total_customers) OVER ()') + ' * 100')} AS per_engage
+    FROM per ORDER BY customer_segment"""), "R07")
+def r07(spark, d):
+    return R.segment_shares(R.rfm_segments(sales_lines(spark, d, RFM_INPUT)))
