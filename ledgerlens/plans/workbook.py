@@ -1 +1,62 @@
-"""Placeholder."""
+"""Workbook reports (X01-X03). X04, the money-text reader, works on exported
+files rather than the tables and is covered by unit tests."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from ledgerlens.operators import report as X
+from ledgerlens.operators import rfm as R
+from ledgerlens.plans.oracle import mean, r, with_sales
+from ledgerlens.plans.registry import register
+from ledgerlens.plans.rfm import RFM_INPUT, segmented_sql
+from ledgerlens.sources.star import sales_lines
+
+# Discount rates of the test tables: l_discount 0.00..0.10 scaled by 8. The
+# Spark side reads them from the data; the SQL check lists them.
+TEST_RATES = [Decimal(i * 8) / 100 for i in range(11)]
+
+
+def _pivot_sql() -> str:
+    cols = []
+    for v in TEST_RATES:
+        tag = X.rate_tag(v)
+        cols.append(f"CAST(SUM(CASE WHEN discount = {v} THEN p END) AS DOUBLE) AS profit_{tag}")
+        cols.append(f"CAST(SUM(CASE WHEN discount = {v} THEN s END) AS DOUBLE) AS sales_{tag}")
+    body = ",\n           ".join(cols)
+    return with_sales(f"""
+    WITH {segmented_sql(R.OTHER_LABEL_EXPORT)},
+    cells AS (SELECT seg.customer_segment, sales.discount, SUM(profit) AS p, SUM(sales) AS s
+              FROM sales JOIN seg ON seg.customer_name = sales.customer_name GROUP BY 1, 2)
+    SELECT CASE WHEN GROUPING(customer_segment) = 1 THEN 'Grand Total' ELSE customer_segment END
+               AS customer_segment,
+           {body},
+           CAST(SUM(p) AS DOUBLE) AS total_profit, CAST(SUM(s) AS DOUBLE) AS total_sales
+    FROM cells GROUP BY ROLLUP (customer_segment)""")
+
+
+@register("x01_segment_discount_pivot", _pivot_sql(), "X01")
+def x01(spark, d):
+    lines = sales_lines(spark, d, ["customer_name", "discount", "profit", "sales"])
+    segments = R.rfm_segments(sales_lines(spark, d, RFM_INPUT), other=R.OTHER_LABEL_EXPORT)
+    return X.segment_discount_pivot(lines, segments)
+
+
+@register("x02_avg_profit_by_discount_with_total", with_sales(f"""
+    SELECT CAST(discount AS DOUBLE) AS discount, {r(mean('profit'))} AS avg_profit,
+           CAST(GROUPING(discount) AS BIGINT) AS grand_total
+    FROM sales GROUP BY ROLLUP (discount)"""), "X02")
+def x02(spark, d):
+    out = X.mean_with_grand_total(sales_lines(spark, d, ["discount", "profit"]), "discount", "profit",
+                                  "avg_profit")
+    return out.select(out["discount"].cast("double").alias("discount"), "avg_profit", "grand_total")
+
+
+@register("x03_profit_by_region_subcat_with_total", with_sales("""
+    SELECT region, sub_category AS sub_cat, CAST(SUM(profit) AS DOUBLE) AS profit,
+           CAST(GROUPING(region, sub_category) AS BIGINT) AS grand_total
+    FROM sales GROUP BY GROUPING SETS ((region, sub_category), ())"""), "X03")
+def x03(spark, d):
+    s = sales_lines(spark, d, ["region", "sub_category", "profit"]).withColumnRenamed(
+        "sub_category", "sub_cat")
+    return X.sum_by_two_with_grand_total(s, "region", "sub_cat", "profit", "profit")
