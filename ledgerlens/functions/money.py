@@ -15,4 +15,4 @@ def parse_money(x, precision: int = 18, scale: int = 2) -> Column:
     """
     c = F.col(x) if isinstance(x, str) else x
     digits = F.regexp_replace(F.trim(c), r"[^0-9.\-]", "")
-    return F.try_cast(F.nullif(digits, F.lit("")), f"decimal({precision},{scale})")
+    return F.nullif(digits, F.lit("")).try_cast(f"decimal({precision},{scale})")

@@ -1 +1,160 @@
-"""Placeholder."""
+"""Load, audit and de-duplicate (C05-C22 on the sales tables).
+
+C01-C04, C06, C07, C10 and C20 (CSV load, header repair, date parsing,
+typing, schema listing, snapshot) work on raw export files and are covered
+by unit tests on hand-written fixtures, since the test tables arrive typed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import metrics as M
+from ledgerlens.operators import dedupe as D
+from ledgerlens.operators import quality as Q
+from ledgerlens.operators.clean import clean_orders
+from ledgerlens.plans.eda import SCAN_SQL, money_out, money_out_sql, scan
+from ledgerlens.plans.oracle import with_sales
+from ledgerlens.plans.registry import register
+from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_lines
+
+# Keys of an existing line of the sf0.01 tables.
+LOOKUP_ORDER, LOOKUP_LINE, LOOKUP_PRODUCT = 5979, 6, 1616
+# (order, line number) repeats in the test tables; the line is unique only
+# together with part and supplier, which then order the rows inside a key.
+DEDUPE_KEYS = ["order_id", "line_number"]
+DEDUPE_ORDER = ["product_id", "supplier_id"]
+
+TEXT_COLS = ["ship_mode", "customer_name", "segment", "state", "region", "category",
+             "sub_category", "product_name"]
+NULL_ONLY_COLS = ["order_id", "customer_id", "product_id", "order_date", "ship_date"]
+
+
+def _null_sql() -> str:
+    parts = [f"COUNT(CASE WHEN coalesce(CAST({c} AS VARCHAR), '') = '' THEN 1 END) AS null_{c}"
+             for c in TEXT_COLS]
+    parts += [f"COUNT(CASE WHEN {c} IS NULL THEN 1 END) AS null_{c}" for c in NULL_ONLY_COLS]
+    parts.append("COUNT(CASE WHEN coalesce(sales, 0) = 0 THEN 1 END) AS null_sales")
+    return with_sales("SELECT " + ",\n       ".join(parts) + " FROM sales")
+
+
+register("c05_scan_sales", SCAN_SQL, "C05")(scan)
+
+
+@register("c04_clean_sales", SCAN_SQL, ("C02", "C03", "C04", "C10"))
+def c04(spark, d):
+    """The clean job over the typed view: already-typed columns pass through."""
+    return clean_orders(sales_lines(spark, d)).select(*money_out(SALES_COLUMNS))
+
+
+@register("c08_missing_value_audit", _null_sql(), "C08")
+def c08(spark, d):
+    s = sales_lines(spark, d, TEXT_COLS + NULL_ONLY_COLS + ["sales"])
+    return Q.missing_report(s, TEXT_COLS, NULL_ONLY_COLS, ["sales"])
+
+
+@register("c09_line_lookup", with_sales(f"""
+    SELECT CAST(sales AS DOUBLE) AS sales, CAST(ROUND(sales, 2) AS DOUBLE) AS sales_rounded
+    FROM sales WHERE order_id = {LOOKUP_ORDER} AND line_number = {LOOKUP_LINE}
+                 AND product_id = {LOOKUP_PRODUCT}"""), "C09")
+def c09(spark, d):
+    s = Q.lookup(sales_lines(spark, d, ["order_id", "line_number", "product_id", "sales"]),
+                 order_id=LOOKUP_ORDER, line_number=LOOKUP_LINE, product_id=LOOKUP_PRODUCT)
+    return s.select(F.col("sales").cast("double").alias("sales"),
+                    F.round("sales", 2).cast("double").alias("sales_rounded"))
+
+
+_SUSPECT_COLS = ["order_id", "line_number", "product_id", "supplier_id", "state", "region", "sales"]
+
+
+@register("c11_suspect_rows", with_sales(f"""
+    SELECT {money_out_sql(_SUSPECT_COLS)} FROM sales WHERE coalesce(sales, 0) = 0"""), "C11")
+def c11(spark, d):
+    s = Q.suspect_rows(sales_lines(spark, d, _SUSPECT_COLS), _SUSPECT_COLS, postal_code=None)
+    return s.select(*money_out(_SUSPECT_COLS))
+
+
+@register("c12_repeated_order_ids", with_sales("""
+    SELECT order_id, COUNT(*) AS total FROM sales GROUP BY order_id HAVING COUNT(*) > 1"""), "C12")
+def c12(spark, d):
+    return D.repeated_keys(sales_lines(spark, d, ["order_id"]), ["order_id"])
+
+
+@register("c13_rows_of_repeated_orders", with_sales(f"""
+    SELECT {money_out_sql(SALES_COLUMNS)} FROM sales
+    WHERE order_id IN (SELECT order_id FROM sales GROUP BY order_id HAVING COUNT(*) > 1)
+    ORDER BY order_id"""), "C13")
+def c13(spark, d):
+    rows = D.rows_of_repeated_keys(sales_lines(spark, d), ["order_id"])
+    return rows.select(*money_out(SALES_COLUMNS)).orderBy("order_id", *ROW_ORDER)
+
+
+_C14_COLS = ["order_id", "line_number", "product_id", "supplier_id", "order_date", "customer_name",
+             "sales"]
+
+
+@register("c14_extra_lines_per_order", with_sales(f"""
+    SELECT {money_out_sql(_C14_COLS)}, CAST(rn AS BIGINT) AS duplicate_rank FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY {", ".join(ROW_ORDER)}) AS rn
+        FROM sales) t
+    WHERE rn > 1"""), "C14")
+def c14(spark, d):
+    s = sales_lines(spark, d, _C14_COLS)
+    return D.extra_lines(s, ["order_id"], ROW_ORDER).select(*money_out(_C14_COLS), "duplicate_rank")
+
+
+@register("c15_row_count", with_sales("SELECT COUNT(*) AS row_count FROM sales"), "C15")
+def c15(spark, d):
+    return Q.row_count(sales_lines(spark, d, ["order_id"]))
+
+
+@register("c16_distinct_order_count", with_sales(
+    "SELECT COUNT(DISTINCT order_id) AS unique_orders FROM sales"), "C16")
+def c16(spark, d):
+    return Q.distinct_count(sales_lines(spark, d, ["order_id"]), "order_id", "unique_orders")
+
+
+@register("c17_rows_vs_orders", with_sales("""
+    SELECT COUNT(*) AS total_rows, COUNT(DISTINCT order_id) AS unique_orders,
+           COUNT(*) - COUNT(DISTINCT order_id) AS extra_lines FROM sales"""), "C17")
+def c17(spark, d):
+    return Q.rows_vs_keys(sales_lines(spark, d, ["order_id"]))
+
+
+@register("c18_duplicate_line_keys", with_sales(f"""
+    SELECT {", ".join(DEDUPE_KEYS)}, COUNT(*) AS total FROM sales
+    GROUP BY {", ".join(DEDUPE_KEYS)} HAVING COUNT(*) > 1"""), "C18")
+def c18(spark, d):
+    return D.repeated_keys(sales_lines(spark, d, DEDUPE_KEYS), DEDUPE_KEYS)
+
+
+@register("c19_order_product_lookup", with_sales(f"""
+    SELECT {money_out_sql(SALES_COLUMNS)} FROM sales
+    WHERE order_id = {LOOKUP_ORDER} AND product_id = {LOOKUP_PRODUCT}"""), "C19")
+def c19(spark, d):
+    s = Q.lookup(sales_lines(spark, d), order_id=LOOKUP_ORDER, product_id=LOOKUP_PRODUCT)
+    return s.select(*money_out(SALES_COLUMNS))
+
+
+_DEDUPED_SQL = f"""deduped AS (
+        SELECT * EXCLUDE (rn) FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY {", ".join(DEDUPE_KEYS)}
+                                         ORDER BY {", ".join(DEDUPE_ORDER)}) AS rn
+            FROM sales) t
+        WHERE rn = 1)"""
+
+
+@register("c21_dedupe_lines", with_sales(f"""
+    WITH {_DEDUPED_SQL}
+    SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
+def c21(spark, d):
+    return D.dedupe(sales_lines(spark, d), DEDUPE_KEYS, DEDUPE_ORDER).select(*money_out(SALES_COLUMNS))
+
+
+@register("c22_no_duplicates_after_dedupe", with_sales(f"""
+    WITH {_DEDUPED_SQL}
+    SELECT {", ".join(DEDUPE_KEYS)}, COUNT(*) AS total FROM deduped
+    GROUP BY {", ".join(DEDUPE_KEYS)} HAVING COUNT(*) > 1"""), "C22")
+def c22(spark, d):
+    deduped = D.dedupe(sales_lines(spark, d, DEDUPE_KEYS + DEDUPE_ORDER), DEDUPE_KEYS, DEDUPE_ORDER)
+    return D.repeated_keys(deduped, DEDUPE_KEYS)
