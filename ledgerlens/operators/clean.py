@@ -26,9 +26,9 @@ def parse_us_date(x) -> Column:
     """
     c = F.col(x) if isinstance(x, str) else x
     t = F.trim(c)
-    return (F.when(t.contains("/"), F.try_to_date(t, F.lit("M/d/yyyy")))
-            .when(t.contains("-"), F.coalesce(F.try_to_date(t, F.lit("M-d-yyyy")),
-                                              F.try_to_date(t, F.lit("yyyy-M-d"))))
+    return (F.when(t.contains("/"), F.try_to_date(t, "M/d/yyyy"))
+            .when(t.contains("-"), F.coalesce(F.try_to_date(t, "M-d-yyyy"),
+                                              F.try_to_date(t, "yyyy-M-d")))
             .otherwise(t.try_cast("date")))
 
 

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
 
-FULL_PRICE = F.col("discount") == 0
-DISCOUNTED = F.col("discount") > 0
+
+def _full_price():
+    return F.col("discount") == 0
+
+
+def _discounted():
+    return F.col("discount") > 0
 
 
 def discount_split(df: DataFrame, dims=("category",)) -> DataFrame:
     """Four conditional sums per group: profit and sales at full price and discounted."""
     return df.groupBy(*dims).agg(
-        M.sum_if(FULL_PRICE, "profit").alias("full_profit"),
-        M.sum_if(FULL_PRICE, "sales").alias("full_sales"),
-        M.sum_if(DISCOUNTED, "profit").alias("disc_profit"),
-        M.sum_if(DISCOUNTED, "sales").alias("disc_sales"),
+        M.sum_if(_full_price(), "profit").alias("full_profit"),
+        M.sum_if(_full_price(), "sales").alias("full_sales"),
+        M.sum_if(_discounted(), "profit").alias("disc_profit"),
+        M.sum_if(_discounted(), "sales").alias("disc_sales"),
     )
 
 

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import metrics as M
 from ledgerlens.functions.bands import bucket_level, discount_bucket
 
-LOSS = F.col("profit") < 0
+
+def _loss() -> Column:
+    return F.col("profit") < 0
 
 
 def loss_overview(df: DataFrame, order_key: str = "order_id") -> DataFrame:
     """Losing lines, losing orders, money lost, mean discount % on losses."""
-    return df.where(LOSS).agg(
+    return df.where(_loss()).agg(
         M.rows().alias("total_losing_rows"),
         F.countDistinct(order_key).alias("total_losing_orders"),
         M.total("profit").alias("total_money_lost"),
@@ -24,17 +26,17 @@ def loss_overview(df: DataFrame, order_key: str = "order_id") -> DataFrame:
 def loss_share(df: DataFrame) -> DataFrame:
     """Percent of lines that lose money, in one pass."""
     return df.agg(
-        (M.count_if(LOSS) * 100.0 / M.rows()).cast("double").alias("per_of_loss"))
+        (M.count_if(_loss()) * 100.0 / M.rows()).cast("double").alias("per_of_loss"))
 
 
 def total_loss(df: DataFrame) -> DataFrame:
     """Sum of profit over losing lines."""
-    return df.where(LOSS).agg(M.total("profit").alias("total_loss"))
+    return df.where(_loss()).agg(M.total("profit").alias("total_loss"))
 
 
 def loss_by(df: DataFrame, dims: list[str], name: str, order: bool = True) -> DataFrame:
     """Sum of profit over losing lines per dimension, worst first."""
-    out = df.where(LOSS).groupBy(*dims).agg(M.total("profit").alias(name))
+    out = df.where(_loss()).groupBy(*dims).agg(M.total("profit").alias(name))
     return out.orderBy(F.col(name).asc(), *dims) if order else out
 
 
@@ -45,7 +47,7 @@ def worst_per_group(df: DataFrame, group: list[str], within: list[str], name: st
     Aggregates first; the window then runs over one row per group, never over
     sale lines.
     """
-    agg = df.where(LOSS).groupBy(*group, *within).agg(F.sum("profit").alias("_loss"))
+    agg = df.where(_loss()).groupBy(*group, *within).agg(F.sum("profit").alias("_loss"))
     w = Window.partitionBy(*group).orderBy(F.col("_loss").asc(), *within)
     best = agg.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     val = F.round("_loss", digits) if digits is not None else F.col("_loss")
@@ -79,11 +81,11 @@ def loss_top(df: DataFrame, dims=("region", "category", "sub_category"), n: int
 
 def loss_impact(df: DataFrame, customer_key: str = "customer_id") -> DataFrame:
     """Total loss, loss as % of all revenue, customers affected, in one pass."""
-    loss = F.sum(F.when(LOSS, F.col("profit")))
+    loss = F.sum(F.when(_loss(), F.col("profit")))
     return df.agg(
         M.money_text(loss, negative=True).alias("total_profit_loss"),
         F.round(M.ratio(F.abs(loss), F.sum("sales")) * 100, 2).alias("percent_of_total_revenue_lost"),
-        F.countDistinct(F.when(LOSS, F.col(customer_key))).alias("customers_affected"),
+        F.countDistinct(F.when(_loss(), F.col(customer_key))).alias("customers_affected"),
         F.abs(loss).cast("double").alias("loss_amount"),
     )
 
@@ -94,7 +96,7 @@ def recovered_if(df: DataFrame, cond: Column, name: str, with_count: str | None
     cols = [M.money_text(lost).alias(name), lost.cast("double").alias(name + "_amount")]
     if with_count:
         cols.append(M.rows().alias(with_count))
-    return df.where(LOSS & cond).agg(*cols)
+    return df.where(_loss() & cond).agg(*cols)
 
 
 def discount_cap_recovery(df: DataFrame, cap: float = 0.30) -> DataFrame:

@@ -20,10 +20,10 @@ from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_lines
 
 # Keys of an existing line of the sf0.01 tables.
 LOOKUP_ORDER, LOOKUP_LINE, LOOKUP_PRODUCT = 5979, 6, 1616
-# (order, line number) repeats in the test tables; the line is unique only
-# together with part and supplier, which then order the rows inside a key.
+# (order, line number) repeats in the test tables: de-duplicate on it and keep
+# the first row under the remaining line attributes.
 DEDUPE_KEYS = ["order_id", "line_number"]
-DEDUPE_ORDER = ["product_id", "supplier_id"]
+DEDUPE_ORDER = ROW_ORDER[1:]
 
 TEXT_COLS = ["ship_mode", "customer_name", "segment", "state", "region", "category",
              "sub_category", "product_name"]
@@ -99,7 +99,7 @@ _C14_COLS = ["order_id", "line_number", "product_id", "supplier_id", "order_date
         FROM sales) t
     WHERE rn > 1"""), "C14")
 def c14(spark, d):
-    s = sales_lines(spark, d, _C14_COLS)
+    s = sales_lines(spark, d, list(dict.fromkeys(_C14_COLS + ROW_ORDER)))
     return D.extra_lines(s, ["order_id"], ROW_ORDER).select(*money_out(_C14_COLS), "duplicate_rank")
 
 

@@ -67,7 +67,7 @@ def r02(spark, d):
         FROM sales) t
     WHERE rw_no = 1 ORDER BY order_id, line_number"""), "R03")
 def r03(spark, d):
-    best = R.latest_row_per_customer(sales_lines(spark, d))
+    best = R.latest_row_per_customer(sales_lines(spark, d), row_order=ROW_ORDER)
     return best.select(*money_out(SALES_COLUMNS), "rw_no").orderBy("order_id", "line_number")
 
 

@@ -66,10 +66,13 @@ SALES_COLUMNS = [
     "quantity", "discount", "sales", "profit",
 ]
 
-# The line key: unique per line in the test tables (orderkey + linenumber is not).
+# The line key: (orderkey, linenumber) repeats in the test tables, and even with
+# part and supplier a few lines repeat at the smallest scale.
 LINE_KEY = ["order_id", "line_number", "product_id", "supplier_id"]
-# Stand-in for the flat table's row id when an order of rows is needed.
-ROW_ORDER = ["line_number", "product_id", "supplier_id"]
+# Stand-in for the flat table's row id when rows of an order must be ordered:
+# every line attribute, so that rows which tie are identical.
+ROW_ORDER = ["line_number", "product_id", "supplier_id", "quantity", "discount", "sales",
+             "ship_date"]
 
 DIM_BROADCAST_ROWS = 1_000_000
 
