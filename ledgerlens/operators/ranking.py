@@ -67,6 +67,8 @@ def _positioned(df: DataFrame, order: list[Column | str], partitions: int | None
     checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order)
+    # with AQE the range partitioner samples its bounds from the materialized
+    # output of the stage before, so the input is not computed twice
     tagged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
@@ -82,7 +84,8 @@ def _positioned(df: DataFrame, order: list[Column | str], partitions: int | None
         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"),
         F.sum("_n").over(Window.partitionBy()).alias("_total"),
     )
-    out = tagged.join(broadcast_if_bounded(offsets, max(n, 1) * 4 + 16), "_pid")
+    # at most one row per partition: bounded by construction, so broadcast it
+    out = tagged.join(F.broadcast(offsets), "_pid")
     return out.withColumn("_pos", F.col("_offset") + F.col("_local")).drop(
         "_mid", "_local", "_offset")
 

@@ -20,11 +20,15 @@ def rate_tag(rate) -> str:
 
 
 def pivot_values(df: DataFrame, col: str, max_values: int = MAX_PIVOT_VALUES) -> list:
-    """Distinct values of ``col`` for a pivot, after proving there are few."""
-    distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    if distinct.limit(max_values + 1).count() > max_values:
+    """Distinct values of ``col`` for a pivot, refusing more than ``max_values``.
+
+    One job: at most ``max_values + 1`` distinct values reach the driver.
+    """
+    got = (df.select(col).where(F.col(col).isNotNull()).distinct()
+           .limit(max_values + 1).collect())
+    if len(got) > max_values:
         raise ValueError(f"more than {max_values} distinct values of {col}; not a pivot")
-    return sorted(r[0] for r in distinct.collect())
+    return sorted(r[0] for r in got)
 
 
 def segment_discount_pivot(lines: DataFrame, segments: DataFrame, key: str = "customer_name",
@@ -33,14 +37,18 @@ def segment_discount_pivot(lines: DataFrame, segments: DataFrame, key: str = "cu
     """Rows = segment, columns = discount rate, cells = sum of profit and of sales,
     row totals and a grand-total row (X01).
 
-    The label lives on the customer, so the segments are joined back to the
-    sale lines first (broadcast only when the customer table is proven
-    small). The only large aggregation is per (segment, rate); the pivot
-    (one conditional sum per rate) and the ROLLUP for the grand total then
-    run on those few rows. Empty cells stay NULL, as blanks in the workbook.
+    The label lives on the customer. Lines are first folded to one row per
+    (customer, rate) - partial sums on every executor - and only those are
+    joined to the segments (broadcast only when the customer table is proven
+    small), so the join runs at customer grain, not line grain. Then per
+    (segment, rate); the pivot (one conditional sum per rate) and the ROLLUP
+    for the grand total run on those few rows. Empty cells stay NULL, as
+    blanks in the workbook.
     """
-    joined = lines.join(broadcast_if_bounded(segments.select(key, row), 1_000_000), key)
-    cells = joined.groupBy(row, col).agg(F.sum("profit").alias("_p"), F.sum("sales").alias("_s"))
+    per_customer = lines.groupBy(key, col).agg(F.sum("profit").alias("_cp"),
+                                               F.sum("sales").alias("_cs"))
+    joined = per_customer.join(broadcast_if_bounded(segments.select(key, row), 1_000_000), key)
+    cells = joined.groupBy(row, col).agg(F.sum("_cp").alias("_p"), F.sum("_cs").alias("_s"))
     rates = values if values is not None else pivot_values(cells, col)
     aggs = []
     for v in rates:

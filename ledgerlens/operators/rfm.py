@@ -33,9 +33,10 @@ def recency(df: DataFrame, customer: str = "customer_name", date_col: str = "ord
             ) -> DataFrame:
     """Last purchase per customer and days from it to the newest date in the data."""
     last = df.groupBy(customer).agg(F.max(date_col).alias("last_purchase_date"))
+    # the newest date overall is the newest of the per-customer dates
     return (last.withColumn("recency_days",
-                            F.datediff(latest_date(df, date_col), F.col("last_purchase_date"))
-                            .cast("long"))
+                            F.datediff(latest_date(last, "last_purchase_date"),
+                                       F.col("last_purchase_date")).cast("long"))
             .orderBy("recency_days", customer))
 
 
@@ -58,10 +59,11 @@ def rfm_raw(df: DataFrame, customer: str = "customer_name", date_col: str = "ord
         F.max(date_col).alias("_last"),
         F.countDistinct(order_key).alias("frequency"),
         F.round(F.sum(value), 2).alias("monetary"))
-    # monetary stays an exact decimal: segment totals are summed from it
+    # monetary stays an exact decimal: segment totals are summed from it; the
+    # newest date overall comes from the per-customer table, not the lines
     return raw.select(
         customer,
-        F.datediff(latest_date(df, date_col), F.col("_last")).cast("long").alias("recency"),
+        F.datediff(latest_date(raw, "_last"), F.col("_last")).cast("long").alias("recency"),
         "frequency",
         "monetary")
 

@@ -39,7 +39,9 @@ def _pivot_sql() -> str:
 def x01(spark, d):
     lines = sales_lines(spark, d, ["customer_name", "discount", "profit", "sales"])
     segments = R.rfm_segments(sales_lines(spark, d, RFM_INPUT), other=R.OTHER_LABEL_EXPORT)
-    return X.segment_discount_pivot(lines, segments)
+    # the pivot columns come from the line table alone, without the joins
+    rates = X.pivot_values(sales_lines(spark, d, ["discount"]), "discount")
+    return X.segment_discount_pivot(lines, segments, values=rates)
 
 
 @register("x02_avg_profit_by_discount_with_total", with_sales(f"""

@@ -78,10 +78,20 @@ DIM_BROADCAST_ROWS = 1_000_000
 
 
 _SMALL: dict[tuple[str, str, int], bool] = {}
+_TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """The table as a DataFrame, resolved once per application.
+
+    Resolving lists the files and reads parquet footers; on a large table
+    that is worth doing once, like registering the table in a catalog.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _dim(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, max_rows: int) -> DataFrame:
