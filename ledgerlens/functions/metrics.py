@@ -78,3 +78,21 @@ def money_text(x, sign: str = "$", negative: bool = False) -> Column:
     """Display text such as ``-$21,909.40`` built from an absolute amount."""
     prefix = ("-" if negative else "") + sign
     return F.concat(F.lit(prefix), F.format_number(F.abs(c(x)), 2))
+
+
+# Over rows already folded per order (``sales_by_order``): a column keeps its
+# per-order sum under its own name, ``<col>_n`` counts its lines and
+# ``n_lines`` counts all lines, so line-level means and counts come out equal.
+
+def folded_rows() -> Column:
+    """COUNT(*) of the underlying lines."""
+    return F.sum("n_lines").cast("long")
+
+
+def folded_mean(x: str) -> Column:
+    """AVG of a line column, from per-order sums and counts."""
+    return F.try_divide(F.sum(x).cast("double"), F.sum(f"{x}_n"))
+
+
+def folded_mean_pct(x: str, digits: int = 2) -> Column:
+    return F.round(folded_mean(x) * 100, digits)

@@ -13,7 +13,7 @@ from ledgerlens.operators.ranking import top_per_group
 from ledgerlens.operators.trend import period_growth, pooled_quarter_growth, quarter_label
 from ledgerlens.plans.oracle import margin_pct, mean, r, ratio, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.sources.star import SALES_COLUMNS, sales_lines
+from ledgerlens.sources.star import SALES_COLUMNS, sales_by_order, sales_lines
 
 # Parameters adapted to the test tables: the region literal is
 # lower case on purpose (the data says 'ASIA'), and the minimum discount of a
@@ -77,7 +77,7 @@ def e05(spark, d):
     SELECT {r(mean('t'))} AS avg_order_value
     FROM (SELECT order_id, SUM(sales) AS t FROM sales GROUP BY order_id) o"""), "E06")
 def e06(spark, d):
-    return order_value(sales_lines(spark, d, ["order_id", "sales"]))
+    return order_value(sales_by_order(spark, d, [], sums=["sales"]))
 
 
 @register("e07_avg_order_value_by_segment", with_sales(f"""
@@ -85,7 +85,7 @@ def e06(spark, d):
     FROM (SELECT segment, order_id, SUM(sales) AS t FROM sales GROUP BY 1, 2) o
     GROUP BY segment ORDER BY segment"""), "E07")
 def e07(spark, d):
-    return order_value(sales_lines(spark, d, ["segment", "order_id", "sales"]), ["segment"],
+    return order_value(sales_by_order(spark, d, ["segment"], sums=["sales"]), ["segment"],
                        name="avg_by_segment").orderBy("segment")
 
 
@@ -138,7 +138,7 @@ def e12(spark, d):
 @register("e13_top_region_by_revenue",
           _top1_sql("region", "CAST(SUM(sales) AS DOUBLE)", "highest_region_revenue"), "E13")
 def e13(spark, d):
-    return top1(sales_lines(spark, d, ["region", "sales"]), "region", M.total("sales"),
+    return top1(sales_by_order(spark, d, ["region"], sums=["sales"]), "region", M.total("sales"),
                 "highest_region_revenue")
 
 
@@ -178,14 +178,15 @@ def e16(spark, d):
 @register("e17_top_region_by_discount_sum",
           _top1_sql("region", "CAST(SUM(discount) AS DOUBLE)", "highest_discount"), "E17")
 def e17(spark, d):
-    return top1(sales_lines(spark, d, ["region", "discount"]), "region", M.total("discount"),
+    return top1(sales_by_order(spark, d, ["region"], sums=["discount"]), "region",
+                M.total("discount"),
                 "highest_discount")
 
 
 @register("e18_top_segment_by_revenue",
           _top1_sql("segment", "CAST(SUM(sales) AS DOUBLE)", "high_expense"), "E18")
 def e18(spark, d):
-    return top1(sales_lines(spark, d, ["segment", "sales"]), "segment", M.total("sales"),
+    return top1(sales_by_order(spark, d, ["segment"], sums=["sales"]), "segment", M.total("sales"),
                 "high_expense")
 
 
@@ -195,7 +196,7 @@ def e18(spark, d):
     FROM sales GROUP BY segment ORDER BY profit_margin_percent DESC NULLS LAST, segment"""), "E19")
 def e19(spark, d):
     # sorted on the number, not on formatted text
-    return breakdown(sales_lines(spark, d, ["segment", "sales", "profit"]), ["segment"],
+    return breakdown(sales_by_order(spark, d, ["segment"], sums=["sales", "profit"]), ["segment"],
                      [M.total("sales").alias("total_sales"), M.total("profit").alias("total_profit"),
                       M.margin_pct().alias("profit_margin_percent")],
                      order=[F.col("profit_margin_percent").desc_nulls_last(), "segment"])
@@ -206,9 +207,9 @@ def e19(spark, d):
            {r(mean('sales'))} AS avg_line_value
     FROM sales GROUP BY segment ORDER BY avg_discount_percent, segment"""), "E20")
 def e20(spark, d):
-    return breakdown(sales_lines(spark, d, ["segment", "discount", "sales"]), ["segment"],
-                     [M.mean_pct("discount").alias("avg_discount_percent"),
-                      M.rounded(M.mean("sales")).alias("avg_line_value")],
+    return breakdown(sales_by_order(spark, d, ["segment"], sums=["discount", "sales"]), ["segment"],
+                     [M.folded_mean_pct("discount").alias("avg_discount_percent"),
+                      M.rounded(M.folded_mean("sales")).alias("avg_line_value")],
                      order=["avg_discount_percent", "segment"])
 
 
@@ -216,8 +217,8 @@ def e20(spark, d):
     SELECT ship_mode, COUNT(*) AS counting FROM sales GROUP BY 1 ORDER BY counting DESC, ship_mode"""),
     "E21")
 def e21(spark, d):
-    return breakdown(sales_lines(spark, d, ["ship_mode"]), ["ship_mode"],
-                     [M.rows().alias("counting")],
+    return breakdown(sales_by_order(spark, d, ["ship_mode"]), ["ship_mode"],
+                     [M.folded_rows().alias("counting")],
                      order=[F.col("counting").desc(), "ship_mode"])
 
 
@@ -233,7 +234,7 @@ def e22(spark, d):
     SELECT ship_mode, {margin_pct()} AS profit_margin FROM sales GROUP BY 1
     ORDER BY profit_margin DESC NULLS LAST, ship_mode"""), "E23")
 def e23(spark, d):
-    return breakdown(sales_lines(spark, d, ["ship_mode", "sales", "profit"]), ["ship_mode"],
+    return breakdown(sales_by_order(spark, d, ["ship_mode"], sums=["sales", "profit"]), ["ship_mode"],
                      [M.margin_pct().alias("profit_margin")],
                      order=[F.col("profit_margin").desc_nulls_last(), "ship_mode"])
 
@@ -243,7 +244,7 @@ def e23(spark, d):
     FROM sales GROUP BY 1 ORDER BY profit_margin_per_year DESC NULLS LAST, years"""), "E24")
 def e24(spark, d):
     # numeric sort (the reference sorted formatted text)
-    return breakdown(sales_lines(spark, d, ["order_date", "sales", "profit"]),
+    return breakdown(sales_by_order(spark, d, ["order_date"], sums=["sales", "profit"]),
                      [F.year("order_date").cast("long").alias("years")],
                      [M.margin_pct().alias("profit_margin_per_year")],
                      order=[F.col("profit_margin_per_year").desc_nulls_last(), "years"])
@@ -254,7 +255,7 @@ def e24(spark, d):
            CAST(SUM(profit) AS DOUBLE) AS total_profit
     FROM sales GROUP BY 1 ORDER BY years"""), "E25")
 def e25(spark, d):
-    return breakdown(sales_lines(spark, d, ["order_date", "sales", "profit"]),
+    return breakdown(sales_by_order(spark, d, ["order_date"], sums=["sales", "profit"]),
                      [F.year("order_date").cast("long").alias("years")],
                      [M.total("sales").alias("total_sales"), M.total("profit").alias("total_profit")],
                      order=["years"])
@@ -268,7 +269,7 @@ def e25(spark, d):
            {r(ratio('cur - prev', 'prev') + ' * 100')} AS yoy_sales_growth_percent
     FROM l ORDER BY sales_year"""), "E26")
 def e26(spark, d):
-    return period_growth(sales_lines(spark, d, ["order_date", "sales"]),
+    return period_growth(sales_by_order(spark, d, ["order_date"], sums=["sales"]),
                          [F.year("order_date").cast("long").alias("sales_year")],
                          names=("current_year_sales", "previous_year_sales",
                                 "yoy_sales_growth_percent"))
@@ -283,7 +284,7 @@ def e26(spark, d):
            {r(ratio('qt - prev', 'prev') + ' * 100')} AS qoq_growth_percent
     FROM l ORDER BY quarter"""), "E27")
 def e27(spark, d):
-    return pooled_quarter_growth(sales_lines(spark, d, ["order_date", "sales"]))
+    return pooled_quarter_growth(sales_by_order(spark, d, ["order_date"], sums=["sales"]))
 
 
 @register("e27b_qoq_growth_series", with_sales(f"""
@@ -296,7 +297,7 @@ def e27(spark, d):
            {r(ratio('cur - prev', 'prev') + ' * 100')} AS qoq_growth_percent
     FROM l ORDER BY sales_year, quarter"""), "E27")
 def e27b(spark, d):
-    return period_growth(sales_lines(spark, d, ["order_date", "sales"]),
+    return period_growth(sales_by_order(spark, d, ["order_date"], sums=["sales"]),
                          [F.year("order_date").cast("long").alias("sales_year"),
                           quarter_label(F.month("order_date")).alias("quarter")],
                          names=("current_quarter_sales", "prv_quarter_sale", "qoq_growth_percent"))
@@ -346,13 +347,18 @@ def e31(spark, d):
                      having=F.col("profit_margin") < LOW_MARGIN_PCT, order=["region", "category"])
 
 
-def discount_only_customers(s, names=("total_orders_placed", "avg_discount_received",
-                                      "lowest_discount_they_ever_accepted"),
+def discount_only_customers(spark, d, names=("total_orders_placed", "avg_discount_received",
+                                               "lowest_discount_they_ever_accepted"),
                             min_discount=MIN_DISCOUNT_ONLY):
+    """Customers whose lowest discount ever is at least ``min_discount``.
+
+    Counts lines (the reference's COUNT(order id)); folded per order first.
+    """
     n, avg_name, low_name = names
+    s = sales_by_order(spark, d, ["customer_name"], sums=["discount"], mins=["discount"])
     return breakdown(s, ["customer_name"],
-                     [F.count("order_id").alias(n), M.mean_pct("discount").alias(avg_name),
-                      F.min("discount").alias("_low")],
+                     [M.folded_rows().alias(n), M.folded_mean_pct("discount").alias(avg_name),
+                      F.min("discount_min").alias("_low")],
                      having=F.col("_low") >= F.lit(min_discount),
                      order=[F.col(n).desc(), "customer_name"]).select(
         "customer_name", n, avg_name, F.col("_low").cast("double").alias(low_name))
@@ -370,4 +376,4 @@ def discount_only_sql(names=("total_orders_placed", "avg_discount_received",
 
 @register("e32_discount_only_customers", discount_only_sql(), "E32")
 def e32(spark, d):
-    return discount_only_customers(sales_lines(spark, d, ["customer_name", "order_id", "discount"]))
+    return discount_only_customers(spark, d)

@@ -8,9 +8,11 @@ from ledgerlens.operators import rfm as R
 from ledgerlens.plans.eda import money_out, money_out_sql
 from ledgerlens.plans.oracle import r, ratio, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_lines
+from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_by_order, sales_lines
 
-RFM_INPUT = ["customer_name", "order_date", "order_id", "sales"]
+def rfm_input(spark, d):
+    """Customer, date and sales of each order, lines folded per order first."""
+    return sales_by_order(spark, d, ["customer_name", "order_date"], sums=["sales"])
 
 RAW_SQL = """raw AS (
         SELECT customer_name,
@@ -50,7 +52,7 @@ def segmented_sql(other: str = R.OTHER_LABEL) -> str:
            CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales)) AS BIGINT) AS recency_days
     FROM sales GROUP BY customer_name ORDER BY recency_days, customer_name"""), "R01")
 def r01(spark, d):
-    return R.recency(sales_lines(spark, d, ["customer_name", "order_date"]))
+    return R.recency(sales_by_order(spark, d, ["customer_name", "order_date"]))
 
 
 @register("r02_distinct_customer_names", with_sales(
@@ -75,7 +77,7 @@ def r03(spark, d):
     WITH {RAW_SQL}
     SELECT customer_name, recency, frequency, CAST(monetary AS DOUBLE) AS monetary FROM raw"""), "R04")
 def r04(spark, d):
-    raw = R.rfm_raw(sales_lines(spark, d, RFM_INPUT))
+    raw = R.rfm_raw(rfm_input(spark, d))
     return raw.withColumn("monetary", F.col("monetary").cast("double"))
 
 
@@ -84,7 +86,7 @@ def r04(spark, d):
     SELECT customer_name, recency, frequency, CAST(monetary AS DOUBLE) AS monetary,
            r_score, f_score, m_score FROM scored"""), "R05")
 def r05(spark, d):
-    scored = R.rfm_scores(R.rfm_raw(sales_lines(spark, d, RFM_INPUT)))
+    scored = R.rfm_scores(R.rfm_raw(rfm_input(spark, d)))
     return scored.withColumn("monetary", F.col("monetary").cast("double"))
 
 
@@ -93,7 +95,7 @@ def r05(spark, d):
     SELECT customer_name, recency, frequency, CAST(monetary AS DOUBLE) AS monetary,
            r_score, f_score, m_score, customer_segment FROM seg"""), "R06")
 def r06(spark, d):
-    seg = R.rfm_segments(sales_lines(spark, d, RFM_INPUT))
+    seg = R.rfm_segments(rfm_input(spark, d))
     return seg.withColumn("monetary", F.col("monetary").cast("double"))
 
 
@@ -106,4 +108,4 @@ def r06(spark, d):
            {r(ratio('total_customers', 'SUM(total_customers) OVER ()') + ' * 100')} AS per_engage
     FROM per ORDER BY customer_segment"""), "R07")
 def r07(spark, d):
-    return R.segment_shares(R.rfm_segments(sales_lines(spark, d, RFM_INPUT)))
+    return R.segment_shares(R.rfm_segments(rfm_input(spark, d)))

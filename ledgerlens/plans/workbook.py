@@ -9,7 +9,7 @@ from ledgerlens.operators import report as X
 from ledgerlens.operators import rfm as R
 from ledgerlens.plans.oracle import mean, r, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.plans.rfm import RFM_INPUT, segmented_sql
+from ledgerlens.plans.rfm import rfm_input, segmented_sql
 from ledgerlens.sources.star import sales_lines
 
 # Discount rates of the test tables: l_discount 0.00..0.10 scaled by 8. The
@@ -38,7 +38,7 @@ def _pivot_sql() -> str:
 @register("x01_segment_discount_pivot", _pivot_sql(), "X01")
 def x01(spark, d):
     lines = sales_lines(spark, d, ["customer_name", "discount", "profit", "sales"])
-    segments = R.rfm_segments(sales_lines(spark, d, RFM_INPUT), other=R.OTHER_LABEL_EXPORT)
+    segments = R.rfm_segments(rfm_input(spark, d), other=R.OTHER_LABEL_EXPORT)
     # the pivot columns come from the line table alone, without the joins
     rates = X.pivot_values(sales_lines(spark, d, ["discount"]), "discount")
     return X.segment_discount_pivot(lines, segments, values=rates)

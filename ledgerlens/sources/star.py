@@ -143,33 +143,82 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
         fact = fact.withColumn("profit", F.round(net - cost, 2).cast("decimal(18,2)"))
 
     if "orders" in need:
-        orders = _table(spark, sf_dir, "orders").select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("o_orderpriority").alias("ship_mode"),
-            F.col("o_custkey").alias("customer_id"),
+        fact = fact.join(order_dimension(spark, sf_dir, need, dim_broadcast_rows), "order_id")
+
+    return fact.select(*cols)
+
+
+ORDER_COLUMNS = ["order_date", "ship_mode", "customer_id", "customer_name", "segment", "state",
+                 "region"]
+
+
+def order_dimension(spark: SparkSession, sf_dir: str, need: set[str],
+                    dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """One row per order with its order-level columns; customer, nation and
+    region are joined only when ``need`` names them."""
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.col("o_orderdate").cast("date").alias("order_date"),
+        F.col("o_orderpriority").alias("ship_mode"),
+        F.col("o_custkey").alias("customer_id"),
+    )
+    if "customer" in need:
+        cust = _table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("customer_id"),
+            F.col("c_name").alias("customer_name"),
+            F.col("c_mktsegment").alias("segment"),
+            F.col("c_nationkey").alias("_nationkey"),
         )
-        if "customer" in need:
-            cust = _table(spark, sf_dir, "customer").select(
-                F.col("c_custkey").alias("customer_id"),
-                F.col("c_name").alias("customer_name"),
-                F.col("c_mktsegment").alias("segment"),
-                F.col("c_nationkey").alias("_nationkey"),
+        if "nation" in need:
+            nation = _table(spark, sf_dir, "nation").select(
+                F.col("n_nationkey").alias("_nationkey"),
+                F.col("n_name").alias("state"),
+                F.col("n_regionkey").alias("_regionkey"),
             )
-            if "nation" in need:
-                nation = _table(spark, sf_dir, "nation").select(
-                    F.col("n_nationkey").alias("_nationkey"),
-                    F.col("n_name").alias("state"),
-                    F.col("n_regionkey").alias("_regionkey"),
+            if "region" in need:
+                region = _table(spark, sf_dir, "region").select(
+                    F.col("r_regionkey").alias("_regionkey"),
+                    F.col("r_name").alias("region"),
                 )
-                if "region" in need:
-                    region = _table(spark, sf_dir, "region").select(
-                        F.col("r_regionkey").alias("_regionkey"),
-                        F.col("r_name").alias("region"),
-                    )
-                    nation = nation.join(_dim(spark, sf_dir, "region", region, 10_000), "_regionkey")
-                cust = cust.join(_dim(spark, sf_dir, "nation", nation, 10_000), "_nationkey")
-            orders = orders.join(_dim(spark, sf_dir, "customer", cust, dim_broadcast_rows), "customer_id")
-        fact = fact.join(orders, "order_id")
+                nation = nation.join(_dim(spark, sf_dir, "region", region, 10_000), "_regionkey")
+            cust = cust.join(_dim(spark, sf_dir, "nation", nation, 10_000), "_nationkey")
+        orders = orders.join(_dim(spark, sf_dir, "customer", cust, dim_broadcast_rows), "customer_id")
+    return orders
+
+
+def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
+                   sums: list[str] = (), mins: list[str] = (), where=None,
+                   where_cols: list[str] = (),
+                   dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """One row per order: ``order_cols`` plus totals over the order's lines.
+
+    For reports that group by order-level columns only. Lines are folded per
+    order *before* they meet the order dimension (eager aggregation): the
+    partial aggregate runs on every executor, the shuffle on ``order_id``
+    carries narrow pre-summed rows instead of every line, and the join reuses
+    that partitioning. Output per order: each ``sums`` column summed under
+    its own name, ``<col>_n`` (its non-null line count), each ``mins`` column
+    as ``<col>_min``, and ``n_lines``. DECIMAL sums keep every total exact, so
+    results equal the line-level computation. ``where`` filters lines first;
+    ``where_cols`` names the line columns it reads.
+    """
+    bad = [c for c in order_cols if c not in ORDER_COLUMNS]
+    if bad:
+        raise ValueError(f"not order-level columns: {bad}")
+    line_cols = list(dict.fromkeys(["order_id", *sums, *mins]))
+    lines = sales_lines(spark, sf_dir, list(dict.fromkeys(line_cols + list(where_cols))),
+                        dim_broadcast_rows)
+    if where is not None:
+        lines = lines.where(where)
+    aggs = []
+    for c in sums:
+        aggs += [F.sum(c).alias(c), F.count(c).alias(f"{c}_n")]
+    aggs += [F.min(c).alias(f"{c}_min") for c in mins]
+    aggs.append(F.count(F.lit(1)).alias("n_lines"))
+    per_order = lines.groupBy("order_id").agg(*aggs)
+    need = set().union(*(_NEEDS[c] for c in order_cols)) if order_cols else set()
+    if not order_cols:
+        return per_order
+    dims = order_dimension(spark, sf_dir, need, dim_broadcast_rows).select("order_id", *order_cols)
+    return per_order.join(dims, "order_id")
 
-    return fact.select(*cols)
