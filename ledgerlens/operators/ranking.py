@@ -131,6 +131,41 @@ def ntile(df: DataFrame, tiles: int, order: list[Column | str], name: str) -> Da
     return pos.withColumn(name, tile_of(F.col("_p"), F.col("_N"), tiles)).drop("_p", "_N")
 
 
+def ntile_many(df: DataFrame, tiles: int, key: list[str],
+               orders: dict[str, tuple[str, bool]]) -> DataFrame:
+    """Several NTILE columns from one distributed sort.
+
+    ``orders`` maps an output name to (numeric column, ascending); ``key`` is
+    unique per row and breaks ties (ascending). The sort keys are stacked into
+    one long table tagged by their place in ``orders`` - one row per input row
+    and ordering - so a single range sort numbers them all; the position
+    within an ordering is the global position minus (place x row count).
+    Folding the tagged positions back per ``key`` restores one row per input
+    (a shuffle of k rows per input row; no key is hot, it is unique).
+    Same results as one ``ntile`` per column, with one sort instead of several.
+    """
+    names = list(orders)
+    stacked = F.array(*[
+        F.struct(F.lit(i).alias("m"),
+                 (F.col(col) if asc else -F.col(col)).cast("decimal(38,6)").alias("v"))
+        for i, (col, asc) in enumerate(orders[n] for n in names)])
+    # the other columns ride along (identical on the rows of one input row), so
+    # the input is not computed a second time for a join back
+    others = [c for c in df.columns if c not in key]
+    long = df.select(*df.columns, F.inline(stacked))
+    pos = global_positions(long, ["m", "v", *key], "_p", "_N")
+    per_row = pos.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in others],
+        *[F.max(F.when(F.col("m") == i,
+                       F.col("_p") - i * (F.col("_N") / len(names)).cast("long")))
+          .alias(f"_p{i}") for i in range(len(names))],
+        F.max((F.col("_N") / len(names)).cast("long")).alias("_n"))
+    out = per_row
+    for i, n in enumerate(names):
+        out = out.withColumn(n, tile_of(F.col(f"_p{i}"), F.col("_n"), tiles))
+    return out.select(*df.columns, *names)
+
+
 def dense_rank_desc(df: DataFrame, value: str, name: str,
                     broadcast_rows: int = 1_000_000) -> DataFrame:
     """DENSE_RANK() OVER (ORDER BY value DESC): rank the distinct values, join back."""
@@ -140,21 +175,43 @@ def dense_rank_desc(df: DataFrame, value: str, name: str,
     return df.join(broadcast_if_bounded(ranked, broadcast_rows), value)
 
 
+HOT_GROUP_ROWS = 1_000_000
+MAX_HOT_GROUPS = 100_000
+
+
 def rank_within_groups(df: DataFrame, keys: list[str], order: list[Column | str],
-                       name: str, partitions: int | None = None) -> DataFrame:
+                       name: str, hot_rows: int = HOT_GROUP_ROWS,
+                       partitions: int | None = None) -> DataFrame:
     """ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order), safe for hot keys.
 
-    Positions come from one global sort on (keys, order). A key's first
-    position is found per (sorted partition, key) and joined back on that
-    pair, so a key spread over many partitions is handled piecewise and never
-    gathered into one task.
+    Keys are counted first (a partial aggregate). Keys with at most
+    ``hot_rows`` rows are numbered by an ordinary window - one task per key
+    holds a bounded number of rows. Rows of hotter keys (there can be at most
+    rows / ``hot_rows`` such keys; their list is broadcast) are numbered from
+    one global sort: a key's first position is found per (sorted partition,
+    key) and joined back on that pair, so a hot key spread over many
+    partitions is handled piecewise and never gathered into one task.
     """
-    pos = _positioned(df, [*_cols(keys), *_cols(order)], partitions)
+    order_cols = _cols(order)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > hot_rows).select(*keys))
+    hot_list = hot.limit(MAX_HOT_GROUPS + 1).collect()
+    if len(hot_list) > MAX_HOT_GROUPS:
+        raise ValueError("too many hot keys; raise hot_rows")
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    if not hot_list:
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
+    hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot_list, hot.schema))
+    cold = df.join(hot_keys, keys, "left_anti").withColumn(
+        name, F.row_number().over(w).cast("long"))
+    pos = _positioned(df.join(hot_keys, keys, "left_semi"), [*_cols(keys), *order_cols],
+                      partitions)
     per_part = pos.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first_p"))
     first = per_part.groupBy(*keys).agg(F.min("_first_p").alias("_first"))
     bounds = per_part.join(first, keys).select("_pid", *keys, "_first")
-    out = pos.join(bounds, ["_pid", *keys])
-    return out.select(*df.columns, (F.col("_pos") - F.col("_first") + 1).cast("long").alias(name))
+    warm = pos.join(bounds, ["_pid", *keys]).select(
+        *df.columns, (F.col("_pos") - F.col("_first") + 1).cast("long").alias(name))
+    return cold.select(*df.columns, name).unionByName(warm)
 
 
 def top_per_group(agg: DataFrame, group: list[str], order: list[Column | str], n: int = 1,

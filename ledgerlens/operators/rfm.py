@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
-from ledgerlens.operators.ranking import desc_key, first_per_group, ntile
+from ledgerlens.operators.ranking import desc_key, first_per_group, ntile_many
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's segment labels, in the order
@@ -72,11 +72,11 @@ def rfm_scores(raw: DataFrame, customer: str = "customer_name", tiles: int = 4)
     """NTILE scores: recency newest-best, frequency and monetary highest-best.
 
     Ties are broken by the customer key so that scores repeat run to run.
-    Each NTILE is a distributed sort, never a single-task window.
+    The three NTILEs share one distributed sort, never a single-task window.
     """
-    scored = ntile(raw, tiles, [F.col("recency").desc(), F.col(customer)], "r_score")
-    scored = ntile(scored, tiles, [F.col("frequency").asc(), F.col(customer)], "f_score")
-    return ntile(scored, tiles, [F.col("monetary").asc(), F.col(customer)], "m_score")
+    return ntile_many(raw, tiles, [customer], {"r_score": ("recency", False),
+                                               "f_score": ("frequency", True),
+                                               "m_score": ("monetary", True)})
 
 
 def segment_label(r="r_score", f="f_score", m="m_score", other: str = OTHER_LABEL) -> Column:

@@ -54,9 +54,18 @@ def test_rank_within_groups_with_a_hot_key(spark):
         key = "hot" if i % 3 == 0 else f"g{rnd.randrange(40)}"   # a third of rows in one key
         rows.append((key, i, rnd.randrange(5)))
     df = spark.createDataFrame(rows, "k string, id long, x long")
-    ours = {r["id"]: r["rn"] for r in rank_within_groups(df, ["k"], ["x", "id"], "rn").collect()}
     ref = {r["id"]: r["rn"] for r in df.withColumn(
         "rn", F.row_number().over(Window.partitionBy("k").orderBy("x", "id"))).collect()}
+    # hot threshold below the hot key's size: it takes the distributed path
+    ours = {r["id"]: r["rn"] for r in rank_within_groups(df, ["k"], ["x", "id"], "rn",
+                                                         hot_rows=100).collect()}
+    assert ours == ref
+    # every key is hot
+    ours = {r["id"]: r["rn"] for r in rank_within_groups(df, ["k"], ["x", "id"], "rn",
+                                                         hot_rows=0).collect()}
+    assert ours == ref
+    # no key is hot: a plain window per key
+    ours = {r["id"]: r["rn"] for r in rank_within_groups(df, ["k"], ["x", "id"], "rn").collect()}
     assert ours == ref
 
 
@@ -76,3 +85,24 @@ def test_top_per_group_keeps_ties(spark):
                                "g string, m string, n long")
     got = top_per_group(df, ["g"], [F.col("n").desc()], ties=True).collect()
     assert sorted((r["g"], r["m"]) for r in got) == [("a", "x"), ("a", "y"), ("b", "x")]
+
+
+@pytest.mark.parametrize("n,tiles", [(0, 4), (1, 4), (3, 4), (997, 4), (400, 7)])
+def test_ntile_many_matches_separate_windows(spark, n, tiles):
+    from ledgerlens.operators.ranking import ntile_many
+    rnd = random.Random(n)
+    rows = [(f"c{i:05d}", rnd.randrange(30), rnd.randrange(1, 6),
+             round(rnd.uniform(0, 500), 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "name string, rec long, freq long, mon double").withColumn(
+        "mon", F.col("mon").cast("decimal(18,2)"))
+    ours = {r["name"]: (r["r"], r["f"], r["m"]) for r in ntile_many(
+        df, tiles, ["name"], {"r": ("rec", False), "f": ("freq", True), "m": ("mon", True)}
+    ).collect()}
+
+    def win(col, asc):
+        o = F.col(col).asc() if asc else F.col(col).desc()
+        return F.ntile(tiles).over(Window.orderBy(o, F.col("name")))
+    ref = {r["name"]: (r["r"], r["f"], r["m"]) for r in df.select(
+        "name", win("rec", False).alias("r"), win("freq", True).alias("f"),
+        win("mon", True).alias("m")).collect()}
+    assert ours == ref
