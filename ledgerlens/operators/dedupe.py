@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
-from ledgerlens.functions.sizing import broadcast_if_bounded
 from ledgerlens.operators.ranking import first_per_group, rank_within_groups
 
 
@@ -19,15 +18,17 @@ def repeated_keys(df: DataFrame, keys: list[str], name: str = "total") -> DataFr
     return df.groupBy(*keys).agg(M.rows().alias(name)).where(F.col(name) > 1)
 
 
-def rows_of_repeated_keys(df: DataFrame, keys: list[str], broadcast_rows: int = 1_000_000
-                          ) -> DataFrame:
+def rows_of_repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every row whose key occurs more than once (C13): a left-semi join.
 
-    The key list is broadcast when a count proves it small; otherwise both
-    sides shuffle on the key and AQE splits a skewed key's partition.
+    The key list is derived data: counting it up front would run the whole
+    aggregation twice. Both sides shuffle on the key instead; AQE turns the
+    join into a broadcast when the measured key list is small and splits a
+    skewed key's partition when it is not. The key side's aggregate is
+    already partitioned on the key, so it is not shuffled again.
     """
     dup = repeated_keys(df, keys).select(*keys)
-    return df.join(broadcast_if_bounded(dup, broadcast_rows), keys, "left_semi")
+    return df.join(dup, keys, "left_semi")
 
 
 def extra_lines(df: DataFrame, keys: list[str], order: list[str | Column],

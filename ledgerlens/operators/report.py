@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
-from ledgerlens.functions.sizing import broadcast_if_bounded
 
 GRAND_TOTAL = "Grand Total"
 MAX_PIVOT_VALUES = 200
@@ -39,15 +38,15 @@ def segment_discount_pivot(lines: DataFrame, segments: DataFrame, key: str = "cu
 
     The label lives on the customer. Lines are first folded to one row per
     (customer, rate) - partial sums on every executor - and only those are
-    joined to the segments (broadcast only when the customer table is proven
-    small), so the join runs at customer grain, not line grain. Then per
+    joined to the segments, so the join runs at customer grain, not line
+    grain (AQE broadcasts the segments when their measured size is small). Then per
     (segment, rate); the pivot (one conditional sum per rate) and the ROLLUP
     for the grand total run on those few rows. Empty cells stay NULL, as
     blanks in the workbook.
     """
     per_customer = lines.groupBy(key, col).agg(F.sum("profit").alias("_cp"),
                                                F.sum("sales").alias("_cs"))
-    joined = per_customer.join(broadcast_if_bounded(segments.select(key, row), 1_000_000), key)
+    joined = per_customer.join(segments.select(key, row), key)
     cells = joined.groupBy(row, col).agg(F.sum("_cp").alias("_p"), F.sum("_cs").alias("_s"))
     rates = values if values is not None else pivot_values(cells, col)
     aggs = []
