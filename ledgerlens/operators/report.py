@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
 
+# Fixed value: the label of the grand-total row, as in the workbook.
 GRAND_TOTAL = "Grand Total"
 MAX_PIVOT_VALUES = 200
 
