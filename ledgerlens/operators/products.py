@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
 from ledgerlens.operators.ranking import dense_rank_desc
+from ledgerlens.session import checkpoint_dir
 
 
 def product_totals(df: DataFrame, keys=("product_id", "product_name")) -> DataFrame:
@@ -15,16 +16,29 @@ def product_totals(df: DataFrame, keys=("product_id", "product_name")) -> DataFr
                                  F.sum("profit").alias("total_profit"))
 
 
-def _mean_over(totals: DataFrame, col: str):
-    """Mean of a per-product total as a scalar subquery: one value, run once."""
-    return totals.select(M.mean(col)).scalar()
+def _materialized_totals(df: DataFrame, keys) -> DataFrame:
+    """Product totals written once to the checkpoint folder.
+
+    The report reads them twice (the means, then the filter); Spark does not
+    share the aggregation between a query and its scalar subquery, so without
+    this the line table would be aggregated twice.
+    """
+    checkpoint_dir(df.sparkSession)
+    return product_totals(df, keys).checkpoint(eager=True)
+
+
+def _means(totals: DataFrame):
+    """Mean product sales and profit as one scalar subquery (a one-row struct)."""
+    return totals.select(F.struct(M.mean("total_sales").alias("s"),
+                                  M.mean("total_profit").alias("p"))).scalar()
 
 
 def star_products(df: DataFrame, keys=("product_id", "product_name")) -> DataFrame:
     """Products whose sales and profit are both above the mean product."""
-    totals = product_totals(df, keys)
-    out = totals.where((F.col("total_sales") > _mean_over(totals, "total_sales"))
-                       & (F.col("total_profit") > _mean_over(totals, "total_profit")))
+    totals = _materialized_totals(df, keys)
+    means = _means(totals)
+    out = totals.where((F.col("total_sales") > means.getField("s"))
+                       & (F.col("total_profit") > means.getField("p")))
     return (out.select(*keys, M.rounded("total_sales").cast("double").alias("s"),
                        M.rounded("total_profit").cast("double").alias("p"))
             .orderBy(F.col("s").desc(), *keys))
@@ -32,10 +46,10 @@ def star_products(df: DataFrame, keys=("product_id", "product_name")) -> DataFra
 
 def dead_weight_products(df: DataFrame, keys=("product_id", "product_name")) -> DataFrame:
     """Products with rounded sales above the mean product and rounded profit < 0."""
-    totals = product_totals(df, keys)
+    totals = _materialized_totals(df, keys)
     rounded = totals.select(*keys, M.rounded("total_sales").alias("s"),
                             M.rounded("total_profit").alias("p"))
-    out = rounded.where((F.col("s") > _mean_over(totals, "total_sales")) & (F.col("p") < 0))
+    out = rounded.where((F.col("s") > _means(totals).getField("s")) & (F.col("p") < 0))
     return (out.select(*keys, F.col("s").cast("double").alias("s"),
                        F.col("p").cast("double").alias("p"))
             .orderBy(F.col("s").desc(), *keys))
