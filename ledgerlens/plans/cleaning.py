@@ -1,9 +1,8 @@
-"""Load, audit and de-duplicate (C02-C22 on the sales tables).
+"""Load, audit and de-duplicate (C01-C22 on the sales tables).
 
-C01, C06 and C07 (CSV load, header repair, schema listing) work on raw
-export files and are covered by unit tests on hand-written fixtures; the
-date parsing and typing of C02-C04 and C10 are unit-tested on raw text too,
-and run here over the typed view.
+The load path (C01-C04, C06, C10) runs on a raw export of the whole sales
+view; its edge cases (BOM, latin1, date shapes) are unit-tested on
+hand-written fixtures. C07 (schema listing) is unit-tested only.
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from ledgerlens.plans.eda import SCAN_SQL, money_out, money_out_sql, scan
 from ledgerlens.plans.oracle import with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.session import checkpoint_dir
+from ledgerlens.sources.raw_csv import RAW_COLUMNS, read_orders, write_orders_export
 from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_lines
 
 # Keys of an existing line of the sf0.01 tables.
@@ -46,6 +46,32 @@ def _null_sql() -> str:
 register("c05_scan_sales", SCAN_SQL, "C05")(scan)
 
 
+_EXPORT_SQL = with_sales("""
+    SELECT CAST(NULL AS BIGINT) AS row_id, CAST(order_id AS VARCHAR) AS order_id,
+           order_date, ship_date, ship_mode, CAST(customer_id AS VARCHAR) AS customer_id,
+           customer_name, segment, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS city,
+           state, CAST(NULL AS VARCHAR) AS postal_code, region,
+           CAST(product_id AS VARCHAR) AS product_id, category, sub_category, product_name,
+           CAST(sales AS DOUBLE) AS sales, quantity, CAST(discount AS DOUBLE) AS discount,
+           CAST(profit AS DOUBLE) AS profit
+    FROM sales""")
+
+
+@register("c01_load_clean_export", _EXPORT_SQL, ("C01", "C02", "C03", "C04", "C06", "C10"))
+def c01(spark, d):
+    """The load + clean job on a raw export of the whole sales view.
+
+    The view is written in the raw layout (text columns, month-first date
+    text) to a new folder in the shared checkpoint directory, then read back
+    with the all-text schema and typed by ``clean_orders``.
+    """
+    path = os.path.join(checkpoint_dir(spark), "exports", f"sales-{uuid.uuid4().hex}")
+    write_orders_export(sales_lines(spark, d), path)
+    clean = clean_orders(read_orders(spark, path))
+    return clean.select(*[F.col(c).cast("double").alias(c) if c in ("sales", "discount", "profit")
+                          else F.col(c) for c in RAW_COLUMNS])
+
+
 @register("c20_snapshot_sales", SCAN_SQL, "C20")
 def c20(spark, d):
     """Back up the table before de-duplicating: a new, never overwritten folder

@@ -57,3 +57,27 @@ def read_orders(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") ->
 def repair_header(df: DataFrame) -> DataFrame:
     """Rename columns of a header-inferred read to clean names."""
     return df.toDF(*[column_name(c) for c in df.columns])
+
+
+def write_orders_export(df: DataFrame, path: str, encoding: str = "ISO-8859-1",
+                        mode: str = "errorifexists") -> None:
+    """Write order lines in the raw export layout read by ``read_orders``.
+
+    The 21 header names in file order, dates as month-first text
+    (``11/8/2016``), everything else as text; columns the frame lacks are
+    left empty. Quoted where needed, latin1. One part file per partition.
+    """
+    from pyspark.sql import functions as F
+
+    cols = []
+    for header, name in zip(RAW_HEADER, RAW_COLUMNS):
+        if name not in df.columns:
+            cols.append(F.lit(None).cast("string").alias(header))
+        elif name in ("order_date", "ship_date"):
+            cols.append(F.date_format(F.col(name), "M/d/yyyy").alias(header))
+        else:
+            cols.append(F.col(name).cast("string").alias(header))
+    (df.select(*cols).write.mode(mode)
+     .option("header", True).option("encoding", encoding)
+     .option("quote", '"').option("escape", '"')
+     .csv(path))

@@ -22,8 +22,8 @@ def test_every_query_has_a_sql_check():
 
 def test_registry_covers_survey_ids():
     ids = {i for e in load_all().values() for i in e.ids}
-    expected = ({f"C{i:02d}" for i in (2, 3, 4, 5, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19,
-                                       20, 21, 22)}
+    expected = ({f"C{i:02d}" for i in (1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 14, 15, 16,
+                                       17, 18, 19, 20, 21, 22)}
                 | {f"E{i:02d}" for i in range(1, 33)} | {f"I{i:02d}" for i in range(1, 22)}
                 | {f"P{i:02d}" for i in range(1, 22)} | {f"R{i:02d}" for i in range(1, 8)}
                 | {"X01", "X02", "X03"})
