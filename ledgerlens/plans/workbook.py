@@ -1,13 +1,16 @@
-"""Workbook reports (X01-X03). X04, the money-text reader, works on exported
-files rather than the tables and is covered by unit tests."""
+"""Workbook reports."""
 
 from __future__ import annotations
 
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import metrics as M
+from ledgerlens.functions.money import parse_money
 from ledgerlens.operators import report as X
 from ledgerlens.operators import rfm as R
-from ledgerlens.plans.oracle import mean, r, with_sales
+from ledgerlens.plans.oracle import mean, money_text, r, with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.rfm import rfm_input, segmented_sql
 from ledgerlens.sources.star import sales_lines
@@ -62,3 +65,23 @@ def x03(spark, d):
     s = sales_lines(spark, d, ["region", "sub_category", "profit"]).withColumnRenamed(
         "sub_category", "sub_cat")
     return X.sum_by_two_with_grand_total(s, "region", "sub_cat", "profit", "profit")
+
+
+@register("x04_money_text_roundtrip", with_sales(f"""
+    SELECT region, sub_category AS sub_cat,
+           CASE WHEN SUM(profit) < 0 THEN '-' ELSE '' END || {money_text('SUM(profit)')} AS profit_text,
+           CAST(SUM(profit) AS DOUBLE) AS profit
+    FROM sales GROUP BY 1, 2"""), "X04")
+def x04(spark, d):
+    """Profit per region and sub-category shown as money text, then read back.
+
+    The text is the reports' display form (sign, currency mark, digit-group
+    commas); ``parse_money`` must return the exact amount.
+    """
+    s = sales_lines(spark, d, ["region", "sub_category", "profit"])
+    sums = s.groupBy("region", F.col("sub_category").alias("sub_cat")).agg(
+        F.sum("profit").alias("_p"))
+    text = F.concat(F.when(F.col("_p") < 0, F.lit("-")).otherwise(F.lit("")), M.money_text("_p"))
+    shown = sums.select("region", "sub_cat", text.alias("profit_text"))
+    return shown.select("region", "sub_cat", "profit_text",
+                        parse_money("profit_text").cast("double").alias("profit"))

@@ -26,7 +26,7 @@ def test_registry_covers_survey_ids():
                                        17, 18, 19, 20, 21, 22)}
                 | {f"E{i:02d}" for i in range(1, 33)} | {f"I{i:02d}" for i in range(1, 22)}
                 | {f"P{i:02d}" for i in range(1, 22)} | {f"R{i:02d}" for i in range(1, 8)}
-                | {"X01", "X02", "X03"})
+                | {"X01", "X02", "X03", "X04"})
     assert expected <= ids
 
 
