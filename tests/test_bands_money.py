@@ -69,3 +69,12 @@ def test_read_money_table(spark, tmpdir_path):
     rows = {r["segment"]: (r["profit"], r["sales"]) for r in df.collect()}
     assert rows["A_ Champion"] == (Decimal("32959.38"), Decimal("107194.61"))
     assert rows["B_ Loyal Customer"] == (Decimal("-468.25"), None)
+
+
+def test_write_report_csv_round_trip(spark, tmpdir_path):
+    from ledgerlens.sources.workbook import write_report_csv
+    df = spark.createDataFrame([("A_ Champion", 1.5), ("Grand Total", 1.5)], "seg string, v double")
+    p = os.path.join(tmpdir_path, "report")
+    write_report_csv(df, p)
+    back = spark.read.option("header", True).schema("seg string, v double").csv(p)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
