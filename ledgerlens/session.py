@@ -60,3 +60,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def input_bytes(paths: list[str]) -> int:
+    """Total size of local input files (for sizing a local run)."""
+    total = 0
+    for p in paths:
+        if os.path.isfile(p):
+            total += os.path.getsize(p)
+        for root, _, files in os.walk(p):
+            total += sum(os.path.getsize(os.path.join(root, f)) for f in files)
+    return total
+
+
+def size_settings(scan_bytes: int, cores: int, partition_bytes: int = 256 << 20,
+                  expansion: float = 3.0, max_partitions: int = 200_000) -> dict[str, str]:
+    """Partition settings for an input of ``scan_bytes`` on ``cores`` task slots.
+
+    Scan splits of ``partition_bytes``; the initial shuffle partition count
+    assumes shuffles move up to ``expansion`` x the compressed scan (columnar
+    parquet inflates once decoded), at most ``partition_bytes`` each, and
+    never fewer than the slots nor more than ``max_partitions`` (beyond that
+    the shuffle bookkeeping itself grows too large; queries prune columns, so
+    real shuffles move far less than the whole scan). AQE then merges small
+    partitions back to ``partition_bytes`` and splits skewed ones, so
+    over-estimating is cheap and under-estimating (spills, huge tasks) is not.
+    """
+    shuffle_parts = min(max_partitions,
+                        max(cores, int(scan_bytes * expansion // partition_bytes) + 1))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }

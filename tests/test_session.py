@@ -52,3 +52,12 @@ def test_cluster_without_shared_dir_is_an_error():
 def test_local_without_dir_gets_a_fresh_folder():
     path = checkpoint_dir(_session("local[4]"))
     assert path and "ledgerlens-ckpt-" in path
+
+
+def test_size_settings_scale_with_input():
+    from ledgerlens.session import size_settings
+    small = size_settings(30 << 20, cores=8)
+    big = size_settings(100 << 40, cores=8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 8
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000   # capped
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
