@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import metrics as M
 from ledgerlens.operators import dedupe as D
 from ledgerlens.operators import quality as Q
 from ledgerlens.operators.clean import clean_orders
