@@ -20,7 +20,8 @@ from ledgerlens.plans.oracle import with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.session import checkpoint_dir
 from ledgerlens.sources.raw_csv import RAW_COLUMNS, read_orders, write_orders_export
-from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_lines
+from ledgerlens.sources.star import (LINE_COLUMNS, ROW_ORDER, SALES_COLUMNS, sales_lines,
+                                     with_order_columns)
 
 # Keys of an existing line of the sf0.01 tables.
 LOOKUP_ORDER, LOOKUP_LINE, LOOKUP_PRODUCT = 5979, 6, 1616
@@ -123,8 +124,10 @@ def c12(spark, d):
     WHERE order_id IN (SELECT order_id FROM sales GROUP BY order_id HAVING COUNT(*) > 1)
     ORDER BY order_id"""), "C13")
 def c13(spark, d):
-    rows = D.rows_of_repeated_keys(sales_lines(spark, d), ["order_id"])
-    return rows.select(*money_out(SALES_COLUMNS)).orderBy("order_id", *ROW_ORDER)
+    # repeated orders found on the line-level view; order columns added after
+    rows = D.rows_of_repeated_keys(sales_lines(spark, d, LINE_COLUMNS), ["order_id"])
+    full = with_order_columns(spark, d, rows)
+    return full.select(*money_out(SALES_COLUMNS)).orderBy("order_id", *ROW_ORDER)
 
 
 _C14_COLS = ["order_id", "line_number", "product_id", "supplier_id", "order_date", "customer_name",
@@ -186,6 +189,8 @@ _DEDUPED_SQL = f"""deduped AS (
     WITH {_DEDUPED_SQL}
     SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
 def c21(spark, d):
+    # de-duplicated after the order join: that join's shuffle on order_id already
+    # clusters the (order_id, line_number) keys, so the dedupe needs no shuffle
     return D.dedupe(sales_lines(spark, d), DEDUPE_KEYS, DEDUPE_ORDER).select(*money_out(SALES_COLUMNS))
 
 

@@ -8,7 +8,9 @@ from ledgerlens.operators import rfm as R
 from ledgerlens.plans.eda import money_out, money_out_sql
 from ledgerlens.plans.oracle import r, ratio, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.sources.star import ROW_ORDER, SALES_COLUMNS, sales_by_order, sales_lines
+from ledgerlens.operators.ranking import first_per_group
+from ledgerlens.sources.star import (LINE_COLUMNS, ROW_ORDER, SALES_COLUMNS, sales_by_order,
+                                     sales_lines, with_order_columns)
 
 def rfm_input(spark, d):
     """Customer, date and sales of each order, lines folded per order first."""
@@ -69,7 +71,10 @@ def r02(spark, d):
         FROM sales) t
     WHERE rw_no = 1 ORDER BY order_id, line_number"""), "R03")
 def r03(spark, d):
-    best = R.latest_row_per_customer(sales_lines(spark, d), row_order=ROW_ORDER)
+    # first line of every order on the line-level view (one row per order), then
+    # the customer's highest order among those: the customer step sees orders, not lines
+    first_lines = first_per_group(sales_lines(spark, d, LINE_COLUMNS), ["order_id"], ROW_ORDER)
+    best = R.latest_row_per_customer(with_order_columns(spark, d, first_lines), row_order=ROW_ORDER)
     return best.select(*money_out(SALES_COLUMNS), "rw_no").orderBy("order_id", "line_number")
 
 

@@ -222,3 +222,22 @@ def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
     dims = order_dimension(spark, sf_dir, need, dim_broadcast_rows).select("order_id", *order_cols)
     return per_order.join(dims, "order_id")
 
+
+
+LINE_COLUMNS = [c for c in SALES_COLUMNS if c not in ORDER_COLUMNS]
+
+
+def with_order_columns(spark: SparkSession, sf_dir: str, lines: DataFrame,
+                       cols: list[str] | None = None,
+                       dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+    """Add order-level columns to line-level rows (those keep ``order_id``).
+
+    For "pick, then enrich" plans: rows chosen per order on the line-level
+    view get their order, customer and region columns afterwards, so the
+    order join sees only the surviving rows. Exact, because that inner join
+    keeps or drops whole orders, never single lines.
+    """
+    cols = list(cols) if cols is not None else list(ORDER_COLUMNS)
+    need = set().union(*(_NEEDS[c] for c in cols)) if cols else set()
+    dims = order_dimension(spark, sf_dir, need, dim_broadcast_rows).select("order_id", *cols)
+    return lines.join(dims, "order_id")
