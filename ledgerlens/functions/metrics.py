@@ -96,3 +96,18 @@ def folded_mean(x: str) -> Column:
 
 def folded_mean_pct(x: str, digits: int = 2) -> Column:
     return F.round(folded_mean(x) * 100, digits)
+
+
+def folded_ship_days(ship="ship_date", order="order_date") -> Column:
+    """Per folded order: the sum over its lines of DATEDIFF(ship, order).
+
+    From ``<ship>_days`` (sum of ship day numbers) and ``<ship>_n``: exact
+    integer arithmetic, NULL ship dates excluded as in the line-level AVG.
+    """
+    return F.col(f"{ship}_days") - F.col(f"{ship}_n") * F.unix_date(F.col(order))
+
+
+def folded_mean_ship_days(ship="ship_date", order="order_date") -> Column:
+    """AVG(DATEDIFF(ship, order)) over the lines, from folded orders."""
+    return F.try_divide(F.sum(folded_ship_days(ship, order)).cast("double"),
+                        F.sum(f"{ship}_n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
@@ -20,15 +20,18 @@ def repeat_buyers(df: DataFrame, customer_key: str = "customer_name",
 
 
 def shipping_vs_repeat(df: DataFrame, customer_key: str = "customer_id",
-                       order_key: str = "order_id") -> DataFrame:
+                       order_key: str = "order_id", mean_days: Column | None = None
+                       ) -> DataFrame:
     """Mean lifetime orders and customer count per shipping-delay band.
 
     Per customer: distinct orders and mean shipping days; the mean picks a
     band (>= 5, >= 3, else, NULL in the last); then the bands are averaged.
+    ``mean_days`` replaces the line-level mean, e.g. for rows folded per order.
     """
+    days = mean_days if mean_days is not None else M.mean(M.ship_days())
     per_customer = df.groupBy(customer_key).agg(
         F.countDistinct(order_key).alias("_orders"),
-        M.mean(M.ship_days()).alias("_avg_ship"))
+        days.alias("_avg_ship"))
     return (per_customer.groupBy(shipping_experience("_avg_ship").alias("shipping_experience"))
             .agg(M.rounded(M.mean("_orders")).alias("avg_lifetime_orders"),
                  M.rows().alias("total_customers_in_group"))

@@ -96,8 +96,8 @@ SHIP_DAYS_SQL = "date_diff('day', order_date, ship_date)"
     SELECT {r(mean(SHIP_DAYS_SQL))} AS avg_shipping_days FROM sales"""),
     "E08")
 def e08(spark, d):
-    return sales_lines(spark, d, ["order_date", "ship_date"]).agg(
-        M.rounded(M.mean(M.ship_days())).alias("avg_shipping_days"))
+    return sales_by_order(spark, d, ["order_date"], day_sums=["ship_date"]).agg(
+        M.rounded(M.folded_mean_ship_days()).alias("avg_shipping_days"))
 
 
 @register("e09_distinct_categories", with_sales(
@@ -226,8 +226,8 @@ def e21(spark, d):
     SELECT ship_mode, {mean(SHIP_DAYS_SQL)} AS avg_time
     FROM sales GROUP BY ship_mode"""), "E22")
 def e22(spark, d):
-    return breakdown(sales_lines(spark, d, ["ship_mode", "order_date", "ship_date"]), ["ship_mode"],
-                     [M.mean(M.ship_days()).alias("avg_time")])
+    s = sales_by_order(spark, d, ["ship_mode", "order_date"], day_sums=["ship_date"])
+    return breakdown(s, ["ship_mode"], [M.folded_mean_ship_days().alias("avg_time")])
 
 
 @register("e23_margin_by_ship_mode", with_sales(f"""
