@@ -55,7 +55,7 @@ def e02(spark, d):
 @register("e03_distinct_customers", with_sales(
     "SELECT COUNT(DISTINCT customer_id) AS distinct_customers FROM sales"), "E03")
 def e03(spark, d):
-    return sales_lines(spark, d, ["customer_id"]).agg(
+    return sales_by_order(spark, d, ["customer_id"]).agg(
         F.countDistinct("customer_id").alias("distinct_customers"))
 
 
@@ -146,7 +146,7 @@ def e13(spark, d):
     SELECT region, {r(ratio('SUM(profit)', 'SUM(sales)'))} AS highest_profit_margin_region
     FROM sales GROUP BY region ORDER BY 2 DESC NULLS LAST, region"""), "E14")
 def e14(spark, d):
-    return breakdown(sales_lines(spark, d, ["region", "sales", "profit"]), ["region"],
+    return breakdown(sales_by_order(spark, d, ["region"], sums=["sales", "profit"]), ["region"],
                      [M.margin_ratio().alias("highest_profit_margin_region")],
                      order=[F.col("highest_profit_margin_region").desc_nulls_last(), "region"])
 

@@ -60,7 +60,7 @@ def r01(spark, d):
 @register("r02_distinct_customer_names", with_sales(
     "SELECT COUNT(DISTINCT customer_name) AS distinct_customers FROM sales"), "R02")
 def r02(spark, d):
-    return sales_lines(spark, d, ["customer_name"]).agg(
+    return sales_by_order(spark, d, ["customer_name"]).agg(
         F.countDistinct("customer_name").alias("distinct_customers"))
 
 
