@@ -189,9 +189,11 @@ _DEDUPED_SQL = f"""deduped AS (
     WITH {_DEDUPED_SQL}
     SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
 def c21(spark, d):
-    # de-duplicated after the order join: that join's shuffle on order_id already
-    # clusters the (order_id, line_number) keys, so the dedupe needs no shuffle
-    return D.dedupe(sales_lines(spark, d), DEDUPE_KEYS, DEDUPE_ORDER).select(*money_out(SALES_COLUMNS))
+    # de-duplicated on the line-level view, then the order columns are added: the
+    # partial de-dup folds a hot order to one row per (order, line) before the order
+    # join, where a join-first plan would put all of a hot order's lines in one task
+    kept = D.dedupe(sales_lines(spark, d, LINE_COLUMNS), DEDUPE_KEYS, DEDUPE_ORDER)
+    return with_order_columns(spark, d, kept).select(*money_out(SALES_COLUMNS))
 
 
 @register("c22_no_duplicates_after_dedupe", with_sales(f"""
