@@ -75,6 +75,9 @@ ROW_ORDER = ["line_number", "product_id", "supplier_id", "quantity", "discount",
              "ship_date"]
 
 DIM_BROADCAST_ROWS = 1_000_000
+# Session setting that overrides the bound (0 turns dimension broadcasts off,
+# e.g. to rehearse the shuffle-join plans of a cluster-sized run).
+DIM_BROADCAST_CONF = "spark.ledgerlens.dimBroadcastRows"
 
 
 _SMALL: dict[tuple[str, str, int], bool] = {}
@@ -101,6 +104,11 @@ def _dim(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, max_rows: i
     dimensions go from a foreign key to a primary key, so they never have more
     rows than the table counted here.
     """
+    configured = spark.conf.get(DIM_BROADCAST_CONF, None)
+    if configured is not None:
+        max_rows = min(max_rows, int(configured))
+    if max_rows <= 0:
+        return df
     key = (spark.sparkContext.applicationId, os.path.join(sf_dir, name), max_rows)
     if key not in _SMALL:
         _SMALL[key] = row_count_at_most(_table(spark, sf_dir, name), max_rows)
