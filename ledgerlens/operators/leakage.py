@@ -90,13 +90,18 @@ def loss_impact(df: DataFrame, customer_key: str = "customer_id") -> DataFrame:
     )
 
 
-def recovered_if(df: DataFrame, cond: Column, name: str, with_count: str | None = None) -> DataFrame:
-    """Loss recovered if the lines matching ``cond`` stopped."""
+def recovered_if(df: DataFrame, cond: Column, name: str, with_count: str | None = None,
+                 folded: bool = False) -> DataFrame:
+    """Loss recovered if the lines matching ``cond`` stopped.
+
+    ``folded``: ``df`` holds losing lines already summed per order (``profit``
+    and ``n_lines``), so only ``cond`` is applied here.
+    """
     lost = F.abs(F.sum("profit"))
     cols = [M.money_text(lost).alias(name), lost.cast("double").alias(name + "_amount")]
     if with_count:
-        cols.append(M.rows().alias(with_count))
-    return df.where(_loss() & cond).agg(*cols)
+        cols.append((M.folded_rows() if folded else M.rows()).alias(with_count))
+    return df.where(cond if folded else _loss() & cond).agg(*cols)
 
 
 def discount_cap_recovery(df: DataFrame, cap: float = 0.30) -> DataFrame:
@@ -110,3 +115,10 @@ def drop_segment_recovery(df: DataFrame, region: str, sub_category: str) -> Data
     """What-if: stop one sub-category in one region (P20)."""
     cond = (F.col("region") == F.lit(region)) & (F.col("sub_category") == F.lit(sub_category))
     return recovered_if(df, cond, "loss_recovered", with_count="orders_affected")
+
+
+def drop_segment_recovery_folded(per_order: DataFrame, region: str) -> DataFrame:
+    """P20 over losing lines of the sub-category already summed per order; the
+    region, an order-level column, is tested after the fold."""
+    return recovered_if(per_order, F.col("region") == F.lit(region), "loss_recovered",
+                        with_count="orders_affected", folded=True)
