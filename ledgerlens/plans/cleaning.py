@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import dedupe as D
 from ledgerlens.operators import quality as Q
 from ledgerlens.operators.clean import clean_orders
-from ledgerlens.plans.eda import SCAN_SQL, money_out, money_out_sql, scan
+from ledgerlens.plans.common import SCAN_SQL, money_out, money_out_sql, scan
 from ledgerlens.plans.oracle import with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.session import checkpoint_dir

@@ -11,9 +11,10 @@ from ledgerlens.operators.breakdown import breakdown, top1
 from ledgerlens.operators.kpi import kpi_summary, order_value
 from ledgerlens.operators.ranking import top_per_group
 from ledgerlens.operators.trend import period_growth, pooled_quarter_growth, quarter_label
+from ledgerlens.plans.common import SCAN_SQL, SHIP_DAYS_SQL, scan
 from ledgerlens.plans.oracle import margin_pct, mean, r, ratio, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.sources.star import SALES_COLUMNS, sales_by_order, sales_lines
+from ledgerlens.sources.star import sales_by_order, sales_lines
 
 # Parameters adapted to the test tables: the region literal is
 # lower case on purpose (the data says 'ASIA'), and the minimum discount of a
@@ -23,23 +24,6 @@ MIN_DISCOUNT_ONLY = Decimal("0.08")
 LOW_MARGIN_PCT = 5
 LOSS_PRODUCTS_LIMIT = 50
 
-MONEY = ("sales", "profit", "discount")
-
-
-def money_out(cols):
-    return [F.col(c).cast("double").alias(c) if c in MONEY else F.col(c) for c in cols]
-
-
-def money_out_sql(cols):
-    return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in MONEY else c for c in cols)
-
-
-def scan(spark, d):
-    return sales_lines(spark, d).select(*money_out(SALES_COLUMNS))
-
-
-SCAN_SQL = with_sales(f"SELECT {money_out_sql(SALES_COLUMNS)} FROM sales")
-
 register("e01_scan_sales", SCAN_SQL, "E01")(scan)
 
 
@@ -89,9 +73,6 @@ def e07(spark, d):
                        name="avg_by_segment").orderBy("segment")
 
 
-SHIP_DAYS_SQL = "date_diff('day', order_date, ship_date)"
-
-
 @register("e08_avg_shipping_days", with_sales(f"""
     SELECT {r(mean(SHIP_DAYS_SQL))} AS avg_shipping_days FROM sales"""),
     "E08")

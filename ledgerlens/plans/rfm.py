@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import rfm as R
-from ledgerlens.plans.eda import money_out, money_out_sql
+from ledgerlens.plans.common import money_out, money_out_sql
 from ledgerlens.plans.oracle import r, ratio, with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.operators.ranking import first_per_group
