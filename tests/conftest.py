@@ -15,9 +15,9 @@ SF_ORACLE = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from ledgerlens.session import build_session
+    # the checkpoint folder comes from spark.checkpoint.dir when the environment
+    # names one; build_session falls back to a temporary folder only when unset
     s = build_session("local[*]", shuffle_partitions=8)
-    # tests run in local mode: a fresh checkpoint folder, as the cluster's is unset
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ll-test-ckpt-"))
     yield s
     s.stop()
 
