@@ -90,6 +90,18 @@ def loss_impact(df: DataFrame, customer_key: str = "customer_id") -> DataFrame:
     )
 
 
+def loss_impact_folded(per_order: DataFrame, customer_key: str = "customer_id") -> DataFrame:
+    """P18 over orders folded with ``loss`` (sum of losing profit, ``loss_n``
+    losing lines) and ``sales``: same figures, customers counted once per order."""
+    loss = F.sum("loss")
+    return per_order.agg(
+        M.money_text(loss, negative=True).alias("total_profit_loss"),
+        F.round(M.ratio(F.abs(loss), F.sum("sales")) * 100, 2).alias("percent_of_total_revenue_lost"),
+        F.countDistinct(F.when(F.col("loss_n") > 0, F.col(customer_key))).alias("customers_affected"),
+        F.abs(loss).cast("double").alias("loss_amount"),
+    )
+
+
 def recovered_if(df: DataFrame, cond: Column, name: str, with_count: str | None = None,
                  folded: bool = False) -> DataFrame:
     """Loss recovered if the lines matching ``cond`` stopped.

@@ -196,6 +196,7 @@ def order_dimension(spark: SparkSession, sf_dir: str, need: set[str],
 
 def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
                    sums: list[str] = (), mins: list[str] = (), day_sums: list[str] = (),
+                   exprs: dict | None = None, expr_cols: list[str] = (),
                    where=None, where_cols: list[str] = (),
                    dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
     """One row per order: ``order_cols`` plus totals over the order's lines.
@@ -207,15 +208,18 @@ def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
     that partitioning. Output per order: each ``sums`` column summed under
     its own name, ``<col>_n`` (its non-null line count), each ``mins`` column
     as ``<col>_min``, each ``day_sums`` date column as ``<col>_days`` (sum of
-    its day numbers) with ``<col>_n``, and ``n_lines``. DECIMAL sums keep every
-    total exact, so results equal the line-level computation. ``where``
-    filters lines first; ``where_cols`` names the line columns it reads.
+    its day numbers) with ``<col>_n``, each named line expression of ``exprs``
+    summed (with ``<name>_n``; ``expr_cols`` names the columns they read), and
+    ``n_lines``. DECIMAL sums keep every total exact, so results equal the
+    line-level computation. ``where`` filters lines first; ``where_cols``
+    names the line columns it reads.
     """
     bad = [c for c in order_cols if c not in ORDER_COLUMNS]
     if bad:
         raise ValueError(f"not order-level columns: {bad}")
     line_cols = list(dict.fromkeys(["order_id", *sums, *mins, *day_sums]))
-    lines = sales_lines(spark, sf_dir, list(dict.fromkeys(line_cols + list(where_cols))),
+    lines = sales_lines(spark, sf_dir,
+                        list(dict.fromkeys(line_cols + list(where_cols) + list(expr_cols))),
                         dim_broadcast_rows)
     if where is not None:
         lines = lines.where(where)
@@ -225,6 +229,8 @@ def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
     aggs += [F.min(c).alias(f"{c}_min") for c in mins]
     for c in day_sums:
         aggs += [F.sum(F.unix_date(c)).alias(f"{c}_days"), F.count(c).alias(f"{c}_n")]
+    for name, e in (exprs or {}).items():
+        aggs += [F.sum(e).alias(name), F.count(e).alias(f"{name}_n")]
     aggs.append(F.count(F.lit(1)).alias("n_lines"))
     per_order = lines.groupBy("order_id").agg(*aggs)
     need = set().union(*(_NEEDS[c] for c in order_cols)) if order_cols else set()
