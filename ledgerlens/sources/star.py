@@ -78,6 +78,10 @@ DIM_BROADCAST_ROWS = 1_000_000
 # Session setting that overrides the bound (0 turns dimension broadcasts off,
 # e.g. to rehearse the shuffle-join plans of a cluster-sized run).
 DIM_BROADCAST_CONF = "spark.ledgerlens.dimBroadcastRows"
+# Session setting naming a flat table written by ``materialize_sales``; when it
+# was built from the same source folder, reports read it instead of the star.
+SALES_TABLE_CONF = "spark.ledgerlens.salesTable"
+_SOURCE_MARKER = "_ledgerlens_source"
 
 
 _SMALL: dict[tuple[str, str, int], bool] = {}
@@ -122,6 +126,9 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     unknown = [c for c in cols if c not in _NEEDS]
     if unknown:
         raise ValueError(f"unknown sales columns: {unknown}")
+    flat = _flat_table(spark, sf_dir)
+    if flat is not None:
+        return flat.select(*cols)
     need = set().union(*(_NEEDS[c] for c in cols))
 
     li = _table(spark, sf_dir, "lineitem")
@@ -232,6 +239,12 @@ def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
     for name, e in (exprs or {}).items():
         aggs += [F.sum(e).alias(name), F.count(e).alias(f"{name}_n")]
     aggs.append(F.count(F.lit(1)).alias("n_lines"))
+    if order_cols and _flat_table(spark, sf_dir) is not None:
+        # the flat table already carries the order columns: one aggregation, no join
+        return (sales_lines(spark, sf_dir, list(dict.fromkeys(
+            line_cols + list(where_cols) + list(expr_cols) + list(order_cols))))
+            .where(where if where is not None else F.lit(True))
+            .groupBy("order_id", *order_cols).agg(*aggs))
     per_order = lines.groupBy("order_id").agg(*aggs)
     need = set().union(*(_NEEDS[c] for c in order_cols)) if order_cols else set()
     if not order_cols:
@@ -273,6 +286,22 @@ def materialize_sales(spark: SparkSession, sf_dir: str, path: str, mode: str = "
         "order_year", F.year("order_date"))
     (flat.repartition("order_year", "order_id").sortWithinPartitions("order_id")
      .write.mode(mode).partitionBy("order_year").parquet(path))
+    # which star tables it was built from (files starting with '_' are not data)
+    spark.createDataFrame([(os.path.normpath(sf_dir),)], "source string").coalesce(1).write.mode(
+        "overwrite").text(os.path.join(path, _SOURCE_MARKER))
+
+
+def _flat_table(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The configured flat table, if it was materialized from ``sf_dir``."""
+    path = spark.conf.get(SALES_TABLE_CONF, None)
+    if not path:
+        return None
+    key = (spark.sparkContext.applicationId, "flat:" + path, os.path.normpath(sf_dir))
+    if key not in _TABLES:
+        marker = spark.read.text(os.path.join(path, _SOURCE_MARKER)).first()
+        _TABLES[key] = (read_sales(spark, path)
+                        if marker is not None and marker[0] == os.path.normpath(sf_dir) else None)
+    return _TABLES[key]
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
