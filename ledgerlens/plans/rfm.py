@@ -18,7 +18,8 @@ def rfm_input(spark, d):
 
 RAW_SQL = """raw AS (
         SELECT customer_name,
-               CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales)) AS BIGINT) AS recency,
+               CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales))
+                    AS BIGINT) AS recency,
                COUNT(DISTINCT order_id) AS frequency,
                ROUND(SUM(sales), 2) AS monetary
         FROM sales GROUP BY customer_name)"""
@@ -51,7 +52,8 @@ def segmented_sql(other: str = R.OTHER_LABEL) -> str:
 
 @register("r01_recency", with_sales("""
     SELECT customer_name, MAX(order_date) AS last_purchase_date,
-           CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales)) AS BIGINT) AS recency_days
+           CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales))
+                AS BIGINT) AS recency_days
     FROM sales GROUP BY customer_name ORDER BY recency_days, customer_name"""), "R01")
 def r01(spark, d):
     return R.recency(sales_by_order(spark, d, ["customer_name", "order_date"]))
