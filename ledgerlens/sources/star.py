@@ -13,9 +13,14 @@ Join plan, chosen for a fact table far larger than any dimension:
   ``lineitem``: the shuffle on ``custkey`` then moves orders rows, not the
   four-times-larger line rows.
 * ``lineitem`` joins the order dimension on ``orderkey`` and ``part`` on
-  ``partkey``. A dimension is broadcast only when a bounded count proves it
-  small; otherwise the planner shuffles (sort-merge) and AQE may still switch
-  to a broadcast or split a skewed key at run time.
+  ``partkey``. A dimension is broadcast only when a count proves it small;
+  otherwise the planner shuffles (sort-merge) and AQE may still switch to a
+  broadcast or split a skewed key at run time.
+
+Also here: ``sales_by_order`` (lines folded per order before the order join),
+``with_order_columns`` (order columns added to rows picked per order), and
+``materialize_sales`` / ``read_sales`` (the flat table written once; reports
+read it when the session names it in ``spark.ledgerlens.salesTable``).
 """
 
 from __future__ import annotations
