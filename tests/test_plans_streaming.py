@@ -125,3 +125,15 @@ def test_materialized_flat_table_gives_the_same_report(spark, tmpdir_path):
     # a year filter prunes partition folders
     plan = plan_text(flat.where("order_year = 1996"))
     assert "PartitionFilters: [isnotnull(order_year" in plan
+
+
+def test_command_line_runs_and_saves_a_report(spark, tmpdir_path, capsys):
+    from ledgerlens.__main__ import main
+    assert main(["list"]) == 0
+    assert "p17_loss_top10" in capsys.readouterr().out
+    out = os.path.join(tmpdir_path, "p17")
+    assert main(["run", "p17_loss_top10", "--tables", SF_SMALL, "--show", "0", "--out", out]) == 0
+    back = spark.read.option("header", True).csv(out)
+    assert back.count() == 10 and "total_loss" in back.columns
+    assert main(["sql", "p17_loss_top10"]) == 0
+    assert "WITH sales AS" in capsys.readouterr().out
