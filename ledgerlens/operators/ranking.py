@@ -175,23 +175,26 @@ def dense_rank_desc(df: DataFrame, value: str, name: str,
     return df.join(broadcast_if_bounded(ranked, broadcast_rows), value)
 
 
-HOT_GROUP_ROWS = 1_000_000
 MAX_HOT_GROUPS = 100_000
 
 
 def rank_within_groups(df: DataFrame, keys: list[str], order: list[Column | str],
-                       name: str, hot_rows: int = HOT_GROUP_ROWS,
+                       name: str, hot_rows: int | None = None,
                        partitions: int | None = None) -> DataFrame:
     """ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order), safe for hot keys.
 
     Keys are counted first (a partial aggregate). Keys with at most
-    ``hot_rows`` rows are numbered by an ordinary window - one task per key
+    ``hot_rows`` rows (default: the session's hot-key setting, 1M) are
+    numbered by an ordinary window - one task per key
     holds a bounded number of rows. Rows of hotter keys (there can be at most
     rows / ``hot_rows`` such keys; their list is broadcast) are numbered from
     one global sort: a key's first position is found per (sorted partition,
     key) and joined back on that pair, so a hot key spread over many
     partitions is handled piecewise and never gathered into one task.
     """
+    if hot_rows is None:
+        from ledgerlens.operators.skew import hot_key_rows
+        hot_rows = hot_key_rows(df.sparkSession)
     order_cols = _cols(order)
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .where(F.col("_n") > hot_rows).select(*keys))

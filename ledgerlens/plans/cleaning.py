@@ -20,8 +20,12 @@ from ledgerlens.plans.oracle import with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.session import checkpoint_dir
 from ledgerlens.sources.raw_csv import RAW_COLUMNS, read_orders, write_orders_export
-from ledgerlens.sources.star import (LINE_COLUMNS, ROW_ORDER, SALES_COLUMNS, sales_lines,
-                                     with_order_columns)
+from ledgerlens.operators.skew import hot_key_rows, hot_keys, salted_join
+from ledgerlens.sources.star import (LINE_COLUMNS, ORDER_COLUMNS, ROW_ORDER, SALES_COLUMNS,
+                                     order_dimension, sales_lines, with_order_columns)
+
+# every table an order-level column may come from
+ORDER_NEEDS = {"orders", "customer", "nation", "region"}
 
 # Keys of an existing line of the sf0.01 tables.
 LOOKUP_ORDER, LOOKUP_LINE, LOOKUP_PRODUCT = 5979, 6, 1616
@@ -124,9 +128,14 @@ def c12(spark, d):
     WHERE order_id IN (SELECT order_id FROM sales GROUP BY order_id HAVING COUNT(*) > 1)
     ORDER BY order_id"""), "C13")
 def c13(spark, d):
-    # repeated orders found on the line-level view; order columns added after
-    rows = D.rows_of_repeated_keys(sales_lines(spark, d, LINE_COLUMNS), ["order_id"])
-    full = with_order_columns(spark, d, rows)
+    # repeated orders are counted on the line-level view; one join then keeps their
+    # lines and adds the order columns, salted so a hot order spreads over tasks
+    lines = sales_lines(spark, d, LINE_COLUMNS)
+    counts = D.repeated_keys(lines, ["order_id"])
+    orders = order_dimension(spark, d, ORDER_NEEDS).select("order_id", *ORDER_COLUMNS)
+    repeated_orders = orders.join(counts.select("order_id"), "order_id", "left_semi")
+    hot = hot_keys(counts, ["order_id"], "total", hot_key_rows(spark))
+    full = salted_join(lines, repeated_orders, ["order_id"], hot)
     return full.select(*money_out(SALES_COLUMNS)).orderBy("order_id", *ROW_ORDER)
 
 
@@ -140,8 +149,19 @@ _C14_COLS = ["order_id", "line_number", "product_id", "supplier_id", "order_date
         FROM sales) t
     WHERE rn > 1"""), "C14")
 def c14(spark, d):
-    s = sales_lines(spark, d, list(dict.fromkeys(_C14_COLS + ROW_ORDER)))
-    return D.extra_lines(s, ["order_id"], ROW_ORDER).select(*money_out(_C14_COLS), "duplicate_rank")
+    # ranks on the line-level view (hot orders take the distributed path), then
+    # the order columns through a salted join, so a hot order never meets its
+    # order row in a single task
+    line_cols = [c for c in dict.fromkeys(_C14_COLS + ROW_ORDER) if c in LINE_COLUMNS]
+    lines = sales_lines(spark, d, line_cols)
+    ranked = D.extra_lines(lines, ["order_id"], ROW_ORDER)
+    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("total"))
+    hot = hot_keys(counts, ["order_id"], "total", hot_key_rows(spark))
+    order_cols = [c for c in _C14_COLS if c in ORDER_COLUMNS]
+    need = {"orders", "customer"}
+    orders = order_dimension(spark, d, need).select("order_id", *order_cols)
+    full = salted_join(ranked, orders, ["order_id"], hot)
+    return full.select(*money_out(_C14_COLS), "duplicate_rank")
 
 
 @register("c15_row_count", with_sales("SELECT COUNT(*) AS row_count FROM sales"), "C15")

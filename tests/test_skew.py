@@ -71,6 +71,7 @@ def test_hot_key_numbering_takes_the_distributed_path(spark, skewed_dir):
 
 
 REHEARSAL = {"spark.ledgerlens.dimBroadcastRows": "0",
+             "spark.ledgerlens.hotKeyRows": "100",
              "spark.sql.autoBroadcastJoinThreshold": "-1",
              "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
