@@ -106,3 +106,20 @@ def test_ntile_many_matches_separate_windows(spark, n, tiles):
         "name", win("rec", False).alias("r"), win("freq", True).alias("f"),
         win("mon", True).alias("m")).collect()}
     assert ours == ref
+
+
+def test_salted_join_equals_plain_join(spark):
+    from ledgerlens.operators.skew import hot_keys, salted_join
+    rnd = random.Random(21)
+    big = spark.createDataFrame(
+        [("hot" if i % 3 == 0 else f"k{rnd.randrange(50)}", i, rnd.randrange(9)) for i in range(3000)],
+        "k string, id long, x long")
+    small = spark.createDataFrame([("hot", "H")] + [(f"k{j}", f"v{j}") for j in range(40)],
+                                  "k string, label string")
+    counts = big.groupBy("k").count().withColumnRenamed("count", "n")
+    hot = hot_keys(counts, ["k"], "n", 100)
+    assert hot is not None and {r["k"]: r["_salts"] for r in hot.collect()} == {"hot": 10}
+    ours = sorted(map(tuple, salted_join(big, small, ["k"], hot).select("k", "id", "x", "label").collect()))
+    ref = sorted(map(tuple, big.join(small, "k").select("k", "id", "x", "label").collect()))
+    assert ours == ref
+    assert hot_keys(counts, ["k"], "n", 10_000) is None
