@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
 from ledgerlens.operators.ranking import desc_key, first_per_group, ntile_many
+from ledgerlens.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's segment labels, in the order
@@ -55,12 +56,14 @@ def latest_row_per_customer(df: DataFrame, customer: str = "customer_name", by:
 def rfm_raw(df: DataFrame, customer: str = "customer_name", date_col: str = "order_date",
             order_key: str = "order_id", value: str = "sales") -> DataFrame:
     """Recency days, distinct orders, summed value per customer."""
+    # per customer, checkpointed once: the newest date overall is a scalar
+    # subquery over this table, and Spark would otherwise aggregate the lines
+    # again for it; monetary stays an exact decimal (segment totals sum it)
+    checkpoint_dir(df.sparkSession)
     raw = df.groupBy(customer).agg(
         F.max(date_col).alias("_last"),
         F.countDistinct(order_key).alias("frequency"),
-        F.round(F.sum(value), 2).alias("monetary"))
-    # monetary stays an exact decimal: segment totals are summed from it; the
-    # newest date overall comes from the per-customer table, not the lines
+        F.round(F.sum(value), 2).alias("monetary")).checkpoint(eager=True)
     return raw.select(
         customer,
         F.datediff(latest_date(raw, "_last"), F.col("_last")).cast("long").alias("recency"),
