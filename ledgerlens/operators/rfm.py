@@ -33,8 +33,11 @@ def latest_date(df: DataFrame, date_col: str = "order_date") -> Column:
 def recency(df: DataFrame, customer: str = "customer_name", date_col: str = "order_date"
             ) -> DataFrame:
     """Last purchase per customer and days from it to the newest date in the data."""
-    last = df.groupBy(customer).agg(F.max(date_col).alias("last_purchase_date"))
-    # the newest date overall is the newest of the per-customer dates
+    # checkpointed once: the newest date overall, the newest of the per-customer
+    # dates, is a scalar subquery over this same table
+    checkpoint_dir(df.sparkSession)
+    last = df.groupBy(customer).agg(F.max(date_col).alias("last_purchase_date")).checkpoint(
+        eager=True)
     return (last.withColumn("recency_days",
                             F.datediff(latest_date(last, "last_purchase_date"),
                                        F.col("last_purchase_date")).cast("long"))
