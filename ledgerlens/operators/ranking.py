@@ -65,11 +65,14 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column | str],
 def _positioned(df: DataFrame, order: list[Column | str], partitions: int | None):
     """Rows with ``_pid`` (partition after the range sort), ``_pos`` and ``_total``."""
     checkpoint_dir(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _cols(order)
     # with AQE the range partitioner samples its bounds from the materialized
-    # output of the stage before, so the input is not computed twice
-    tagged = (df.repartitionByRange(n, *order_cols)
+    # output of the stage before, so the input is not computed twice; without
+    # an explicit count AQE may merge neighbouring ranges into fewer, larger
+    # partitions (still contiguous, and sorted again below)
+    ranged = (df.repartitionByRange(partitions, *order_cols) if partitions
+              else df.repartitionByRange(*order_cols))
+    tagged = (ranged
               .sortWithinPartitions(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
