@@ -93,6 +93,11 @@ _SMALL: dict[tuple[str, str, int], bool] = {}
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 
 
+def _app(spark: SparkSession) -> str:
+    """The application the caches below belong to."""
+    return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a DataFrame, resolved once per application.
 
@@ -100,7 +105,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     that is worth doing once, like registering the table in a catalog.
     """
     path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (spark.sparkContext.applicationId, path)
+    key = (_app(spark), path)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
@@ -118,7 +123,7 @@ def _dim(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, max_rows: i
         max_rows = min(max_rows, int(configured))
     if max_rows <= 0:
         return df
-    key = (spark.sparkContext.applicationId, os.path.join(sf_dir, name), max_rows)
+    key = (_app(spark), os.path.join(sf_dir, name), max_rows)
     if key not in _SMALL:
         _SMALL[key] = row_count_at_most(_table(spark, sf_dir, name), max_rows)
     return F.broadcast(df) if _SMALL[key] else df
@@ -303,7 +308,7 @@ def _flat_table(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     path = spark.conf.get(SALES_TABLE_CONF, None)
     if not path:
         return None
-    key = (spark.sparkContext.applicationId, "flat:" + path, os.path.normpath(sf_dir))
+    key = (_app(spark), "flat:" + path, os.path.normpath(sf_dir))
     if key not in _TABLES:
         marker = spark.read.text(os.path.join(path, _SOURCE_MARKER)).first()
         _TABLES[key] = (read_sales(spark, path)
