@@ -61,3 +61,20 @@ def test_size_settings_scale_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 8
     assert int(big["spark.sql.shuffle.partitions"]) == 200_000   # capped
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+
+
+def test_input_bytes_counts_files(tmp_path):
+    from ledgerlens.session import input_bytes
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.bin").write_bytes(b"1234")
+    (tmp_path / "y.bin").write_bytes(b"12")
+    assert input_bytes([str(tmp_path)]) == 6
+    assert input_bytes([str(tmp_path / "y.bin")]) == 2
+
+
+def test_row_count_at_most(spark):
+    from ledgerlens.functions.sizing import broadcast_if_bounded, row_count_at_most
+    df = spark.range(10)
+    assert row_count_at_most(df, 10) and not row_count_at_most(df, 9)
+    joined = spark.range(100).join(broadcast_if_bounded(df, 10), "id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
