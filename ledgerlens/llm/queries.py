@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.quality_rules import judge
+from ledgerlens.llm.simhash import near_duplicates
 from ledgerlens.llm.sql import OP8_SQL
 from ledgerlens.llm.url_filter import judge_urls
 
@@ -16,12 +17,16 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op8_quality_rules)}
+    f.__name__: f for f in (op1_url_filter, op4_simhash_near_dedup, op8_quality_rules)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
