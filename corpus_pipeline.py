@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.llm.common import persisted, table
 from ledgerlens.llm.quality_rules import keep_clean
 from ledgerlens.llm.simhash import keep_one
+from ledgerlens.llm.substring_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +20,13 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", simhash_near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words inside windows that stand anywhere else too are cut out of the texts."""
+    return remove_repeats(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", simhash_near_dedup),
+          ("substring_dedup", substring_dedup)]
 
 ORACLE_SQL = None
 

@@ -65,7 +65,12 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a stored side was counted to hold at most ``rows`` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for a checkpointed side counted to have at most ``rows`` rows;
-    larger sides come back unhinted and join by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint for a stored side of few rows; larger sides come back unhinted
+    and join by shuffle."""
+    return F.broadcast(df) if is_small(df, rows) else df

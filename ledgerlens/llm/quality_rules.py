@@ -118,12 +118,12 @@ def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) ->
     prior = by.agg(F.avg(rate).alias("_m"), F.var_pop(rate).alias("_v")).select(
         "_m", F.when(F.col("_v") > 0, F.least(F.lit(1000.0), F.greatest(
             F.lit(1.0), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1)))
-        .otherwise(F.lit(1000.0)).alias("_s"))
-    # the prior is one row
-    judged = by.join(F.broadcast(prior))
+        .otherwise(F.lit(1000.0)).alias("_s"), F.lit(1).alias("_one"))
+    # the prior is one row, joined on a constant
+    judged = by.withColumn("_one", F.lit(1)).join(F.broadcast(prior), "_one")
     shrunk = (F.col("host_failed") + F.col("_s") * F.col("_m")) / (F.col("host_docs") + F.col("_s"))
     return judged.withColumn("host_rate", shrunk).withColumn(
-        "host_rejected", F.col("host_rate") > limit).drop("_m", "_s")
+        "host_rejected", F.col("host_rate") > limit).drop("_m", "_s", "_one")
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text",

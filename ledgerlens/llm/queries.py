@@ -10,6 +10,7 @@ from ledgerlens.llm.common import table
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.simhash import near_duplicates
 from ledgerlens.llm.sql import OP8_SQL
+from ledgerlens.llm.substring_dedup import removal_report
 from ledgerlens.llm.url_filter import judge_urls
 
 
@@ -25,8 +26,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op4_simhash_near_dedup, op8_quality_rules)}
+    f.__name__: f for f in (op1_url_filter, op4_simhash_near_dedup, op8_quality_rules,
+                               op9_substring_dedup)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
