@@ -74,3 +74,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a stored side of few rows; larger sides come back unhinted
     and join by shuffle."""
     return F.broadcast(df) if is_small(df, rows) else df
+
+
+def row_key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``docs`` with a row key (``_k1``, ``_k2``) of id and text, never null; rows that
+    agree in both share it."""
+    who = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"_k1": F.xxhash64(who, body), "_k2": F.xxhash64(F.lit(2), body)})

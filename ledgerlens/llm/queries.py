@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.simhash import near_duplicates
-from ledgerlens.llm.sql import OP8_SQL
+from ledgerlens.llm.sql import OP7_SQL, OP8_SQL
 from ledgerlens.llm.substring_dedup import removal_report
 from ledgerlens.llm.url_filter import judge_urls
 
@@ -22,6 +23,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -31,8 +36,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op4_simhash_near_dedup, op8_quality_rules,
-                               op9_substring_dedup)}
+    f.__name__: f for f in (op1_url_filter, op4_simhash_near_dedup,
+                               op7_benchmark_decontamination, op8_quality_rules, op9_substring_dedup)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}

@@ -41,3 +41,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT rule_failed AND NOT host_rejected AS kept, rule_failed, host_rejected
 FROM f JOIN rate ON f.source IS NOT DISTINCT FROM rate.source
 """
+
+#: Items whose distinct 5-word shingles (a shorter text: itself) stand to four fifths in a text.
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id AS id, 'd' AS side,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT item_id, 'i',
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+s AS (
+  SELECT DISTINCT id, side, array_to_string(w[i : i + 4], ' ') AS g FROM (
+    SELECT id, side, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id),
+hits AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM s d JOIN s i ON d.side = 'd' AND i.side = 'i' AND d.g = i.g GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment
+FROM hits JOIN n ON n.id = hits.item_id WHERE 5 * n_shared >= 4 * n
+"""

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import is_small, persisted, small
+from ledgerlens.llm.common import is_small, persisted, row_key, small
 
 WINDOW = 35
 GRAM = 8
@@ -119,14 +119,6 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _keys(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``docs`` with a row key (k1, k2) of id and text; rows that are equal in both share
-    it, and get the same spans."""
-    who = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_k1": F.xxhash64(who, body), "_k2": F.xxhash64(F.lit(WINDOW), body)})
-
-
 def anchors(keyed: DataFrame, id_col: str, text: str, window: int, gram: int) -> DataFrame:
     """One row per document: key, id, words, SHA-256 of its words, and its runs as arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,14 +337,14 @@ def _find(docs: DataFrame, id_col: str, text: str, window: int, gram: int, keep:
           anchor_words: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
     """(one row per document with its key, words and SHA-256; candidate documents with
     their ``_spans``, the first windows and lengths of the repeated runs)."""
-    keyed = _keys(docs, id_col, text)
+    keyed = row_key(docs, id_col, text)
     of_doc = persisted(anchors(keyed, id_col, text, window, gram))
     runs = of_doc.select("_k1", "_k2", F.inline(F.arrays_zip("anchor", "start", "size", "times")))
     again = runs.groupBy("anchor").agg(F.sum("times").alias("met")).where("met > 1").select("anchor")
     of_runs = runs.join(again, "anchor").groupBy("_k1", "_k2").agg(
         F.collect_set(F.struct("anchor", "start", "size")).alias("_runs"))
     of_runs = persisted(of_runs)
-    texts = _keys(docs.select(*dict.fromkeys([*keep, id_col, text])), id_col, text)
+    texts = row_key(docs.select(*dict.fromkeys([*keep, id_col, text])), id_col, text)
     ids = of_runs.select("_k1", "_k2")
     if is_small(ids):  # texts without a candidate then need no shuffle
         texts = texts.join(F.broadcast(ids), ["_k1", "_k2"], "left_semi")
@@ -442,10 +434,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             cols = [pa.array(texts, pa.string()) if i == t_at else b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
 
-    keyed_schema = _keys(docs, id_col, text).select("_k1", "_k2", *docs.columns).schema
+    keyed_schema = row_key(docs, id_col, text).select("_k1", "_k2", *docs.columns).schema
     changed = persisted(cut.select("_k1", "_k2", *docs.columns, "_spans").mapInArrow(run, keyed_schema))
     gone = small(persisted(changed.select("_k1", "_k2").distinct()))
-    rest = _keys(docs, id_col, text).join(gone, ["_k1", "_k2"], "left_anti")
+    rest = row_key(docs, id_col, text).join(gone, ["_k1", "_k2"], "left_anti")
     if n_chars and n_chars in docs.columns:
         changed = changed.withColumn(n_chars, F.char_length(F.col(text)).cast(docs.schema[n_chars].dataType))
     return rest.select(*docs.columns).unionByName(changed.select(*docs.columns))
