@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import contamination
+from ledgerlens.llm.packing import pack
+from ledgerlens.llm.quality_model import quality_scores
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.simhash import near_duplicates
 from ledgerlens.llm.sql import OP7_SQL, OP8_SQL
@@ -19,6 +21,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,9 +41,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op4_simhash_near_dedup,
-                               op7_benchmark_decontamination, op8_quality_rules, op9_substring_dedup)}
+    f.__name__: f for f in (
+        op1_url_filter, op3_quality_classifier, op4_simhash_near_dedup,
+        op7_benchmark_decontamination, op8_quality_rules, op9_substring_dedup, op10_packing)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}
