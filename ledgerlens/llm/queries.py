@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import contamination
+from ledgerlens.llm.html_wrapper import main_text
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_model import quality_scores
 from ledgerlens.llm.quality_rules import judge
@@ -29,6 +30,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_url_filter, op3_quality_classifier, op4_simhash_near_dedup,
+        op1_url_filter, op3_quality_classifier, op4_simhash_near_dedup, op5_html_extraction,
         op7_benchmark_decontamination, op8_quality_rules, op9_substring_dedup, op10_packing)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
