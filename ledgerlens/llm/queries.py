@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.llm.chat import render
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.html_wrapper import main_text
@@ -13,7 +14,7 @@ from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_model import quality_scores
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.simhash import near_duplicates
-from ledgerlens.llm.sql import OP7_SQL, OP8_SQL
+from ledgerlens.llm.sql import OP6_SQL, OP7_SQL, OP8_SQL
 from ledgerlens.llm.substring_dedup import removal_report
 from ledgerlens.llm.url_filter import judge_urls
 
@@ -34,6 +35,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(table(spark, sf_dir, "conversations"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op3_quality_classifier, op4_simhash_near_dedup, op5_html_extraction,
-        op7_benchmark_decontamination, op8_quality_rules, op9_substring_dedup, op10_packing)}
+        op6_chat_formatting, op7_benchmark_decontamination, op8_quality_rules, op9_substring_dedup, op10_packing)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op7_benchmark_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}

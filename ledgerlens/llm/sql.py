@@ -62,3 +62,18 @@ hits AS (
 SELECT doc_id, item_id, n_shared, n AS n_shingles, n_shared / n AS containment
 FROM hits JOIN n ON n.id = hits.item_id WHERE 5 * n_shared >= 4 * n
 """
+
+#: Conversations that no longer conversation starts with, turn by turn, one of equal ones.
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, count(*) AS n,
+         list(coalesce(role, '') || chr(1) || coalesce(text, '') ORDER BY turn NULLS FIRST, role NULLS FIRST,
+              text NULLS FIRST) AS t,
+         string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>',
+                    chr(10) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
+  FROM conversations GROUP BY conv_id),
+p AS (SELECT DISTINCT t[1 : k] AS t FROM (SELECT t, unnest(range(1, n)) AS k FROM c))
+SELECT min(conv_id) AS conv_id, any_value(n) AS n_turns, count(*) AS n_copies,
+       any_value(rendered) AS rendered
+FROM c WHERE t NOT IN (SELECT t FROM p) GROUP BY t
+"""
