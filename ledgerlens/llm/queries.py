@@ -10,6 +10,7 @@ from ledgerlens.llm.chat import render
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.html_wrapper import main_text
+from ledgerlens.llm.lm_score import lm_scores
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_model import quality_scores
 from ledgerlens.llm.quality_rules import judge
@@ -23,6 +24,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,8 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_url_filter, op3_quality_classifier, op4_simhash_near_dedup, op5_html_extraction,
-        op6_chat_formatting, op7_benchmark_decontamination, op8_quality_rules, op9_substring_dedup, op10_packing)}
+        op1_url_filter, op2_lm_scoring, op3_quality_classifier, op4_simhash_near_dedup,
+        op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_quality_rules,
+        op9_substring_dedup, op10_packing)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}
