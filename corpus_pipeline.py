@@ -1,10 +1,16 @@
-"""The training-data pipeline: its stages in order, each over all its predecessor kept."""
+"""The training-data pipeline: its stages in order, each over all its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
+again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import persisted, table
+from ledgerlens.llm.decontaminate import remove_contaminated
+from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_rules import keep_clean
 from ledgerlens.llm.simhash import keep_one
 from ledgerlens.llm.substring_dedup import remove_repeats
@@ -25,9 +31,26 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return remove_repeats(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", simhash_near_dedup),
-          ("substring_dedup", substring_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token count, length bucket, batch and place in the batch."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing),
+]
 
+#: SimHash, suffix automata and the tokenizer are beyond SQL; tests/llm holds a brute-force
+#: version of all stages.
 ORACLE_SQL = None
 
 
