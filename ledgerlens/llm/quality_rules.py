@@ -114,16 +114,13 @@ def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) ->
         F.count(F.lit(1)).alias("host_docs"),
         *[F.sum(F.col(r).cast("long")).alias(f"host_{r}") for r in RULES],
         F.sum(F.col("failed").cast("long")).alias("host_failed"))
+    by = persisted(by)
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = by.agg(F.avg(rate).alias("_m"), F.var_pop(rate).alias("_v")).select(
-        "_m", F.when(F.col("_v") > 0, F.least(F.lit(1000.0), F.greatest(
-            F.lit(1.0), F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1)))
-        .otherwise(F.lit(1000.0)).alias("_s"), F.lit(1).alias("_one"))
-    # the prior is one row, joined on a constant
-    judged = by.withColumn("_one", F.lit(1)).join(F.broadcast(prior), "_one")
-    shrunk = (F.col("host_failed") + F.col("_s") * F.col("_m")) / (F.col("host_docs") + F.col("_s"))
-    return judged.withColumn("host_rate", shrunk).withColumn(
-        "host_rejected", F.col("host_rate") > limit).drop("_m", "_s", "_one")
+    m, v = by.agg(F.avg(rate), F.var_pop(rate)).head()
+    m = m or 0.0
+    s = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v else 1000.0
+    shrunk = (F.col("host_failed") + F.lit(s) * F.lit(m)) / (F.col("host_docs") + F.lit(s))
+    return by.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") > limit)
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text",

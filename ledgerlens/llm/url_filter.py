@@ -102,12 +102,9 @@ def fit(train: DataFrame, dims: int = DIMS, steps: int = STEPS, rate: float = RA
     # per URL its (weight, share) cells
     by_url = cells.groupBy("u").agg(pairs("j", "v").alias("c"))
     by_url = by_url.agg(F.transform(pairs("u", "c"), lambda x: x["c"]).alias("x"))
-    # one row each, joined on a constant; written, so that no step computes them anew
-    parts = [one.select("y"), by_weight, by_url]
-    model = parts[0].withColumn("k", F.lit(1))
-    for part in parts[1:]:
-        model = model.join(part.withColumn("k", F.lit(1)), "k")
-    model = persisted(model.select("y", "m", "x"))
+    # one row of the three; written, so that no step computes them anew
+    parts = one.select("y").unionByName(by_weight, True).unionByName(by_url, True)
+    model = persisted(parts.agg(*[F.first(c, True).alias(c) for c in ("y", "m", "x")]))
     n = F.greatest(F.size("y"), F.lit(1))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
