@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
+# Sales are rounded once, from their full value; discount and profit keep the digits
+# given (up to ten places).
+EXACT = "decimal(38,18)"
 CLEAN_TYPES = {
     "row_id": "bigint",
     "sales": "decimal(18,2)",
     "quantity": "int",
-    "discount": "decimal(4,2)",
-    "profit": "decimal(18,4)",
+    "discount": "decimal(18,10)",
+    "profit": "decimal(28,10)",
 }
 DATE_COLUMNS = ("order_date", "ship_date")
 
@@ -47,7 +50,7 @@ def clean_orders(df: DataFrame, round_sales: int = 2) -> DataFrame:
         if c not in types:
             continue
         if c == "sales":
-            num = F.col(c).try_cast("decimal(18,4)") if types[c] == "string" else F.col(c)
+            num = F.trim(F.col(c)).try_cast(EXACT) if types[c] == "string" else F.col(c)
             out = out.withColumn(c, F.round(num, round_sales).cast(t))
         elif types[c] == "string":
             out = out.withColumn(c, F.trim(F.col(c)).try_cast(t))

@@ -62,6 +62,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for written tables, inside the shared checkpoint folder."""
+    app = spark.conf.get("spark.app.id", "app")
+    return f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens-{app}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables this application has written to its scratch folder. Reports read
+    them lazily, so the caller does this once the results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def input_bytes(paths: list[str]) -> int:
     """Total size of local input files (for sizing a local run)."""
     total = 0
@@ -74,20 +88,18 @@ def input_bytes(paths: list[str]) -> int:
 
 
 def size_settings(scan_bytes: int, cores: int, partition_bytes: int = 256 << 20,
-                  expansion: float = 3.0, max_partitions: int = 200_000) -> dict[str, str]:
+                  expansion: float = 3.0) -> dict[str, str]:
     """Partition settings for an input of ``scan_bytes`` on ``cores`` task slots.
 
     Scan splits of ``partition_bytes``; the initial shuffle partition count
     assumes shuffles move up to ``expansion`` x the compressed scan (columnar
     parquet inflates once decoded), at most ``partition_bytes`` each, and
-    never fewer than the slots nor more than ``max_partitions`` (beyond that
-    the shuffle bookkeeping itself grows too large; queries prune columns, so
-    real shuffles move far less than the whole scan). AQE then merges small
-    partitions back to ``partition_bytes`` and splits skewed ones, so
+    never fewer than the slots. There is no upper bound: for an input so large that
+    the number of partitions is itself a burden, ask for a larger ``partition_bytes``.
+    AQE merges small partitions back to ``partition_bytes`` and splits skewed ones, so
     over-estimating is cheap and under-estimating (spills, huge tasks) is not.
     """
-    shuffle_parts = min(max_partitions,
-                        max(cores, int(scan_bytes * expansion // partition_bytes) + 1))
+    shuffle_parts = max(cores, int(scan_bytes * expansion // partition_bytes) + 1)
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(shuffle_parts),

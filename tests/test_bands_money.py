@@ -53,10 +53,10 @@ def test_band_counts_sum_to_rows(spark):
 
 def test_parse_money(spark):
     df = spark.createDataFrame([("? 1,07,194.61",), ("-? 468.25",), ("",), (None,), ("? 4.11",),
-                                ("$21,909.40",), ("n/a",)], "t string")
+                                ("$21,909.40",), ("n/a",), ("(468.25)",), ("$ (1,000.00)",)], "t string")
     got = [r[0] for r in df.select(parse_money("t")).collect()]
     assert got == [Decimal("107194.61"), Decimal("-468.25"), None, None, Decimal("4.11"),
-                   Decimal("21909.40"), None]
+                   Decimal("21909.40"), None, Decimal("-468.25"), Decimal("-1000.00")]
 
 
 def test_read_money_table(spark, tmpdir_path):

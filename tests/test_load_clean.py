@@ -4,6 +4,7 @@ import datetime as dt
 import os
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.clean import clean_orders, parse_us_date
@@ -72,7 +73,7 @@ def test_clean_orders_types_and_rounding(spark, tmpdir_path):
     types = dict(clean.dtypes)
     assert types["order_date"] == "date" and types["ship_date"] == "date"
     assert types["sales"] == "decimal(18,2)" and types["row_id"] == "bigint"
-    assert types["discount"] == "decimal(4,2)" and types["quantity"] == "int"
+    assert types["discount"] == "decimal(18,10)" and types["quantity"] == "int"
     rows = {r["row_id"]: r for r in clean.collect()}
     assert rows[1]["sales"] == Decimal("261.96")
     assert rows[5]["sales"] == Decimal("22.37")           # 22.368 rounds half up
@@ -83,6 +84,45 @@ def test_clean_orders_types_and_rounding(spark, tmpdir_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, clean.collect()))
 
 
+def test_sales_round_once_and_other_amounts_keep_their_digits(spark):
+    df = spark.createDataFrame([("1.00499996", "0.125", "0.12349"), ("1.005", "0.2", "-3.14159265")],
+                               "sales string, discount string, profit string")
+    got = [tuple(r) for r in clean_orders(df).collect()]
+    assert [r[0] for r in got] == [Decimal("1.00"), Decimal("1.01")]
+    assert [r[1] for r in got] == [Decimal("0.125"), Decimal("0.2")]
+    assert [r[2] for r in got] == [Decimal("0.12349"), Decimal("-3.14159265")]
+
+
+def test_line_breaks_and_bad_rows(spark, tmpdir_path):
+    from ledgerlens.sources.raw_csv import write_orders_export
+    df = spark.createDataFrame([(1, 'desk\nlamp, "new"'), (2, "pen")], "row_id long, product_name string")
+    p = os.path.join(tmpdir_path, "broken")
+    write_orders_export(df, p, line_breaks=True)
+    got = read_orders(spark, p, multi_line=True, bad_rows="bad").cache()
+    assert sorted((r.row_id, r.product_name, r.bad) for r in got.collect()) == [
+        ("1", 'desk\nlamp, "new"', None), ("2", "pen", None)]
+    by_line = read_orders(spark, p, bad_rows="bad").cache()
+    assert by_line.where("bad is not null").count() == 2  # the two halves of the first row
+    with pytest.raises(Exception, match="line break in product_name"):
+        write_orders_export(df, os.path.join(tmpdir_path, "refused"))
+
+
+def test_export_with_mark_and_mixed_dates(spark, tmpdir_path):
+    from ledgerlens.sources.raw_csv import write_orders_export
+    days = [dt.date(2016, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    df = spark.createDataFrame([(i, d, d) for i, d in enumerate(days)], "row_id long, order_date date, ship_date date")
+    p = os.path.join(tmpdir_path, "mixed")
+    write_orders_export(df.coalesce(1), p, mixed_dates=True, mark=True)
+    files = [f for f in os.listdir(p) if f.startswith("part-")]
+    with open(os.path.join(p, files[0]), "rb") as f:
+        assert f.readline().startswith(b"\xef\xbb\xbfRow ID,")
+    raw = read_orders(spark, p).collect()
+    assert {("/" in r.order_date, r.order_date[4:5] == "-") for r in raw} == {
+        (True, False), (False, True), (False, False)}
+    back = clean_orders(read_orders(spark, p)).select("row_id", "order_date", "ship_date").collect()
+    assert sorted(map(tuple, back)) == [(i, d, d) for i, d in enumerate(days)]
+
+
 def test_describe_lists_columns(spark):
     df = spark.createDataFrame([(1, "a")], "row_id bigint, order_id string")
     assert [tuple(r) for r in describe(df).collect()] == [("row_id", "bigint"),

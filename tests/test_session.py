@@ -59,10 +59,19 @@ def test_size_settings_scale_with_input():
     small = size_settings(30 << 20, cores=8)
     big = size_settings(100 << 40, cores=8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 8
-    assert int(big["spark.sql.shuffle.partitions"]) == 200_000   # capped
+    assert int(big["spark.sql.shuffle.partitions"]) == 3 * (100 << 40) // (256 << 20) + 1
     assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
 
 
+def test_scratch_is_dropped(spark):
+    import os
+    from ledgerlens.session import drop_scratch, scratch_dir
+    spark.range(3).write.parquet(f"{scratch_dir(spark)}/t")
+    assert os.path.exists(scratch_dir(spark).removeprefix("file:"))
+    drop_scratch(spark)
+    assert not os.path.exists(scratch_dir(spark).removeprefix("file:"))
+
+
 def test_input_bytes_counts_files(tmp_path):
     from ledgerlens.session import input_bytes
     (tmp_path / "a").mkdir()
