@@ -32,13 +32,14 @@ def rows_of_repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def extra_lines(df: DataFrame, keys: list[str], order: list[str | Column],
-                name: str = "duplicate_rank") -> DataFrame:
+                name: str = "duplicate_rank", **hot) -> DataFrame:
     """Rows numbered inside each key by ``order``; the second and later kept (C14).
 
     The numbering is a distributed sort (see ``rank_within_groups``), so an
-    order with a third of all lines is not numbered in a single task.
+    order with a third of all lines is not numbered in a single task. ``hot`` passes
+    on the hot keys of a caller that has counted them.
     """
-    ranked = rank_within_groups(df, keys, order, name)
+    ranked = rank_within_groups(df, keys, order, name, **hot)
     return ranked.where(F.col(name) > 1)
 
 

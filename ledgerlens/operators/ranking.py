@@ -32,11 +32,9 @@ def _cols(xs) -> list[Column]:
 
 
 def desc_key(df: DataFrame, name: str) -> Column:
-    """A key that sorts ascending in the descending order of ``name``.
-
-    For ``min_by`` picks: numbers are negated, dates turned into negative day
-    numbers. Text has no such key; sort it ascending or pick with ``max_by``.
-    """
+    """A key that sorts ascending in the descending order of ``name``: numbers are
+    negated, dates turned into negative day numbers. Text has no such key; pick it with
+    ``highest_per_group``."""
     dtype = dict(df.dtypes)[name]
     if dtype == "date":
         return -F.unix_date(F.col(name))
@@ -62,6 +60,19 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column | str],
     return out
 
 
+def highest_per_group(df: DataFrame, keys: list[str], by: str, order: list[Column | str]
+                      ) -> DataFrame:
+    """The row with the highest ``by`` of each group, of any type; ties by ``order``.
+
+    The highest value is a plain MAX (partial on every executor). It is joined back to
+    the rows, and only the rows that hold it are ordered.
+    """
+    top = df.groupBy(*keys).agg(F.max(by).alias("_top"))
+    same = [df[k].eqNullSafe(top[k]) for k in keys]
+    held = df.join(top, [*same, df[by].eqNullSafe(top["_top"])], "left_semi")
+    return first_per_group(held, keys, order)
+
+
 def _positioned(df: DataFrame, order: list[Column | str], partitions: int | None):
     """Rows with ``_pid`` (partition after the range sort), ``_pos`` and ``_total``."""
     checkpoint_dir(df.sparkSession)
@@ -169,48 +180,51 @@ def ntile_many(df: DataFrame, tiles: int, key: list[str],
     return out.select(*df.columns, *names)
 
 
-def dense_rank_desc(df: DataFrame, value: str, name: str,
-                    broadcast_rows: int = 1_000_000) -> DataFrame:
-    """DENSE_RANK() OVER (ORDER BY value DESC): rank the distinct values, join back."""
+def dense_rank_desc(df: DataFrame, value: str, name: str) -> DataFrame:
+    """DENSE_RANK() OVER (ORDER BY value DESC): rank the distinct values, join back.
+
+    ``df`` is checkpointed, since the ranks and the join both read it; AQE broadcasts
+    the ranks when their measured size is small.
+    """
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     distinct = df.select(value).distinct()
     ranked = global_positions(distinct, [F.col(value).desc()], "_p").select(
         value, (F.col("_p") + 1).cast("long").alias(name))
-    return df.join(broadcast_if_bounded(ranked, broadcast_rows), value)
-
-
-MAX_HOT_GROUPS = 100_000
+    return df.join(ranked, value)
 
 
 def rank_within_groups(df: DataFrame, keys: list[str], order: list[Column | str],
                        name: str, hot_rows: int | None = None,
-                       partitions: int | None = None) -> DataFrame:
+                       partitions: int | None = None, hot: DataFrame | None = None,
+                       counted: bool = False) -> DataFrame:
     """ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order), safe for hot keys.
 
     Keys are counted first (a partial aggregate). Keys with at most
     ``hot_rows`` rows (default: the session's hot-key setting, 1M) are
     numbered by an ordinary window - one task per key
-    holds a bounded number of rows. Rows of hotter keys (there can be at most
-    rows / ``hot_rows`` such keys; their list is broadcast) are numbered from
+    holds a bounded number of rows. Rows of hotter keys (their list stays a
+    DataFrame, of any length) are numbered from
     one global sort: a key's first position is found per (sorted partition,
     key) and joined back on that pair, so a hot key spread over many
     partitions is handled piecewise and never gathered into one task.
+
+    A caller that has counted the keys passes ``counted=True`` and the list of
+    hot keys (or ``None``) from ``skew.hot_keys``.
     """
-    if hot_rows is None:
-        from ledgerlens.operators.skew import hot_key_rows
-        hot_rows = hot_key_rows(df.sparkSession)
+    from ledgerlens.operators.skew import BROADCAST_KEYS, hot_key_rows, hot_keys
+    if not counted:
+        if hot_rows is None:
+            hot_rows = hot_key_rows(df.sparkSession)
+        hot = hot_keys(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n", hot_rows)
     order_cols = _cols(order)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_rows).select(*keys))
-    hot_list = hot.limit(MAX_HOT_GROUPS + 1).collect()
-    if len(hot_list) > MAX_HOT_GROUPS:
-        raise ValueError("too many hot keys; raise hot_rows")
     w = Window.partitionBy(*keys).orderBy(*order_cols)
-    if not hot_list:
+    if hot is None:
         return df.withColumn(name, F.row_number().over(w).cast("long"))
-    hot_keys = F.broadcast(df.sparkSession.createDataFrame(hot_list, hot.schema))
-    cold = df.join(hot_keys, keys, "left_anti").withColumn(
+    hot_list = broadcast_if_bounded(hot.select(*keys), BROADCAST_KEYS)
+    cold = df.join(hot_list, keys, "left_anti").withColumn(
         name, F.row_number().over(w).cast("long"))
-    pos = _positioned(df.join(hot_keys, keys, "left_semi"), [*_cols(keys), *order_cols],
+    pos = _positioned(df.join(hot_list, keys, "left_semi"), [*_cols(keys), *order_cols],
                       partitions)
     per_part = pos.groupBy("_pid", *keys).agg(F.min("_pos").alias("_first_p"))
     first = per_part.groupBy(*keys).agg(F.min("_first_p").alias("_first"))

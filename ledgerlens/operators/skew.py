@@ -11,13 +11,15 @@ extra.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.sizing import broadcast_if_bounded
+from ledgerlens.session import checkpoint_dir
+
 HOT_KEY_ROWS = 1_000_000
-MAX_HOT_KEYS = 100_000
+# Hot lists up to so many keys are broadcast, longer ones shuffled.
+BROADCAST_KEYS = 100_000
 # Session setting that overrides HOT_KEY_ROWS (e.g. to rehearse on small data).
 HOT_KEY_CONF = "spark.ledgerlens.hotKeyRows"
 
@@ -30,19 +32,13 @@ def hot_keys(counts: DataFrame, keys: list[str], count_col: str, rows_per_task:
              ) -> DataFrame | None:
     """Keys with more than ``rows_per_task`` rows and their number of salts.
 
-    At most rows / ``rows_per_task`` keys can qualify; the list is collected
-    (refused above ``MAX_HOT_KEYS``) and returned as a small frame to broadcast,
-    or ``None`` when no key is hot.
+    Stays a DataFrame of any size (written to the checkpoint folder, since both sides
+    of the join read it); ``None`` when no key is hot.
     """
-    hot = counts.where(F.col(count_col) > rows_per_task).select(*keys, count_col)
-    got = hot.limit(MAX_HOT_KEYS + 1).collect()
-    if not got:
-        return None
-    if len(got) > MAX_HOT_KEYS:
-        raise ValueError("too many hot keys; raise the hot-key row count")
-    rows = [(*[r[k] for k in keys], int(math.ceil(r[count_col] / rows_per_task))) for r in got]
-    schema = ", ".join(f"`{k}` {t}" for k, t in hot.select(*keys).dtypes) + ", _salts int"
-    return counts.sparkSession.createDataFrame(rows, schema)
+    salts = F.ceil(F.col(count_col) / F.lit(max(rows_per_task, 1))).cast("int").alias("_salts")
+    checkpoint_dir(counts.sparkSession)
+    hot = counts.where(F.col(count_col) > rows_per_task).select(*keys, salts).checkpoint(eager=True)
+    return None if hot.isEmpty() else hot
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None,
@@ -50,11 +46,14 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFram
     """``big`` joined to ``small`` (at most one row per key) on ``keys``.
 
     ``hot`` (from ``hot_keys``) lists keys whose ``big`` rows are split into
-    ``_salts`` pieces. Without hot keys this is a plain join.
+    ``_salts`` pieces. Without hot keys this is a plain join. A hot list of at most
+    ``BROADCAST_KEYS`` keys goes to every task, so that tagging the big side needs no
+    shuffle; a longer one is joined by shuffle, where AQE splits the hot keys (nothing
+    after that join needs their partitioning).
     """
     if hot is None:
         return big.join(small, keys, how)
-    salts = F.broadcast(hot.select(*keys, "_salts"))
+    salts = broadcast_if_bounded(hot.select(*keys, "_salts"), BROADCAST_KEYS)
     b = big.join(salts, keys, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.col("_salts")).cast("int")))

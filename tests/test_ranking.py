@@ -123,3 +123,29 @@ def test_salted_join_equals_plain_join(spark):
     ref = sorted(map(tuple, big.join(small, "k").select("k", "id", "x", "label").collect()))
     assert ours == ref
     assert hot_keys(counts, ["k"], "n", 10_000) is None
+
+
+def test_more_hot_keys_than_a_broadcast_holds(spark, monkeypatch):
+    """Hot lists of any length: every key hot, and the list too long to broadcast."""
+    from pyspark.sql import Window
+    from ledgerlens.operators import skew
+    from ledgerlens.operators.ranking import rank_within_groups
+    monkeypatch.setattr(skew, "BROADCAST_KEYS", 5)
+    big = spark.range(2000).select((F.col("id") % 200).alias("k"), F.col("id"))
+    small = spark.range(0, 200, 2).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    hot = skew.hot_keys(big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", 1)
+    assert hot.count() == 200
+    ours = skew.salted_join(big, small, ["k"], hot).select("k", "id", "v").collect()
+    assert sorted(map(tuple, ours)) == sorted(map(tuple, big.join(small, "k").select("k", "id", "v").collect()))
+    ranked = rank_within_groups(big, ["k"], ["id"], "rn", hot_rows=1)
+    ref = big.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    assert sorted(map(tuple, ranked.select("k", "id", "rn").collect())) == sorted(
+        map(tuple, ref.select("k", "id", "rn").collect()))
+
+
+def test_over_100_000_hot_keys(spark):
+    from ledgerlens.operators.skew import hot_keys, salted_join
+    big = spark.range(220_000).select((F.col("id") % 110_000).alias("k"), F.col("id"))
+    hot = hot_keys(big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], "n", 1)
+    joined = salted_join(big, spark.range(110_000).withColumnRenamed("id", "k"), ["k"], hot)
+    assert hot.count() == 110_000 and joined.count() == 220_000
