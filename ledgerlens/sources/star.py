@@ -7,15 +7,14 @@ join, so a query about discounts should not pay for the customer join.
 
 Join plan, chosen for a fact table far larger than any dimension:
 
-* ``region`` and ``nation`` are joined into ``customer`` (they are tiny and
-  broadcast behind a row-count check), giving a customer dimension.
+* ``region`` and ``nation`` are joined into ``customer``, giving a customer dimension.
 * ``orders`` is joined to that customer dimension *before* it meets
   ``lineitem``: the shuffle on ``custkey`` then moves orders rows, not the
   four-times-larger line rows.
 * ``lineitem`` joins the order dimension on ``orderkey`` and ``part`` on
-  ``partkey``. A dimension is broadcast only when a count proves it small;
-  otherwise the planner shuffles (sort-merge) and AQE may still switch to a
-  broadcast or split a skewed key at run time.
+  ``partkey``. No side is hinted: the planner broadcasts a dimension whose size in
+  bytes is under ``spark.sql.autoBroadcastJoinThreshold``; otherwise it shuffles and
+  AQE may still switch to a broadcast or split a skewed key at run time.
 
 Also here: ``sales_by_order`` (lines folded per order before the order join),
 ``with_order_columns`` (order columns added to rows picked per order), and
@@ -28,10 +27,10 @@ from __future__ import annotations
 import os
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.sizing import row_count_at_most
+from ledgerlens.operators.skew import hot_key_rows, hot_keys, salted_join
 
 # Fixed values of the sales view: the test tables hold discounts
 # 0.00..0.10, scaled by 8 so the reference's thresholds (0.2, 0.3, 0.4 ...) bite;
@@ -49,6 +48,7 @@ _NEEDS = {
     "ship_date": {"lineitem"},
     "quantity": {"lineitem"},
     "discount": {"lineitem"},
+    "list_price": {"lineitem"},
     "sales": {"lineitem"},
     "profit": {"lineitem", "part"},
     "category": {"lineitem", "part"},
@@ -79,59 +79,56 @@ LINE_KEY = ["order_id", "line_number", "product_id", "supplier_id"]
 ROW_ORDER = ["line_number", "product_id", "supplier_id", "quantity", "discount", "sales",
              "ship_date"]
 
-DIM_BROADCAST_ROWS = 1_000_000
-# Session setting that overrides the bound (0 turns dimension broadcasts off,
-# e.g. to rehearse the shuffle-join plans of a cluster-sized run).
-DIM_BROADCAST_CONF = "spark.ledgerlens.dimBroadcastRows"
 # Session setting naming a flat table written by ``materialize_sales``; when it
-# was built from the same source folder, reports read it instead of the star.
+# was built from the same state of the same source folder, reports read it instead
+# of the star.
 SALES_TABLE_CONF = "spark.ledgerlens.salesTable"
 _SOURCE_MARKER = "_ledgerlens_source"
+STAR_TABLES = ["region", "nation", "customer", "part", "orders", "lineitem"]
 
 
-_SMALL: dict[tuple[str, str, int], bool] = {}
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as it is now: nothing is kept between calls, so appended files are read."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _app(spark: SparkSession) -> str:
-    """The application the caches below belong to."""
-    return spark.conf.get("spark.app.id", None) or str(id(spark))
+def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"),
+        F.col("p_type").alias("category"),
+        F.col("p_brand").alias("sub_category"),
+        F.col("p_name").alias("product_name"),
+        F.col("p_retailprice").cast("decimal(18,2)").alias("_retail"),
+    )
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a DataFrame, resolved once per application.
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, product_name), for reports that fold lines per product first."""
+    return _part(spark, sf_dir).select("product_id", "product_name")
 
-    Resolving lists the files and reads parquet footers; on a large table
-    that is worth doing once, like registering the table in a catalog.
-    """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    key = (_app(spark), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
 
+def part_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, category)."""
+    return _part(spark, sf_dir).select("product_id", "category")
 
-def _dim(spark: SparkSession, sf_dir: str, name: str, df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast dimension ``df`` (projected from table ``name``) if the table is small.
 
-    The bounded count runs once per table and application. Joins between
-    dimensions go from a foreign key to a primary key, so they never have more
-    rows than the table counted here.
-    """
-    configured = spark.conf.get(DIM_BROADCAST_CONF, None)
-    if configured is not None:
-        max_rows = min(max_rows, int(configured))
-    if max_rows <= 0:
-        return df
-    key = (_app(spark), os.path.join(sf_dir, name), max_rows)
-    if key not in _SMALL:
-        _SMALL[key] = row_count_at_most(_table(spark, sf_dir, name), max_rows)
-    return F.broadcast(df) if _SMALL[key] else df
+def _net() -> Column:
+    return F.col("list_price") * (F.lit(Decimal("1")) - F.col("discount"))
+
+
+def _profit() -> Column:
+    cost = F.lit(UNIT_COST_FACTOR) * F.col("quantity").cast("decimal(10,0)") * F.col("_retail")
+    return F.round(_net() - cost, 2).cast("decimal(18,2)")
 
 
 def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
-                dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
-    """Flat sales lines with the requested columns (all when ``None``)."""
+                salt_parts: bool = False) -> DataFrame:
+    """Flat sales lines with the requested columns (all when ``None``).
+
+    ``salt_parts`` is for reports that group by the product afterwards: the grouping
+    reuses the part join's partitioning, so AQE cannot split a hot product there. Lines
+    per product are then counted first and the lines of hot ones spread over tasks.
+    """
     cols = list(columns) if columns else list(SALES_COLUMNS)
     unknown = [c for c in cols if c not in _NEEDS]
     if unknown:
@@ -143,7 +140,6 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
 
     li = _table(spark, sf_dir, "lineitem")
     disc = (F.col("l_discount").cast("decimal(4,2)") * F.lit(DISCOUNT_SCALE)).cast("decimal(4,2)")
-    net = F.col("_price") * (F.lit(Decimal("1")) - F.col("discount"))
     fact = li.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_number"),
@@ -152,23 +148,20 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
         F.col("l_shipdate").cast("date").alias("ship_date"),
         F.col("l_quantity").cast("int").alias("quantity"),
         disc.alias("discount"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("_price"),
-    ).withColumn("sales", F.round(net, 2).cast("decimal(18,2)"))
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("list_price"),
+    ).withColumn("sales", F.round(_net(), 2).cast("decimal(18,2)"))
 
     if "part" in need:
-        part = _table(spark, sf_dir, "part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("sub_category"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_retailprice").cast("decimal(18,2)").alias("_retail"),
-        )
-        fact = fact.join(_dim(spark, sf_dir, "part", part, dim_broadcast_rows), "product_id")
-        cost = F.lit(UNIT_COST_FACTOR) * F.col("quantity").cast("decimal(10,0)") * F.col("_retail")
-        fact = fact.withColumn("profit", F.round(net - cost, 2).cast("decimal(18,2)"))
+        hot = None
+        if salt_parts:
+            counts = li.groupBy(F.col("l_partkey").alias("product_id")).agg(
+                F.count(F.lit(1)).alias("total"))
+            hot = hot_keys(counts, ["product_id"], "total", hot_key_rows(spark))
+        fact = salted_join(fact, _part(spark, sf_dir), ["product_id"], hot)
+        fact = fact.withColumn("profit", _profit())
 
     if "orders" in need:
-        fact = fact.join(order_dimension(spark, sf_dir, need, dim_broadcast_rows), "order_id")
+        fact = fact.join(order_dimension(spark, sf_dir, need), "order_id")
 
     return fact.select(*cols)
 
@@ -177,8 +170,7 @@ ORDER_COLUMNS = ["order_date", "ship_mode", "customer_id", "customer_name", "seg
                  "region"]
 
 
-def order_dimension(spark: SparkSession, sf_dir: str, need: set[str],
-                    dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+def order_dimension(spark: SparkSession, sf_dir: str, need: set[str]) -> DataFrame:
     """One row per order with its order-level columns; customer, nation and
     region are joined only when ``need`` names them."""
     orders = _table(spark, sf_dir, "orders").select(
@@ -205,17 +197,16 @@ def order_dimension(spark: SparkSession, sf_dir: str, need: set[str],
                     F.col("r_regionkey").alias("_regionkey"),
                     F.col("r_name").alias("region"),
                 )
-                nation = nation.join(_dim(spark, sf_dir, "region", region, 10_000), "_regionkey")
-            cust = cust.join(_dim(spark, sf_dir, "nation", nation, 10_000), "_nationkey")
-        orders = orders.join(_dim(spark, sf_dir, "customer", cust, dim_broadcast_rows), "customer_id")
+                nation = nation.join(region, "_regionkey")
+            cust = cust.join(nation, "_nationkey")
+        orders = orders.join(cust, "customer_id")
     return orders
 
 
 def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
                    sums: list[str] = (), mins: list[str] = (), day_sums: list[str] = (),
                    exprs: dict | None = None, expr_cols: list[str] = (),
-                   where=None, where_cols: list[str] = (),
-                   dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+                   where=None, where_cols: list[str] = ()) -> DataFrame:
     """One row per order: ``order_cols`` plus totals over the order's lines.
 
     For reports that group by order-level columns only. Lines are folded per
@@ -236,8 +227,7 @@ def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
         raise ValueError(f"not order-level columns: {bad}")
     line_cols = list(dict.fromkeys(["order_id", *sums, *mins, *day_sums]))
     lines = sales_lines(spark, sf_dir,
-                        list(dict.fromkeys(line_cols + list(where_cols) + list(expr_cols))),
-                        dim_broadcast_rows)
+                        list(dict.fromkeys(line_cols + list(where_cols) + list(expr_cols))))
     if where is not None:
         lines = lines.where(where)
     aggs = []
@@ -259,7 +249,7 @@ def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
     need = set().union(*(_NEEDS[c] for c in order_cols)) if order_cols else set()
     if not order_cols:
         return per_order
-    dims = order_dimension(spark, sf_dir, need, dim_broadcast_rows).select("order_id", *order_cols)
+    dims = order_dimension(spark, sf_dir, need).select("order_id", *order_cols)
     return per_order.join(dims, "order_id")
 
 
@@ -268,8 +258,7 @@ LINE_COLUMNS = [c for c in SALES_COLUMNS if c not in ORDER_COLUMNS]
 
 
 def with_order_columns(spark: SparkSession, sf_dir: str, lines: DataFrame,
-                       cols: list[str] | None = None,
-                       dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> DataFrame:
+                       cols: list[str] | None = None) -> DataFrame:
     """Add order-level columns to line-level rows (those keep ``order_id``).
 
     For "pick, then enrich" plans: rows chosen per order on the line-level
@@ -279,12 +268,38 @@ def with_order_columns(spark: SparkSession, sf_dir: str, lines: DataFrame,
     """
     cols = list(cols) if cols is not None else list(ORDER_COLUMNS)
     need = set().union(*(_NEEDS[c] for c in cols)) if cols else set()
-    dims = order_dimension(spark, sf_dir, need, dim_broadcast_rows).select("order_id", *cols)
+    dims = order_dimension(spark, sf_dir, need).select("order_id", *cols)
     return lines.join(dims, "order_id")
 
 
-def materialize_sales(spark: SparkSession, sf_dir: str, path: str, mode: str = "errorifexists",
-                      dim_broadcast_rows: int = DIM_BROADCAST_ROWS) -> None:
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """The files of the star tables as one line of text: folder, number of files, bytes and
+    a hash over their names, sizes and times. A changed or appended file changes it."""
+    files = None
+    for t in STAR_TABLES:
+        listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .load(os.path.join(sf_dir, f"{t}.parquet"))
+                  .select("path", "length", F.unix_millis("modificationTime").alias("ms")))
+        files = listed if files is None else files.unionByName(listed)
+    n, size, mark = files.agg(F.count(F.lit(1)), F.sum("length"),
+                              F.bit_xor(F.xxhash64("path", "length", "ms"))).first()
+    return f"{os.path.normpath(sf_dir)} {n} {size} {mark}"
+
+
+PART_COLUMNS = ["category", "sub_category", "product_name", "profit"]
+# what a line has without any join (``list_price`` lets its profit be computed later)
+LINEITEM_COLUMNS = [c for c in LINE_COLUMNS if c not in PART_COLUMNS]
+
+
+def with_part_columns(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """Add category, sub-category, product name and profit to lines that have
+    ``LINEITEM_COLUMNS`` and ``list_price``; for rows picked without them."""
+    return lines.join(_part(spark, sf_dir), "product_id").withColumn("profit", _profit()).drop(
+        "_retail", "list_price")
+
+
+def materialize_sales(spark: SparkSession, sf_dir: str, path: str, mode: str = "errorifexists"
+                      ) -> None:
     """Write the whole flat sales view once, partitioned by order year.
 
     For repeated reporting on very large tables: one pass pays for the star
@@ -292,30 +307,29 @@ def materialize_sales(spark: SparkSession, sf_dir: str, path: str, mode: str = "
     while filters on ``order_date`` prune whole year folders. Rows are
     clustered by order inside each year, so order-grain folds combine early.
     """
-    flat = sales_lines(spark, sf_dir, dim_broadcast_rows=dim_broadcast_rows).withColumn(
-        "order_year", F.year("order_date"))
+    state = source_state(spark, sf_dir)  # before the read: later files make it stale
+    flat = sales_lines(spark, sf_dir, [*SALES_COLUMNS, "list_price"]).withColumn("order_year", F.year("order_date"))
     # range partitions hold contiguous (year, order) ranges, so each task writes
     # into one or two year folders instead of all of them (few, large files)
     (flat.repartitionByRange("order_year", "order_id").sortWithinPartitions("order_id")
      .write.mode(mode).partitionBy("order_year").parquet(path))
-    # which star tables it was built from (files starting with '_' are not data)
-    spark.createDataFrame([(os.path.normpath(sf_dir),)], "source string").coalesce(1).write.mode(
+    # which state of the star it was built from (files starting with '_' are not data)
+    spark.createDataFrame([(state,)], "source string").coalesce(1).write.mode(
         "overwrite").text(os.path.join(path, _SOURCE_MARKER))
 
 
 def _flat_table(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    """The configured flat table, if it was materialized from ``sf_dir``."""
+    """The configured flat table, if it was materialized from ``sf_dir`` as it is now."""
     path = spark.conf.get(SALES_TABLE_CONF, None)
     if not path:
         return None
-    key = (_app(spark), "flat:" + path, os.path.normpath(sf_dir))
-    if key not in _TABLES:
-        marker = spark.read.text(os.path.join(path, _SOURCE_MARKER)).first()
-        _TABLES[key] = (read_sales(spark, path)
-                        if marker is not None and marker[0] == os.path.normpath(sf_dir) else None)
-    return _TABLES[key]
+    marker = spark.read.text(os.path.join(path, _SOURCE_MARKER)).first()
+    if marker is None or marker[0].split(" ")[0] != os.path.normpath(sf_dir) or \
+            marker[0] != source_state(spark, sf_dir):
+        return None
+    return read_sales(spark, path)
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """The materialized flat table, in the column order of ``sales_lines``."""
-    return spark.read.parquet(path).select(*SALES_COLUMNS, "order_year")
+    return spark.read.parquet(path).select(*SALES_COLUMNS, "list_price", "order_year")

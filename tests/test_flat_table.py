@@ -47,3 +47,32 @@ def test_flat_table_is_used_only_for_its_source(spark, flat):
 def test_query_on_flat_table_matches_sql(spark, flat, con, name):
     df = queries()[name](spark, SF_SMALL)
     assert compare(df, con, oracle_sql()[name]) == []
+
+
+def test_appended_lines_are_read_and_make_the_flat_table_stale(spark):
+    """A table that grows between two calls is read in full, with and without a flat copy."""
+    from ledgerlens.sources.star import STAR_TABLES
+    src = tempfile.mkdtemp(prefix="ll-grow-")
+    for t in STAR_TABLES:
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").coalesce(1).write.parquet(f"{src}/{t}.parquet")
+    count = lambda: queries()["c15_row_count"](spark, src).first()[0]
+    before = count()
+    path = os.path.join(tempfile.mkdtemp(prefix="ll-flat-"), "sales")
+    old = spark.conf.get(SALES_TABLE_CONF, None)
+    materialize_sales(spark, src, path)
+    spark.conf.set(SALES_TABLE_CONF, path)
+    try:
+        assert "orders.parquet" not in sales_lines(spark, src, ["order_date"])._jdf.queryExecution().toString()
+        spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").limit(1000).write.mode("append").parquet(
+            f"{src}/lineitem.parquet")
+        assert "orders.parquet" in sales_lines(spark, src, ["order_date"])._jdf.queryExecution().toString()
+        assert count() == before + 1000
+        # a dimension that grows is read again too
+        spark.read.parquet(f"{SF_SMALL}/part.parquet").selectExpr(
+            "p_partkey + 1000000 as p_partkey", "* except (p_partkey)").write.mode("append").parquet(
+            f"{src}/part.parquet")
+        assert queries()["e05_distinct_products"](spark, src).count() == 1
+    finally:
+        spark.conf.unset(SALES_TABLE_CONF)
+        if old:
+            spark.conf.set(SALES_TABLE_CONF, old)
