@@ -11,7 +11,6 @@ from ledgerlens.functions import metrics as M
 
 # Fixed value: the label of the grand-total row, as in the workbook.
 GRAND_TOTAL = "Grand Total"
-MAX_PIVOT_VALUES = 200
 
 
 def rate_tag(rate) -> str:
@@ -19,48 +18,36 @@ def rate_tag(rate) -> str:
     return f"d{int((Decimal(str(rate)) * 100).to_integral_value()):03d}"
 
 
-def pivot_values(df: DataFrame, col: str, max_values: int = MAX_PIVOT_VALUES) -> list:
-    """Distinct values of ``col`` for a pivot, refusing more than ``max_values``.
+def segment_discount_pivot(cells: DataFrame, row: str = "customer_segment",
+                           col: str = "discount") -> DataFrame:
+    """Sum of profit and of sales per (segment, rate), with all totals, as rows.
 
-    One job: at most ``max_values + 1`` distinct values reach the driver.
+    ``cells`` has ``row``, ``col``, ``profit`` and ``sales`` at any grain. The pivot table's
+    totals are the rows with ``row_total`` / ``col_total`` = 1: per segment over its rates,
+    per rate over all segments, and the grand total. Any number of rates; ``wide`` lays
+    the rows out as columns.
     """
-    got = (df.select(col).where(F.col(col).isNotNull()).distinct()
-           .limit(max_values + 1).collect())
-    if len(got) > max_values:
-        raise ValueError(f"more than {max_values} distinct values of {col}; not a pivot")
-    return sorted(r[0] for r in got)
-
-
-def segment_discount_pivot(lines: DataFrame, segments: DataFrame, key: str = "customer_name",
-                           row: str = "customer_segment", col: str = "discount",
-                           values: list | None = None) -> DataFrame:
-    """Rows = segment, columns = discount rate, cells = sum of profit and of sales,
-    row totals and a grand-total row (X01).
-
-    The label lives on the customer. Lines are first folded to one row per
-    (customer, rate) - partial sums on every executor - and only those are
-    joined to the segments, so the join runs at customer grain, not line
-    grain (AQE broadcasts the segments when their measured size is small). Then per
-    (segment, rate); the pivot (one conditional sum per rate) and the ROLLUP
-    for the grand total run on those few rows. Empty cells stay NULL, as
-    blanks in the workbook.
+    out = cells.cube(row, col).agg(
+        M.as_money(F.sum("profit")).alias("profit"), M.as_money(F.sum("sales")).alias("sales"),
+        F.grouping(row).cast("long").alias("row_total"), F.grouping(col).cast("long").alias("col_total"))
+    named = F.when(F.col("row_total") == 1, F.lit(GRAND_TOTAL)).otherwise(F.col(row))
+    return out.withColumn(row, named).select(
+        row, F.col(col).cast("double").alias(col), "profit", "sales", "row_total", "col_total")
+
+
+def wide(pivot: DataFrame, rates: list, row: str = "customer_segment", col: str = "discount"
+         ) -> DataFrame:
+    """The pivot as a table: a row per segment, columns for the caller's ``rates``.
+
+    Empty cells stay NULL, as blanks in the workbook; totals cover every rate.
     """
-    per_customer = lines.groupBy(key, col).agg(F.sum("profit").alias("_cp"),
-                                               F.sum("sales").alias("_cs"))
-    joined = per_customer.join(segments.select(key, row), key)
-    cells = joined.groupBy(row, col).agg(F.sum("_cp").alias("_p"), F.sum("_cs").alias("_s"))
-    rates = values if values is not None else pivot_values(cells, col)
     aggs = []
     for v in rates:
-        hit = F.col(col) == F.lit(Decimal(str(v)))
-        aggs += [F.sum(F.when(hit, F.col("_p"))).cast("double").alias(f"profit_{rate_tag(v)}"),
-                 F.sum(F.when(hit, F.col("_s"))).cast("double").alias(f"sales_{rate_tag(v)}")]
-    aggs += [M.as_money(F.sum("_p")).alias("total_profit"),
-             M.as_money(F.sum("_s")).alias("total_sales"),
-             F.grouping_id().alias("_g")]
-    out = cells.rollup(row).agg(*aggs)
-    out = out.withColumn(row, F.when(F.col("_g") == 1, F.lit(GRAND_TOTAL)).otherwise(F.col(row)))
-    return out.orderBy("_g", row).drop("_g")
+        hit = (F.col(col) == F.lit(float(v))) & (F.col("col_total") == 0)
+        aggs += [F.max(F.when(hit, F.col(m))).alias(f"{m}_{rate_tag(v)}") for m in ("profit", "sales")]
+    aggs += [F.max(F.when(F.col("col_total") == 1, F.col(m))).alias(f"total_{m}")
+             for m in ("profit", "sales")]
+    return pivot.groupBy("row_total", row).agg(*aggs).orderBy("row_total", row).drop("row_total")
 
 
 def mean_with_grand_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

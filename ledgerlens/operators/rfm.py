@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
-from ledgerlens.operators.ranking import desc_key, first_per_group, ntile_many
+from ledgerlens.operators.ranking import highest_per_group, ntile_many
 from ledgerlens.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's segment labels, in the order
 # the rules are tried (first match wins). Scores run 1..4, 4 is best.
-SEGMENT_LABELS = [
-    "A_ Champion",
-    "B_ Loyal Customer",
-    "C_Potential Loyalist",
-    "D_New Customer",
-    "E_At Risk Customer",
-    "F_Lost Customer",
+# (label, lowest and highest recency, frequency and monetary score)
+SEGMENT_RULES = [
+    ("A_ Champion", (4, 4), (4, 4), (4, 4)),
+    ("B_ Loyal Customer", (4, 4), (3, 4), (4, 4)),
+    ("C_Potential Loyalist", (3, 4), (3, 4), (3, 4)),
+    ("D_New Customer", (4, 4), (1, 1), (1, 4)),
+    ("E_At Risk Customer", (1, 2), (3, 4), (1, 4)),
+    ("F_Lost Customer", (1, 1), (1, 1), (1, 4)),
 ]
 OTHER_LABEL = "Regular Shopper"            # as in the SQL script
 OTHER_LABEL_EXPORT = "G_Regular Shopper"   # as in the workbook export
@@ -45,15 +46,15 @@ def recency(df: DataFrame, customer: str = "customer_name", date_col: str = "ord
 
 
 def latest_row_per_customer(df: DataFrame, customer: str = "customer_name", by: str = "order_id",
-                            row_order=("line_number", "product_id", "supplier_id"),
-                            rank_col: str = "rw_no") -> DataFrame:
-    """One row per customer: the one with the highest ``by``.
+                            row_order=("row_id",), rank_col: str = "rw_no") -> DataFrame:
+    """One row per customer: the one with the highest ``by``, ties by ``row_order``.
 
-    The reference takes the highest order id, not the newest date; ``by``
-    chooses. A ``min_by`` aggregate, so a customer with many rows is folded on
-    every executor before the shuffle.
+    The reference takes the highest order id as text, not the newest date; ``by``
+    chooses, and its type decides how it compares. Aggregates only, so a customer with
+    many rows is folded on every executor before the shuffle.
     """
-    return first_per_group(df, [customer], [desc_key(df, by), *row_order], rank_col=rank_col)
+    picked = highest_per_group(df, [customer], by, list(row_order))
+    return picked.withColumn(rank_col, F.lit(1).cast("long"))
 
 
 def rfm_raw(df: DataFrame, customer: str = "customer_name", date_col: str = "order_date",
@@ -86,20 +87,14 @@ def rfm_scores(raw: DataFrame, customer: str = "customer_name", tiles: int = 4)
 
 
 def segment_label(r="r_score", f="f_score", m="m_score", other: str = OTHER_LABEL) -> Column:
-    """The reference's rules, first match wins."""
-    r, f, m = F.col(r), F.col(f), F.col(m)
-    rules = [
-        (r == 4) & (f == 4) & (m == 4),
-        (r == 4) & (f >= 3) & (m == 4),
-        (r >= 3) & (f >= 3) & (m >= 3),
-        (r == 4) & (f == 1),
-        (r <= 2) & (f >= 3),
-        (r == 1) & (f == 1),
-    ]
-    expr = None
-    for cond, label in zip(rules, SEGMENT_LABELS):
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(other))
+    """The label of the first of ``SEGMENT_RULES`` that holds."""
+    out = F.lit(other)
+    for label, *ranges in reversed(SEGMENT_RULES):
+        hit = F.lit(True)
+        for name, (low, high) in zip((r, f, m), ranges):
+            hit = hit & F.col(name).between(low, high)
+        out = F.when(hit, F.lit(label)).otherwise(out)
+    return out
 
 
 def rfm_segments(df: DataFrame, customer: str = "customer_name", other: str = OTHER_LABEL,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
@@ -12,39 +10,37 @@ from ledgerlens.operators import report as X
 from ledgerlens.operators import rfm as R
 from ledgerlens.plans.oracle import mean, money_text, r, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.plans.rfm import rfm_input, segmented_sql
-from ledgerlens.sources.star import sales_lines
-
-# Discount rates of the test tables: l_discount 0.00..0.10 scaled by 8. The
-# Spark side reads them from the data; the SQL check lists them.
-TEST_RATES = [Decimal(i * 8) / 100 for i in range(11)]
-
+from ledgerlens.plans.rfm import segmented_sql
+from ledgerlens.session import checkpoint_dir
+from ledgerlens.sources.star import sales_lines, with_order_columns
 
-def _pivot_sql() -> str:
-    cols = []
-    for v in TEST_RATES:
-        tag = X.rate_tag(v)
-        cols.append(f"CAST(SUM(CASE WHEN discount = {v} THEN p END) AS DOUBLE) AS profit_{tag}")
-        cols.append(f"CAST(SUM(CASE WHEN discount = {v} THEN s END) AS DOUBLE) AS sales_{tag}")
-    body = ",\n           ".join(cols)
-    return with_sales(f"""
-    WITH {segmented_sql(R.OTHER_LABEL_EXPORT)},
-    cells AS (SELECT seg.customer_segment, sales.discount, SUM(profit) AS p, SUM(sales) AS s
-              FROM sales JOIN seg ON seg.customer_name = sales.customer_name GROUP BY 1, 2)
-    SELECT CASE WHEN GROUPING(customer_segment) = 1 THEN 'Grand Total' ELSE customer_segment END
+_PIVOT_SQL = with_sales(f"""
+    WITH {segmented_sql(R.OTHER_LABEL_EXPORT)}
+    SELECT CASE WHEN GROUPING(customer_segment) = 1 THEN '{X.GRAND_TOTAL}' ELSE customer_segment END
                AS customer_segment,
-           {body},
-           CAST(SUM(p) AS DOUBLE) AS total_profit, CAST(SUM(s) AS DOUBLE) AS total_sales
-    FROM cells GROUP BY ROLLUP (customer_segment)""")
+           CAST(sales.discount AS DOUBLE) AS discount,
+           CAST(SUM(sales.profit) AS DOUBLE) AS profit, CAST(SUM(sales.sales) AS DOUBLE) AS sales,
+           CAST(GROUPING(customer_segment) AS BIGINT) AS row_total,
+           CAST(GROUPING(sales.discount) AS BIGINT) AS col_total
+    FROM sales JOIN seg ON seg.customer_name = sales.customer_name
+    GROUP BY CUBE (customer_segment, sales.discount)""")
 
 
-@register("x01_segment_discount_pivot", _pivot_sql(), "X01")
+@register("x01_segment_discount_pivot", _PIVOT_SQL, "X01")
 def x01(spark, d):
-    lines = sales_lines(spark, d, ["customer_name", "discount", "profit", "sales"])
-    segments = R.rfm_segments(rfm_input(spark, d), other=R.OTHER_LABEL_EXPORT)
-    # the pivot columns come from the line table alone, without the joins
-    rates = X.pivot_values(sales_lines(spark, d, ["discount"]), "discount")
-    return X.segment_discount_pivot(lines, segments, values=rates)
+    # one fold of the lines per (order, rate), before any order or customer join; the
+    # segments and the cells both come from it
+    lines = sales_lines(spark, d, ["order_id", "discount", "profit", "sales"])
+    folded = lines.groupBy("order_id", "discount").agg(F.sum("profit").alias("profit"),
+                                                       F.sum("sales").alias("sales"))
+    checkpoint_dir(spark)
+    per_rate = with_order_columns(spark, d, folded, ["customer_name", "order_date"]).checkpoint(eager=True)
+    segments = R.rfm_segments(per_rate, other=R.OTHER_LABEL_EXPORT).select(
+        "customer_name", "customer_segment")
+    per_customer = per_rate.groupBy("customer_name", "discount").agg(
+        F.sum("profit").alias("profit"), F.sum("sales").alias("sales"))
+    return X.segment_discount_pivot(per_customer.join(segments, "customer_name")).orderBy(
+        "row_total", "customer_segment", "col_total", "discount")
 
 
 @register("x02_avg_profit_by_discount_with_total", with_sales(f"""

@@ -56,12 +56,35 @@ def test_segment_shares_sum_to_100(spark):
 def test_pivot_body_equals_totals(spark):
     sales = _sales(spark)
     seg = R.rfm_segments(sales, other=R.OTHER_LABEL_EXPORT)
-    pv = X.segment_discount_pivot(sales, seg).collect()
-    grand = [r for r in pv if r["customer_segment"] == X.GRAND_TOTAL][0]
-    body = [r for r in pv if r["customer_segment"] != X.GRAND_TOTAL]
-    assert abs(sum(r["total_profit"] for r in body) - grand["total_profit"]) < 1e-9
-    assert abs(grand["profit_d000"] + grand["profit_d020"] - grand["total_profit"]) < 1e-9
-    assert grand["total_sales"] == 146.0
+    cells = sales.join(seg.select("customer_name", "customer_segment"), "customer_name")
+    pv = X.segment_discount_pivot(cells)
+    rows = pv.collect()
+    grand = [r for r in rows if r.row_total and r.col_total][0]
+    assert grand.customer_segment == X.GRAND_TOTAL and grand.sales == 146.0
+    for pick in (lambda r: not r.row_total and r.col_total, lambda r: r.row_total and not r.col_total,
+                 lambda r: not r.row_total and not r.col_total):
+        assert abs(sum(r.profit for r in rows if pick(r)) - grand.profit) < 1e-9
+    table = X.wide(pv, [Decimal("0"), Decimal("0.2")]).collect()
+    assert table[-1].customer_segment == X.GRAND_TOTAL
+    assert abs(table[-1].profit_d000 + table[-1].profit_d020 - table[-1].total_profit) < 1e-9
+    assert sum(r.total_sales for r in table[:-1]) == table[-1].total_sales == 146.0
+
+
+def test_pivot_of_300_rates(spark):
+    cells = spark.range(600).select(
+        F.concat(F.lit("s"), F.col("id") % 2).alias("customer_segment"),
+        (F.floor(F.col("id") / 2) / 1000).cast("decimal(5,3)").alias("discount"),
+        F.lit(1).alias("profit"), F.lit(2).alias("sales"))
+    rows = X.segment_discount_pivot(cells).collect()
+    assert len(rows) == 600 + 300 + 2 + 1
+    assert [r.sales for r in rows if r.row_total and r.col_total] == [1200.0]
+
+
+def test_latest_row_ranks_text_ids(spark):
+    df = spark.createDataFrame([("a", "CA-9", 1), ("a", "CA-10", 2), ("a", "CA-9", 0), ("b", "US-1", 5)],
+                               "customer_name string, order_id string, row_id long")
+    got = R.latest_row_per_customer(df).collect()
+    assert sorted((r.customer_name, r.order_id, r.row_id) for r in got) == [("a", "CA-9", 0), ("b", "US-1", 5)]
 
 
 def test_mean_with_grand_total_is_mean_of_rows(spark):
