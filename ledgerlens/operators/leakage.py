@@ -24,9 +24,8 @@ def loss_overview(df: DataFrame, order_key: str = "order_id") -> DataFrame:
 
 
 def loss_share(df: DataFrame) -> DataFrame:
-    """Percent of lines that lose money, in one pass."""
-    return df.agg(
-        (M.count_if(_loss()) * 100.0 / M.rows()).cast("double").alias("per_of_loss"))
+    """Percent of lines that lose money, in one pass; NULL without lines."""
+    return df.agg(M.ratio(M.count_if(_loss()) * 100.0, M.rows()).alias("per_of_loss"))
 
 
 def total_loss(df: DataFrame) -> DataFrame:

@@ -58,11 +58,16 @@ def dead_weight_products(df: DataFrame, keys=("product_id", "product_name")) ->
 def popularity_rank(df: DataFrame, keys=("product_id", "product_name"),
                     count_name: str = "product_counting", rank_name: str = "popular_rank"
                     ) -> DataFrame:
-    """Lines per product and DENSE_RANK of that count, most bought first.
+    """Lines per product and DENSE_RANK of that count, most bought first."""
+    return rank_counts(df.groupBy(*keys).agg(M.rows().alias(count_name)), keys, count_name, rank_name)
+
+
+def rank_counts(counts: DataFrame, keys=("product_id", "product_name"),
+                count_name: str = "product_counting", rank_name: str = "popular_rank") -> DataFrame:
+    """DENSE_RANK of counted products.
 
     The rank is computed on the distinct counts (few) and joined back, not by
     a window over all products in one task.
     """
-    counts = df.groupBy(*keys).agg(M.rows().alias(count_name))
     return dense_rank_desc(counts, count_name, rank_name).select(
         *keys, count_name, rank_name).orderBy(rank_name, *keys)

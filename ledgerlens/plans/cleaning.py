@@ -18,7 +18,7 @@ from ledgerlens.operators.clean import clean_orders
 from ledgerlens.plans.common import SCAN_SQL, money_out, money_out_sql, scan
 from ledgerlens.plans.oracle import with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import scratch_dir
 from ledgerlens.sources.raw_csv import RAW_COLUMNS, read_orders, write_orders_export
 from ledgerlens.operators.skew import hot_key_rows, hot_keys, salted_join
 from ledgerlens.sources.star import (LINE_COLUMNS, ORDER_COLUMNS, ROW_ORDER, SALES_COLUMNS,
@@ -29,10 +29,11 @@ ORDER_NEEDS = {"orders", "customer", "nation", "region"}
 
 # Keys of an existing line of the sf0.01 tables.
 LOOKUP_ORDER, LOOKUP_LINE, LOOKUP_PRODUCT = 5979, 6, 1616
-# (order, line number) repeats in the test tables: de-duplicate on it and keep
-# the first row under the remaining line attributes.
-DEDUPE_KEYS = ["order_id", "line_number"]
-DEDUPE_ORDER = ROW_ORDER[1:]
+# The reference's duplicate keys - five columns to find exact duplicate
+# lines, seven to delete them.
+DUPLICATE_KEYS = ["order_id", "product_id", "sales", "quantity", "discount"]
+DEDUPE_KEYS = ["order_id", "customer_id", "product_id", "sales", "quantity", "discount", "profit"]
+DEDUPE_ORDER = [c for c in ROW_ORDER if c not in DEDUPE_KEYS]
 
 TEXT_COLS = ["ship_mode", "customer_name", "segment", "state", "region", "category",
              "sub_category", "product_name"]
@@ -65,12 +66,13 @@ _EXPORT_SQL = with_sales("""
 def c01(spark, d):
     """The load + clean job on a raw export of the whole sales view.
 
-    The view is written in the raw layout (text columns, month-first date
-    text) to a new folder in the shared checkpoint directory, then read back
-    with the all-text schema and typed by ``clean_orders``.
+    The view is written in the raw layout (text columns, a byte-order mark in the first
+    header, the date text of each row by turns with slashes, hyphens and in ISO order)
+    to a new folder in the application's scratch folder, then read back with the all-text
+    schema and typed by ``clean_orders``. ``session.drop_scratch`` removes the copy.
     """
-    path = os.path.join(checkpoint_dir(spark), "exports", f"sales-{uuid.uuid4().hex}")
-    write_orders_export(sales_lines(spark, d), path)
+    path = os.path.join(scratch_dir(spark), f"export-{uuid.uuid4().hex}")
+    write_orders_export(sales_lines(spark, d), path, mixed_dates=True, mark=True)
     clean = clean_orders(read_orders(spark, path))
     return clean.select(*[F.col(c).cast("double").alias(c) if c in ("sales", "discount", "profit")
                           else F.col(c) for c in RAW_COLUMNS])
@@ -78,9 +80,9 @@ def c01(spark, d):
 
 @register("c20_snapshot_sales", SCAN_SQL, "C20")
 def c20(spark, d):
-    """Back up the table before de-duplicating: a new, never overwritten folder
-    in the shared checkpoint directory, read back."""
-    path = os.path.join(checkpoint_dir(spark), "snapshots", f"sales-{uuid.uuid4().hex}")
+    """Back up the table before de-duplicating: a new, never overwritten folder in the
+    application's scratch folder, read back. ``session.drop_scratch`` removes it."""
+    path = os.path.join(scratch_dir(spark), f"snapshot-{uuid.uuid4().hex}")
     return D.snapshot(sales_lines(spark, d), path).select(*money_out(SALES_COLUMNS))
 
 
@@ -128,10 +130,10 @@ def c12(spark, d):
     WHERE order_id IN (SELECT order_id FROM sales GROUP BY order_id HAVING COUNT(*) > 1)
     ORDER BY order_id"""), "C13")
 def c13(spark, d):
-    # repeated orders are counted on the line-level view; one join then keeps their
+    # repeated orders are counted on the order ids alone; one join then keeps their
     # lines and adds the order columns, salted so a hot order spreads over tasks
     lines = sales_lines(spark, d, LINE_COLUMNS)
-    counts = D.repeated_keys(lines, ["order_id"])
+    counts = D.repeated_keys(sales_lines(spark, d, ["order_id"]), ["order_id"])
     orders = order_dimension(spark, d, ORDER_NEEDS).select("order_id", *ORDER_COLUMNS)
     repeated_orders = orders.join(counts.select("order_id"), "order_id", "left_semi")
     hot = hot_keys(counts, ["order_id"], "total", hot_key_rows(spark))
@@ -154,9 +156,9 @@ def c14(spark, d):
     # order row in a single task
     line_cols = [c for c in dict.fromkeys(_C14_COLS + ROW_ORDER) if c in LINE_COLUMNS]
     lines = sales_lines(spark, d, line_cols)
-    ranked = D.extra_lines(lines, ["order_id"], ROW_ORDER)
-    counts = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("total"))
+    counts = D.repeated_keys(sales_lines(spark, d, ["order_id"]), ["order_id"])
     hot = hot_keys(counts, ["order_id"], "total", hot_key_rows(spark))
+    ranked = D.extra_lines(lines, ["order_id"], ROW_ORDER, hot=hot, counted=True)
     order_cols = [c for c in _C14_COLS if c in ORDER_COLUMNS]
     need = {"orders", "customer"}
     orders = order_dimension(spark, d, need).select("order_id", *order_cols)
@@ -183,10 +185,11 @@ def c17(spark, d):
 
 
 @register("c18_duplicate_line_keys", with_sales(f"""
-    SELECT {", ".join(DEDUPE_KEYS)}, COUNT(*) AS total FROM sales
-    GROUP BY {", ".join(DEDUPE_KEYS)} HAVING COUNT(*) > 1"""), "C18")
+    SELECT {money_out_sql(DUPLICATE_KEYS)}, COUNT(*) AS total FROM sales
+    GROUP BY {", ".join(DUPLICATE_KEYS)} HAVING COUNT(*) > 1"""), "C18")
 def c18(spark, d):
-    return D.repeated_keys(sales_lines(spark, d, DEDUPE_KEYS), DEDUPE_KEYS)
+    found = D.repeated_keys(sales_lines(spark, d, DUPLICATE_KEYS), DUPLICATE_KEYS)
+    return found.select(*money_out(DUPLICATE_KEYS), "total")
 
 
 @register("c19_order_product_lookup", with_sales(f"""
@@ -197,6 +200,17 @@ def c19(spark, d):
     return s.select(*money_out(SALES_COLUMNS))
 
 
+def _deduped(spark, d, lines):
+    """Lines de-duplicated on the seven columns, with their order columns.
+
+    The customer is a property of the order, so the key without it is the same key. The
+    partial aggregate folds a hot order's duplicates before the order join, where a
+    join-first plan would put all of its lines in one task.
+    """
+    key = [c for c in DEDUPE_KEYS if c != "customer_id"]
+    return with_order_columns(spark, d, D.dedupe(lines, key, DEDUPE_ORDER))
+
+
 _DEDUPED_SQL = f"""deduped AS (
         SELECT * EXCLUDE (rn) FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY {", ".join(DEDUPE_KEYS)}
@@ -209,17 +223,25 @@ _DEDUPED_SQL = f"""deduped AS (
     WITH {_DEDUPED_SQL}
     SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
 def c21(spark, d):
-    # de-duplicated on the line-level view, then the order columns are added: the
-    # partial de-dup folds a hot order to one row per (order, line) before the order
-    # join, where a join-first plan would put all of a hot order's lines in one task
-    kept = D.dedupe(sales_lines(spark, d, LINE_COLUMNS), DEDUPE_KEYS, DEDUPE_ORDER)
-    return with_order_columns(spark, d, kept).select(*money_out(SALES_COLUMNS))
+    return _deduped(spark, d, sales_lines(spark, d, LINE_COLUMNS)).select(*money_out(SALES_COLUMNS))
+
+
+# Every line doubled has one true duplicate: de-duplicating gives the de-duplicated view
+# back, and no key is left twice.
+@register("c21b_dedupe_doubled_lines", with_sales(f"""
+    WITH {_DEDUPED_SQL}
+    SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
+def c21b(spark, d):
+    lines = sales_lines(spark, d, LINE_COLUMNS)
+    return _deduped(spark, d, lines.unionByName(lines)).select(*money_out(SALES_COLUMNS))
 
 
 @register("c22_no_duplicates_after_dedupe", with_sales(f"""
     WITH {_DEDUPED_SQL}
-    SELECT {", ".join(DEDUPE_KEYS)}, COUNT(*) AS total FROM deduped
+    SELECT {money_out_sql(DEDUPE_KEYS)}, COUNT(*) AS total FROM deduped
     GROUP BY {", ".join(DEDUPE_KEYS)} HAVING COUNT(*) > 1"""), "C22")
 def c22(spark, d):
-    deduped = D.dedupe(sales_lines(spark, d, DEDUPE_KEYS + DEDUPE_ORDER), DEDUPE_KEYS, DEDUPE_ORDER)
-    return D.repeated_keys(deduped, DEDUPE_KEYS)
+    need = [c for c in dict.fromkeys([*DEDUPE_KEYS, *DEDUPE_ORDER]) if c in LINE_COLUMNS]
+    lines = sales_lines(spark, d, need)
+    left = D.repeated_keys(_deduped(spark, d, lines.unionByName(lines)), DEDUPE_KEYS)
+    return left.select(*money_out(DEDUPE_KEYS), "total")

@@ -14,7 +14,7 @@ from ledgerlens.operators.trend import period_growth, pooled_quarter_growth, qua
 from ledgerlens.plans.common import SCAN_SQL, SHIP_DAYS_SQL, scan
 from ledgerlens.plans.oracle import margin_pct, mean, r, ratio, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.sources.star import sales_by_order, sales_lines
+from ledgerlens.sources.star import part_categories, sales_by_order, sales_lines
 
 # Parameters adapted to the test tables: the region literal is
 # lower case on purpose (the data says 'ASIA'), and the minimum discount of a
@@ -31,9 +31,9 @@ register("e01_scan_sales", SCAN_SQL, "E01")(scan)
     SELECT CAST(SUM(sales) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS net_profit,
            {margin_pct()} AS profit_margin FROM sales"""), "E02")
 def e02(spark, d):
-    return kpi_summary(sales_lines(spark, d, ["sales", "profit", "customer_id", "order_id",
-                                              "product_id"])).select(
-        "revenue", "net_profit", "profit_margin")
+    return sales_lines(spark, d, ["sales", "profit"]).agg(
+        M.total("sales").alias("revenue"), M.total("profit").alias("net_profit"),
+        M.margin_pct().alias("profit_margin"))
 
 
 @register("e03_distinct_customers", with_sales(
@@ -84,7 +84,10 @@ def e08(spark, d):
 @register("e09_distinct_categories", with_sales(
     "SELECT DISTINCT category FROM sales ORDER BY category"), "E09")
 def e09(spark, d):
-    return sales_lines(spark, d, ["category"]).select("category").distinct().orderBy("category")
+    # products sold are distinct first, so the part join sees products, not lines
+    sold = sales_lines(spark, d, ["product_id"]).distinct()
+    return sold.join(part_categories(spark, d), "product_id").select("category").distinct().orderBy(
+        "category")
 
 
 def _top1_sql(dim: str, expr: str, name: str, desc: bool = True, where: str = "") -> str:
@@ -289,7 +292,7 @@ def e27b(spark, d):
     FROM sales GROUP BY product_id, product_name HAVING SUM(profit) < 0
     ORDER BY prd_margin ASC NULLS FIRST, product_id LIMIT {LOSS_PRODUCTS_LIMIT}"""), "E28")
 def e28(spark, d):
-    s = sales_lines(spark, d, ["product_id", "product_name", "sales", "profit"])
+    s = sales_lines(spark, d, ["product_id", "product_name", "sales", "profit"], salt_parts=True)
     return breakdown(s, ["product_id", "product_name"],
                      [M.total("sales").alias("prd_sale"), M.margin_pct().alias("prd_margin"),
                       F.sum("profit").alias("_net")],

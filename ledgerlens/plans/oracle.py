@@ -7,6 +7,9 @@ DECIMAL cast so that halves round away from zero, as Spark's ``round`` does.
 
 from __future__ import annotations
 
+from ledgerlens.functions.bands import (BUCKET_LEVEL, BUCKET_LEVEL_OTHER, DISCOUNT_BUCKET_EDGES,
+                                        DISCOUNT_BUCKET_LABELS, DISCOUNT_TIER_EDGES, DISCOUNT_TIER_LABELS)
+
 SALES_SQL = """
     SELECT
         b.order_id, b.line_number, b.product_id, b.supplier_id,
@@ -77,19 +80,28 @@ def money_text(x: str, prefix: str = "$") -> str:
     return f"'{prefix}' || format('{{:,.2f}}', CAST(ABS({x}) AS DOUBLE))"
 
 
+def bands_sql(x: str, edges: list[str], labels: list[str]) -> str:
+    """Zero, then up to each edge in turn, then the rest, from the fixed band values."""
+    cases = [f"WHEN {x} = 0 THEN '{labels[0]}'"]
+    cases += [f"WHEN {x} BETWEEN 0 AND {e} THEN '{name}'" for e, name in zip(edges, labels[1:])]
+    return f"CASE {' '.join(cases)} ELSE '{labels[-1]}' END"
+
+
+def at_least_sql(x: str, edges: list, labels: list[str]) -> str:
+    """From each edge on, highest first, then the rest."""
+    cases = [f"WHEN {x} >= {e} THEN '{name}'" for e, name in zip(edges, labels)]
+    return f"CASE {' '.join(cases)} ELSE '{labels[-1]}' END"
+
+
 def discount_bucket_sql(x: str = "discount") -> str:
-    return f"""CASE
-        WHEN {x} = 0 THEN '0% discount'
-        WHEN {x} > 0 AND {x} <= 0.1 THEN '1 to 10% discount'
-        WHEN {x} > 0.1 AND {x} <= 0.2 THEN '10 to 20% discount'
-        WHEN {x} > 0.2 AND {x} <= 0.3 THEN '20 to 30% discount'
-        WHEN {x} > 0.3 AND {x} <= 0.4 THEN '30 to 40% discount'
-        ELSE '40%+ discount' END"""
+    return bands_sql(x, DISCOUNT_BUCKET_EDGES, DISCOUNT_BUCKET_LABELS)
 
 
 def discount_tier_sql(x: str = "discount") -> str:
-    return f"""CASE
-        WHEN {x} = 0 THEN '0% (No Discount)'
-        WHEN {x} <= 0.2 THEN '1-20% (Low discount)'
-        WHEN {x} <= 0.4 THEN '21-40% (Medium discount)'
-        ELSE '41% (Heavy discount)' END"""
+    return bands_sql(x, DISCOUNT_TIER_EDGES, DISCOUNT_TIER_LABELS)
+
+
+def bucket_level_sql(x: str) -> str:
+    cases = [f"WHEN {x} IN ({', '.join(repr(m) for m in members)}) THEN '{level}'"
+             for level, members in BUCKET_LEVEL.items()]
+    return f"CASE {' '.join(cases)} ELSE '{BUCKET_LEVEL_OTHER}' END"
