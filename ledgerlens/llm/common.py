@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import scratch_dir
 
 #: The white space that ends a word everywhere in this package: x20 and x09-x0D.
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -43,28 +43,16 @@ def words(text: Column) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), SPACE_SPLIT), inner)
 
 
-def _scratch(spark: SparkSession) -> str:
-    app = spark.conf.get("spark.app.id", "app")
-    return f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens-{app}"
-
-
 def persisted(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read back: computed
-    once, compressed, and safe when an executor is lost. ``drop_scratch`` removes it."""
+    once, compressed, and safe when an executor is lost. ``session.drop_scratch`` removes
+    the application's tables once results are stored."""
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the tables that this application's operators have written; call it once
-    their results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a stored side was counted to hold at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows
@@ -82,3 +70,14 @@ def row_key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     who = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns({"_k1": F.xxhash64(who, body), "_k2": F.xxhash64(F.lit(2), body)})
+
+
+def packed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(_row, doc_id, text): all columns of ``docs`` as one struct, so that none of them can
+    clash with a name used inside an operator; ``unpacked`` gives them back."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("doc_id"),
+                       F.col(text).alias("text"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("_row.*")

@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import is_small, let, lower_ascii, persisted, row_key, small, words
+from ledgerlens.llm.common import (is_small, let, lower_ascii, packed, persisted, row_key, small,
+                                   unpacked, words)
 
 SHINGLE = 5
 #: Containment threshold as a fraction, in whole numbers.
@@ -100,4 +101,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     """``docs`` without the rows that hold an item; edge cases as in ``find_items``."""
     found = find_items(docs, items, id_col=id_col, text=text, **names)
     gone = small(persisted(found.select("_k1", "_k2").distinct()))
-    return row_key(docs, id_col, text).join(gone, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    rows = row_key(packed(docs, id_col, text), "doc_id", "text")
+    return unpacked(rows.join(gone, ["_k1", "_k2"], "left_anti"))

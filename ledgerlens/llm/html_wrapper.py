@@ -157,7 +157,9 @@ def expression(element: list) -> str:
     for inner, least, most in items:
         one = expression(inner)
         sign = {(1, 1): "", (0, 1): "?"}.get((min(least, 1), min(most, 2)), "*" if least == 0 else "+")
-        body += f"({one}){sign}" if sign else one
+        if sign:
+            one = f"{one}{sign}" if inner[0] == "()" else f"({one}){sign}"
+        body += one
     return f"({body})" if label == "()" else f"<{label}>{body}</{label.partition('.')[0]}>"
 
 

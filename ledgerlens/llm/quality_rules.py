@@ -135,7 +135,9 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text",
     asked for in ``keep``.
     """
     m = persisted(_measured(docs, host, text, keep or ["doc_id"]))
-    return _joined(m, host_verdicts(m, "_host", limit))
+    return _joined(m, host_verdicts(m, "_host", limit)).select(
+        "_keep.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.col("failed").alias("rule_failed"), "host_rejected")
 
 
 def _measured(docs: DataFrame, host: str, text: str, keep: list[str]) -> DataFrame:
@@ -147,9 +149,7 @@ def _measured(docs: DataFrame, host: str, text: str, keep: list[str]) -> DataFra
 def _joined(m: DataFrame, hosts: DataFrame) -> DataFrame:
     h = small(persisted(hosts.select(F.col("_host").alias("_h"), "host_rejected")))
     out = m.join(h, F.col("_host").eqNullSafe(F.col("_h")), "left")
-    return out.withColumn("kept", ~F.col("failed") & ~F.col("host_rejected")).select(
-        "_keep.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", F.col("failed").alias("rule_failed"), "host_rejected")
+    return out.withColumn("kept", ~F.col("failed") & ~F.col("host_rejected"))
 
 
 def keep_clean(docs: DataFrame, host: str = "source", text: str = "text",
@@ -160,5 +160,4 @@ def keep_clean(docs: DataFrame, host: str = "source", text: str = "text",
     of being written or shuffled; only the host table is stored and joined.
     """
     hosts = host_verdicts(_measured(docs, host, text, [host]), "_host", limit)
-    return _joined(_measured(docs, host, text, docs.columns), hosts).where("kept").select(
-        *docs.columns)
+    return _joined(_measured(docs, host, text, docs.columns), hosts).where("kept").select("_keep.*")

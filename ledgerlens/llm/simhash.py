@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import persisted, small
+from ledgerlens.llm.common import packed, persisted, small, unpacked
 from ledgerlens.llm.graph import components
 
 SEED = 42
@@ -329,12 +329,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Only the ids that go are joined to the texts.
     """
     found = persisted(near_duplicates(docs, id_col, text, shingle, radius))
-    gone = persisted(found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    out = docs.join(small(gone), F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = persisted(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_twice"))
-                      .count().where("count > 1").select("_twice"))
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = packed(docs, id_col, text)
+    out = rows.join(small(persisted(gone)), F.col("doc_id") == F.col("gone"), "left_anti")
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("twice")).count()
+    twice = persisted(twice.where("count > 1").select("twice"))
     if twice.isEmpty():
-        return out
-    on = F.col(id_col) == F.col("_twice")
-    return out.join(twice, on, "left_anti").unionByName(
-        out.join(twice, on, "left_semi").dropDuplicates([id_col]))
+        return unpacked(out)
+    on = F.col("doc_id") == F.col("twice")
+    return unpacked(out.join(twice, on, "left_anti").unionByName(
+        out.join(twice, on, "left_semi").dropDuplicates(["doc_id"])))

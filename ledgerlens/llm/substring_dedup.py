@@ -423,21 +423,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     Untouched texts come back as they are; edge cases are those of ``removal_report``.
     """
-    _, cut = _find(docs, id_col, text, window, gram, docs.columns, anchor_words, shard_words)
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*others or [F.lit(0)]).alias("_row"), F.col(id_col).alias("doc_id"),
+                       F.col(text).alias("text"))
+    _, cut = _find(rows, "doc_id", "text", window, gram, ["_row"], anchor_words, shard_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t_at = b.schema.get_field_index(text)
-            texts = []
-            for t, spans in zip(b.column(t_at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                texts.append(cut_text(t, _covered(len(_split(t)), spans, window)))
-            cols = [pa.array(texts, pa.string()) if i == t_at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
-
-    keyed_schema = row_key(docs, id_col, text).select("_k1", "_k2", *docs.columns).schema
-    changed = persisted(cut.select("_k1", "_k2", *docs.columns, "_spans").mapInArrow(run, keyed_schema))
+            texts = [cut_text(t, _covered(len(_split(t)), spans, window))
+                     for t, spans in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.string())],
+                                             ["_k1", "_k2", "_row", "text"])
+
+    schema = row_key(rows, "doc_id", "text").select("_k1", "_k2", "_row", "text").schema
+    changed = persisted(cut.select("_k1", "_k2", "_row", "text", "_spans").mapInArrow(run, schema))
     gone = small(persisted(changed.select("_k1", "_k2").distinct()))
-    rest = row_key(docs, id_col, text).join(gone, ["_k1", "_k2"], "left_anti")
-    if n_chars and n_chars in docs.columns:
-        changed = changed.withColumn(n_chars, F.char_length(F.col(text)).cast(docs.schema[n_chars].dataType))
-    return rest.select(*docs.columns).unionByName(changed.select(*docs.columns))
+    rest = row_key(rows, "doc_id", "text").join(gone, ["_k1", "_k2"], "left_anti")
+
+    def out(df: DataFrame, anew: bool) -> DataFrame:
+        count = F.char_length("text")
+        return df.select(*[
+            F.col("text").alias(c) if c == text else
+            count.cast(docs.schema[c].dataType).alias(c) if anew and c == n_chars else
+            F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+    return out(rest, False).unionByName(out(changed, True))
