@@ -111,3 +111,10 @@ def folded_mean_ship_days(ship="ship_date", order="order_date") -> Column:
     """AVG(DATEDIFF(ship, order)) over the lines, from folded orders."""
     return F.try_divide(F.sum(folded_ship_days(ship, order)).cast("double"),
                         F.sum(f"{ship}_n"))
+
+
+def same_text(x, value, ignore_case: bool = False) -> Column:
+    """``x == value``; text without regard to case if asked for."""
+    if ignore_case and isinstance(value, str):
+        return F.lower(c(x)) == F.lower(F.lit(value))
+    return c(x) == F.lit(value)

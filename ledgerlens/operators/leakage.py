@@ -122,14 +122,17 @@ def discount_cap_recovery(df: DataFrame, cap: float = 0.30) -> DataFrame:
                         "loss_recovered_if_discount_capped")
 
 
-def drop_segment_recovery(df: DataFrame, region: str, sub_category: str) -> DataFrame:
+def drop_segment_recovery(df: DataFrame, region: str, sub_category: str,
+                          ignore_case: bool = False) -> DataFrame:
     """What-if: stop one sub-category in one region (P20)."""
-    cond = (F.col("region") == F.lit(region)) & (F.col("sub_category") == F.lit(sub_category))
+    cond = (M.same_text("region", region, ignore_case)
+            & M.same_text("sub_category", sub_category, ignore_case))
     return recovered_if(df, cond, "loss_recovered", with_count="orders_affected")
 
 
-def drop_segment_recovery_folded(per_order: DataFrame, region: str) -> DataFrame:
+def drop_segment_recovery_folded(per_order: DataFrame, region: str, ignore_case: bool = False
+                                 ) -> DataFrame:
     """P20 over losing lines of the sub-category already summed per order; the
     region, an order-level column, is tested after the fold."""
-    return recovered_if(per_order, F.col("region") == F.lit(region), "loss_recovered",
+    return recovered_if(per_order, M.same_text("region", region, ignore_case), "loss_recovered",
                         with_count="orders_affected", folded=True)

@@ -40,11 +40,15 @@ def suspect_rows(df: DataFrame, columns: list[str], sales: str = "sales",
     return df.where(cond).select(*columns)
 
 
-def lookup(df: DataFrame, columns: list[str] | None = None, **equals) -> DataFrame:
-    """Rows matching every ``column == value`` (C09, C19); pushed to the scan."""
+def lookup(df: DataFrame, columns: list[str] | None = None, ignore_case: bool = False,
+           **equals) -> DataFrame:
+    """Rows matching every ``column == value`` (C09, C19); pushed to the scan.
+
+    ``ignore_case`` compares text as the reference's database does.
+    """
     cond: Column | None = None
     for k, v in equals.items():
-        term = F.col(k) == F.lit(v)
+        term = M.same_text(k, v, ignore_case)
         cond = term if cond is None else cond & term
     out = df.where(cond) if cond is not None else df
     return out.select(*columns) if columns else out

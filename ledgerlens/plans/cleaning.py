@@ -35,9 +35,9 @@ DUPLICATE_KEYS = ["order_id", "product_id", "sales", "quantity", "discount"]
 DEDUPE_KEYS = ["order_id", "customer_id", "product_id", "sales", "quantity", "discount", "profit"]
 DEDUPE_ORDER = [c for c in ROW_ORDER if c not in DEDUPE_KEYS]
 
-TEXT_COLS = ["ship_mode", "customer_name", "segment", "state", "region", "category",
-             "sub_category", "product_name"]
-NULL_ONLY_COLS = ["order_id", "customer_id", "product_id", "order_date", "ship_date"]
+TEXT_COLS = ["order_id", "ship_mode", "customer_id", "customer_name", "segment", "country", "city",
+             "state", "postal_code", "region", "product_id", "category", "sub_category", "product_name"]
+NULL_ONLY_COLS = ["order_date", "ship_date"]
 
 
 def _null_sql() -> str:
@@ -86,7 +86,7 @@ def c20(spark, d):
     return D.snapshot(sales_lines(spark, d), path).select(*money_out(SALES_COLUMNS))
 
 
-@register("c04_clean_sales", SCAN_SQL, ("C02", "C03", "C04", "C10"))
+@register("c04_clean_sales", SCAN_SQL, "C04")
 def c04(spark, d):
     """The clean job over the typed view: already-typed columns pass through."""
     return clean_orders(sales_lines(spark, d)).select(*money_out(SALES_COLUMNS))
@@ -109,13 +109,15 @@ def c09(spark, d):
                     F.round("sales", 2).cast("double").alias("sales_rounded"))
 
 
-_SUSPECT_COLS = ["order_id", "line_number", "product_id", "supplier_id", "state", "region", "sales"]
+_SUSPECT_COLS = ["order_id", "line_number", "product_id", "supplier_id", "state", "region",
+                 "postal_code", "sales"]
 
 
 @register("c11_suspect_rows", with_sales(f"""
-    SELECT {money_out_sql(_SUSPECT_COLS)} FROM sales WHERE coalesce(sales, 0) = 0"""), "C11")
+    SELECT {money_out_sql(_SUSPECT_COLS)} FROM sales
+    WHERE coalesce(sales, 0) = 0 OR TRY_CAST(postal_code AS INTEGER) = 0"""), "C11")
 def c11(spark, d):
-    s = Q.suspect_rows(sales_lines(spark, d, _SUSPECT_COLS), _SUSPECT_COLS, postal_code=None)
+    s = Q.suspect_rows(sales_lines(spark, d, _SUSPECT_COLS), _SUSPECT_COLS)
     return s.select(*money_out(_SUSPECT_COLS))
 
 

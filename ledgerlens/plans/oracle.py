@@ -21,6 +21,9 @@ SALES_SQL = """
         c.c_mktsegment AS segment,
         n.n_name AS state,
         r.r_name AS region,
+        r.r_name AS country,
+        n.n_name AS city,
+        CAST(c.c_custkey % 500 AS VARCHAR) AS postal_code,
         p.p_type AS category,
         p.p_brand AS sub_category,
         p.p_name AS product_name,

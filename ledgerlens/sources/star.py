@@ -61,6 +61,9 @@ _NEEDS = {
     "segment": {"lineitem", "orders", "customer"},
     "state": {"lineitem", "orders", "customer", "nation"},
     "region": {"lineitem", "orders", "customer", "nation", "region"},
+    "country": {"lineitem", "orders", "customer", "nation", "region"},
+    "city": {"lineitem", "orders", "customer", "nation"},
+    "postal_code": {"lineitem", "orders", "customer"},
 }
 
 SALES_COLUMNS = [
@@ -71,6 +74,12 @@ SALES_COLUMNS = [
     "quantity", "discount", "sales", "profit",
 ]
 
+# The rest of the address, for the audits: the star has no finer place than the nation,
+# so it stands for the city and its region for the country; the postal code is made from
+# the customer key (0 for one customer in 500, as the raw export has it).
+ADDRESS_COLUMNS = ["country", "city", "postal_code"]
+POSTAL_CODES = 500
+
 # The line key: (orderkey, linenumber) repeats in the test tables, and even with
 # part and supplier a few lines repeat at the smallest scale.
 LINE_KEY = ["order_id", "line_number", "product_id", "supplier_id"]
@@ -185,17 +194,20 @@ def order_dimension(spark: SparkSession, sf_dir: str, need: set[str]) -> DataFra
             F.col("c_name").alias("customer_name"),
             F.col("c_mktsegment").alias("segment"),
             F.col("c_nationkey").alias("_nationkey"),
+            (F.col("c_custkey") % POSTAL_CODES).cast("string").alias("postal_code"),
         )
         if "nation" in need:
             nation = _table(spark, sf_dir, "nation").select(
                 F.col("n_nationkey").alias("_nationkey"),
                 F.col("n_name").alias("state"),
+                F.col("n_name").alias("city"),
                 F.col("n_regionkey").alias("_regionkey"),
             )
             if "region" in need:
                 region = _table(spark, sf_dir, "region").select(
                     F.col("r_regionkey").alias("_regionkey"),
                     F.col("r_name").alias("region"),
+                    F.col("r_name").alias("country"),
                 )
                 nation = nation.join(region, "_regionkey")
             cust = cust.join(nation, "_nationkey")
@@ -308,7 +320,7 @@ def materialize_sales(spark: SparkSession, sf_dir: str, path: str, mode: str = "
     clustered by order inside each year, so order-grain folds combine early.
     """
     state = source_state(spark, sf_dir)  # before the read: later files make it stale
-    flat = sales_lines(spark, sf_dir, [*SALES_COLUMNS, "list_price"]).withColumn("order_year", F.year("order_date"))
+    flat = sales_lines(spark, sf_dir, [*SALES_COLUMNS, *ADDRESS_COLUMNS, "list_price"]).withColumn("order_year", F.year("order_date"))
     # range partitions hold contiguous (year, order) ranges, so each task writes
     # into one or two year folders instead of all of them (few, large files)
     (flat.repartitionByRange("order_year", "order_id").sortWithinPartitions("order_id")
@@ -332,4 +344,4 @@ def _flat_table(spark: SparkSession, sf_dir: str) -> DataFrame | None:
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """The materialized flat table, in the column order of ``sales_lines``."""
-    return spark.read.parquet(path).select(*SALES_COLUMNS, "list_price", "order_year")
+    return spark.read.parquet(path).select(*SALES_COLUMNS, *ADDRESS_COLUMNS, "list_price", "order_year")

@@ -4,9 +4,12 @@ import contextlib
 import io
 import os
 import re
+from collections import Counter
 
 import pytest
 
+from ledgerlens.plans.registry import load_all
+
 from __spark_entry__ import queries
 from ledgerlens.sources.raw_csv import RAW_HEADER
 from ledgerlens.streaming.ingest import start_ingest
@@ -41,7 +44,7 @@ def _single_partition_over_raw_rows(plan: str) -> list[str]:
     return bad
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(queries())
+@pytest.mark.parametrize("name", [n for n in sorted(load_all())
                                   if not n.startswith(("c01_", "c20_"))])  # those two write files
 def test_no_single_task_over_sale_lines(spark, name):
     plan = plan_text(queries()[name](spark, SF_SMALL))
@@ -67,6 +70,25 @@ def test_small_dimensions_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan
 
 
+SCANS = {  # scans of each star table, no more than the report needs
+    "e02_revenue_profit_margin": {"lineitem": 1, "part": 1},
+    "e09_distinct_categories": {"lineitem": 1, "part": 1},
+    "i11_product_popularity": {},  # lines are folded and checkpointed while it is built
+    "i12_never_full_price_products": {"lineitem": 1, "part": 1},
+    "c14_extra_lines_per_order": {"lineitem": 1, "orders": 1, "customer": 1},
+    "c13_rows_of_repeated_orders": {"lineitem": 2, "part": 1, "orders": 1, "customer": 1, "nation": 1, "region": 1},
+    "p07_worst_discounted_line_per_order": {"lineitem": 1, "part": 1, "orders": 1, "customer": 1, "nation": 1, "region": 1},
+    "c21_dedupe_lines": {"lineitem": 1, "part": 1, "orders": 1, "customer": 1, "nation": 1, "region": 1},
+}
+
+
+@pytest.mark.parametrize("name", sorted(SCANS))
+def test_tables_are_scanned_no_more_than_needed(spark, name):
+    plan = plan_text(queries()[name](spark, SF_SMALL))
+    found = Counter(re.findall(r"FileScan parquet .*?/(\w+)\.parquet\]", plan))
+    assert dict(found) == SCANS[name]
+
+
 def test_top_k_is_take_ordered(spark):
     plan = plan_text(queries()["e28_loss_making_products"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in plan
