@@ -225,7 +225,7 @@ _DEDUPED_SQL = f"""deduped AS (
     WITH {_DEDUPED_SQL}
     SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
 def c21(spark, d):
-    return _deduped(spark, d, sales_lines(spark, d, LINE_COLUMNS)).select(*money_out(SALES_COLUMNS))
+    return _deduped(spark, d, sales_lines(spark, d, LINE_COLUMNS, salt_parts=True)).select(*money_out(SALES_COLUMNS))
 
 
 # Every line doubled has one true duplicate: de-duplicating gives the de-duplicated view
@@ -234,7 +234,7 @@ def c21(spark, d):
     WITH {_DEDUPED_SQL}
     SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
 def c21b(spark, d):
-    lines = sales_lines(spark, d, LINE_COLUMNS)
+    lines = sales_lines(spark, d, LINE_COLUMNS, salt_parts=True)
     return _deduped(spark, d, lines.unionByName(lines)).select(*money_out(SALES_COLUMNS))
 
 
@@ -244,6 +244,6 @@ def c21b(spark, d):
     GROUP BY {", ".join(DEDUPE_KEYS)} HAVING COUNT(*) > 1"""), "C22")
 def c22(spark, d):
     need = [c for c in dict.fromkeys([*DEDUPE_KEYS, *DEDUPE_ORDER]) if c in LINE_COLUMNS]
-    lines = sales_lines(spark, d, need)
+    lines = sales_lines(spark, d, need, salt_parts=True)
     left = D.repeated_keys(_deduped(spark, d, lines.unionByName(lines)), DEDUPE_KEYS)
     return left.select(*money_out(DEDUPE_KEYS), "total")

@@ -73,8 +73,9 @@ def r02(spark, d):
         FROM sales) t
     WHERE rw_no = 1 ORDER BY order_id, line_number"""), "R03")
 def r03(spark, d):
-    # the customer's highest order id as text is found among the orders that have lines;
-    # only the lines of those orders are picked from, and parts join the picks
+    # the customer's highest order id as text is found among the orders that have lines; a
+    # partial aggregate folds each order's lines to its first one (a hot order too) before
+    # the shuffle, the chosen orders' lines stay, and parts join only those
     line_only = [c for c in LINE_COLUMNS if c in LINEITEM_COLUMNS]
     held = sales_lines(spark, d, ["order_id"]).distinct()
     orders = order_dimension(spark, d, {"orders", "customer", "nation", "region"}).select(
@@ -82,8 +83,8 @@ def r03(spark, d):
     top = orders.withColumn("_text", F.col("order_id").cast("string")).groupBy("customer_name").agg(
         F.max("_text").alias("_text"))
     chosen = top.select(F.col("_text").cast("long").alias("order_id")).distinct()
-    lines = sales_lines(spark, d, [*line_only, "list_price"]).join(chosen, "order_id", "left_semi")
-    picks = first_per_group(lines, ["order_id"], ROW_ORDER)
+    lines = sales_lines(spark, d, [*line_only, "list_price"])
+    picks = first_per_group(lines, ["order_id"], ROW_ORDER).join(chosen, "order_id", "left_semi")
     full = with_part_columns(spark, d, picks).join(orders, "order_id")
     return full.withColumn("rw_no", F.lit(1).cast("long")).select(
         *money_out(SALES_COLUMNS), "rw_no").orderBy("order_id", "line_number")
