@@ -202,15 +202,15 @@ def c19(spark, d):
     return s.select(*money_out(SALES_COLUMNS))
 
 
-def _deduped(spark, d, lines):
-    """Lines de-duplicated on the seven columns, with their order columns.
+# The customer is a property of the order, so the key without it is the same key: lines are
+# de-duplicated before the order join, where the partial aggregate folds a hot order's
+# duplicates and a join-first plan would put all of its lines in one task.
+_LINE_DEDUPE_KEYS = [c for c in DEDUPE_KEYS if c != "customer_id"]
 
-    The customer is a property of the order, so the key without it is the same key. The
-    partial aggregate folds a hot order's duplicates before the order join, where a
-    join-first plan would put all of its lines in one task.
-    """
-    key = [c for c in DEDUPE_KEYS if c != "customer_id"]
-    return with_order_columns(spark, d, D.dedupe(lines, key, DEDUPE_ORDER))
+
+def _deduped(spark, d, lines):
+    """Lines de-duplicated on the seven columns, with their order columns."""
+    return with_order_columns(spark, d, D.dedupe(lines, _LINE_DEDUPE_KEYS, DEDUPE_ORDER))
 
 
 _DEDUPED_SQL = f"""deduped AS (
@@ -245,5 +245,6 @@ def c21b(spark, d):
 def c22(spark, d):
     need = [c for c in dict.fromkeys([*DEDUPE_KEYS, *DEDUPE_ORDER]) if c in LINE_COLUMNS]
     lines = sales_lines(spark, d, need, salt_parts=True)
-    left = D.repeated_keys(_deduped(spark, d, lines.unionByName(lines)), DEDUPE_KEYS)
+    kept = D.dedupe(lines.unionByName(lines), _LINE_DEDUPE_KEYS, DEDUPE_ORDER)
+    left = with_order_columns(spark, d, D.repeated_keys(kept, _LINE_DEDUPE_KEYS), ["customer_id"])
     return left.select(*money_out(DEDUPE_KEYS), "total")
