@@ -1,4 +1,8 @@
-"""Period totals and growth against the previous period."""
+"""Period totals and growth against the previous period.
+
+Fixed values: the output column names are those of the reports that users of the reference
+read today.
+"""
 
 from __future__ import annotations
 

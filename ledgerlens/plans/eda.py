@@ -1,4 +1,8 @@
-"""KPIs, dimension breakdowns and trends."""
+"""KPIs, dimension breakdowns and trends.
+
+Fixed values: the output column names are those of the reports that users of the reference
+read today.
+"""
 
 from __future__ import annotations
 
