@@ -35,10 +35,10 @@ from ledgerlens.llm.common import persisted
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Neighbouring ids in a chunk, and spreads of the rows without an id.
-CHUNK_IDS = 2048
+CHUNK_IDS = 4096
 NULL_CHUNKS = 64
-#: A task passes on its counts at so many entries.
-COUNTS = 300_000
+#: A task passes on its counts at so many entries, those of earlier chunks first.
+COUNTS = 600_000
 ROUNDS = 1
 SMOOTHING = 0.1         # added to each piece's expected count
 END = "</s>"
@@ -183,9 +183,11 @@ def chunk_counts(chunked: DataFrame) -> DataFrame:
                     own.update(_split(t))
                 entries += len(own) - before
                 if entries > COUNTS:
+                    if len(counts) > 1:  # ids mostly come in order: earlier chunks are done
+                        del counts[chunk]
                     yield from _count_batches(counts)
-                    counts.clear()
-                    entries = 0
+                    counts = defaultdict(Counter, {chunk: own} if chunk not in counts else {})
+                    entries = sum(map(len, counts.values()))
         yield from _count_batches(counts)
 
     return chunked.select("chunk", "held_out", "text").mapInArrow(
