@@ -43,11 +43,11 @@ GRAM = 8
 #: Longer runs are cut into pieces of so many windows.
 RUN = 512
 #: An anchor with more words of different fragments is cut into single windows.
-ANCHOR_WORDS = 100_000
+ANCHOR_WORDS = 30_000
 #: A task closes a reference shard at so many words.
 SHARD_WORDS = 50_000
 #: Cached word hashes of a task.
-CACHE = 1_000_000
+CACHE = 200_000
 
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
