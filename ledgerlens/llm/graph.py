@@ -10,7 +10,8 @@ from ledgerlens.llm.common import persisted
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # stored, so that the join reads two plain shuffles and a hub's edges can be split
+    least = persisted(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     return (both.join(least, "a").where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
 

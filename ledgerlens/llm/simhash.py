@@ -315,7 +315,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     edges = links(fps.select("fp"), fps.count(), radius)
     roots = components(edges).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # stored, so that a large component can be split over tasks in the join
+    least = persisted(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     group_of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return of_doc.join(group_of, "fp").select(
         "doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
