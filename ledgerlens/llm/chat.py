@@ -25,18 +25,17 @@ def prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
              text: str = "text") -> DataFrame:
     """(conv_id, n, h1, h2): the hashes of each conversation's first n turns.
 
-    Turns are ordered by turn number (nulls first), then role and text. Null roles and
-    texts hash like empty ones of their own kind.
+    Turns are ordered by turn number (nulls first), then by hash. Null roles and
+    texts hash like empty ones. Texts are hashed in the scan; only hashes are shuffled.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in (role, text)]
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
-                        F.col(role).alias("role"), F.col(text).alias("text"))
-    placed = rows.withColumn("n", F.row_number().over(w))
-    parts = ["n", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
-    hashed = placed.select("conv_id", "n", F.xxhash64(F.lit(1), *parts).alias("a"),
-                           F.xxhash64(F.lit(2), *reversed(parts)).alias("b"))
+                        F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+    placed = rows.withColumn("n", F.row_number().over(
+        Window.partitionBy("conv_id").orderBy("turn", "a", "b")))
+    salted = placed.select("conv_id", "n", F.xxhash64("n", "a").alias("a"), F.xxhash64("n", "b").alias("b"))
     upto = Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    return hashed.select("conv_id", "n", F.bit_xor("a").over(upto).alias("h1"),
+    return salted.select("conv_id", "n", F.bit_xor("a").over(upto).alias("h1"),
                          F.bit_xor("b").over(upto).alias("h2"))
 
 
@@ -61,7 +60,7 @@ def render(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     """(conv_id, n_turns, n_copies, rendered) of the maximal conversations.
 
     Edge cases: a null text is rendered empty, a null role as ``unknown``; turns with the
-    same number are ordered by role and text, repeated rows are turns of their own; null
+    same number are rendered by role and text, repeated rows are turns of their own; null
     conversation ids form one conversation; an empty table gives an empty result; other
     columns play no part. A conversation is one output value, so it has to fit one row.
     """
