@@ -7,27 +7,33 @@
    merged, what is missing on either side becomes optional, what occurs more than once in
    a row becomes a repeat, and texts become slots. The result is a union-free regular
    expression per host, such as ``<body><nav>..</nav>(<div.ad>#</div>)?<article><h1>#</h1>
-   (<p>#</p>)+</article></body>``. A slot keeps how much text it held, and in links.
+   (<p>#</p>)+</article></body>``. A slot keeps how much text it held, how much of it in
+   links, and the texts that all pages have in it.
 3. Wrappers are built over all pages: partial ones in each task, merged by host in two
    steps, so a host with a third of the pages is folded before it is shuffled. Element
-   labels come from a fixed set, which bounds a wrapper's size by the pages' depth.
-4. The wrapper decides which slots hold the article: those inside the host's article or
-   main element, else those of its body, less marked elements (menus, adverts, notices,
-   comments, ..) and slots that hold mostly links. Each page's texts are read through the
-   slots of its host.
+   labels come from a fixed set, which bounds a wrapper's size by the pages' depth; the
+   common texts only get fewer with more pages.
+4. The wrapper decides what is read: texts that all pages of the host repeat in a slot are
+   its template, the others may be the article. Of these the slots inside the host's
+   article or main element count, else those of its body; tags and marks (menus, adverts,
+   notices, comments, ..) and slots that hold mostly links are left out as a further hint.
+5. Each page's streams are matched to its host's wrapper, and the page's texts are read by
+   the verdicts of the slots that they fall in.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import persisted, small
-from ledgerlens.llm.html_tree import SILENT, Node, tree
+from ledgerlens.llm.html_tree import BLOCKS, SILENT, Node, tree
 from ledgerlens.llm.url_filter import url_parts
 
 #: A slot outside an article whose text is in links to this share is a menu.
@@ -36,35 +42,87 @@ LINK_SHARE = 0.6
 GROUP = 4
 SALTS = 32
 #: Hosts whose wrappers are sent to every task; more are joined by host.
-HOSTS = 20_000
+HOSTS = 2_000
+#: Wrappers that a task holds ready to read with.
+READ = 256
+#: So many distinct pages tell a template for certain. Fewer may be copies of one page, if
+#: more than a share of ``COPIES`` of their text is common.
+FEW = 8
+COPIES = 0.75
 
 # A wrapper element is [label, items]; an item is [element, least, most]. A text slot is
-# the element ["#", [characters, characters in links]]; a group is ["()", items].
-
-
-def _slot(chars: int, linked: int) -> list:
-    return [["#", [chars, linked]], 1, 1]
+# the element ["#", [characters, characters in links, pages, texts, times]]: ``pages`` are digests
+# of distinct pages that hold it, at most ``FEW``; ``texts`` are the digests and lengths of
+# the texts that all of these pages have in it; ``times`` counts pages with repetition. A
+# group is ["()", items]. The root has a third member, [pages, characters, distinct pages]. Trees are walked without recursion:
+# ``_run`` keeps the generators that wait for a part on a list, so any depth will do.
+
+
+def _run(call: Generator):
+    waiting, value = [call], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(value))
+            value = None
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+    return value
+
+
+def _plain(texts: list[str]) -> str:
+    return " ".join("".join(texts).split())
+
+
+def _digest(text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _page(root: Node) -> list:
+    """[1, characters, [digest]] of the page's texts, less what is marked or in links: pages
+    that differ in adverts and menus only are copies. A page of nothing else counts whole."""
+    for part in (True, False):
+        texts, todo = [], [root]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, tuple):
+                if not (part and x[1]):
+                    texts.append(x[0])
+            elif not (part and _dropped(x.label)):
+                todo += reversed(x.items)
+        text = _plain(texts)
+        if text:
+            return [1, len(text) - text.count(" "), [_digest(text)]]
+    return [1, 0, []]
 
 
 def _signature(element: list) -> str:
-    label, items = element
+    label, items = element[:2]
     return "(" + " ".join(_signature(i[0]) for i in items) + ")" if label == "()" else label
 
 
 def skeleton(node: Node) -> list:
-    """The wrapper of one element of one page."""
+    """The wrapper of one page."""
+    page = _page(node)
+    return [*_run(_skeleton(node, page[2])), page]
+
+
+def _skeleton(node: Node, pages: list[str]) -> Generator:
     items: list = []
+    texts: list[str] = []
     chars = linked = 0
     for x in [*node.items, None]:
         if isinstance(x, tuple):
             n = len(x[0]) - x[0].count(" ")
             chars, linked = chars + n, linked + n * x[1]
+            texts.append(x[0])
             continue
-        if chars:
-            items.append(_slot(chars, linked))
-            chars = linked = 0
+        text = _plain(texts) if chars else ""
+        if text:
+            items.append([["#", [chars, linked, pages, {_digest(text): len(text) - text.count(" ")}, 1]], 1, 1])
+        texts, chars, linked = [], 0, 0
         if x is not None:
-            items.append([skeleton(x), 1, 1])
+            items.append([(yield _skeleton(x, pages)), 1, 1])
     return [node.label, fold(items)]
 
 
@@ -81,7 +139,7 @@ def fold(items: list) -> list:
 
 
 def _join_repeat(a: list, b: list) -> list:
-    return [merge(a[0], b[0]), a[1] + b[1], a[2] + b[2]]
+    return [_run(_merge(a[0], b[0], True)), a[1] + b[1], a[2] + b[2]]
 
 
 def _fold_groups(items: list, size: int) -> list:
@@ -99,7 +157,8 @@ def _fold_groups(items: list, size: int) -> list:
         body = items[i:i + size]
         for t in range(1, times):
             other = items[i + t * size:i + (t + 1) * size]
-            body = [[merge(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2])] for a, b in zip(body, other)]
+            body = [[_run(_merge(a[0], b[0], True)), min(a[1], b[1]), max(a[2], b[2])]
+                    for a, b in zip(body, other)]
         out.append([["()", body], times, times])
         i += times * size
     return out
@@ -107,16 +166,38 @@ def _fold_groups(items: list, size: int) -> list:
 
 def merge(a: list, b: list) -> list:
     """The wrapper that covers two elements of one label."""
+    return _run(_merge(a, b))
+
+
+def _distinct(a: list[str], b: list[str]) -> list[str]:
+    return a if a == b else sorted({*a, *b})[:FEW]
+
+
+def _merge_slots(a: list, b: list, same: bool) -> list:
+    """What both have stays common; within the same page the texts of a repeat add up."""
+    texts = {**a[3], **b[3]} if same else {t: n for t, n in a[3].items() if t in b[3]}
+    times = 1 if same else a[4] + b[4]
+    return [a[0] + b[0], a[1] + b[1], _distinct(a[2], b[2]), texts, times]
+
+
+def _merge(a: list, b: list, same: bool = False) -> Generator:
     if a[0] == "#":
-        return ["#", [a[1][0] + b[1][0], a[1][1] + b[1][1]]]
-    return [a[0], align(a[1], b[1])]
+        return ["#", _merge_slots(a[1], b[1], same)]
+    out = [a[0], (yield _align(a[1], b[1], same))]
+    if len(a) > 2 and len(b) > 2:
+        (n, chars, pages), (m, more, others) = a[2], b[2]
+        out.append([n + m, chars + more, _distinct(pages, others)])
+    return out
 
 
-def align(a: list, b: list) -> list:
+def _align(a: list, b: list, same: bool) -> Generator:
     """Two item streams as one: matches merged, the rest optional."""
     x, y = [_signature(i[0]) for i in a], [_signature(i[0]) for i in b]
     if x == y:
-        return [[merge(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2])] for p, q in zip(a, b)]
+        out = []
+        for p, q in zip(a, b):
+            out.append([(yield _merge(p[0], q[0], same)), min(p[1], q[1]), max(p[2], q[2])])
+        return out
     n, m = len(x), len(y)
     longest = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -126,7 +207,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i] == y[j]:
-            out.append([merge(a[i][0], b[j][0]), min(a[i][1], b[j][1]), max(a[i][2], b[j][2])])
+            out.append([(yield _merge(a[i][0], b[j][0], same)), min(a[i][1], b[j][1]), max(a[i][2], b[j][2])])
             i, j = i + 1, j + 1
         elif j == m or i < n and longest[i + 1][j] >= longest[i][j + 1]:
             out.append([a[i][0], 0, a[i][2]])
@@ -134,28 +215,29 @@ def align(a: list, b: list) -> list:
         else:
             out.append([b[j][0], 0, b[j][2]])
             j += 1
-    return _settle(out)
-
-
-def _settle(items: list) -> list:
-    """Neighbours that became equal fold into one repeat, which keeps wrappers small."""
-    out: list = []
-    for item in items:
-        if out and _signature(out[-1][0]) == _signature(item[0]):
-            out[-1] = [merge(out[-1][0], item[0]), min(out[-1][1], item[1]), max(out[-1][2], item[2])]
+    # neighbours that became equal fold into one repeat, which keeps wrappers small
+    settled: list = []
+    for item in out:
+        if settled and _signature(settled[-1][0]) == _signature(item[0]):
+            last = settled[-1]
+            settled[-1] = [(yield _merge(last[0], item[0], same)), min(last[1], item[1]), max(last[2], item[2])]
         else:
-            out.append(item)
-    return out
+            settled.append(item)
+    return settled
 
 
 def expression(element: list) -> str:
     """The wrapper as a regular expression over tags and text slots (``#``)."""
-    label, items = element
+    return _run(_expression(element))
+
+
+def _expression(element: list) -> Generator:
+    label, items = element[:2]
     if label == "#":
         return "#"
     body = ""
     for inner, least, most in items:
-        one = expression(inner)
+        one = yield _expression(inner)
         sign = {(1, 1): "", (0, 1): "?"}.get((min(least, 1), min(most, 2)), "*" if least == 0 else "+")
         if sign:
             one = f"{one}{sign}" if inner[0] == "()" else f"({one}){sign}"
@@ -163,74 +245,196 @@ def expression(element: list) -> str:
     return f"({body})" if label == "()" else f"<{label}>{body}</{label.partition('.')[0]}>"
 
 
+def dumps(element: list) -> str:
+    """JSON of an element of any depth: its parts one after the other, not inside each other."""
+    out: list = []
+    todo = [[element, 1, 1]]
+    while todo:
+        (label, items, *rest), least, most = todo.pop()
+        out += [label, least, most, rest, items if label == "#" else len(items)]
+        if label != "#":
+            todo += reversed(items)
+    return json.dumps(out, separators=(",", ":"))
+
+
+def loads(text: str) -> list:
+    parts = json.loads(text)
+    top: list = []
+    todo = [(top, 1)]
+    for at in range(0, len(parts), 5):
+        label, least, most, rest, items = parts[at:at + 5]
+        while len(todo[-1][0]) == todo[-1][1]:
+            todo.pop()
+        inner = items if label == "#" else []
+        todo[-1][0].append([[label, inner, *rest], least, most])
+        if label != "#":
+            todo.append((inner, items))
+    return top[0][0]
+
+
 def _dropped(label: str) -> bool:
     tag, _, mark = label.partition(".")
     return tag in SILENT or bool(mark) and tag not in ("body", "html", "article", "main")
 
 
-def article_slots(wrapper: list) -> dict:
-    """{"main": label of the element that holds the article, "menus": paths of link slots}."""
-    found: dict[str, int] = {}
-    texts: dict[str, list[int]] = {}
+def _told(wrapper: list) -> bool:
+    """Whether texts that all pages share are the host's template. Of a few pages that have
+    nearly all their text in common it cannot be told: they may be copies of one."""
+    times, chars, pages = wrapper[2]
+    if len(pages) < 2 or len(pages) == FEW:
+        return len(pages) == FEW
+    shared, todo = 0, [wrapper]
+    while todo:
+        label, items = todo.pop()[:2]
+        if label == "#":
+            shared += sum(items[3].values()) if items[2] == pages else 0
+        elif not _dropped(label):
+            todo += [i[0] for i in items]
+    return shared * times <= COPIES * chars
+
+
+def article_slots(wrapper: list) -> list:
+    """The wrapper with a verdict in each slot, [level, texts]: texts of level 0 are the
+    article, those of level 1 are read from pages that have no level 0, those of level 2
+    never; ``texts`` are the template's. An element's third member is its least level."""
+    pages, told = wrapper[2][2], _told(wrapper)
+    found: list = []
 
-    def walk(element: list, path: str, inside: tuple[str, ...]) -> int:
-        label, items = element
+    def walk(element: list, inside: frozenset[str]) -> Generator:
+        label, items = element[:2]
         if label == "#":
-            chars, linked = items
-            if not any(t in ("article", "main") for t in inside):
-                seen = texts.setdefault(path, [0, 0])
-                seen[0], seen[1] = seen[0] + chars, seen[1] + linked
-            return chars
+            chars, linked, held, texts, times = items
+            if not told or len(held) < len(pages):
+                texts = {}
+            menu = chars > 0 and linked / chars >= LINK_SHARE
+            slot = ["#", [2, sorted(texts)]]
+            found.append((slot, inside, max(0, chars - times * sum(texts.values())), menu))
+            return slot
         if _dropped(label):
-            return 0
-        tag = label.partition(".")[0]
-        here = path if label == "()" else f"{path}/{tag}"
-        total = sum(walk(i[0], here, (*inside, tag)) for i in items)
-        if tag in ("article", "main"):
-            found[tag] = found.get(tag, 0) + total
-        return total
-
-    walk(wrapper, "", ())
-    main = next((t for t in ("article", "main") if found.get(t)), "")
-    menus = [p for p, (c, k) in texts.items() if c and k / c >= LINK_SHARE]
-    return {"main": main, "menus": sorted(menus)}
-
-
-def extract(page: str | None, slots: dict) -> str:
-    """The article of a page: its blocks' texts joined by line breaks."""
-    blocks: list[str] = []
-    line: list[str] = []
-    menus = set(slots["menus"])
-
-    def end() -> None:
-        text = " ".join("".join(line).split())
-        if text:
-            blocks.append(text)
-        line.clear()
+            return [label, [], 2]
+        out, tag = [], label.partition(".")[0]
+        for inner, least, most in items:
+            out.append([(yield walk(inner, inside | {tag} & {"article", "main"})), least, most])
+        return [label, out, 2]
+
+    out = _run(walk(wrapper, frozenset()))
+    main = next((t for t in ("article", "main") if any(n for _, inside, n, _ in found if t in inside)), "")
+    for slot, inside, _, menu in found:
+        slot[1][0] = 0 if main in inside or not main and not menu else 2 if menu else 1
+    _run(_levels(out))
+    return out
+
 
-    def walk(node: Node, path: str, inside: bool) -> None:
+def _levels(element: list) -> Generator:
+    if element[0] == "#":
+        return element[1][0]
+    for inner, _, _ in element[1]:
+        element[2] = min(element[2], (yield _levels(inner)))
+    return element[2]
+
+
+def _places(items: list, group: tuple[int, int] | None = None, at: int = 0) -> Iterator[tuple]:
+    """(element, span of the outermost group around it) of each place in a stream."""
+    for inner, _, _ in items:
+        if inner[0] == "()":
+            n = _width(inner)
+            yield from _places(inner[1], group or (at, at + n), at)
+            at += n
+        else:
+            yield inner, group
+            at += 1
+
+
+def _width(element: list) -> int:
+    return sum(_width(i[0]) for i in element[1]) if element[0] == "()" else 1
+
+
+class Stream:
+    """Matches a page's stream, item by item, to a wrapper's: each item goes to the first
+    place of its label that is not before the last one's, or again in the group there."""
+
+    __slots__ = ("places", "by_label", "at")
+
+    def __init__(self, element: list) -> None:
+        if len(element) == 3:
+            places = list(_places(element[1]))
+            by_label: dict[str, list[int]] = {}
+            for i, (inner, _) in enumerate(places):
+                by_label.setdefault(inner[0], []).append(i)
+            element.append((places, by_label))
+        self.places, self.by_label = element[3]
+        self.at = 0
+
+    def next(self, label: str) -> list | None:
+        ways = self.by_label.get(label)
+        if not ways:
+            return None
+        i = bisect_left(ways, self.at)
+        start, end = self.places[self.at][1] or (0, 0)
+        if start < end and (i == len(ways) or ways[i] >= end):
+            again = bisect_left(ways, start)
+            if ways[again] < self.at:
+                i = again
+        self.at = ways[min(i, len(ways) - 1)]
+        return self.places[self.at][0]
+
+
+def _read(root: Node, wrapper: list) -> Iterator[tuple[int, str] | None]:
+    """(level, text) of the page's texts by the slots they fall in; None ends a block."""
+    todo: list = [(root, wrapper, 2)]
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, tuple):
+            yield None
+            continue
+        node, element, level = x
+        if isinstance(node, str):
+            yield level, node
+            continue
         if _dropped(node.label):
-            return
-        tag = node.label.partition(".")[0]
-        here = f"{path}/{tag}"
-        inside = inside or not want or tag == want
-        block = "." not in node.label or tag != "span"
-        if block:
-            end()
-        for x in node.items:
-            if isinstance(x, Node):
-                walk(x, here, inside)
-            elif inside and (want or here not in menus):
-                line.append(x[0])
-        if block:
-            end()
-
-    root = tree(page)
-    want = slots["main"]
-    walk(root, "", False)
-    if not blocks and want:  # a page without the host's article element
-        want = ""
-        walk(root, "", True)
+            continue
+        # what the wrapper does not know is read like the element around it
+        level = element[2] if element else level
+        stream = Stream(element) if element else None
+        inner: list = [None]
+        texts: list[str] = []
+        for y in [*node.items, None]:
+            if isinstance(y, tuple):
+                texts.append(y[0])
+                continue
+            text = "".join(texts)
+            if text:
+                slot = stream.next("#") if stream and text.strip() else None
+                if not (slot and slot[1][1] and _digest(_plain(texts)) in slot[1][1]):
+                    inner.append((text, None, slot[1][0] if slot else level))
+            texts = []
+            if y is not None:
+                inner.append((y, stream.next(y.label) if stream else None, level))
+        if "." not in node.label or not node.label.startswith("span."):
+            inner.append(None)
+        else:
+            del inner[0]
+        todo += reversed(inner)
+
+
+def extract(page: str | None, slots: list) -> str:
+    """The article of a page: its blocks' texts joined by line breaks. A page without the
+    host's article is read whole, less menus and marked elements."""
+    parts = [*_read(tree(page), slots), None]
+    for level in (0, 1):
+        blocks: list[str] = []
+        line: list[str] = []
+        for part in parts:
+            if part is not None:
+                if part[0] <= level:
+                    line.append(part[1])
+                continue
+            text = _plain(line)
+            if text:
+                blocks.append(text)
+            line = []
+        if blocks:
+            break
     return "\n".join(blocks)
 
 
@@ -249,7 +453,7 @@ def _fold_wrappers(rows: Iterator[tuple[str, list]], limit: int = 2000) -> Itera
 
 def _batch(held: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())],
+        [pa.array(list(held), pa.string()), pa.array([dumps(w) for w in held.values()], pa.string())],
         ["host", "wrapper"])
 
 
@@ -262,7 +466,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
             yield _batch(held)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((h, json.loads(w)) for b in batches
+        rows = ((h, loads(w)) for b in batches
                 for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         last, now = None, None
         for host, wrapper in rows:  # sorted by host
@@ -279,9 +483,9 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     host, _ = url_parts(F.col(url))
     parts = pages.select(host.alias("host"), html).mapInArrow(partial, schema)
     salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    once = salted.repartition("host", "_salt").sortWithinPartitions("host", "_salt").select(
+    once = salted.repartition("host", "_salt").sortWithinPartitions("host", "_salt", "wrapper").select(
         "host", "wrapper").mapInArrow(combine, schema)
-    return once.repartition("host").sortWithinPartitions("host").mapInArrow(combine, schema)
+    return once.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(combine, schema)
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -295,12 +499,19 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     """
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = [json.dumps(article_slots(json.loads(w))) for w in b.column(1).to_pylist()]
+            slots = [dumps(article_slots(loads(w))) for w in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slots, pa.string())], ["_host", "_slots"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
         for b in batches:
-            texts = [extract(p, json.loads(s)) for p, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = []
+            for p, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if s not in held:
+                    if len(held) >= READ:
+                        held.clear()
+                    held[s] = loads(s)
+                texts.append(extract(p, held[s]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -388,6 +388,29 @@ def test_wrapper_of_a_host_is_union_free():
                                "(<dl>(<dt>#</dt><dd>#</dd>)+</dl>)?</article></body></#page>")
 
 
+def of_host(*pages):
+    """The texts of the pages of one host, read through its wrapper."""
+    w = None
+    for p in pages:
+        k = H.skeleton(T.tree(p))
+        w = k if w is None else H.merge(w, k)
+    slots = H.loads(H.dumps(H.article_slots(H.loads(H.dumps(w)))))
+    return [H.extract(p, slots) for p in pages]
+
+
+def test_text_that_a_host_repeats_is_its_template():
+    page = "<body><p>Join our club</p><div><p>story {0} goes on</p><p>and {0} ends</p><p>All rights reserved</p></div></body>"
+    assert of_host(*(page.format(i) for i in range(3))) == [f"story {i} goes on\nand {i} ends" for i in range(3)]
+    in_article = "<article><h1>t{0}</h1><p>Our newsletter</p><div>{0} words</div></article>"
+    assert of_host(*(in_article.format(i) for i in range(9))) == [f"t{i}\n{i} words" for i in range(9)]
+    # copies of one page, which differ in an advert or the last words, are no template
+    body = "<body><div class=ad>x{0}</div><p>" + "word " * 50 + "</p><p>end {1}</p></body>"
+    assert all(t.startswith("word word") for t in of_host(body.format(1, 1), body.format(2, 1), body.format(3, 2)))
+    # a part that few pages have is no template either
+    some = ["<body><p>one</p></body>", "<body><p>two</p><dl><dt>k</dl></body>", "<body><p>six</p><dl><dt>k</dl></body>"]
+    assert of_host(*some) == ["one", "two\nk", "six\nk"]
+
+
 def test_html_query(spark):
     """The pages' articles, read with plain patterns that fit these pages only."""
     import html
