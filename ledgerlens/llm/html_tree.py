@@ -28,6 +28,11 @@ MARKS = re.compile(
     r"(comments?|commentlist|disqus|respond|replies|discussion))(?=$|[\s_-])", re.I)
 _MARK_NAMES = ("ad", "menu", "edge", "side", "notice", "comments")
 
+#: A class with one of these words before others, or one of the next at its end, says how
+#: the page is laid out or set (fixed values): no-sidebar, content-with-nav, comments-open.
+_LAYOUT = frozenset("no has have with without not".split())
+_STATES = frozenset("open closed enabled disabled on off".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(?:>|\Z)", re.S)
@@ -50,12 +55,19 @@ class Node:
         self.items: list = []
 
 
+def _layout(word: str) -> bool:
+    parts = [p for p in re.split("[_-]+", word.lower()) if p]
+    return len(parts) > 1 and (not _LAYOUT.isdisjoint(parts[:-1]) or parts[-1] in _STATES)
+
+
 def label_of(tag: str, attrs: str) -> str:
     """The tag, and what its class, id or role say it is: ``div.ad``, ``div.comments``."""
     if attrs:
         for m in _ATTR.finditer(attrs):
             value = m.group(2) or m.group(3) or m.group(4) or ""
             found = MARKS.search(value)
+            if found:
+                found = MARKS.search(" ".join(w for w in value.split() if not _layout(w)))
             if found:
                 return f"{tag}.{_MARK_NAMES[found.lastindex - 1]}"
             if m.group(1).lower() == "role" and value.lower() == "main":

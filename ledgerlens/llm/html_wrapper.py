@@ -16,7 +16,8 @@
 4. The wrapper decides what is read: texts that all pages of the host repeat in a slot are
    its template, the others may be the article. Of these the slots inside the host's
    article or main element count, else those of its body; tags and marks (menus, adverts,
-   notices, comments, ..) and slots that hold mostly links are left out as a further hint.
+   notices, comments, ..) and slots that hold mostly links are left out as a further hint,
+   unless they hold the article themselves.
 5. Each page's streams are matched to its host's wrapper, and the page's texts are read by
    the verdicts of the slots that they fall in.
 """
@@ -25,7 +26,9 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Generator, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -49,6 +52,8 @@ READ = 256
 #: more than a share of ``COPIES`` of their text is common.
 FEW = 8
 COPIES = 0.75
+#: Marks with which an article element is not the article but an advert, a card, a comment.
+ASIDE = ("ad", "side", "comments")
 
 # A wrapper element is [label, items]; an item is [element, least, most]. A text slot is
 # the element ["#", [characters, characters in links, pages, texts, times]]: ``pages`` are digests
@@ -79,16 +84,16 @@ def _digest(text: str) -> str:
 
 
 def _page(root: Node) -> list:
-    """[1, characters, [digest]] of the page's texts, less what is marked or in links: pages
-    that differ in adverts and menus only are copies. A page of nothing else counts whole."""
-    for part in (True, False):
+    """[1, characters, [digest]] of the page's texts outside links, adverts, comments and the
+    like: pages that differ only there are copies. A page of nothing else counts whole."""
+    for hidden in (_passing, _silent, None):
         texts, todo = [], [root]
         while todo:
             x = todo.pop()
             if isinstance(x, tuple):
-                if not (part and x[1]):
+                if not (hidden and x[1]):
                     texts.append(x[0])
-            elif not (part and _dropped(x.label)):
+            elif not (hidden and hidden(x.label)):
                 todo += reversed(x.items)
         text = _plain(texts)
         if text:
@@ -272,9 +277,22 @@ def loads(text: str) -> list:
     return top[0][0]
 
 
+def _silent(label: str) -> bool:
+    return label.partition(".")[0] in SILENT
+
+
 def _dropped(label: str) -> bool:
+    """Whether the hints say that an element is not the article."""
     tag, _, mark = label.partition(".")
-    return tag in SILENT or bool(mark) and tag not in ("body", "html", "article", "main")
+    if tag == "article":
+        return mark in ASIDE
+    return tag in SILENT or bool(mark) and tag not in ("body", "html", "main")
+
+
+def _passing(label: str) -> bool:
+    """Silent elements, and marked ones that may differ between copies of a page."""
+    tag, _, mark = label.partition(".")
+    return tag in SILENT or mark in (*ASIDE, "notice") and tag not in ("body", "html", "main")
 
 
 def _told(wrapper: list) -> bool:
@@ -283,44 +301,112 @@ def _told(wrapper: list) -> bool:
     times, chars, pages = wrapper[2]
     if len(pages) < 2 or len(pages) == FEW:
         return len(pages) == FEW
-    shared, todo = 0, [wrapper]
-    while todo:
-        label, items = todo.pop()[:2]
-        if label == "#":
-            shared += sum(items[3].values()) if items[2] == pages else 0
-        elif not _dropped(label):
-            todo += [i[0] for i in items]
+    for hidden in (_passing, _silent):
+        shared, todo, any_text = 0, [wrapper], False
+        while todo:
+            label, items = todo.pop()[:2]
+            if label == "#":
+                any_text = True
+                shared += sum(items[3].values()) if items[2] == pages else 0
+            elif not hidden(label):
+                todo += [i[0] for i in items]
+        if any_text:
+            break
     return shared * times <= COPIES * chars
 
 
+class Place(NamedTuple):
+    """Where a slot stands: inside an article or main element or not, and between which of
+    them a marked element stands. ``aside`` is an article that is an advert, a card or a
+    comment by its own mark, or one of several in a marked element."""
+
+    marked: bool = False
+    many: bool = False
+    main: bool = False
+    main_in_marked: bool = False
+    marked_in_main: bool = False
+    article: bool = False
+    article_in_marked: bool = False
+    marked_in_article: bool = False
+    aside: bool = False
+
+    def inside(self, label: str, most: int) -> Place:
+        tag, _, mark = label.partition(".")
+        here = self
+        if self.marked and most > 1:
+            here = here._replace(many=True)
+        if tag == "main" and not self.main:
+            return here._replace(main=True, main_in_marked=self.marked, marked_in_main=False)
+        if tag == "article" and not self.article:
+            here = here._replace(article=True, article_in_marked=self.marked, marked_in_article=False,
+                                 aside=mark in ASIDE or here.many)
+            return here._replace(marked=True, marked_in_main=True) if mark in ASIDE else here
+        if _dropped(label):
+            return here._replace(marked=True, marked_in_main=True, marked_in_article=True,
+                                 many=here.many or most > 1)
+        return here
+
+    def regions(self) -> set[str]:
+        out = set()
+        if self.article and not self.marked_in_article:
+            out.add("aside" if self.aside else "marked" if self.article_in_marked else "article")
+        if self.main and not self.marked_in_main:
+            out.add("marked" if self.main_in_marked else "main")
+        if not self.marked:
+            out.add("page")
+        return out
+
+
 def article_slots(wrapper: list) -> list:
     """The wrapper with a verdict in each slot, [level, texts]: texts of level 0 are the
-    article, those of level 1 are read from pages that have no level 0, those of level 2
-    never; ``texts`` are the template's. An element's third member is its least level."""
+    article; pages without any are read from level 1 (articles in marked elements) or
+    level 2 (the rest of the page), whichever holds more; level 3 is never read. ``texts``
+    are the template's. An element's third member is its least level.
+
+    The article is where text varies: in the host's article elements, else in its main
+    elements or the page less what is marked, else in marked elements. A marked element
+    that holds a host's only article or main element is read if more varies in it than in
+    the rest.
+    """
     pages, told = wrapper[2][2], _told(wrapper)
     found: list = []
 
-    def walk(element: list, inside: frozenset[str]) -> Generator:
+    def walk(element: list, most: int, place: Place) -> Generator:
         label, items = element[:2]
         if label == "#":
             chars, linked, held, texts, times = items
             if not told or len(held) < len(pages):
                 texts = {}
             menu = chars > 0 and linked / chars >= LINK_SHARE
-            slot = ["#", [2, sorted(texts)]]
-            found.append((slot, inside, max(0, chars - times * sum(texts.values())), menu))
+            slot = ["#", [3, sorted(texts)]]
+            found.append((slot, place.regions(), max(0, chars - times * sum(texts.values())), menu))
             return slot
-        if _dropped(label):
-            return [label, [], 2]
-        out, tag = [], label.partition(".")[0]
-        for inner, least, most in items:
-            out.append([(yield walk(inner, inside | {tag} & {"article", "main"})), least, most])
-        return [label, out, 2]
-
-    out = _run(walk(wrapper, frozenset()))
-    main = next((t for t in ("article", "main") if any(n for _, inside, n, _ in found if t in inside)), "")
-    for slot, inside, _, menu in found:
-        slot[1][0] = 0 if main in inside or not main and not menu else 2 if menu else 1
+        if _silent(label):
+            return [label, [], 3]
+        if label != "()":
+            place, most = place.inside(label, most), 1
+        out = []
+        for inner, least, n in items:
+            out.append([(yield walk(inner, max(most, n), place)), least, n])
+        return [label, out, 3]
+
+    out = _run(walk(wrapper, 1, Place()))
+    size = Counter()
+    for _, regions, varying, menu in found:
+        for r in regions:
+            size[r] += varying if r in ("article", "main") or not menu else 0
+    if size["article"]:
+        chosen = "article"
+    else:
+        rest = "main" if size["main"] else "page"
+        chosen = "marked" if size["marked"] > size[rest] else rest
+        if not size[chosen]:
+            chosen = "aside" if size["aside"] else ""
+    for slot, regions, _, menu in found:
+        if chosen in regions or not chosen:
+            slot[1][0] = 3 if menu and chosen in ("page", "") else 0
+        elif not menu and regions & {"marked", "page"}:
+            slot[1][0] = 1 if "marked" in regions else 2
     _run(_levels(out))
     return out
 
@@ -380,8 +466,9 @@ class Stream:
 
 
 def _read(root: Node, wrapper: list) -> Iterator[tuple[int, str] | None]:
-    """(level, text) of the page's texts by the slots they fall in; None ends a block."""
-    todo: list = [(root, wrapper, 2)]
+    """(level, text) of the page's texts by the slots they fall in; None ends a block, and
+    level -1 are spaces."""
+    todo: list = [(root, wrapper, 3)]
     while todo:
         x = todo.pop()
         if not isinstance(x, tuple):
@@ -391,51 +478,52 @@ def _read(root: Node, wrapper: list) -> Iterator[tuple[int, str] | None]:
         if isinstance(node, str):
             yield level, node
             continue
-        if _dropped(node.label):
+        # what the wrapper does not know is read like the element around it, by the hints
+        if _silent(node.label) or (element[2] == 3 if element else _dropped(node.label)):
             continue
-        # what the wrapper does not know is read like the element around it
         level = element[2] if element else level
         stream = Stream(element) if element else None
-        inner: list = [None]
+        inner: list = []
         texts: list[str] = []
         for y in [*node.items, None]:
             if isinstance(y, tuple):
                 texts.append(y[0])
                 continue
             text = "".join(texts)
-            if text:
-                slot = stream.next("#") if stream and text.strip() else None
+            if text and not text.strip():
+                inner.append((text, None, -1))
+            elif text:
+                slot = stream.next("#") if stream else None
                 if not (slot and slot[1][1] and _digest(_plain(texts)) in slot[1][1]):
                     inner.append((text, None, slot[1][0] if slot else level))
             texts = []
             if y is not None:
                 inner.append((y, stream.next(y.label) if stream else None, level))
-        if "." not in node.label or not node.label.startswith("span."):
-            inner.append(None)
-        else:
-            del inner[0]
-        todo += reversed(inner)
+        tag, _, mark = node.label.partition(".")
+        todo += reversed(inner if mark and tag not in BLOCKS else [None, *inner, None])
+
+
+def _blocks(parts: list, level: int) -> str:
+    blocks: list[str] = []
+    line: list[str] = []
+    for part in parts:
+        if part is not None:
+            if part[0] in (level, -1):
+                line.append(part[1])
+            continue
+        text = _plain(line)
+        if text:
+            blocks.append(text)
+        line = []
+    return "\n".join(blocks)
 
 
 def extract(page: str | None, slots: list) -> str:
     """The article of a page: its blocks' texts joined by line breaks. A page without the
-    host's article is read whole, less menus and marked elements."""
+    host's article is read from an article in a marked element or from the rest of the
+    page, less menus and marked elements."""
     parts = [*_read(tree(page), slots), None]
-    for level in (0, 1):
-        blocks: list[str] = []
-        line: list[str] = []
-        for part in parts:
-            if part is not None:
-                if part[0] <= level:
-                    line.append(part[1])
-                continue
-            text = _plain(line)
-            if text:
-                blocks.append(text)
-            line = []
-        if blocks:
-            break
-    return "\n".join(blocks)
+    return _blocks(parts, 0) or max(_blocks(parts, 2), _blocks(parts, 1), key=len)
 
 
 # --- operator ---------------------------------------------------------------------------

@@ -411,6 +411,27 @@ def test_text_that_a_host_repeats_is_its_template():
     assert of_host(*some) == ["one", "two\nk", "six\nk"]
 
 
+def test_marks_on_layout_and_nested_articles():
+    for name in ("layout no-sidebar", "content has-sidebar", "page with-sidebar", "section-header", "tabs",
+                 "discussion", "social-sciences", "sidebar-left"):
+        for inner in ("<article><p>the story {0}</p></article>", "<main><p>the story {0}</p></main>", "<p>the story {0}</p>"):
+            page = f'<body><div class="{name}">{inner}</div></body>'
+            assert alone(page.format(1)) == "the story 1", (name, inner)
+            page = page.replace("</body>", "<p>(c)</p></body>")
+            if name in ("discussion", "sidebar-left") and inner.startswith("<p>"):
+                continue  # beside unmarked text this could be comments or cards
+            assert of_host(*(page.format(i) for i in range(3))) == [f"the story {i}" for i in range(3)], (name, inner)
+    # some pages of a host mark the layout, others do not
+    assert of_host("<div class=tabs><article>one</article></div><p>x</p>", "<article>two</article>") == ["one", "two"]
+    for name in ("comment", "related-card", "advert"):
+        aside = f'<article class="{name}"><p>not this, it is longer</p></article>'
+        for page in (f"<main><article><p>story</p>{aside}{aside}</article></main>", f"<main><p>story</p>{aside}{aside}</main>",
+                     f"<article><p>story</p></article>{aside}", f"<article><p>story</p></article><div>{aside}</div>"):
+            assert alone(page) == "story", page
+    assert alone('<main><h1>T</h1><article class="post comments-open"><p>story</p></article></main>') == "story"
+    assert alone('<body><p>story</p><div class="related"><article>a long card</article><article>a long card</article></div>') == "story"
+
+
 def test_html_query(spark):
     """The pages' articles, read with plain patterns that fit these pages only."""
     import html
