@@ -36,6 +36,8 @@ _STATES = frozenset("open closed enabled disabled on off".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(?:>|\Z)", re.S)
+_ATTRS = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]+))?")
+_ENDED = re.compile(r"(?:^|[\s\"'])/\s*$")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Elements that a new block of the same kind, or any block for p, closes by itself.
@@ -75,6 +77,14 @@ def label_of(tag: str, attrs: str) -> str:
     return tag
 
 
+def is_link(attrs: str) -> bool:
+    """Whether an opened ``a`` is a link: not if it ends itself, or is a named place."""
+    if _ENDED.search(attrs):
+        return False
+    names = {m.group(1).lower() for m in _ATTRS.finditer(attrs)}
+    return "href" in names or names.isdisjoint(("name", "id"))
+
+
 def tokens(page: str):
     """('text', text), ('open', tag, attributes) and ('close', tag) in page order."""
     at, end = 0, len(page)
@@ -108,11 +118,12 @@ def tree(page: str | None) -> Node:
 
     Inline elements leave only their text; silent elements and marked inline ones keep
     a node of their own, so that their text stays apart. Missing end tags are closed where
-    a block of the same kind, any block after p, or the parent's end closes them.
+    a block of the same kind, any block after p, or the parent's end closes them. A link
+    ends at its end tag, at the next ``a``, or with the element that it was opened in.
     """
     root = Node("#page")
     stack: list[tuple[str, Node]] = [("#page", root)]
-    links = 0
+    link = 0  # the stack's height where the open link began
 
     def close(tag: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -123,17 +134,19 @@ def tree(page: str | None) -> Node:
                 return
 
     for kind, value, attrs in tokens(page or ""):
+        if len(stack) < link:
+            link = 0
         if kind == "raw":
             continue
         if kind == "text":
             text = html.unescape(value)
             if text:
-                stack[-1][1].items.append((text, links > 0))
+                stack[-1][1].items.append((text, link > 0))
         elif kind == "open":
             if value in SPACES:
                 stack[-1][1].items.append((" ", False))
             if value == "a":
-                links += 1
+                link = len(stack) if is_link(attrs) else 0
             if value in VOID:
                 if value == "hr":
                     stack[-1][1].items.append(Node("hr"))
@@ -144,6 +157,7 @@ def tree(page: str | None) -> Node:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in ends:
                         del stack[i:]
+                        link = 0 if i < link else link
                         break
                     if stack[i][0] in _WALLS:
                         break
@@ -155,7 +169,7 @@ def tree(page: str | None) -> Node:
                     stack.append((value, node))
         else:
             if value == "a":
-                links = max(0, links - 1)
+                link = 0
             elif value == "p" and all(t != "p" for t, _ in stack):
                 stack[-1][1].items.append(Node("hr"))
             else:

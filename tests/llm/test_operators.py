@@ -432,6 +432,16 @@ def test_marks_on_layout_and_nested_articles():
     assert alone('<body><p>story</p><div class="related"><article>a long card</article><article>a long card</article></div>') == "story"
 
 
+def test_links_end():
+    for a in ('<a name="top"/>', "<a name=top>", '<a id="top">', '<a href="x"/>', "<p><a href=x>open</p>", "<p><a href=x>open<p>shut", "<div><a href=x>open</div>",
+              "<a name=x><a href=y>open</a>", '<a href="x">one <a href="y">two</a>'):
+        page = f"<body>{a}<div>the story goes on</div><p>and on</p></body>"
+        assert alone(page).endswith("the story goes on\nand on"), a
+    # a link is one still if it has blocks inside, or ends with a slash
+    for a in ('<a href="x"><h2>more</h2><p>of it</p></a>', "<a href=/x/>more</a>", '<a class="b" href = "/x/" >more</a>'):
+        assert alone(f"<body><div>{a}</div><p>the story</p></body>") == "the story", a
+
+
 def test_html_query(spark):
     """The pages' articles, read with plain patterns that fit these pages only."""
     import html
