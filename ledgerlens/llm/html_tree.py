@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 #: Elements that end a line of text (fixed values).
 BLOCKS = frozenset(
@@ -44,7 +45,6 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"},
            "body": {"head"}}
 _WALLS = frozenset("ul ol dl table div section article main body aside nav form blockquote".split())
-DEPTH = 150
 
 
 class Node:
@@ -123,19 +123,21 @@ def tree(page: str | None) -> Node:
     """
     root = Node("#page")
     stack: list[tuple[str, Node]] = [("#page", root)]
+    at: dict[str, list[int]] = defaultdict(list)  # where the open elements of each tag stand
+    walls: list[int] = [0]
     link = 0  # the stack's height where the open link began
 
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if stack[i][0] in _WALLS and tag not in BLOCKS:
-                return
+    def cut(height: int) -> None:
+        nonlocal link
+        while len(stack) > height:
+            tag, _ = stack.pop()
+            at[tag].pop()
+            if tag in _WALLS:
+                walls.pop()
+        if height < link:
+            link = 0
 
     for kind, value, attrs in tokens(page or ""):
-        if len(stack) < link:
-            link = 0
         if kind == "raw":
             continue
         if kind == "text":
@@ -153,25 +155,22 @@ def tree(page: str | None) -> Node:
                 continue
             if value in BLOCKS:
                 # p ends at any block, list items and cells at the next of their kind
-                ends = _CLOSES.get(value, set()) | {"p"}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        link = 0 if i < link else link
-                        break
-                    if stack[i][0] in _WALLS:
-                        break
+                last = max((at[t][-1] for t in _CLOSES.get(value, set()) | {"p"} if at[t]), default=0)
+                if last > walls[-1]:
+                    cut(last)
             label = label_of(value, attrs)
             if value in BLOCKS or value in SILENT or "." in label:
                 node = Node(label)
-                if len(stack) <= DEPTH:
-                    stack[-1][1].items.append(node)
-                    stack.append((value, node))
-        else:
-            if value == "a":
-                link = 0
-            elif value == "p" and all(t != "p" for t, _ in stack):
-                stack[-1][1].items.append(Node("hr"))
-            else:
-                close(value)
+                stack[-1][1].items.append(node)
+                at[value].append(len(stack))
+                if value in _WALLS:
+                    walls.append(len(stack))
+                stack.append((value, node))
+        elif value == "a":
+            link = 0
+        elif at[value]:
+            if value in BLOCKS or at[value][-1] >= walls[-1]:
+                cut(at[value][-1])
+        elif value == "p":
+            stack[-1][1].items.append(Node("hr"))
     return root

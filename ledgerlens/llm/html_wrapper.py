@@ -581,9 +581,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
     Edge cases: null and empty pages have the empty text; a null URL has the empty host,
     whose pages share a wrapper; repeated rows come back one by one; pages that end
-    within a tag, script or comment are read up to there; elements nested deeper than 150
-    are read as part of their parent; an empty table gives an empty result; other columns
-    play no part.
+    within a tag, script or comment are read up to there; elements may be nested to any
+    depth; an empty table gives an empty result; other columns play no part.
     """
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

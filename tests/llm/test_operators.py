@@ -442,6 +442,17 @@ def test_links_end():
         assert alone(f"<body><div>{a}</div><p>the story</p></body>") == "the story", a
 
 
+def test_deep_pages():
+    for deep in (200, 20_000):
+        opened, closed = "<div>" * deep, "</div>" * deep
+        page = (f"<body><div><article><p>a</p>{opened}<p>b</p><div>c</div><div>d</div><nav>no</nav><aside>no</aside>"
+                f"<div class=ad>no</div>e{closed}<p>f</p></article></div><p>no</p></body>")
+        assert alone(page) == "a\nb\nc\nd\ne\nf"
+        assert of_host(page, page.replace("<p>b<", "<p>x<")) == ["a\nb\nc\nd\ne\nf", "a\nx\nc\nd\ne\nf"]
+        w = H.skeleton(T.tree(page))
+        assert H.expression(w).count("<div>") == deep + 2
+
+
 def test_html_query(spark):
     """The pages' articles, read with plain patterns that fit these pages only."""
     import html
