@@ -30,8 +30,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 16
 BATCH_TOKENS = 32_768
-#: The histogram that reaches the driver has at most so many lengths; beyond, lengths
-#: count in steps of two, four, ... (every document still has its bucket).
+#: Rows of the histogram that the driver fetches at once. The whole of it comes there: it
+#: has a row per different length, at most as many as the longest text has tokens.
 MAX_LENGTHS = 65_536
 
 
@@ -97,17 +97,13 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
 
 
 def _histogram(lengths: DataFrame, max_lengths: int) -> tuple[np.ndarray, np.ndarray]:
-    step = 1
-    by = persisted(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")))
-    while True:
-        up = (F.ceil(F.col("n_tokens") / step) * step).cast("long").alias("length")
-        hist = by.groupBy(up).agg(F.sum("n").alias("n"))
-        if step == 1 and by.limit(max_lengths + 1).count() > max_lengths or \
-                step > 1 and hist.count() > max_lengths:
-            step *= 2
-            continue
-        rows = sorted(tuple(r) for r in hist.collect())
-        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+    """The different lengths in order, and how many documents have each."""
+    hist = persisted(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")))
+    parts = -(-hist.count() // max_lengths)
+    rows = hist.repartitionByRange(parts, "n_tokens").toLocalIterator() if parts > 1 else hist.collect()
+    found = np.fromiter((x for r in rows for x in r), np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0])]
+    return found[:, 0], found[:, 1]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER,

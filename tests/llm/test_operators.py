@@ -517,6 +517,22 @@ def test_boundaries_are_optimal():
         assert len(ends) <= k and padding(lengths, counts, ends) == best
 
 
+def test_boundaries_are_exact_for_any_number_of_lengths(spark):
+    rng = random.Random(8)
+    docs = [(i, "a b " * rng.randrange(300)) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    many, few = (P.pack(df, buckets=5, max_lengths=m).collect() for m in (10 ** 6, 8))
+    assert len({r.n_tokens for r in few}) > 100
+    for rows in (many, few):
+        longest = Counter()
+        for r in rows:
+            longest[r.bucket] = max(longest[r.bucket], r.n_tokens)
+        assert {(r.bucket, r.bucket_tokens) for r in rows} == set(longest.items())
+    hist = Counter(r.n_tokens for r in many)
+    ends = P.best_boundaries(np.array(sorted(hist)), np.array([hist[n] for n in sorted(hist)]), 5)
+    assert sorted({r.bucket_tokens for r in few}) == sorted({r.bucket_tokens for r in many}) == ends
+
+
 def test_packing_of_odd_rows(spark, odd, none):
     import tiktoken
     encode = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=P._read_ranks(P.TOKENIZER), special_tokens={}).encode_ordinary
