@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import packed, persisted, small, unpacked
+from ledgerlens.llm.common import packed, persisted, row_key, small, unpacked
 from ledgerlens.llm.graph import components
 
 SEED = 42
@@ -60,15 +60,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                 shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, in one pass over the texts."""
+                 shingle: int = SHINGLE, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, in one pass over the texts; ``keys``, columns of whole
+    numbers, come along."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]],
+                                             ["doc_id", "fp", *keys])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *keys)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in keys]]))
 
 
 # --- buckets ---------------------------------------------------------------------------
@@ -324,19 +326,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: its smallest id.
+    """``docs`` with one row of each near-duplicate group: that of its smallest id, and of
+    several texts with that id the one with the least row key.
 
-    Rows with a null id cannot be told apart and stay; of rows that share an id, one stays.
-    Only the ids that go are joined to the texts.
+    Rows are told apart by id and text, so a row that shares an id with a copy stays if its
+    own text is nobody's. Of a group's rows without an id one stays too; of rows equal in id
+    and text one stays. Only the keys of rows that go are joined to the texts.
     """
-    found = persisted(near_duplicates(docs, id_col, text, shingle, radius))
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
-    rows = packed(docs, id_col, text)
-    out = rows.join(small(persisted(gone)), F.col("doc_id") == F.col("gone"), "left_anti")
-    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("twice")).count()
-    twice = persisted(twice.where("count > 1").select("twice"))
+    rows = row_key(packed(docs, id_col, text), "doc_id", "text")
+    of_row = persisted(fingerprints(rows, "doc_id", "text", shingle, ("_k1", "_k2")))
+    least = F.min(F.struct("doc_id", "_k1", "_k2")).alias("least")
+    no_id = F.col("doc_id").isNull().alias("no_id")
+    by_fp = persisted(of_row.groupBy("fp", no_id).agg(least))
+    fps = persisted(by_fp.select("fp").distinct())
+    roots = components(links(fps, fps.count(), radius)).withColumnRenamed("node", "fp")
+    rooted = by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = persisted(rooted.groupBy("root", "no_id").agg(F.min("least").alias("least")).select("least._k1", "least._k2"))
+    keys = ["_k1", "_k2"]
+    times = persisted(of_row.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    gone = persisted(times.join(stay, keys, "left_anti").select(*keys))
+    out = rows.join(small(gone), keys, "left_anti")
+    twice = persisted(times.where("n > 1").join(stay, keys, "left_semi").select(*keys))
     if twice.isEmpty():
         return unpacked(out)
-    on = F.col("doc_id") == F.col("twice")
-    return unpacked(out.join(twice, on, "left_anti").unionByName(
-        out.join(twice, on, "left_semi").dropDuplicates(["doc_id"])))
+    return unpacked(out.join(small(twice), keys, "left_anti").unionByName(
+        out.join(small(twice), keys, "left_semi").dropDuplicates(keys)))

@@ -97,6 +97,13 @@ def test_simhash_query_and_odd_rows(spark, odd, none):
         {c for _, _, c in simhash_groups(pairs(odd)) if c})
 
 
+def test_keep_one_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (3, b), (5, b), (None, c), (None, c), (None, c + " "), (7, a), (7, c), (7, c)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id or 0, r.text.strip()) for r in kept) == [(0, c), (3, b), (5, a), (7, c)]
+
+
 def clustered(n, seed):
     rng = random.Random(seed)
     centres = [rng.getrandbits(64) for _ in range(max(1, n // 40))]
