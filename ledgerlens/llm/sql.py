@@ -77,3 +77,64 @@ SELECT min(conv_id) AS conv_id, any_value(n) AS n_turns, count(*) AS n_copies,
        any_value(rendered) AS rendered
 FROM c WHERE t NOT IN (SELECT t FROM p) GROUP BY t
 """
+
+
+def _merkle_sql(fanout: int = 16, levels: int = 6, top_levels: int = 5) -> str:
+    """The manifest with its levels written out: ``levels`` for the sources (16.7 million
+    rows each), ``top_levels`` above them. ``r`` lists a run's digests, ``a`` is a node's index."""
+    def tree(name: str, depth: int) -> str:
+        steps = []
+        for k in range(depth):
+            steps.append(f"""
+{name}{k}r AS (SELECT g, a // {fanout} AS a, list(d ORDER BY a) AS r, any_value(n) AS n FROM {name}{k} GROUP BY ALL),
+{name}{k + 1} AS (SELECT g, a, CASE WHEN n > 1 THEN sha256(array_to_string(r, '')) ELSE r[1] END AS d,
+  (n + {fanout - 1}) // {fanout} AS n FROM {name}{k}r)""")
+        return ",".join(steps)
+
+    def path(name: str, depth: int, start: str) -> str:
+        """(id, p): the lists [left, right] of each node of ``start`` (id, g, a), level by level."""
+        arms = [f"""
+  SELECT x.id, {k} AS k, [array_to_string(r[1 : (x.a // {fanout ** k}) % {fanout}], ''),
+    array_to_string(r[(x.a // {fanout ** k}) % {fanout} + 2 :], '')] AS s
+  FROM {start} x JOIN {name}{k}r t ON t.g = x.g AND t.a = x.a // {fanout ** (k + 1)} WHERE t.n > 1"""
+                for k in range(depth)]
+        return "SELECT id, list(s ORDER BY k) AS p FROM (" + " UNION ALL ".join(arms) + ") GROUP BY id"
+
+    def leaf(text: str) -> str:
+        parts = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+                 for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    bits = ("flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: "
+            "list_transform(range(8), lambda j: (ascii(c)::BIGINT >> j::INT) & 1)))")
+    crc = (f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda x, b: "
+           "xor(x >> 1, CASE WHEN (xor(x, b) & 1) = 1 THEN 3988292384 ELSE 0 END)))")
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, source, {leaf('text')} AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN {leaf('(' + lower + ')')} END AS changed FROM documents),
+p AS (
+  SELECT id, doc_id, leaf, coalesce(changed, leaf) AS seen, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS a,
+         count(*) OVER (PARTITION BY source) AS n FROM d),
+s0 AS (SELECT g, a, leaf AS d, n FROM p),{tree("s", levels)},
+t0 AS (SELECT 0 AS g, g AS a, d, count(*) OVER () AS n FROM s{levels}),{tree("t", top_levels)},
+u AS (SELECT g AS id, 0 AS g, g AS a FROM s{levels}),
+sp AS ({path("s", levels, "p")}),
+tp AS ({path("t", top_levels, "u")}),
+f AS (
+  SELECT p.doc_id, p.leaf, p.seen, s.d AS subroot, t.d AS root,
+         list_concat(coalesce(sp.p, []), coalesce(tp.p, [])) AS path
+  FROM p JOIN s{levels} s ON s.g = p.g JOIN t{top_levels} t ON true
+  LEFT JOIN sp ON sp.id = p.id LEFT JOIN tp ON tp.id = p.g),
+e AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(flatten(path), '')) AS proof_sha256,
+         list_reduce(list_concat([[seen, '']], path), lambda x, s: [sha256(s[1] || x[1] || s[2]), ''])[1] AS folded_root
+  FROM f)
+SELECT *, folded_root = root AS verified FROM e
+"""
+
+
+#: Digest trees per source and over the sources, with the proof of every row.
+OP12_SQL = _merkle_sql()
