@@ -11,12 +11,13 @@ from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import contamination
 from ledgerlens.llm.html_wrapper import main_text
 from ledgerlens.llm.lm_score import lm_scores
+from ledgerlens.llm.lsh_forest import near_copies
 from ledgerlens.llm.merkle import verified_manifest
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality_model import quality_scores
 from ledgerlens.llm.quality_rules import judge
 from ledgerlens.llm.simhash import near_duplicates
-from ledgerlens.llm.sql import OP6_SQL, OP7_SQL, OP8_SQL, OP12_SQL
+from ledgerlens.llm.sql import OP6_SQL, OP7_SQL, OP8_SQL, OP11_SQL, OP12_SQL
 from ledgerlens.llm.substring_dedup import removal_report
 from ledgerlens.llm.url_filter import judge_urls
 
@@ -61,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_manifest(table(spark, sf_dir, "documents"))
 
@@ -69,9 +74,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_url_filter, op2_lm_scoring, op3_quality_classifier, op4_simhash_near_dedup,
         op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_quality_rules,
-        op9_substring_dedup, op10_packing, op12_merkle_manifest)}
+        op9_substring_dedup, op10_packing, op11_lsh_forest_near_dedup,
+        op12_merkle_manifest)}
 
 #: SQL checks; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op6_chat_formatting": OP6_SQL, "op7_benchmark_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL,
-    "op12_merkle_manifest": OP12_SQL}
+    "op11_lsh_forest_near_dedup": OP11_SQL, "op12_merkle_manifest": OP12_SQL}

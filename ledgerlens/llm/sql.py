@@ -138,3 +138,33 @@ SELECT *, folded_root = root AS verified FROM e
 
 #: Digest trees per source and over the sources, with the proof of every row.
 OP12_SQL = _merkle_sql()
+
+#: Components of documents whose sets of 3-word shingles (a shorter text: itself) have
+#: 100 * intersection >= 85 * union.
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (
+  SELECT id, list_sort(list_distinct(list_transform(
+           range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i : i + 2], ' ')))) AS g
+  FROM w WHERE len(w) > 0),
+u AS (SELECT g, min(id) AS u FROM l GROUP BY g),
+s AS (SELECT u, len(g) AS n, unnest(g) AS x FROM u),
+pair AS (
+  SELECT a.u AS a, b.u AS b FROM s a JOIN s b ON a.x = b.x AND a.u <> b.u
+  GROUP BY a.u, b.u, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT u AS a, u AS b FROM u
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN pair p ON p.a = r.b),
+root AS (SELECT a AS u, min(b) AS root FROM reach GROUP BY a),
+m AS (SELECT l.id, len(l.g) AS n, root.root FROM l JOIN u USING (g) JOIN root ON root.u = u.u),
+least AS (SELECT root, min(doc_id) AS component_id FROM m JOIN w USING (id) GROUP BY root),
+o AS (
+  SELECT w.doc_id, coalesce(m.n, 0)::BIGINT AS n_shingles,
+         CASE WHEN m.id IS NULL THEN w.doc_id ELSE least.component_id END AS component_id
+  FROM w LEFT JOIN m USING (id) LEFT JOIN least ON least.root = m.root)
+SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o
+"""
