@@ -168,3 +168,26 @@ o AS (
   FROM w LEFT JOIN m USING (id) LEFT JOIN least ON least.root = m.root)
 SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o
 """
+
+#: Every vec_id divisible by 100 against all rows, in whole numbers.
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS a, r.id, a.label = r.label AS own,
+         list_dot_product(a.q, r.q)::BIGINT AS score
+  FROM v a JOIN v r ON a.id % 100 = 0 AND r.id <> a.id),
+p AS (
+  SELECT a, id, score FROM s WHERE own
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.a, p.id AS p, p.score AS ps, s.id, s.score,
+         row_number() OVER (PARTITION BY p.a, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.own AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, id AS negative_id,
+       ps AS positive_score, score AS negative_score FROM n WHERE rank <= 10
+"""
