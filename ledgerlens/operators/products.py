@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
 from ledgerlens.operators.ranking import dense_rank_desc
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import stored
 
 
 def product_totals(df: DataFrame, keys=("product_id", "product_name")) -> DataFrame:
@@ -17,14 +17,13 @@ def product_totals(df: DataFrame, keys=("product_id", "product_name")) -> DataFr
 
 
 def _materialized_totals(df: DataFrame, keys) -> DataFrame:
-    """Product totals written once to the checkpoint folder.
+    """Product totals written once to the scratch folder.
 
     The report reads them twice (the means, then the filter); Spark does not
     share the aggregation between a query and its scalar subquery, so without
     this the line table would be aggregated twice.
     """
-    checkpoint_dir(df.sparkSession)
-    return product_totals(df, keys).checkpoint(eager=True)
+    return stored(product_totals(df, keys))
 
 
 def _means(totals: DataFrame):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.sizing import broadcast_if_bounded
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import stored
 
 _LOW_BITS = 33  # monotonically_increasing_id: partition index << 33 | row index
 
@@ -75,7 +75,6 @@ def highest_per_group(df: DataFrame, keys: list[str], by: str, order: list[Colum
 
 def _positioned(df: DataFrame, order: list[Column | str], partitions: int | None):
     """Rows with ``_pid`` (partition after the range sort), ``_pos`` and ``_total``."""
-    checkpoint_dir(df.sparkSession)
     order_cols = _cols(order)
     # with AQE the range partitioner samples its bounds from the materialized
     # output of the stage before, so the input is not computed twice; without
@@ -83,10 +82,8 @@ def _positioned(df: DataFrame, order: list[Column | str], partitions: int | None
     # partitions (still contiguous, and sorted again below)
     ranged = (df.repartitionByRange(partitions, *order_cols) if partitions
               else df.repartitionByRange(*order_cols))
-    tagged = (ranged
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = stored(ranged.sortWithinPartitions(*order_cols)
+                    .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = tagged.withColumn("_pid", F.shiftrightunsigned(F.col("_mid"), _LOW_BITS))
     tagged = tagged.withColumn(
         "_local", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOW_BITS))
@@ -112,8 +109,8 @@ def global_positions(df: DataFrame, order: list[Column | str], pos_col: str = "_
        on a leading column are split by the later ones) and sort inside each
        partition;
     2. tag rows with ``monotonically_increasing_id`` (partition index in the
-       high bits, row index in the low bits) and checkpoint to the shared
-       checkpoint folder, so the numbering is fixed even if a task is re-run;
+       high bits, row index in the low bits) and store them in the shared scratch
+       folder, so the numbering is fixed even if a task is re-run;
     3. count rows per partition (one row per partition), turn the counts into
        offsets and broadcast them: the table is bounded by the partition count.
     """
@@ -183,11 +180,10 @@ def ntile_many(df: DataFrame, tiles: int, key: list[str],
 def dense_rank_desc(df: DataFrame, value: str, name: str) -> DataFrame:
     """DENSE_RANK() OVER (ORDER BY value DESC): rank the distinct values, join back.
 
-    ``df`` is checkpointed, since the ranks and the join both read it; AQE broadcasts
+    ``df`` is stored, since the ranks and the join both read it; AQE broadcasts
     the ranks when their measured size is small.
     """
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
+    df = stored(df)
     distinct = df.select(value).distinct()
     ranked = global_positions(distinct, [F.col(value).desc()], "_p").select(
         value, (F.col("_p") + 1).cast("long").alias(name))

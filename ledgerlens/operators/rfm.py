@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
-from ledgerlens.operators.ranking import highest_per_group, ntile_many
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.operators.ranking import highest_per_group
+from ledgerlens.operators.selection import ntile_by_cuts
+from ledgerlens.session import stored
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's segment labels, in the order
@@ -34,11 +35,9 @@ def latest_date(df: DataFrame, date_col: str = "order_date") -> Column:
 def recency(df: DataFrame, customer: str = "customer_name", date_col: str = "order_date"
             ) -> DataFrame:
     """Last purchase per customer and days from it to the newest date in the data."""
-    # checkpointed once: the newest date overall, the newest of the per-customer
-    # dates, is a scalar subquery over this same table
-    checkpoint_dir(df.sparkSession)
-    last = df.groupBy(customer).agg(F.max(date_col).alias("last_purchase_date")).checkpoint(
-        eager=True)
+    # stored once: the newest date overall, the newest of the per-customer dates, is a
+    # scalar subquery over this same table
+    last = stored(df.groupBy(customer).agg(F.max(date_col).alias("last_purchase_date")))
     return (last.withColumn("recency_days",
                             F.datediff(latest_date(last, "last_purchase_date"),
                                        F.col("last_purchase_date")).cast("long"))
@@ -60,14 +59,13 @@ def latest_row_per_customer(df: DataFrame, customer: str = "customer_name", by:
 def rfm_raw(df: DataFrame, customer: str = "customer_name", date_col: str = "order_date",
             order_key: str = "order_id", value: str = "sales") -> DataFrame:
     """Recency days, distinct orders, summed value per customer."""
-    # per customer, checkpointed once: the newest date overall is a scalar
-    # subquery over this table, and Spark would otherwise aggregate the lines
-    # again for it; monetary stays an exact decimal (segment totals sum it)
-    checkpoint_dir(df.sparkSession)
-    raw = df.groupBy(customer).agg(
+    # per customer, stored once: the newest date overall is a scalar subquery over this
+    # table, and the scores select their cuts from it; monetary stays an exact decimal
+    # (segment totals sum it)
+    raw = stored(df.groupBy(customer).agg(
         F.max(date_col).alias("_last"),
         F.countDistinct(order_key).alias("frequency"),
-        F.round(F.sum(value), 2).alias("monetary")).checkpoint(eager=True)
+        F.round(F.sum(value), 2).alias("monetary")))
     return raw.select(
         customer,
         F.datediff(latest_date(raw, "_last"), F.col("_last")).cast("long").alias("recency"),
@@ -78,12 +76,12 @@ def rfm_raw(df: DataFrame, customer: str = "customer_name", date_col: str = "ord
 def rfm_scores(raw: DataFrame, customer: str = "customer_name", tiles: int = 4) -> DataFrame:
     """NTILE scores: recency newest-best, frequency and monetary highest-best.
 
-    Ties are broken by the customer key so that scores repeat run to run.
-    The three NTILEs share one distributed sort, never a single-task window.
+    Ties are broken by the customer key so that scores repeat run to run. The cuts of all
+    three are selected together by narrowing counts; no sort, no single-task window.
     """
-    return ntile_many(raw, tiles, [customer], {"r_score": ("recency", False),
-                                               "f_score": ("frequency", True),
-                                               "m_score": ("monetary", True)})
+    return ntile_by_cuts(raw, tiles, [customer], {"r_score": ("recency", False),
+                                                  "f_score": ("frequency", True),
+                                                  "m_score": ("monetary", True)})
 
 
 def segment_label(r="r_score", f="f_score", m="m_score", other: str = OTHER_LABEL) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.sizing import broadcast_if_bounded
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import stored
 
 HOT_KEY_ROWS = 1_000_000
 # Hot lists up to so many keys are broadcast, longer ones shuffled.
@@ -32,12 +32,11 @@ def hot_keys(counts: DataFrame, keys: list[str], count_col: str, rows_per_task:
              ) -> DataFrame | None:
     """Keys with more than ``rows_per_task`` rows and their number of salts.
 
-    Stays a DataFrame of any size (written to the checkpoint folder, since both sides
+    Stays a DataFrame of any size (written to the scratch folder, since both sides
     of the join read it); ``None`` when no key is hot.
     """
     salts = F.ceil(F.col(count_col) / F.lit(max(rows_per_task, 1))).cast("int").alias("_salts")
-    checkpoint_dir(counts.sparkSession)
-    hot = counts.where(F.col(count_col) > rows_per_task).select(*keys, salts).checkpoint(eager=True)
+    hot = stored(counts.where(F.col(count_col) > rows_per_task).select(*keys, salts))
     return None if hot.isEmpty() else hot
 
 

@@ -11,7 +11,7 @@ from ledgerlens.operators import rfm as R
 from ledgerlens.plans.oracle import mean, money_text, r, with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.rfm import segmented_sql
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import stored
 from ledgerlens.sources.star import sales_lines, with_order_columns
 
 _PIVOT_SQL = with_sales(f"""
@@ -33,8 +33,7 @@ def x01(spark, d):
     lines = sales_lines(spark, d, ["order_id", "discount", "profit", "sales"])
     folded = lines.groupBy("order_id", "discount").agg(F.sum("profit").alias("profit"),
                                                        F.sum("sales").alias("sales"))
-    checkpoint_dir(spark)
-    per_rate = with_order_columns(spark, d, folded, ["customer_name", "order_date"]).checkpoint(eager=True)
+    per_rate = stored(with_order_columns(spark, d, folded, ["customer_name", "order_date"]))
     segments = R.rfm_segments(per_rate, other=R.OTHER_LABEL_EXPORT).select(
         "customer_name", "customer_segment")
     per_customer = per_rate.groupBy("customer_name", "discount").agg(

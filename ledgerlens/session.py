@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins from real shuffle sizes,
 # splits skewed join partitions and coalesces small ones; ANSI mode stays on
@@ -68,6 +69,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens-{app}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the scratch folder and read back: computed once, kept when
+    an executor is lost, and removed by ``drop_scratch``."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the tables this application has written to its scratch folder. Reports read
     them lazily, so the caller does this once the results are stored."""
