@@ -15,9 +15,11 @@
    missed only if no order has them in one region: (1 - s^4)^24, 2e-8 at 0.85 and less
    above. Depth adapts to the region: one that is still crowded is dealt again over
    orders of twice the depth, and many more of them; the crowds of those meet in pairs
-   of chunks.
-4. A candidate pair goes on if the sizes allow the similarity and enough columns agree;
-   then both texts meet and their sets are compared exactly.
+   of chunks. Components with a candidate pair whose sizes and signatures allow the
+   similarity are bridged to clusters (a spanning forest of them, never all pairs).
+4. The texts of a cluster meet once, and its components' sets are compared exactly. A
+   large cluster is cut into chunks that meet in pairs; its largest component does not
+   meet itself.
 """
 
 from __future__ import annotations
@@ -42,9 +44,11 @@ ORDERS = 24
 #: common region of them with a probability of 5e-9.
 DEEP_ORDERS = 60
 #: A region of more nodes (of several components) is crowded.
-REGION_ROWS = 2048
+REGION_ROWS = 1024
 #: Columns that must agree: at a similarity of 0.85 fewer do in 1 of 10 million pairs.
 AGREE = 84
+#: Shingles of a chunk in which whole sets of a cluster are compared.
+CHUNK_SHINGLES = 500_000
 #: Cached word hashes of a task.
 CACHE = 200_000
 
@@ -75,24 +79,17 @@ def shingle_set(text: str | None, cache: dict, shingle: int) -> np.ndarray:
     return np.unique(x)
 
 
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
-    a, b = (rng.integers(0, 1 << 63, COLUMNS, np.uint64) for _ in range(2))
-    return (a << np.uint64(1) | np.uint64(1))[:, None], b[:, None]
-
-
-_A, _B = _factors()
+_FACTORS = (np.random.default_rng(7).integers(0, 1 << 31, COLUMNS, np.uint32) << np.uint32(1) | np.uint32(1))[:, None]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
     """16 bits of the least value of each of ``COLUMNS`` permutations of a set."""
-    least = np.full(COLUMNS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        x = hashes[None, i:i + 1024] * _A
-        x += _B
-        np.minimum(least, x.min(1), out=least)
-    # the least value's low bits are as good as random; its high bits are near zero
-    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16)
+    least = np.full(COLUMNS, 0xFFFFFFFF, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), 2048):
+        np.minimum(least, (short[None, i:i + 2048] * _FACTORS).min(1), out=least)
+    # the least value's high bits are near zero: mixed, so that 16 bits tell values apart
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 def sketches(keyed: DataFrame, id_col: str, text: str, shingle: int) -> DataFrame:
@@ -209,22 +206,47 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 # --- regions of several components ------------------------------------------------------------
 
-def _alike(region: list[np.ndarray], ratio: tuple[int, int], agree: int) -> Iterator[np.ndarray]:
-    """Pairs (i, j) of different components with allowed sizes and enough equal columns."""
-    comp, size, sig = region
+class _Groups(dict):
+    """Disjoint sets: the root of each member met."""
+
+    def root(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _possible(i: int, others: np.ndarray, size: np.ndarray, sig: np.ndarray, ratio: tuple[int, int],
+              agree: int) -> np.ndarray:
+    """Those of ``others`` whose size and signature allow the similarity to row ``i``."""
     num, den = ratio
+    low, high = np.minimum(size[i], size[others]), np.maximum(size[i], size[others])
+    others = others[low * den >= num * high]
+    return others[(sig[others] == sig[i]).sum(1) >= agree] if len(others) else others
+
+
+def _bridges(comp: np.ndarray, size: np.ndarray, sig: np.ndarray, ratio: tuple[int, int],
+             agree: int) -> list[tuple[int, int]]:
+    """Pairs of components that may be linked, as many as connect all that may."""
+    met, out = _Groups(), []
+    names, local = np.unique(comp, return_inverse=True)
     for i in range(len(comp) - 1):
-        j = np.flatnonzero(comp[i + 1:] != comp[i]) + i + 1
-        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        j = j[low * den >= num * high]
-        if len(j):
-            j = j[(sig[j] == sig[i]).sum(1) >= agree]
-            if len(j):
-                yield np.stack([np.full(len(j), i), j])
+        roots = np.array([met.root(c) for c in range(len(names))])[local]
+        rest = np.flatnonzero(roots[i + 1:] != roots[i]) + i + 1
+        for c in np.unique(local[_possible(i, rest, size, sig, ratio, agree)]).tolist():
+            if met.unite(int(local[i]), c):
+                out.append((int(comp[i]), int(names[c])))
+        if not len(rest) and len(set(roots)) == 1:
+            break
+    return out
 
 
 def across(rows: DataFrame, keys: list[str], ratio: tuple[int, int], agree: int) -> DataFrame:
-    """Candidate pairs (a, b) across the components of each region of ``rows``."""
+    """Pairs of components (a, b) that some region of ``rows`` may link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         mark = None
@@ -232,7 +254,7 @@ def across(rows: DataFrame, keys: list[str], ratio: tuple[int, int], agree: int)
             if b.num_rows == 0:
                 continue
             region = b.column(0).to_numpy()
-            cols = [c.to_numpy() for c in b.columns[1:4]] + [_matrix(b.column(4))]
+            cols = [b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3))]
             cut = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
             out = []
             for s, e in zip(cut, cut[1:]):
@@ -243,23 +265,22 @@ def across(rows: DataFrame, keys: list[str], ratio: tuple[int, int], agree: int)
             yield _pair_batch(out)
         yield _pair_batch(_found(held))
 
-    def _found(held: list) -> list[np.ndarray]:
-        if not held:
-            return []
-        node, *region = (np.concatenate(c) for c in zip(*held))
-        return [node[p] for p in _alike(region, ratio, agree)]
-
-    def _pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
-        two = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1])], ["a", "b"])
+    def _found(held: list) -> list[tuple[int, int]]:
+        return _bridges(*(np.concatenate(c) for c in zip(*held)), ratio, agree) if held else []
 
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
-    return _pairs(ordered.select(F.xxhash64(*keys).alias("region"), "node", "comp", "n", "sig").mapInArrow(
+    return _pairs(ordered.select(F.xxhash64(*keys).alias("region"), "comp", "n", "sig").mapInArrow(
         run, "a long, b long"))
 
 
-def rest(nodes: DataFrame, ratio: tuple[int, int], agree: int, region_rows: int) -> DataFrame:
-    """Candidate pairs of different components (``nodes``: node, comp, n, sig) that share a region."""
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = list(zip(*pairs)) or ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def bridges(nodes: DataFrame, ratio: tuple[int, int], agree: int, region_rows: int) -> DataFrame:
+    """Pairs of components of ``nodes`` (node, comp, n, sig) that their regions may link; those
+    that do not come up as a pair are connected through others."""
     found = []
     plan = [(DEPTH, ORDERS), (2 * DEPTH, DEEP_ORDERS)]
     sigs = nodes.select("node", "n", "sig")
@@ -305,13 +326,16 @@ def promising(pairs: DataFrame, nodes: DataFrame, ratio: tuple[int, int], agree:
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, shingle: int,
-              ratio: tuple[int, int], repeated: bool) -> DataFrame:
-    """The pairs (a, b) whose whole sets have the similarity.
+def bodies(need: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, repeated: bool) -> DataFrame:
+    """(node, text) of the nodes in ``need``, stored. ``docs`` has row keys, ``nodes`` names
+    one row of each node; ``repeated`` tells that some rows share their key."""
+    rows = small(persisted(nodes.select("node", "_k1", "_k2").join(need, "node")))
+    out = docs.select("_k1", "_k2", F.col(text).alias("text")).join(rows, ["_k1", "_k2"]).select("node", "text")
+    return persisted(out.dropDuplicates(["node"]) if repeated else out)
 
-    ``docs`` has row keys; ``nodes`` names one row of each node. ``repeated`` tells that
-    some rows share their key.
-    """
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, ratio: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose whole sets have the similarity."""
     num, den = ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,24 +353,89 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, sh
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 if den * shared >= num * (len(both) - shared):
                     out.append((a, b))
-            cols = list(zip(*out)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
-
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    need = small(persisted(nodes.select("node", "_k1", "_k2").join(need, "node")))
-    bodies = docs.select("_k1", "_k2", F.col(text).alias("text")).join(need, ["_k1", "_k2"]).select("node", "text")
-    if repeated:
-        bodies = bodies.dropDuplicates(["node"])
-    bodies = persisted(bodies)
-    met = pairs.join(bodies.toDF("a", "ta"), "a").join(bodies.toDF("b", "tb"), "b")
+            yield _pair_batch(out)
+
+    met = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _linked(rows: list, shingle: int, cache: dict, ratio: tuple[int, int], agree: int) -> list[tuple[int, int]]:
+    """Links between the components of a group, as many as connect all that are linked.
+
+    ``rows`` are (node, comp, n, chunk, sig, text); those of the lower chunk meet all others.
+    """
+    num, den = ratio
+    node, comp, size, chunk = (np.array(c) for c in list(zip(*rows))[:4])
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(-1, COLUMNS)
+    sets = [shingle_set(r[5], cache, shingle) for r in rows]
+    # shingles numbered inside the group, so that a set is a list of places in one array
+    names, local = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    sets = np.split(local, ends[:-1])
+    mark = np.zeros(len(names), np.int64)
+    met, out = _Groups(), []
+    for i in np.flatnonzero(chunk == chunk.min()).tolist():
+        mine = met.root(int(comp[i]))
+        rest = np.array([j for j in range(len(rows)) if (j > i or chunk[j] != chunk[i])
+                         and met.root(int(comp[j])) != mine], np.int64)
+        rest = _possible(i, rest, size, sig, ratio, agree)
+        mark[sets[i]] = 1
+        for j in rest.tolist():
+            if met.root(int(comp[j])) != met.root(int(comp[i])):
+                shared = int(mark[sets[j]].sum())
+                if den * shared >= num * (int(size[i]) + int(size[j]) - shared):
+                    met.unite(int(comp[i]), int(comp[j]))
+                    out.append((int(node[i]), int(node[j])))
+        mark[sets[i]] = 0
+    return out
+
+
+def linked(nodes: DataFrame, cluster_of: DataFrame, docs: DataFrame, all_nodes: DataFrame, text: str, shingle: int,
+           ratio: tuple[int, int], agree: int, chunk_shingles: int, repeated: bool) -> DataFrame:
+    """Links (a, b) across the components of each cluster, by comparing whole sets.
+
+    A cluster's largest component (its bulk) need not meet itself: the other nodes' chunks
+    meet each other and the chunks of the bulk. Chunks hold about ``chunk_shingles``.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _WordHashes()
+        held: list = []
+        mark = None
+        for b in batches:
+            out = []
+            for group, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if group != mark:
+                    out += _linked(held, shingle, cache, ratio, agree) if held else []
+                    held, mark = [], group
+                held.append(row)
+            yield _pair_batch(out)
+        yield _pair_batch(_linked(held, shingle, cache, ratio, agree) if held else [])
+
+    inside = persisted(nodes.select("node", "comp", "n").join(cluster_of, "comp"))
+    comps = inside.groupBy("cluster", "comp").agg(F.sum("n").alias("total"))
+    per = comps.groupBy("cluster").agg(F.max_by("comp", F.struct("total", "comp")).alias("bulk"),
+                                       F.sum("total").alias("all"), F.max("total").alias("most"))
+    per = persisted(per.select(
+        "cluster", "bulk", F.ceil((F.col("all") - F.col("most")) / chunk_shingles).alias("ko"),
+        F.ceil(F.col("most") / chunk_shingles).alias("kb")))
+    own = F.col("comp") != F.col("bulk")
+    placed = inside.join(per, "cluster").withColumn("chunk", F.when(own, F.pmod(F.xxhash64("node"), "ko")).otherwise(
+        F.col("ko") + F.pmod(F.xxhash64("node"), F.col("kb"))))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(own, F.col("ko") + F.col("kb")).otherwise(F.col("ko")) - 1)
+    grouped = placed.withColumn("j", F.explode(partners)).select(
+        "node", "comp", "n", "chunk", "cluster", F.least("chunk", "j").alias("lo"), F.greatest("chunk", "j").alias("hi"))
+    texts = bodies(inside.select("node"), all_nodes, docs, text, repeated)
+    full = grouped.join(texts.join(nodes.select("node", "sig"), "node"), "node")
+    ordered = full.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
+    group = F.xxhash64("cluster", "lo", "hi").alias("g")
+    return ordered.select(group, "node", "comp", "n", "chunk", "sig", "text").mapInArrow(run, "a long, b long")
+
+
 # --- operator --------------------------------------------------------------------------------
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                 ratio: tuple[int, int] = SIMILARITY, agree: int = AGREE,
-                region_rows: int = REGION_ROWS) -> DataFrame:
+                region_rows: int = REGION_ROWS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Two documents are linked if their sets of lower-cased (A-Z) word shingles have
@@ -370,12 +459,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shi
     repeated = not of_doc.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
 
     tried = persisted(promising(neighbours(deal(nodes, DEPTH, ORDERS)), nodes, ratio, agree))
-    links = persisted(confirmed(tried, nodes, keyed, text, shingle, ratio, repeated))
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = persisted(confirmed(tried, bodies(ends, nodes, keyed, text, repeated), shingle, ratio))
     first = components(links).withColumnRenamed("root", "comp")
     placed = persisted(nodes.select("node", "n", "sig").join(first, "node", "left").withColumn(
         "comp", F.coalesce("comp", "node")))
-    more = persisted(rest(placed, ratio, agree, region_rows).join(tried, ["a", "b"], "left_anti"))
-    links = persisted(links.unionByName(confirmed(more, nodes, keyed, text, shingle, ratio, repeated)))
+    clusters = components(persisted(bridges(placed, ratio, agree, region_rows))).toDF("comp", "cluster")
+    links = persisted(links.unionByName(linked(
+        placed, persisted(clusters), keyed, nodes, text, shingle, ratio, agree, chunk_shingles, repeated)))
 
     roots = components(links)
     rooted = nodes.select("s1", "s2", "node", "least_id").join(roots, "node", "left").withColumn(

@@ -74,14 +74,14 @@ def crowd(rng, n, words, changes):
     return out
 
 
-@pytest.mark.parametrize("region_rows", [L.REGION_ROWS, 16])
-def test_crowds_of_near_copies(spark, region_rows):
+@pytest.mark.parametrize("region_rows,chunk", [(L.REGION_ROWS, L.CHUNK_SHINGLES), (16, 3000)])
+def test_crowds_of_near_copies(spark, region_rows, chunk):
     """Texts around the threshold, most of a crowd's pairs on one side of it; with small
-    regions the deep orders and the pairs of chunks are taken as well."""
+    regions and chunks the deep orders and the pairs of chunks are taken as well."""
     rng = random.Random(region_rows)
     texts = crowd(rng, 250, 120, 9) + crowd(rng, 60, 200, 30) + crowd(rng, 40, 30, 3)
     rows = list(enumerate(rng.sample(texts, len(texts)), 1))
-    assert got(L.near_copies(frame(spark, rows).repartition(5), region_rows=region_rows)) == plain(rows)
+    assert got(L.near_copies(frame(spark, rows).repartition(5), region_rows=region_rows, chunk_shingles=chunk)) == plain(rows)
 
 
 def test_pairs_at_the_threshold_are_found(spark):
