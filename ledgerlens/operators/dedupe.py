@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
+from ledgerlens.functions.sizing import broadcast_if_bounded
 from ledgerlens.operators.ranking import first_per_group, rank_within_groups
+from ledgerlens.operators.skew import BROADCAST_KEYS
+from ledgerlens.session import stored
 
 
 def repeated_keys(df: DataFrame, keys: list[str], name: str = "total") -> DataFrame:
@@ -43,14 +48,63 @@ def extra_lines(df: DataFrame, keys: list[str], order: list[str | Column],
     return ranked.where(F.col(name) > 1)
 
 
-def dedupe(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+Digest = Callable[[list[str]], list[Column]]
+_MARKS = ["_d1", "_d2"]
+
+
+def line_digest(keys: list[str]) -> list[Column]:
+    """128 bits of a row's key columns, as two numbers."""
+    return [F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)]
+
+
+def suspects(df: DataFrame, keys: list[str], digest: Digest = line_digest) -> DataFrame | None:
+    """The digests of ``keys`` that more than one row has, stored; ``None`` if there are none.
+
+    The first step of a duplicate search: two numbers per row are counted, partial on
+    every executor. Equal keys have equal digests, so a row whose digest is not listed is
+    no duplicate; of the others the key columns decide.
+    """
+    marks = [c.alias(m) for c, m in zip(digest(keys), _MARKS)]
+    again = stored(df.select(*marks).groupBy(*_MARKS).agg(M.rows().alias("_n")).where("_n > 1").select(*_MARKS))
+    return None if again.isEmpty() else again
+
+
+def _split(df: DataFrame, again: DataFrame, keys: list[str], digest: Digest) -> tuple[DataFrame, DataFrame]:
+    """(rows whose digest is not in ``again``, rows whose digest is)."""
+    marked = df.withColumns(dict(zip(_MARKS, digest(keys))))
+    side = broadcast_if_bounded(again, BROADCAST_KEYS)
+    return (marked.join(side, _MARKS, "left_anti").drop(*_MARKS),
+            marked.join(side, _MARKS, "left_semi").drop(*_MARKS))
+
+
+def repeated_keys_by_digest(df: DataFrame, keys: list[str], name: str = "total",
+                            digest: Digest = line_digest) -> DataFrame:
+    """``repeated_keys``, digests first: only rows of a repeated digest carry their keys
+    into the count (C18, C22)."""
+    again = suspects(df, keys, digest)
+    if again is None:
+        return repeated_keys(df.limit(0), keys, name)
+    return repeated_keys(_split(df, again, keys, digest)[1].select(*keys), keys, name)
+
+
+def dedupe(df: DataFrame, keys: list[str], order: list[str | Column], narrow: DataFrame | None = None,
+           narrow_keys: list[str] | None = None, digest: Digest = line_digest) -> DataFrame:
     """Keep one row per ``keys`` value: the first under ``order``.
 
     ``order`` must end in a unique column, so the surviving row is defined
-    (``dropDuplicates`` keeps an arbitrary one). A ``min_by`` aggregate:
+    (``dropDuplicates`` keeps an arbitrary one). Digests are counted first; rows of a
+    single digest pass without a shuffle, the others meet in a ``min_by`` aggregate,
     partial on every executor, so a heavily duplicated key is folded early.
+
+    ``narrow`` may give the same rows with fewer columns for the count, and
+    ``narrow_keys`` those of ``keys`` that it has: a coarser key only adds suspects.
     """
-    return first_per_group(df, keys, order)
+    cols = narrow_keys or keys
+    again = suspects(df if narrow is None else narrow, cols, digest)
+    if again is None:
+        return df
+    single, rest = _split(df, again, cols, digest)
+    return single.unionByName(first_per_group(rest, keys, order))
 
 
 def assert_no_duplicates(df: DataFrame, keys: list[str]) -> None:

@@ -190,7 +190,18 @@ def c17(spark, d):
     SELECT {money_out_sql(DUPLICATE_KEYS)}, COUNT(*) AS total FROM sales
     GROUP BY {", ".join(DUPLICATE_KEYS)} HAVING COUNT(*) > 1"""), "C18")
 def c18(spark, d):
-    found = D.repeated_keys(sales_lines(spark, d, DUPLICATE_KEYS), DUPLICATE_KEYS)
+    found = D.repeated_keys_by_digest(sales_lines(spark, d, DUPLICATE_KEYS), DUPLICATE_KEYS)
+    return found.select(*money_out(DUPLICATE_KEYS), "total")
+
+
+# The tables hold no such lines; on the view united with itself every key repeats.
+@register("c18b_duplicate_keys_of_doubled_lines", with_sales(f"""
+    SELECT {money_out_sql(DUPLICATE_KEYS)}, COUNT(*) AS total
+    FROM (SELECT * FROM sales UNION ALL SELECT * FROM sales) twice
+    GROUP BY {", ".join(DUPLICATE_KEYS)} HAVING COUNT(*) > 1"""), "C18")
+def c18b(spark, d):
+    lines = sales_lines(spark, d, DUPLICATE_KEYS)
+    found = D.repeated_keys_by_digest(lines.unionByName(lines), DUPLICATE_KEYS)
     return found.select(*money_out(DUPLICATE_KEYS), "total")
 
 
@@ -208,9 +219,18 @@ def c19(spark, d):
 _LINE_DEDUPE_KEYS = [c for c in DEDUPE_KEYS if c != "customer_id"]
 
 
-def _deduped(spark, d, lines):
-    """Lines de-duplicated on the seven columns, with their order columns."""
-    return with_order_columns(spark, d, D.dedupe(lines, _LINE_DEDUPE_KEYS, DEDUPE_ORDER))
+# Profit needs the part join; the digests are counted without it, on a coarser key.
+_NARROW_KEYS = [c for c in _LINE_DEDUPE_KEYS if c != "profit"]
+
+
+def _deduped(spark, d, times=1):
+    """Lines (``times`` over) de-duplicated on the seven columns, with their order columns."""
+    narrow = sales_lines(spark, d, _NARROW_KEYS)
+    lines = sales_lines(spark, d, LINE_COLUMNS, salt_parts=True)
+    for _ in range(times - 1):
+        narrow, lines = narrow.unionByName(narrow), lines.unionByName(lines)
+    kept = D.dedupe(lines, _LINE_DEDUPE_KEYS, DEDUPE_ORDER, narrow, _NARROW_KEYS)
+    return with_order_columns(spark, d, kept)
 
 
 _DEDUPED_SQL = f"""deduped AS (
@@ -225,7 +245,7 @@ _DEDUPED_SQL = f"""deduped AS (
     WITH {_DEDUPED_SQL}
     SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
 def c21(spark, d):
-    return _deduped(spark, d, sales_lines(spark, d, LINE_COLUMNS, salt_parts=True)).select(*money_out(SALES_COLUMNS))
+    return _deduped(spark, d).select(*money_out(SALES_COLUMNS))
 
 
 # Every line doubled has one true duplicate: de-duplicating gives the de-duplicated view
@@ -234,8 +254,7 @@ def c21(spark, d):
     WITH {_DEDUPED_SQL}
     SELECT {money_out_sql(SALES_COLUMNS)} FROM deduped"""), "C21")
 def c21b(spark, d):
-    lines = sales_lines(spark, d, LINE_COLUMNS, salt_parts=True)
-    return _deduped(spark, d, lines.unionByName(lines)).select(*money_out(SALES_COLUMNS))
+    return _deduped(spark, d, times=2).select(*money_out(SALES_COLUMNS))
 
 
 @register("c22_no_duplicates_after_dedupe", with_sales(f"""
@@ -244,7 +263,9 @@ def c21b(spark, d):
     GROUP BY {", ".join(DEDUPE_KEYS)} HAVING COUNT(*) > 1"""), "C22")
 def c22(spark, d):
     need = [c for c in dict.fromkeys([*DEDUPE_KEYS, *DEDUPE_ORDER]) if c in LINE_COLUMNS]
+    narrow = sales_lines(spark, d, _NARROW_KEYS)
     lines = sales_lines(spark, d, need, salt_parts=True)
-    kept = D.dedupe(lines.unionByName(lines), _LINE_DEDUPE_KEYS, DEDUPE_ORDER)
-    left = with_order_columns(spark, d, D.repeated_keys(kept, _LINE_DEDUPE_KEYS), ["customer_id"])
+    kept = D.dedupe(lines.unionByName(lines), _LINE_DEDUPE_KEYS, DEDUPE_ORDER,
+                    narrow.unionByName(narrow), _NARROW_KEYS)
+    left = with_order_columns(spark, d, D.repeated_keys_by_digest(kept, _LINE_DEDUPE_KEYS), ["customer_id"])
     return left.select(*money_out(DEDUPE_KEYS), "total")

@@ -9,6 +9,8 @@ from ledgerlens.plans.common import money_out, money_out_sql
 from ledgerlens.plans.oracle import r, ratio, with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.operators.ranking import first_per_group
+from ledgerlens.operators.skew import hot_key_rows, hot_keys, salted_join
+from ledgerlens.session import stored
 from ledgerlens.sources.star import (LINE_COLUMNS, LINEITEM_COLUMNS, ORDER_COLUMNS, ROW_ORDER,
                                      SALES_COLUMNS, order_dimension, sales_by_order, sales_lines,
                                      with_part_columns)
@@ -17,20 +19,34 @@ def rfm_input(spark, d):
     """Customer, date and sales of each order, lines folded per order first."""
     return sales_by_order(spark, d, ["customer_name", "order_date"], sums=["sales"])
 
-RAW_SQL = """raw AS (
-        SELECT customer_name,
-               CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM sales))
-                    AS BIGINT) AS recency,
-               COUNT(DISTINCT order_id) AS frequency,
-               ROUND(SUM(sales), 2) AS monetary
-        FROM sales GROUP BY customer_name)"""
+# Orders first, then customers; the newest date stands on its own.
+RAW_SQL = """per_order AS (
+        SELECT order_id, customer_name, order_date, SUM(sales) AS amount
+        FROM sales GROUP BY order_id, customer_name, order_date),
+    newest AS (SELECT MAX(order_date) AS day FROM per_order),
+    raw AS (
+        SELECT customer_name, MIN(date_diff('day', order_date, day))::BIGINT AS recency,
+               COUNT(*) AS frequency, ROUND(SUM(amount), 2) AS monetary
+        FROM per_order CROSS JOIN newest GROUP BY customer_name)"""
 
-SCORED_SQL = """scored AS (
-        SELECT *,
-               CAST(NTILE(4) OVER (ORDER BY recency DESC, customer_name) AS BIGINT) AS r_score,
-               CAST(NTILE(4) OVER (ORDER BY frequency ASC, customer_name) AS BIGINT) AS f_score,
-               CAST(NTILE(4) OVER (ORDER BY monetary ASC, customer_name) AS BIGINT) AS m_score
-        FROM raw)"""
+
+def tile_sql(position: str, total: str = "total", tiles: int = 4) -> str:
+    """The bucket of a position from 1: the larger buckets come first."""
+    size, extra = f"({total} // {tiles})", f"({total} % {tiles})"
+    larger = f"{extra} * ({size} + 1)"
+    return (f"CASE WHEN {position} <= {larger} THEN ({position} - 1) // ({size} + 1) + 1 "
+            f"ELSE {extra} + ({position} - {larger} - 1) // greatest({size}, 1) + 1 END")
+
+
+SCORED_SQL = f"""placed AS (
+        SELECT *, COUNT(*) OVER () AS total,
+               row_number() OVER (ORDER BY -recency, customer_name) AS r_at,
+               row_number() OVER (ORDER BY frequency, customer_name) AS f_at,
+               row_number() OVER (ORDER BY monetary, customer_name) AS m_at
+        FROM raw),
+    scored AS (
+        SELECT customer_name, recency, frequency, monetary, {tile_sql('r_at')} AS r_score,
+               {tile_sql('f_at')} AS f_score, {tile_sql('m_at')} AS m_score FROM placed)"""
 
 
 def segment_case_sql(other: str = R.OTHER_LABEL) -> str:
@@ -73,19 +89,22 @@ def r02(spark, d):
         FROM sales) t
     WHERE rw_no = 1 ORDER BY order_id, line_number"""), "R03")
 def r03(spark, d):
-    # the customer's highest order id as text is found among the orders that have lines; a
-    # partial aggregate folds each order's lines to its first one (a hot order too) before
-    # the shuffle, the chosen orders' lines stay, and parts join only those
+    # each customer's highest order id as text is found among the orders that have lines
+    # (one scan of the order ids, one of the orders); the chosen orders, one per customer,
+    # are stored, and only their lines are folded to the first one; parts join the picks
     line_only = [c for c in LINE_COLUMNS if c in LINEITEM_COLUMNS]
-    held = sales_lines(spark, d, ["order_id"]).distinct()
+    per_order = stored(sales_lines(spark, d, ["order_id"]).groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("_lines")))
     orders = order_dimension(spark, d, {"orders", "customer", "nation", "region"}).select(
-        "order_id", *ORDER_COLUMNS).join(held, "order_id", "left_semi")
-    top = orders.withColumn("_text", F.col("order_id").cast("string")).groupBy("customer_name").agg(
-        F.max("_text").alias("_text"))
-    chosen = top.select(F.col("_text").cast("long").alias("order_id")).distinct()
+        "order_id", *ORDER_COLUMNS).join(per_order, "order_id")
+    rest = [c for c in orders.columns if c != "customer_name"]
+    best = F.max_by(F.struct(*rest), F.col("order_id").cast("string")).alias("_best")
+    chosen = stored(orders.groupBy("customer_name").agg(best).select("customer_name", "_best.*"))
+    hot = hot_keys(chosen, ["order_id"], "_lines", hot_key_rows(spark))
     lines = sales_lines(spark, d, [*line_only, "list_price"])
-    picks = first_per_group(lines, ["order_id"], ROW_ORDER).join(chosen, "order_id", "left_semi")
-    full = with_part_columns(spark, d, picks).join(orders, "order_id")
+    mine = salted_join(lines, chosen.select("order_id"), ["order_id"], hot)
+    picks = first_per_group(mine, ["order_id"], ROW_ORDER)
+    full = with_part_columns(spark, d, picks).join(chosen.drop("_lines"), "order_id")
     return full.withColumn("rw_no", F.lit(1).cast("long")).select(
         *money_out(SALES_COLUMNS), "rw_no").orderBy("order_id", "line_number")
 
@@ -118,11 +137,10 @@ def r06(spark, d):
 
 @register("r07_segment_shares", with_sales(f"""
     WITH {segmented_sql()},
-    per AS (SELECT customer_segment, COUNT(*) AS total_customers, ROUND(SUM(monetary), 2) AS total_revenue
-            FROM seg GROUP BY 1)
+    whole AS (SELECT SUM(monetary) AS revenue, COUNT(*) AS customers FROM seg)
     SELECT customer_segment,
-           {r(ratio('total_revenue', 'SUM(total_revenue) OVER ()') + ' * 100')} AS per_contribute,
-           {r(ratio('total_customers', 'SUM(total_customers) OVER ()') + ' * 100')} AS per_engage
-    FROM per ORDER BY customer_segment"""), "R07")
+           {r(ratio('SUM(monetary)', 'any_value(revenue)') + ' * 100')} AS per_contribute,
+           {r(ratio('COUNT(*)', 'any_value(customers)') + ' * 100')} AS per_engage
+    FROM seg CROSS JOIN whole GROUP BY customer_segment ORDER BY customer_segment"""), "R07")
 def r07(spark, d):
     return R.segment_shares(R.rfm_segments(rfm_input(spark, d)))

@@ -73,12 +73,15 @@ def test_small_dimensions_are_broadcast(spark):
 SCANS = {  # scans of each star table, no more than the report needs
     "e02_revenue_profit_margin": {"lineitem": 1, "part": 1},
     "e09_distinct_categories": {"lineitem": 1, "part": 1},
-    "i11_product_popularity": {},  # lines are folded and checkpointed while it is built
+    "i11_product_popularity": {},  # lines are folded and stored while it is built
     "i12_never_full_price_products": {"lineitem": 1, "part": 1},
     "c14_extra_lines_per_order": {"lineitem": 1, "orders": 1, "customer": 1},
     "c13_rows_of_repeated_orders": {"lineitem": 2, "part": 1, "orders": 1, "customer": 1, "nation": 1, "region": 1},
-    "p07_worst_discounted_line_per_order": {"lineitem": 1, "part": 1, "orders": 1, "customer": 1, "nation": 1, "region": 1},
+    # prices for the pick, names for the picks
+    "p07_worst_discounted_line_per_order": {"lineitem": 1, "part": 2, "orders": 1, "customer": 1, "nation": 1, "region": 1},
     "c21_dedupe_lines": {"lineitem": 1, "part": 1, "orders": 1, "customer": 1, "nation": 1, "region": 1},
+    # order ids and orders are read while the chosen orders are stored; then only their lines
+    "r03_latest_row_per_customer": {"lineitem": 1, "part": 1},
 }
 
 
@@ -89,6 +92,11 @@ def test_tables_are_scanned_no_more_than_needed(spark, name):
     assert dict(found) == SCANS[name]
 
 
+def test_lines_without_repeated_digests_are_not_sorted(spark):
+    plan = plan_text(queries()["c21_dedupe_lines"](spark, SF_SMALL))
+    assert "SortAggregate" not in plan and "min_by" not in plan
+
+
 def test_top_k_is_take_ordered(spark):
     plan = plan_text(queries()["e28_loss_making_products"](spark, SF_SMALL))
     assert "TakeOrderedAndProject" in plan

@@ -5,6 +5,8 @@ import os
 import pytest
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import dedupe as D
 from ledgerlens.operators import quality as Q
 
@@ -81,6 +83,34 @@ def test_dedupe_keeps_lowest_row_id_and_is_idempotent(spark):
     assert once.columns == df.columns
 
 
+def weak(keys):
+    """Two different digests for all rows there are."""
+    return [F.pmod(F.xxhash64(*keys), F.lit(2)), F.lit(0).cast("long")]
+
+
+@pytest.mark.parametrize("digest", [D.line_digest, weak])
+def test_digests_only_choose_suspects(spark, digest):
+    """Rows that share a digest are told apart by their keys, null keys and values included."""
+    d = Decimal
+    extra = [(8, None, "c1", None, None, 1, d("0"), d("1.0"), "x", "1"),
+             (9, None, "c1", None, None, 1, d("0"), d("1.0"), "y", "2")]
+    df = lines(spark).unionByName(spark.createDataFrame(extra, SCHEMA))
+    kept = D.dedupe(df, KEY7, ["row_id"], digest=digest)
+    assert sorted(r["row_id"] for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8]
+    got = D.repeated_keys_by_digest(df, KEY7, digest=digest)
+    assert sorted(map(str, got.collect())) == sorted(map(str, D.repeated_keys(df, KEY7).collect()))
+    assert D.suspects(kept, ["row_id"]) is None
+    narrow = D.dedupe(df, KEY7, ["row_id"], df.select("order_id"), ["order_id"], digest)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, kept.collect()))
+
+
+def test_a_third_of_the_rows_one_duplicate(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"o{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, order_id string").repartition(8)
+    kept = sorted(r.row_id for r in D.dedupe(df, ["order_id"], ["row_id"]).collect())
+    assert kept == sorted([0, *[i for i in range(3000) if i % 3]])
+
+
 def test_snapshot_refuses_to_overwrite(spark, tmpdir_path):
     df = lines(spark)
     path = os.path.join(tmpdir_path, "backup")
