@@ -50,13 +50,15 @@ def wide(pivot: DataFrame, rates: list, row: str = "customer_segment", col: str
     return pivot.groupBy("row_total", row).agg(*aggs).orderBy("row_total", row).drop("row_total")
 
 
-def mean_with_grand_total(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+def mean_with_grand_total(df: DataFrame, key: str, value: str, name: str, folded: bool = False
+                          ) -> DataFrame:
     """Mean of ``value`` per ``key`` plus a grand-total row.
 
     The total is the mean over all rows, not the mean of the means: ROLLUP
-    computes it from the same partial aggregates.
+    computes it from the same partial aggregates. ``folded`` rows hold sums and counts.
     """
-    return (df.rollup(key).agg(M.rounded(M.mean(value)).alias(name),
+    mean = M.folded_mean(value) if folded else M.mean(value)
+    return (df.rollup(key).agg(M.rounded(mean).alias(name),
                                F.grouping_id().cast("long").alias("grand_total"))
             .orderBy("grand_total", key))
 

@@ -19,6 +19,7 @@ from ledgerlens.plans.common import SCAN_SQL, money_out, money_out_sql, scan
 from ledgerlens.plans.oracle import with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.session import scratch_dir
+from ledgerlens.sources.lattice import distinct_keys
 from ledgerlens.sources.raw_csv import RAW_COLUMNS, read_orders, write_orders_export
 from ledgerlens.operators.skew import hot_key_rows, hot_keys, salted_join
 from ledgerlens.sources.star import (LINE_COLUMNS, ORDER_COLUMNS, ROW_ORDER, SALES_COLUMNS,
@@ -176,6 +177,9 @@ def c15(spark, d):
 @register("c16_distinct_order_count", with_sales(
     "SELECT COUNT(DISTINCT order_id) AS unique_orders FROM sales"), "C16")
 def c16(spark, d):
+    kept = distinct_keys(spark, d, ["order_id"])
+    if kept is not None:
+        return kept.withColumnRenamed("order_id", "unique_orders")
     return Q.distinct_count(sales_lines(spark, d, ["order_id"]), "order_id", "unique_orders")
 
 

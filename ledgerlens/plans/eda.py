@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
+from ledgerlens.functions.distinct import key_bitmaps, merged_count
 from ledgerlens.operators.breakdown import breakdown, top1
 from ledgerlens.operators.kpi import kpi_summary, order_value
 from ledgerlens.operators.ranking import top_per_group
@@ -18,7 +19,10 @@ from ledgerlens.operators.trend import period_growth, pooled_quarter_growth, qua
 from ledgerlens.plans.common import SCAN_SQL, SHIP_DAYS_SQL, scan
 from ledgerlens.plans.oracle import margin_pct, mean, r, ratio, with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.sources.star import part_categories, sales_by_order, sales_lines
+from ledgerlens.session import stored
+from ledgerlens.sources.lattice import distinct_keys
+from ledgerlens.sources.star import (order_cells, part_categories, sales_by_order, sales_cells,
+                                     sales_lines)
 
 # Parameters adapted to the test tables: the region literal is
 # lower case on purpose (the data says 'ASIA'), and the minimum discount of a
@@ -43,6 +47,9 @@ def e02(spark, d):
 @register("e03_distinct_customers", with_sales(
     "SELECT COUNT(DISTINCT customer_id) AS distinct_customers FROM sales"), "E03")
 def e03(spark, d):
+    kept = distinct_keys(spark, d, ["customer_id"])
+    if kept is not None:
+        return kept.withColumnRenamed("customer_id", "distinct_customers")
     return sales_by_order(spark, d, ["customer_id"]).agg(
         F.countDistinct("customer_id").alias("distinct_customers"))
 
@@ -50,6 +57,9 @@ def e03(spark, d):
 @register("e04_distinct_orders", with_sales(
     "SELECT COUNT(DISTINCT order_id) AS distinct_orders FROM sales"), "E04")
 def e04(spark, d):
+    kept = distinct_keys(spark, d, ["order_id"])
+    if kept is not None:
+        return kept.withColumnRenamed("order_id", "distinct_orders")
     return sales_lines(spark, d, ["order_id"]).agg(
         F.countDistinct("order_id").alias("distinct_orders"))
 
@@ -57,10 +67,28 @@ def e04(spark, d):
 @register("e05_distinct_products", with_sales(
     "SELECT COUNT(DISTINCT product_id) AS distinct_products FROM sales"), "E05")
 def e05(spark, d):
+    kept = distinct_keys(spark, d, ["product_id"])
+    if kept is not None:
+        return kept.withColumnRenamed("product_id", "distinct_products")
     return sales_lines(spark, d, ["product_id"]).agg(
         F.countDistinct("product_id").alias("distinct_products"))
 
 
+@register("e05b_distinct_keys_by_segment", with_sales("""
+    SELECT segment, COUNT(DISTINCT customer_id) AS distinct_customers, COUNT(DISTINCT order_id) AS distinct_orders,
+           COUNT(DISTINCT product_id) AS distinct_products
+    FROM sales GROUP BY ROLLUP (segment)"""), ("E03", "E04", "E05"))
+def e05b(spark, d):
+    """The three counts per segment and over all, from one pass over the lines: bitmaps by
+    segment are stored and united for the total."""
+    keys = ["customer_id", "order_id", "product_id"]
+    maps = stored(key_bitmaps(sales_lines(spark, d, ["segment", *keys]), keys, ["segment"]))
+    per = merged_count(maps, keys, ["segment"])
+    every = merged_count(maps, keys).withColumn("segment", F.lit(None).cast("string"))
+    named = [F.col(k).alias(f"distinct_{k[:-3]}s") for k in keys]
+    return per.unionByName(every).select("segment", *named)
+
+
 @register("e06_avg_order_value", with_sales(f"""
     SELECT {r(mean('t'))} AS avg_order_value
     FROM (SELECT order_id, SUM(sales) AS t FROM sales GROUP BY order_id) o"""), "E06")
@@ -81,7 +109,7 @@ def e07(spark, d):
     SELECT {r(mean(SHIP_DAYS_SQL))} AS avg_shipping_days FROM sales"""),
     "E08")
 def e08(spark, d):
-    return sales_by_order(spark, d, ["order_date"], day_sums=["ship_date"]).agg(
+    return order_cells(spark, d, ["order_date"], day_sums=["ship_date"]).agg(
         M.rounded(M.folded_mean_ship_days()).alias("avg_shipping_days"))
 
 
@@ -105,28 +133,28 @@ def _top1_sql(dim: str, expr: str, name: str, desc: bool = True, where: str = ""
 @register("e10_top_category_by_revenue",
           _top1_sql("category", "CAST(SUM(sales) AS DOUBLE)", "highest_revenue"), "E10")
 def e10(spark, d):
-    return top1(sales_lines(spark, d, ["category", "sales"]), "category", M.total("sales"),
+    return top1(sales_cells(spark, d, ["category"], ["sales"]), "category", M.total("sales"),
                 "highest_revenue")
 
 
 @register("e11_top_category_by_profit",
           _top1_sql("category", "CAST(SUM(profit) AS DOUBLE)", "highest_profit"), "E11")
 def e11(spark, d):
-    return top1(sales_lines(spark, d, ["category", "profit"]), "category", M.total("profit"),
+    return top1(sales_cells(spark, d, ["category"], ["profit"]), "category", M.total("profit"),
                 "highest_profit")
 
 
 @register("e12_lowest_margin_category",
           _top1_sql("category", margin_pct(), "worst_perf_despite_high_sale", desc=False), "E12")
 def e12(spark, d):
-    return top1(sales_lines(spark, d, ["category", "sales", "profit"]), "category",
+    return top1(sales_cells(spark, d, ["category"], ["sales", "profit"]), "category",
                 M.margin_pct(), "worst_perf_despite_high_sale", descending=False)
 
 
 @register("e13_top_region_by_revenue",
           _top1_sql("region", "CAST(SUM(sales) AS DOUBLE)", "highest_region_revenue"), "E13")
 def e13(spark, d):
-    return top1(sales_by_order(spark, d, ["region"], sums=["sales"]), "region", M.total("sales"),
+    return top1(order_cells(spark, d, ["region"], sums=["sales"]), "region", M.total("sales"),
                 "highest_region_revenue")
 
 
@@ -134,7 +162,7 @@ def e13(spark, d):
     SELECT region, {r(ratio('SUM(profit)', 'SUM(sales)'))} AS highest_profit_margin_region
     FROM sales GROUP BY region ORDER BY 2 DESC NULLS LAST, region"""), "E14")
 def e14(spark, d):
-    return breakdown(sales_by_order(spark, d, ["region"], sums=["sales", "profit"]), ["region"],
+    return breakdown(order_cells(spark, d, ["region"], sums=["sales", "profit"]), ["region"],
                      [M.margin_ratio().alias("highest_profit_margin_region")],
                      order=[F.col("highest_profit_margin_region").desc_nulls_last(), "region"])
 
@@ -143,7 +171,7 @@ def e14(spark, d):
     "category", "CAST(SUM(sales) AS DOUBLE)", "highest_revenue",
     where=f"lower(region) = lower('{REGION_LITERAL}')"), "E15")
 def e15(spark, d):
-    s = sales_lines(spark, d, ["region", "category", "sales"])
+    s = sales_cells(spark, d, ["region", "category"], ["sales"])
     # the reference's text compare ignores case
     return top1(s, "category", M.total("sales"), "highest_revenue",
                 where=F.lower(F.col("region")) == F.lower(F.lit(REGION_LITERAL)))
@@ -156,7 +184,7 @@ def e15(spark, d):
         FROM sales GROUP BY 1, 2) t
     WHERE rn = 1 ORDER BY region DESC"""), "E16")
 def e16(spark, d):
-    agg = sales_lines(spark, d, ["region", "category", "sales"]).groupBy("region", "category").agg(
+    agg = sales_cells(spark, d, ["region", "category"], ["sales"]).groupBy("region", "category").agg(
         F.sum("sales").alias("_rev"))
     best = top_per_group(agg, ["region"], [F.col("_rev").desc(), "category"])
     return best.select("region", "category", M.as_money("_rev").alias("highest_revenue")).orderBy(
@@ -166,7 +194,7 @@ def e16(spark, d):
 @register("e17_top_region_by_discount_sum",
           _top1_sql("region", "CAST(SUM(discount) AS DOUBLE)", "highest_discount"), "E17")
 def e17(spark, d):
-    return top1(sales_by_order(spark, d, ["region"], sums=["discount"]), "region",
+    return top1(order_cells(spark, d, ["region"], sums=["discount"]), "region",
                 M.total("discount"),
                 "highest_discount")
 
@@ -174,7 +202,7 @@ def e17(spark, d):
 @register("e18_top_segment_by_revenue",
           _top1_sql("segment", "CAST(SUM(sales) AS DOUBLE)", "high_expense"), "E18")
 def e18(spark, d):
-    return top1(sales_by_order(spark, d, ["segment"], sums=["sales"]), "segment", M.total("sales"),
+    return top1(order_cells(spark, d, ["segment"], sums=["sales"]), "segment", M.total("sales"),
                 "high_expense")
 
 
@@ -184,7 +212,7 @@ def e18(spark, d):
     FROM sales GROUP BY segment ORDER BY profit_margin_percent DESC NULLS LAST, segment"""), "E19")
 def e19(spark, d):
     # sorted on the number, not on formatted text
-    return breakdown(sales_by_order(spark, d, ["segment"], sums=["sales", "profit"]), ["segment"],
+    return breakdown(order_cells(spark, d, ["segment"], sums=["sales", "profit"]), ["segment"],
                      [M.total("sales").alias("total_sales"), M.total("profit").alias("total_profit"),
                       M.margin_pct().alias("profit_margin_percent")],
                      order=[F.col("profit_margin_percent").desc_nulls_last(), "segment"])
@@ -195,7 +223,7 @@ def e19(spark, d):
            {r(mean('sales'))} AS avg_line_value
     FROM sales GROUP BY segment ORDER BY avg_discount_percent, segment"""), "E20")
 def e20(spark, d):
-    return breakdown(sales_by_order(spark, d, ["segment"], sums=["discount", "sales"]), ["segment"],
+    return breakdown(order_cells(spark, d, ["segment"], sums=["discount", "sales"]), ["segment"],
                      [M.folded_mean_pct("discount").alias("avg_discount_percent"),
                       M.rounded(M.folded_mean("sales")).alias("avg_line_value")],
                      order=["avg_discount_percent", "segment"])
@@ -205,7 +233,7 @@ def e20(spark, d):
     SELECT ship_mode, COUNT(*) AS counting FROM sales GROUP BY 1 ORDER BY counting DESC, ship_mode"""),
     "E21")
 def e21(spark, d):
-    return breakdown(sales_by_order(spark, d, ["ship_mode"]), ["ship_mode"],
+    return breakdown(order_cells(spark, d, ["ship_mode"]), ["ship_mode"],
                      [M.folded_rows().alias("counting")],
                      order=[F.col("counting").desc(), "ship_mode"])
 
@@ -214,7 +242,7 @@ def e21(spark, d):
     SELECT ship_mode, {mean(SHIP_DAYS_SQL)} AS avg_time
     FROM sales GROUP BY ship_mode"""), "E22")
 def e22(spark, d):
-    s = sales_by_order(spark, d, ["ship_mode", "order_date"], day_sums=["ship_date"])
+    s = order_cells(spark, d, ["ship_mode", "order_date"], day_sums=["ship_date"])
     return breakdown(s, ["ship_mode"], [M.folded_mean_ship_days().alias("avg_time")])
 
 
@@ -222,7 +250,7 @@ def e22(spark, d):
     SELECT ship_mode, {margin_pct()} AS profit_margin FROM sales GROUP BY 1
     ORDER BY profit_margin DESC NULLS LAST, ship_mode"""), "E23")
 def e23(spark, d):
-    return breakdown(sales_by_order(spark, d, ["ship_mode"], sums=["sales", "profit"]), ["ship_mode"],
+    return breakdown(order_cells(spark, d, ["ship_mode"], sums=["sales", "profit"]), ["ship_mode"],
                      [M.margin_pct().alias("profit_margin")],
                      order=[F.col("profit_margin").desc_nulls_last(), "ship_mode"])
 
@@ -232,7 +260,7 @@ def e23(spark, d):
     FROM sales GROUP BY 1 ORDER BY profit_margin_per_year DESC NULLS LAST, years"""), "E24")
 def e24(spark, d):
     # numeric sort (the reference sorted formatted text)
-    return breakdown(sales_by_order(spark, d, ["order_date"], sums=["sales", "profit"]),
+    return breakdown(order_cells(spark, d, ["order_date"], sums=["sales", "profit"]),
                      [F.year("order_date").cast("long").alias("years")],
                      [M.margin_pct().alias("profit_margin_per_year")],
                      order=[F.col("profit_margin_per_year").desc_nulls_last(), "years"])
@@ -243,7 +271,7 @@ def e24(spark, d):
            CAST(SUM(profit) AS DOUBLE) AS total_profit
     FROM sales GROUP BY 1 ORDER BY years"""), "E25")
 def e25(spark, d):
-    return breakdown(sales_by_order(spark, d, ["order_date"], sums=["sales", "profit"]),
+    return breakdown(order_cells(spark, d, ["order_date"], sums=["sales", "profit"]),
                      [F.year("order_date").cast("long").alias("years")],
                      [M.total("sales").alias("total_sales"), M.total("profit").alias("total_profit")],
                      order=["years"])
@@ -257,7 +285,7 @@ def e25(spark, d):
            {r(ratio('cur - prev', 'prev') + ' * 100')} AS yoy_sales_growth_percent
     FROM l ORDER BY sales_year"""), "E26")
 def e26(spark, d):
-    return period_growth(sales_by_order(spark, d, ["order_date"], sums=["sales"]),
+    return period_growth(order_cells(spark, d, ["order_date"], sums=["sales"]),
                          [F.year("order_date").cast("long").alias("sales_year")],
                          names=("current_year_sales", "previous_year_sales",
                                 "yoy_sales_growth_percent"))
@@ -272,7 +300,7 @@ def e26(spark, d):
            {r(ratio('qt - prev', 'prev') + ' * 100')} AS qoq_growth_percent
     FROM l ORDER BY quarter"""), "E27")
 def e27(spark, d):
-    return pooled_quarter_growth(sales_by_order(spark, d, ["order_date"], sums=["sales"]))
+    return pooled_quarter_growth(order_cells(spark, d, ["order_date"], sums=["sales"]))
 
 
 @register("e27b_qoq_growth_series", with_sales(f"""
@@ -285,7 +313,7 @@ def e27(spark, d):
            {r(ratio('cur - prev', 'prev') + ' * 100')} AS qoq_growth_percent
     FROM l ORDER BY sales_year, quarter"""), "E27")
 def e27b(spark, d):
-    return period_growth(sales_by_order(spark, d, ["order_date"], sums=["sales"]),
+    return period_growth(order_cells(spark, d, ["order_date"], sums=["sales"]),
                          [F.year("order_date").cast("long").alias("sales_year"),
                           quarter_label(F.month("order_date")).alias("quarter")],
                          names=("current_quarter_sales", "prv_quarter_sale", "qoq_growth_percent"))
@@ -310,7 +338,7 @@ def e28(spark, d):
            CAST(SUM(profit) AS DOUBLE) AS total_profit, {margin_pct()} AS group_profit_margin
     FROM sales GROUP BY sales.discount ORDER BY 1"""), "E29")
 def e29(spark, d):
-    return breakdown(sales_lines(spark, d, ["discount", "sales", "profit"]), ["discount"],
+    return breakdown(sales_cells(spark, d, ["discount"], ["sales", "profit"]), ["discount"],
                      [M.total("sales").alias("total_sales"), M.total("profit").alias("total_profit"),
                       M.margin_pct().alias("group_profit_margin")],
                      order=["discount"]).withColumn("discount", F.col("discount").cast("double"))
@@ -320,7 +348,7 @@ def e29(spark, d):
     SELECT sub_category, {margin_pct()} AS sub_category_profit_margin FROM sales GROUP BY 1
     ORDER BY 2 ASC NULLS FIRST, 1"""), "E30")
 def e30(spark, d):
-    return breakdown(sales_lines(spark, d, ["sub_category", "sales", "profit"]), ["sub_category"],
+    return breakdown(sales_cells(spark, d, ["sub_category"], ["sales", "profit"]), ["sub_category"],
                      [M.margin_pct().alias("sub_category_profit_margin")],
                      order=[F.col("sub_category_profit_margin").asc_nulls_first(), "sub_category"])
 
@@ -330,7 +358,7 @@ def e30(spark, d):
     HAVING {margin_pct()} < {LOW_MARGIN_PCT} ORDER BY region, category"""), "E31")
 def e31(spark, d):
     # HAVING tests the rounded value, as the reference does
-    return breakdown(sales_lines(spark, d, ["region", "category", "sales", "profit"]),
+    return breakdown(sales_cells(spark, d, ["region", "category"], ["sales", "profit"]),
                      ["region", "category"], [M.margin_pct().alias("profit_margin")],
                      having=F.col("profit_margin") < LOW_MARGIN_PCT, order=["region", "category"])
 

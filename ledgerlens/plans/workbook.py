@@ -12,7 +12,7 @@ from ledgerlens.plans.oracle import mean, money_text, r, with_sales
 from ledgerlens.plans.registry import register
 from ledgerlens.plans.rfm import segmented_sql
 from ledgerlens.session import stored
-from ledgerlens.sources.star import sales_lines, with_order_columns
+from ledgerlens.sources.star import sales_cells, sales_lines, with_order_columns
 
 _PIVOT_SQL = with_sales(f"""
     WITH {segmented_sql(R.OTHER_LABEL_EXPORT)}
@@ -47,8 +47,8 @@ def x01(spark, d):
            CAST(GROUPING(discount) AS BIGINT) AS grand_total
     FROM sales GROUP BY ROLLUP (discount)"""), "X02")
 def x02(spark, d):
-    out = X.mean_with_grand_total(sales_lines(spark, d, ["discount", "profit"]), "discount", "profit",
-                                  "avg_profit")
+    out = X.mean_with_grand_total(sales_cells(spark, d, ["discount"], ["profit"]), "discount", "profit",
+                                  "avg_profit", folded=True)
     return out.select(out["discount"].cast("double").alias("discount"), "avg_profit", "grand_total")
 
 
@@ -57,7 +57,7 @@ def x02(spark, d):
            CAST(GROUPING(region, sub_category) AS BIGINT) AS grand_total
     FROM sales GROUP BY GROUPING SETS ((region, sub_category), ())"""), "X03")
 def x03(spark, d):
-    s = sales_lines(spark, d, ["region", "sub_category", "profit"]).withColumnRenamed(
+    s = sales_cells(spark, d, ["region", "sub_category"], ["profit"]).withColumnRenamed(
         "sub_category", "sub_cat")
     return X.sum_by_two_with_grand_total(s, "region", "sub_cat", "profit", "profit")
 

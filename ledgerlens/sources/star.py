@@ -265,6 +265,33 @@ def sales_by_order(spark: SparkSession, sf_dir: str, order_cols: list[str],
     return per_order.join(dims, "order_id")
 
 
+def order_cells(spark: SparkSession, sf_dir: str, order_cols: list[str], sums: list[str] = (),
+                day_sums: list[str] = (), where=None, where_cols: list[str] = ()) -> DataFrame:
+    """``sales_by_order`` for reports that go on adding up by ``order_cols``, with
+    ``order_date`` needed to the month only: the cells of a stored lattice where the session
+    names a current one (``sources.lattice``), else the folded orders."""
+    from ledgerlens.sources.lattice import cells
+    # a condition on lines reads the columns that are summed
+    used = [*where_cols, *[c for c in sums if where is not None and c != "sales"]]
+    found = cells(spark, sf_dir, list(order_cols), list(sums), where, used, days=bool(day_sums))
+    if found is not None:
+        return found
+    return sales_by_order(spark, sf_dir, order_cols, sums, day_sums=day_sums, where=where,
+                          where_cols=where_cols)
+
+
+def sales_cells(spark: SparkSession, sf_dir: str, dims: list[str], sums: list[str] = ()) -> DataFrame:
+    """Lines for reports that only add up: ``dims``, ``sums`` with their ``_n`` (1 where not
+    null) and ``n_lines`` (1), or the same columns of a stored lattice's cells. Read them
+    with the folded metrics; a condition ``profit < 0`` holds for losing lines in both."""
+    from ledgerlens.sources.lattice import cells
+    found = cells(spark, sf_dir, list(dims), list(sums))
+    if found is not None:
+        return found
+    lines = sales_lines(spark, sf_dir, list(dict.fromkeys([*dims, *sums])))
+    counts = [F.col(c).isNotNull().cast("long").alias(f"{c}_n") for c in sums]
+    return lines.select(*lines.columns, *counts, F.lit(1).cast("long").alias("n_lines"))
+
 
 LINE_COLUMNS = [c for c in SALES_COLUMNS if c not in ORDER_COLUMNS]
 
@@ -336,7 +363,7 @@ def _flat_table(spark: SparkSession, sf_dir: str) -> DataFrame | None:
     if not path:
         return None
     marker = spark.read.text(os.path.join(path, _SOURCE_MARKER)).first()
-    if marker is None or marker[0].split(" ")[0] != os.path.normpath(sf_dir) or \
+    if marker is None or not marker[0].startswith(f"{os.path.normpath(sf_dir)} ") or \
             marker[0] != source_state(spark, sf_dir):
         return None
     return read_sales(spark, path)
