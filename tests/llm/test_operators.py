@@ -308,6 +308,70 @@ def test_lm_query_and_odd_rows(spark, odd, none):
     assert L.lm_scores(none).count() == 0
 
 
+def plain_scores(docs, rounds=1):
+    """Scores by the definition: each word's forward recursion on its own, after one
+    expectation step over the training words."""
+    log_p, bytes_p = L.read_vocabulary()
+    held = {i: i is None or zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs}
+    split = [(i, [w.decode() for w in L._split(t)]) for i, t in docs]
+    taught = Counter(w for i, ws in split if not held[i] for w in ws)
+    for _ in range(rounds if taught else 0):
+        into, at_byte = Counter(), [0.0] * 256
+        for w, c in taught.items():
+            model_of(log_p, bytes_p).expect(w, c, into, at_byte)
+        weight = {p: into[p] + L.SMOOTHING for p in log_p}
+        weight[L.END] = sum(not held[i] for i, _ in docs) + L.SMOOTHING
+        log_p, bytes_p = L._normal(weight, [x + L.SMOOTHING for x in at_byte])
+    model = model_of(log_p, bytes_p)
+    cache = {}
+    return sorted((i or 0, math.fsum([model.end / L.LN10, *(
+        cache[w] if w in cache else cache.setdefault(w, model.log10(w)) for w in ws)])) for i, ws in split)
+
+
+MODELS = {}
+
+
+def model_of(log_p, bytes_p):
+    if id(log_p) not in MODELS:
+        MODELS[id(log_p)] = (log_p, L.Lattice(log_p, bytes_p))
+    return MODELS[id(log_p)][1]
+
+
+def test_scores_against_one_word_at_a_time(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = sorted((r.doc_id, r.score) for r in QUERIES["op2_lm_scoring"](spark, SMALL).collect())
+    want = plain_scores(pairs(docs))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(math.isclose(a, b, rel_tol=1e-9) for (_, a), (_, b) in zip(got, want))
+
+
+def test_many_rows_without_id_or_with_one_text(spark):
+    """Large chunks are cut by text, and the copies of one text spread over parts."""
+    texts = [f"row {i} of {i % 7}" for i in range(6000)] + ["one and the same text"] * 4000
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    cut, large, _ = L._chunked(docs, "doc_id", "text", 5000)
+    assert cut.select("chunk").distinct().count() > 20 and large.count() >= 2
+    assert same(lm_rows(L.lm_scores(docs, chunk_chars=5000)), base_scores(rows))
+
+
+def test_walk_equals_single_words():
+    log_p, bytes_p = L.read_vocabulary()
+    one = L.Lattice(log_p, bytes_p)
+    walk = L.Walk(one, log_p)
+    rng = random.Random(2)
+    words = ["", "a", "the", "information", "😀é", "</s>", "x" * 63, "y" * 64, "z" * 200, "▁▁"] + [
+        "".join(rng.choice("etaoinshré中") for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    raw = [w.encode() for w in words]
+    assert np.allclose(walk.log10(raw), [one.log10(w) for w in words], rtol=0, atol=1e-9)
+    times = np.arange(1, len(words) + 1)
+    into, at_byte, want, bytes_want = np.zeros(len(walk.pieces)), [0.0] * 256, Counter(), [0.0] * 256
+    walk.expect(raw, times, into, at_byte)
+    for w, c in zip(words, times.tolist()):
+        one.expect(w, c, want, bytes_want)
+    assert np.allclose(into, [want[p] for p in walk.pieces], atol=1e-6) and np.allclose(at_byte, bytes_want, atol=1e-6)
+
+
 def test_learning_raises_held_out_likelihood(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     score = lambda rounds: L.lm_scores(docs, rounds=rounds).where("held_out").agg(F.sum("score")).head()[0]
