@@ -18,6 +18,8 @@ SPACE_SPLIT = SPACE_CLASS + "+"
 #: A table is broadcast only if it was counted to hold at most this many rows
 #: (of a few numbers each).
 BROADCAST_ROWS = 200_000
+#: .. and, if its rows are of no fixed size, if they add up to at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +60,14 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """A broadcast hint for a stored side of few rows; larger sides come back unhinted
-    and join by shuffle."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    and join by shuffle. ``size`` is a row's bytes where that is not fixed."""
+    if not is_small(df, rows):
+        return df
+    if size is not None and (df.agg(F.sum(size.cast("long"))).head()[0] or 0) > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def row_key(docs: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -73,7 +73,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     candidates = persisted(met.join(sketch, "hash").select("_k1", "_k2", "item_id").distinct())
     exact = items.select(F.col(item_id).alias("item_id"), F.array_distinct(
         shingles(F.col(item_text), k)).alias("_of_item")).where(F.size("_of_item") > 0)
-    exact = small(persisted(exact), 20_000)
+    exact = small(persisted(exact), 20_000, F.octet_length(F.array_join("_of_item", "")))
     pairs = candidates.withColumnRenamed("item_id", "_i").join(
         exact, F.col("_i").eqNullSafe(F.col("item_id"))).drop("_i")
     rows = keyed

@@ -13,11 +13,11 @@
    steps, so a host with a third of the pages is folded before it is shuffled. Element
    labels come from a fixed set, which bounds a wrapper's size by the pages' depth; the
    common texts only get fewer with more pages.
-4. The wrapper decides what is read: texts that all pages of the host repeat in a slot are
-   its template, the others may be the article. Of these the slots inside the host's
-   article or main element count, else those of its body; tags and marks (menus, adverts,
-   notices, comments, ..) and slots that hold mostly links are left out as a further hint,
-   unless they hold the article themselves.
+4. The wrapper decides what is read: the region of the article is the host's article or
+   main element if texts vary there, else its body. All text in an article or main element
+   is read. In a body, texts that all pages of the host repeat in a slot are its template
+   and not read. Tags and marks (menus, adverts, notices, comments, ..) and slots that hold
+   mostly links are left out as a further hint, unless they hold the article themselves.
 5. Each page's streams are matched to its host's wrapper, and the page's texts are read by
    the verdicts of the slots that they fall in.
 """
@@ -48,19 +48,20 @@ SALTS = 32
 HOSTS = 2_000
 #: Wrappers that a task holds ready to read with.
 READ = 256
-#: So many distinct pages tell a template for certain. Fewer may be copies of one page, if
-#: more than a share of ``COPIES`` of their text is common.
-FEW = 8
+#: Pages with more than this share of their text in common may be copies of one page: what
+#: they share is no template then.
 COPIES = 0.75
+#: Rows of an alignment that are kept at a time.
+KEPT_ROWS = 512
 #: Marks with which an article element is not the article but an advert, a card, a comment.
 ASIDE = ("ad", "side", "comments")
 
 # A wrapper element is [label, items]; an item is [element, least, most]. A text slot is
-# the element ["#", [characters, characters in links, pages, texts, times]]: ``pages`` are digests
-# of distinct pages that hold it, at most ``FEW``; ``texts`` are the digests and lengths of
-# the texts that all of these pages have in it; ``times`` counts pages with repetition. A
-# group is ["()", items]. The root has a third member, [pages, characters, distinct pages]. Trees are walked without recursion:
-# ``_run`` keeps the generators that wait for a part on a list, so any depth will do.
+# the element ["#", [characters, characters in links, texts, pages]]: ``texts`` are the digests
+# and lengths of the texts that all of its pages have in it, ``pages`` is their number. A
+# group is ["()", items]. The root has a third member, [pages, characters]. Trees are walked
+# without recursion: ``_run`` keeps the generators that wait for a part on a list, so any
+# depth will do.
 
 
 def _run(call: Generator):
@@ -84,8 +85,8 @@ def _digest(text: str) -> str:
 
 
 def _page(root: Node) -> list:
-    """[1, characters, [digest]] of the page's texts outside links, adverts, comments and the
-    like: pages that differ only there are copies. A page of nothing else counts whole."""
+    """[1, characters] of the page's texts outside links, adverts, comments and the like:
+    pages that differ only there are copies. A page of nothing else counts whole."""
     for hidden in (_passing, _silent, None):
         texts, todo = [], [root]
         while todo:
@@ -97,8 +98,8 @@ def _page(root: Node) -> list:
                 todo += reversed(x.items)
         text = _plain(texts)
         if text:
-            return [1, len(text) - text.count(" "), [_digest(text)]]
-    return [1, 0, []]
+            return [1, len(text) - text.count(" ")]
+    return [1, 0]
 
 
 def _signature(element: list) -> str:
@@ -108,11 +109,10 @@ def _signature(element: list) -> str:
 
 def skeleton(node: Node) -> list:
     """The wrapper of one page."""
-    page = _page(node)
-    return [*_run(_skeleton(node, page[2])), page]
+    return [*_run(_skeleton(node)), _page(node)]
 
 
-def _skeleton(node: Node, pages: list[str]) -> Generator:
+def _skeleton(node: Node) -> Generator:
     items: list = []
     texts: list[str] = []
     chars = linked = 0
@@ -124,10 +124,10 @@ def _skeleton(node: Node, pages: list[str]) -> Generator:
             continue
         text = _plain(texts) if chars else ""
         if text:
-            items.append([["#", [chars, linked, pages, {_digest(text): len(text) - text.count(" ")}, 1]], 1, 1])
+            items.append([["#", [chars, linked, {_digest(text): len(text) - text.count(" ")}, 1]], 1, 1])
         texts, chars, linked = [], 0, 0
         if x is not None:
-            items.append([(yield _skeleton(x, pages)), 1, 1])
+            items.append([(yield _skeleton(x)), 1, 1])
     return [node.label, fold(items)]
 
 
@@ -174,15 +174,10 @@ def merge(a: list, b: list) -> list:
     return _run(_merge(a, b))
 
 
-def _distinct(a: list[str], b: list[str]) -> list[str]:
-    return a if a == b else sorted({*a, *b})[:FEW]
-
-
 def _merge_slots(a: list, b: list, same: bool) -> list:
     """What both have stays common; within the same page the texts of a repeat add up."""
-    texts = {**a[3], **b[3]} if same else {t: n for t, n in a[3].items() if t in b[3]}
-    times = 1 if same else a[4] + b[4]
-    return [a[0] + b[0], a[1] + b[1], _distinct(a[2], b[2]), texts, times]
+    texts = {**a[2], **b[2]} if same else {t: n for t, n in a[2].items() if t in b[2]}
+    return [a[0] + b[0], a[1] + b[1], texts, a[3] if same else a[3] + b[3]]
 
 
 def _merge(a: list, b: list, same: bool = False) -> Generator:
@@ -190,11 +185,60 @@ def _merge(a: list, b: list, same: bool = False) -> Generator:
         return ["#", _merge_slots(a[1], b[1], same)]
     out = [a[0], (yield _align(a[1], b[1], same))]
     if len(a) > 2 and len(b) > 2:
-        (n, chars, pages), (m, more, others) = a[2], b[2]
-        out.append([n + m, chars + more, _distinct(pages, others)])
+        out.append([a[2][0] + b[2][0], a[2][1] + b[2][1]])
     return out
 
 
+def alignment(x: list[str], y: list[str]) -> Iterator[int]:
+    """Steps of a longest common subsequence from the front: 0 takes an item of both, -1 one
+    of ``x``, 1 one of ``y``.
+
+    Row i of the usual table, the lengths for ``x[i:]`` against every end of ``y``, is kept
+    as one number: bit k is clear where the length grows by the k-th item from y's end. A
+    row comes from the next one in a few operations on whole numbers (Hyyrö's recurrence).
+    Only every ``KEPT_ROWS``-th row is kept, those between are computed again on the way.
+    """
+    n, m = len(x), len(y)
+    full, where = (1 << m) - 1, {}
+    for k, label in enumerate(reversed(y)):
+        where[label] = where.get(label, 0) | 1 << k
+
+    def above(row: int, label: str) -> int:
+        hit = row & where.get(label, 0)
+        return (row + hit | row - hit) & full
+
+    kept, row = {n: full}, full
+    for i in range(n - 1, 0, -1):
+        row = above(row, x[i])
+        if i % KEPT_ROWS == 0:
+            kept[i] = row
+    block: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        """Of the longest common subsequence of x[i:] and y[j:]."""
+        return m - j - (block[i] & (1 << m - j) - 1).bit_count()
+
+    i = j = 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            yield 0
+            i, j = i + 1, j + 1
+            continue
+        if i not in block or i + 1 not in block:
+            first = i // KEPT_ROWS * KEPT_ROWS
+            last = min(n, first + KEPT_ROWS)
+            block = {last: kept[last]}
+            for k in range(last - 1, first - 1, -1):
+                block[k] = above(block[k + 1], x[k])
+        if length(i + 1, j) >= length(i, j + 1):
+            yield -1
+            i += 1
+        else:
+            yield 1
+            j += 1
+    yield from [-1] * (n - i) + [1] * (m - j)
+
+
 def _align(a: list, b: list, same: bool) -> Generator:
     """Two item streams as one: matches merged, the rest optional."""
     x, y = [_signature(i[0]) for i in a], [_signature(i[0]) for i in b]
@@ -203,18 +247,12 @@ def _align(a: list, b: list, same: bool) -> Generator:
         for p, q in zip(a, b):
             out.append([(yield _merge(p[0], q[0], same)), min(p[1], q[1]), max(p[2], q[2])])
         return out
-    n, m = len(x), len(y)
-    longest = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            longest[i][j] = 1 + longest[i + 1][j + 1] if x[i] == y[j] else max(
-                longest[i + 1][j], longest[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
+    for step in alignment(x, y):
+        if step == 0:
             out.append([(yield _merge(a[i][0], b[j][0], same)), min(a[i][1], b[j][1]), max(a[i][2], b[j][2])])
             i, j = i + 1, j + 1
-        elif j == m or i < n and longest[i + 1][j] >= longest[i][j + 1]:
+        elif step < 0:
             out.append([a[i][0], 0, a[i][2]])
             i += 1
         else:
@@ -296,18 +334,16 @@ def _passing(label: str) -> bool:
 
 
 def _told(wrapper: list) -> bool:
-    """Whether texts that all pages share are the host's template. Of a few pages that have
-    nearly all their text in common it cannot be told: they may be copies of one."""
-    times, chars, pages = wrapper[2]
-    if len(pages) < 2 or len(pages) == FEW:
-        return len(pages) == FEW
+    """Whether texts that all pages share are the host's template. Of pages that have nearly
+    all their text in common it cannot be told: they may be copies of one."""
+    times, chars = wrapper[2]
     for hidden in (_passing, _silent):
         shared, todo, any_text = 0, [wrapper], False
         while todo:
             label, items = todo.pop()[:2]
             if label == "#":
                 any_text = True
-                shared += sum(items[3].values()) if items[2] == pages else 0
+                shared += sum(items[2].values()) if items[3] == times else 0
             elif not hidden(label):
                 todo += [i[0] for i in items]
         if any_text:
@@ -361,21 +397,22 @@ def article_slots(wrapper: list) -> list:
     """The wrapper with a verdict in each slot, [level, texts]: texts of level 0 are the
     article; pages without any are read from level 1 (articles in marked elements) or
     level 2 (the rest of the page), whichever holds more; level 3 is never read. ``texts``
-    are the template's. An element's third member is its least level.
+    are the template's, none in article or main elements. An element's third member is its
+    least level.
 
     The article is where text varies: in the host's article elements, else in its main
     elements or the page less what is marked, else in marked elements. A marked element
     that holds a host's only article or main element is read if more varies in it than in
     the rest.
     """
-    pages, told = wrapper[2][2], _told(wrapper)
+    pages, told = wrapper[2][0], _told(wrapper)
     found: list = []
 
     def walk(element: list, most: int, place: Place) -> Generator:
         label, items = element[:2]
         if label == "#":
-            chars, linked, held, texts, times = items
-            if not told or len(held) < len(pages):
+            chars, linked, texts, times = items
+            if not told or times < pages:
                 texts = {}
             menu = chars > 0 and linked / chars >= LINK_SHARE
             slot = ["#", [3, sorted(texts)]]
@@ -405,6 +442,8 @@ def article_slots(wrapper: list) -> list:
     for slot, regions, _, menu in found:
         if chosen in regions or not chosen:
             slot[1][0] = 3 if menu and chosen in ("page", "") else 0
+            if chosen not in ("page", ""):
+                slot[1][1] = []
         elif not menu and regions & {"marked", "page"}:
             slot[1][0] = 1 if "marked" in regions else 2
     _run(_levels(out))
@@ -603,7 +642,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                 [b.column(0), b.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    slots = small(persisted(wrappers(pages, url, html).mapInArrow(judge, "_host string, _slots string")), HOSTS)
+    slots = small(persisted(wrappers(pages, url, html).mapInArrow(judge, "_host string, _slots string")), HOSTS,
+                  F.length("_slots"))
     host, _ = url_parts(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
                         host.alias("_host")).join(slots, "_host")

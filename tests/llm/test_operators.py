@@ -472,8 +472,10 @@ def of_host(*pages):
 def test_text_that_a_host_repeats_is_its_template():
     page = "<body><p>Join our club</p><div><p>story {0} goes on</p><p>and {0} ends</p><p>All rights reserved</p></div></body>"
     assert of_host(*(page.format(i) for i in range(3))) == [f"story {i} goes on\nand {i} ends" for i in range(3)]
-    in_article = "<article><h1>t{0}</h1><p>Our newsletter</p><div>{0} words</div></article>"
-    assert of_host(*(in_article.format(i) for i in range(9))) == [f"t{i}\n{i} words" for i in range(9)]
+    # what stands inside every article belongs to it, on any number of pages
+    in_article = "<p>Join</p><article><h1>t{0}</h1><h2>Abstract</h2><div>{0} words</div></article><p>(c)</p>"
+    for n in (1, 2, 3, 8, 9, 30):
+        assert of_host(*(in_article.format(i) for i in range(n))) == [f"t{i}\nAbstract\n{i} words" for i in range(n)]
     # copies of one page, which differ in an advert or the last words, are no template
     body = "<body><div class=ad>x{0}</div><p>" + "word " * 50 + "</p><p>end {1}</p></body>"
     assert all(t.startswith("word word") for t in of_host(body.format(1, 1), body.format(2, 1), body.format(3, 2)))
@@ -482,6 +484,67 @@ def test_text_that_a_host_repeats_is_its_template():
     assert of_host(*some) == ["one", "two\nk", "six\nk"]
 
 
+@pytest.mark.parametrize("n", [1, 3, 7, 8, 12, 100])
+def test_near_copies_keep_their_article(n):
+    """Pages of one article that differ in a block only; with and without an article element."""
+    blocks = "".join(f"<p>paragraph {i} of the story</p>" for i in range(20))
+    for outer in ("article", "div"):
+        page = (f"<body><nav><a href=x>Home</a></nav><div class=cookie-notice>cookies {{0}}</div><{outer}><h1>Title</h1>"
+                f"{blocks}<p>copy {{0}}</p></{outer}><footer>(c)</footer></body>")
+        want = "\n".join(["Title", *(f"paragraph {i} of the story" for i in range(20))])
+        assert of_host(*(page.format(i) for i in range(n))) == [f"{want}\ncopy {i}" for i in range(n)]
+
+
+@pytest.mark.parametrize("shared", [7, 8, 20])
+def test_a_quotation_on_some_pages_of_a_host(shared):
+    for outer in ("article", "div"):
+        pages = [f"<body><p>Join our club</p><{outer}><p>story {i} goes on and on, at length and by turns</p>"
+                 + ("<blockquote>to be or not to be</blockquote>" if i < shared else "") + f"</{outer}></body>"
+                 for i in range(100 + shared)]
+        for i, t in enumerate(of_host(*pages)):
+            assert t == f"story {i} goes on and on, at length and by turns" + "\nto be or not to be" * (i < shared)
+
+
+def steps_by_table(x, y):
+    n, m = len(x), len(y)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = 1 + best[i + 1][j + 1] if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and x[i] == y[j]:
+            yield 0
+            i, j = i + 1, j + 1
+        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            yield -1
+            i += 1
+        else:
+            yield 1
+            j += 1
+
+
+@pytest.mark.parametrize("kept", [1, 3, 512])
+def test_alignment_equals_the_table(monkeypatch, kept):
+    monkeypatch.setattr(H, "KEPT_ROWS", kept)
+    rng = random.Random(kept)
+    for _ in range(300):
+        x, y = (rng.choices("abcd"[:rng.randrange(1, 5)], k=rng.randrange(12)) for _ in range(2))
+        assert list(H.alignment(x, y)) == list(steps_by_table(x, y)), (x, y)
+
+
+def test_long_mixed_pages_take_little_memory():
+    import tracemalloc
+    rng = random.Random(4)
+    pages = ["<article>" + "".join(f"<{t}>{i} x</{t}>" for i, t in enumerate(rng.choices(
+        ["p", "pre", "h2", "blockquote", "dl", "div"], k=20_000))) + "</article>" for _ in range(2)]
+    tracemalloc.start()
+    texts = of_host(*pages)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert [t.count("\n") for t in texts] == [19_999, 19_999]
+
+
 def test_marks_on_layout_and_nested_articles():
     for name in ("layout no-sidebar", "content has-sidebar", "page with-sidebar", "section-header", "tabs",
                  "discussion", "social-sciences", "sidebar-left"):
