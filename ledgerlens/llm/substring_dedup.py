@@ -97,7 +97,7 @@ def runs_of(words: list[bytes], cache: dict, window: int, gram: int) -> tuple[np
     if n <= 0:
         return (np.zeros(0, np.int64),) * 4
     span = window - gram + 1
-    x = gram_hashes(np.fromiter((cache[w] for w in words), np.uint64, len(words)), gram)
+    x = gram_hashes(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), gram)
     least = window_anchors(x, span)
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     sizes = np.diff(np.append(starts, n))
@@ -105,7 +105,8 @@ def runs_of(words: list[bytes], cache: dict, window: int, gram: int) -> tuple[np
         starts = np.concatenate([np.arange(s, s + k, RUN) for s, k in zip(starts, sizes)])
         sizes = np.diff(np.append(starts, n))
     anchors, times = least[starts], np.ones(len(starts), np.int64)
-    if len(np.unique(x)) < len(x):
+    ordered = np.sort(x)
+    if (ordered[1:] == ordered[:-1]).any():
         for i, (a, s, k) in enumerate(zip(anchors, starts.tolist(), sizes.tolist())):
             times[i] += np.count_nonzero(x[s:s + k + span - 1] == a) > 1
     return anchors.view(np.int64), starts, sizes, times
@@ -340,7 +341,9 @@ def _find(docs: DataFrame, id_col: str, text: str, window: int, gram: int, keep:
     keyed = row_key(docs, id_col, text)
     of_doc = persisted(anchors(keyed, id_col, text, window, gram))
     runs = of_doc.select("_k1", "_k2", F.inline(F.arrays_zip("anchor", "start", "size", "times")))
-    again = runs.groupBy("anchor").agg(F.sum("times").alias("met")).where("met > 1").select("anchor")
+    # stored, so that the join reads two plain shuffles and the runs of a passage that many
+    # documents share can be split
+    again = persisted(runs.groupBy("anchor").agg(F.sum("times").alias("met")).where("met > 1").select("anchor"))
     of_runs = runs.join(again, "anchor").groupBy("_k1", "_k2").agg(
         F.collect_set(F.struct("anchor", "start", "size")).alias("_runs"))
     of_runs = persisted(of_runs)
