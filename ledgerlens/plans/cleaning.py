@@ -21,6 +21,7 @@ from ledgerlens.plans.registry import register
 from ledgerlens.session import scratch_dir
 from ledgerlens.sources.lattice import distinct_keys
 from ledgerlens.sources.raw_csv import RAW_COLUMNS, read_orders, write_orders_export
+from ledgerlens.sources.split_csv import read_split_csv, write_crlf_export
 from ledgerlens.operators.skew import hot_key_rows, hot_keys, salted_join
 from ledgerlens.sources.star import (LINE_COLUMNS, ORDER_COLUMNS, ROW_ORDER, SALES_COLUMNS,
                                      order_dimension, sales_lines, with_order_columns)
@@ -79,6 +80,42 @@ def c01(spark, d):
                           else F.col(c) for c in RAW_COLUMNS])
 
 
+# A harder export of the same view: CRLF line ends, every fifth product name with a line
+# break and quotes in it, sales at their full four places, and a torn row after every
+# order line numbered 7.
+_BROKEN_NAME = "product_name || chr(10) || 'called \"' || sub_category || '\", so'"
+
+
+@register("c01b_load_split_export", with_sales(f"""
+    SELECT CAST(order_id AS VARCHAR) AS order_id, order_date, ship_date, ship_mode, customer_name, region,
+           CAST(product_id AS VARCHAR) AS product_id,
+           CASE WHEN product_id % 5 = 0 THEN {_BROKEN_NAME} ELSE product_name END AS product_name,
+           CAST(sales AS DOUBLE) AS sales, quantity, CAST(discount AS DOUBLE) AS discount,
+           CAST(profit AS DOUBLE) AS profit, CAST(0 AS BIGINT) AS torn_rows
+    FROM sales
+    UNION ALL
+    SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, COUNT(*)
+    FROM sales WHERE line_number = 7"""), ("C01", "C02", "C03", "C10"))
+def c01b(spark, d):
+    """The load + clean job on that export, read in splits; a last row counts the torn rows."""
+    path = os.path.join(scratch_dir(spark), f"export-{uuid.uuid4().hex}")
+    lines = sales_lines(spark, d, [*SALES_COLUMNS, "list_price"])
+    broken = F.concat("product_name", F.lit("\r\ncalled \""), "sub_category", F.lit("\", so"))
+    full = F.col("list_price") * (1 - F.col("discount"))
+    shown = lines.withColumns({
+        "product_name": F.when(F.col("product_id") % 5 == 0, broken).otherwise(F.col("product_name")),
+        "sales": full, **{c: F.date_format(c, "M/d/yyyy") for c in ("order_date", "ship_date")}})
+    write_crlf_export(shown, path, RAW_COLUMNS, F.col("line_number") == 7)
+    read = read_split_csv(spark, path, bad_rows="torn", header=False)
+    good = clean_orders(read.where("torn is null"))
+    out = good.select("order_id", "order_date", "ship_date", "ship_mode", "customer_name", "region", "product_id",
+                      "product_name", *[F.col(c).cast("double" if c != "quantity" else "int").alias(c)
+                                        for c in ("sales", "quantity", "discount", "profit")],
+                      F.lit(0).cast("long").alias("torn_rows"))
+    torn = read.where("torn is not null").agg(F.count(F.lit(1)).alias("torn_rows"))
+    return out.unionByName(torn, allowMissingColumns=True)
+
+
 @register("c20_snapshot_sales", SCAN_SQL, "C20")
 def c20(spark, d):
     """Back up the table before de-duplicating: a new, never overwritten folder in the
