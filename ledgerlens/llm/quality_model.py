@@ -82,7 +82,8 @@ def held_out(doc_id: Column) -> Column:
 def training_table(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality",
                    rows: int = TRAIN_ROWS) -> DataFrame:
     """(stats, y, calibrates) of at most ``rows`` labelled rows that are not held out,
-    first by hash of the id; repeated labels of an id are averaged, nulls left out."""
+    first by hash of the id; repeated labels of an id are averaged, nulls left out. Of rows
+    that share an id but not a text the one with the least statistics is learned from."""
     given = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     given = given.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(
         F.avg(F.col(label).cast("double")).alias("y")).where(~held_out(F.col("doc_id")))
@@ -90,7 +91,7 @@ def training_table(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     sample = given.orderBy(order, "doc_id").limit(rows)
     calibrates = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(CALIBRATE_OF)) == 0
     # at most ``rows`` rows by construction
-    once = stats.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    once = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("stats").alias("stats"))
     return once.select("doc_id", "stats", "y", calibrates.alias("calibrates"))
 
 

@@ -425,6 +425,18 @@ def test_fourier_features_approximate_the_kernel():
     assert np.abs(z @ z.T - kernel).max() < 0.05
 
 
+def test_repeated_ids_train_in_any_order(spark):
+    """Rows that share an id but not a text: the model does not depend on which comes first."""
+    rng = random.Random(9)
+    docs = [(i % 60, " ".join(rng.choices(["good", "words", "###", "x", "of", "prose."], k=rng.randrange(5, 60))))
+            for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    table = lambda rows, n: spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+    one, two = (sorted((r.doc_id, round(r.score, 9)) for r in Q.quality_scores(d, labels).collect())
+                for d in (table(docs, 1), table(docs[::-1], 7)))
+    assert one == two
+
+
 # --- HTML ------------------------------------------------------------------------------------
 
 ODD_PAGE = """<html><body class="home"><header><h1>Site</h1></header><div id="main-menu"><a href=x>Home</a></div>
