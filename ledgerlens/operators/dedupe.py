@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import metrics as M
@@ -114,6 +114,19 @@ def assert_no_duplicates(df: DataFrame, keys: list[str]) -> None:
         raise AssertionError(f"duplicate rows remain on {keys}")
 
 
+def audited_snapshot(df: DataFrame, path: str, counters: dict[str, Column], mode: str = "errorifexists"
+                     ) -> tuple[DataFrame, DataFrame]:
+    """``snapshot`` and one row of ``counters`` (plain aggregates) over the rows it wrote.
+
+    The counters are observed in the job that writes the copy: no other scan. Spark
+    takes a task's counts only when the task succeeds, so retries do not count twice.
+    """
+    seen = Observation()
+    df.observe(seen, *[c.alias(name) for name, c in counters.items()]).write.mode(mode).parquet(path)
+    row = df.sparkSession.createDataFrame([tuple(seen.get[n] for n in counters)], [*counters])
+    return df.sparkSession.read.parquet(path), row
+
+
 def snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """Write a copy before a destructive step and return it read back (C20).
 

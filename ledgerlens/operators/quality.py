@@ -15,20 +15,25 @@ def describe(df: DataFrame) -> DataFrame:
 
 def missing_report(df: DataFrame, text_cols=(), null_only_cols=(), zero_is_missing_cols=()
                    ) -> DataFrame:
-    """One row of ``null_<col>`` counters in one pass.
+    """One row of ``null_<col>`` counters in one pass."""
+    counters = missing_counters(text_cols, null_only_cols, zero_is_missing_cols)
+    return df.agg(*[c.alias(name) for name, c in counters.items()])
+
+
+def missing_counters(text_cols=(), null_only_cols=(), zero_is_missing_cols=()) -> dict[str, Column]:
+    """The counters of ``missing_report`` by name.
 
     Text columns count NULL or empty string; dates and ids count NULL; a
     numeric column compared with '' in the reference counts NULL or 0.
     """
-    aggs = []
+    out = {}
     for c in text_cols:
-        aggs.append(M.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
-                    .alias(f"null_{c}"))
+        out[f"null_{c}"] = M.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "")
     for c in null_only_cols:
-        aggs.append(M.count_if(F.col(c).isNull()).alias(f"null_{c}"))
+        out[f"null_{c}"] = M.count_if(F.col(c).isNull())
     for c in zero_is_missing_cols:
-        aggs.append(M.count_if(F.coalesce(F.col(c), F.lit(0)) == 0).alias(f"null_{c}"))
-    return df.agg(*aggs)
+        out[f"null_{c}"] = M.count_if(F.coalesce(F.col(c), F.lit(0)) == 0)
+    return out
 
 
 def suspect_rows(df: DataFrame, columns: list[str], sales: str = "sales",

@@ -12,8 +12,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import metrics as M
 from ledgerlens.operators import dedupe as D
 from ledgerlens.operators import quality as Q
+from ledgerlens.operators import rewrite as W
 from ledgerlens.operators.clean import clean_orders
 from ledgerlens.plans.common import SCAN_SQL, money_out, money_out_sql, scan
 from ledgerlens.plans.oracle import with_sales
@@ -42,12 +44,14 @@ TEXT_COLS = ["order_id", "ship_mode", "customer_id", "customer_name", "segment",
 NULL_ONLY_COLS = ["order_date", "ship_date"]
 
 
-def _null_sql() -> str:
+def _null_counts() -> list[str]:
     parts = [f"COUNT(CASE WHEN coalesce(CAST({c} AS VARCHAR), '') = '' THEN 1 END) AS null_{c}"
              for c in TEXT_COLS]
     parts += [f"COUNT(CASE WHEN {c} IS NULL THEN 1 END) AS null_{c}" for c in NULL_ONLY_COLS]
-    parts.append("COUNT(CASE WHEN coalesce(sales, 0) = 0 THEN 1 END) AS null_sales")
-    return with_sales("SELECT " + ",\n       ".join(parts) + " FROM sales")
+    return [*parts, "COUNT(CASE WHEN coalesce(sales, 0) = 0 THEN 1 END) AS null_sales"]
+
+
+_NULL_COUNTS = _null_counts()
 
 
 register("c05_scan_sales", SCAN_SQL, "C05")(scan)
@@ -124,13 +128,53 @@ def c20(spark, d):
     return D.snapshot(sales_lines(spark, d), path).select(*money_out(SALES_COLUMNS))
 
 
+@register("c20b_audited_snapshot", with_sales(
+    "SELECT COUNT(*) AS row_count,\n       " + ",\n       ".join(_NULL_COUNTS) + " FROM sales"), ("C08", "C15", "C20"))
+def c20b(spark, d):
+    """The back-up and the missing-value audit from one scan: counters observed while the
+    copy is written."""
+    path = os.path.join(scratch_dir(spark), f"snapshot-{uuid.uuid4().hex}")
+    counters = {"row_count": M.rows()} | Q.missing_counters(TEXT_COLS, NULL_ONLY_COLS, ["sales"])
+    return D.audited_snapshot(sales_lines(spark, d, TEXT_COLS + NULL_ONLY_COLS + ["sales"]), path, counters)[1]
+
+
+# Row keys of the in-place change: all that tells two lines apart.
+_CHANGE_KEYS = ["order_id", "line_number", "product_id", "supplier_id", "quantity", "discount", "list_price"]
+
+
+@register("c10b_change_stored_lines", with_sales("""
+    SELECT order_id, line_number, product_id, supplier_id, CAST(sales AS DOUBLE) AS sales,
+           CAST(year(order_date) AS INTEGER) AS order_year
+    FROM sales WHERE NOT (year(order_date) = (SELECT MIN(year(order_date)) FROM sales) AND line_number = 7)"""),
+    ("C10", "C21"))
+def c10b(spark, d):
+    """Sales rounded and lines deleted in a stored table: the view is written with sales at
+    their full places, by year; lines whose sales have more than two places are updated,
+    lines numbered 7 of the first year deleted, and only partitions that hold some are
+    written again."""
+    path = os.path.join(scratch_dir(spark), f"lines-{uuid.uuid4().hex}")
+    full = (F.col("list_price") * (1 - F.col("discount"))).alias("sales")
+    lines = sales_lines(spark, d, [*_CHANGE_KEYS, "order_date"]).select(
+        *_CHANGE_KEYS, full, F.year("order_date").alias("order_year"))
+    lines.write.partitionBy("order_year").parquet(path)
+    table = spark.read.parquet(path)
+    first = table.agg(F.min("order_year")).head()[0]
+    gone = (F.col("order_year") == first) & (F.col("line_number") == 7)
+    rounded = F.round("sales", 2)
+    changes = table.where(gone | (F.col("sales") != rounded)).select(
+        *_CHANGE_KEYS, F.when(gone, F.lit(W.DELETE)).otherwise(F.lit(W.UPDATE)).alias(W.OP), rounded.alias("sales"))
+    W.apply_changes(spark, path, changes, _CHANGE_KEYS, "order_year")
+    return spark.read.parquet(path).select("order_id", "line_number", "product_id", "supplier_id",
+                                           F.col("sales").cast("double").alias("sales"), "order_year")
+
+
 @register("c04_clean_sales", SCAN_SQL, "C04")
 def c04(spark, d):
     """The clean job over the typed view: already-typed columns pass through."""
     return clean_orders(sales_lines(spark, d)).select(*money_out(SALES_COLUMNS))
 
 
-@register("c08_missing_value_audit", _null_sql(), "C08")
+@register("c08_missing_value_audit", with_sales("SELECT " + ",\n       ".join(_NULL_COUNTS) + " FROM sales"), "C08")
 def c08(spark, d):
     s = sales_lines(spark, d, TEXT_COLS + NULL_ONLY_COLS + ["sales"])
     return Q.missing_report(s, TEXT_COLS, NULL_ONLY_COLS, ["sales"])
