@@ -158,6 +158,10 @@ def keep_clean(docs: DataFrame, host: str = "source", text: str = "text",
 
     The texts are read twice (once for the hosts' rates, once to be filtered) instead
     of being written or shuffled; only the host table is stored and joined.
+
+    Edge cases: null, empty and blank texts fail as short and go; null hosts are one host;
+    texts of any length are judged whole; repeated rows are kept or go together; columns of
+    any name come back as they are; an empty table gives an empty result.
     """
     hosts = host_verdicts(_measured(docs, host, text, [host]), "_host", limit)
     return _joined(_measured(docs, host, text, docs.columns), hosts).where("kept").select("_keep.*")

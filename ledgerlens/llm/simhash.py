@@ -332,6 +332,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Rows are told apart by id and text, so a row that shares an id with a copy stays if its
     own text is nobody's. Of a group's rows without an id one stays too; of rows equal in id
     and text one stays. Only the keys of rows that go are joined to the texts.
+
+    Edge cases: null, empty and blank texts are one group; texts of any length are read
+    whole; nulls in other columns are kept; columns of any name come back as they are; an
+    empty table gives an empty result.
     """
     rows = row_key(packed(docs, id_col, text), "doc_id", "text")
     of_row = persisted(fingerprints(rows, "doc_id", "text", shingle, ("_k1", "_k2")))

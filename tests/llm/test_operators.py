@@ -650,6 +650,25 @@ def padding(lengths, counts, ends):
     return sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))
 
 
+def test_long_turns_and_clashing_columns(spark):
+    """Texts of a million characters; extra columns named as those inside; ties of turns."""
+    long = "x y " * 250_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", "b"), (2, 0, "user", long), (3, 0, None, None), (3, 0, "a", "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df = df.withColumns({c: F.lit("z") for c in ("n", "h1", "h2", "a", "b", "t", "_c", "w", "seen", "n_turns", "rendered")})
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in render(df).collect()}
+    assert got == {1: (2, 1, f"<|user|>\n{long}\n<|end|>\n<|assistant|>\nb\n<|end|>"),
+                   3: (2, 1, "<|unknown|>\n\n<|end|>\n<|a|>\nt\n<|end|>")}
+
+
+def test_packing_keeps_clear_of_clashing_columns(spark, odd):
+    """Filled extra columns named like the results and like those inside."""
+    got = P.pack(odd.withColumns({c: F.lit(7) for c in ("n_tokens", "bucket", "slot", "_part", "_at", "_before")}))
+    want = P.pack(odd.select("doc_id", "text"))
+    sizes = lambda df: sorted((str(r.doc_id), r.n_tokens, r.bucket_tokens) for r in df.collect())
+    assert got.columns == want.columns and sizes(got) == sizes(want)
+
+
 def test_boundaries_are_optimal():
     from itertools import combinations
     rng = random.Random(8)

@@ -10,6 +10,7 @@ from ledgerlens.llm.common import persisted
 from ledgerlens.llm.packing import BATCH_TOKENS, BUCKETS, PATTERN, TOKENIZER, _read_ranks
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 DIR = "/root/testdata/sf0.001"
@@ -128,6 +129,22 @@ def odd(spark):
         "doc_id long, text string, lang string, source string, n_chars long")
 
 
+CLASH = ["_row", "_k1", "_k2", "_keep", "_host", "_text", "kept", "failed", "fp", "anchor", "_spans", "hash",
+         "item_id", "bucket", "slot", "_part", "n_tokens"]
+
+
+def test_stages_keep_columns_of_any_name(spark, odd):
+    """Names that the operators use inside come back as they were, with their nulls."""
+    rows = odd.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASH})
+    for name, stage in P.STAGES:
+        before = rows
+        rows = persisted(stage(spark, rows, DIR))
+        if name != "packing":
+            assert rows.columns == before.columns, name
+            assert all(r[c] == (None if r.doc_id is None else f"{c}-{r.doc_id}") for r in rows.collect() for c in CLASH), name
+        assert sorted({r.doc_id or 0 for r in rows.collect()}) == [0, 1, 4], name
+
+
 def test_stages_take_odd_rows(spark, odd):
     rows = odd
     for name, stage in P.STAGES:

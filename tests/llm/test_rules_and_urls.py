@@ -126,5 +126,14 @@ def test_model_learns_the_rule_labelled_urls(spark):
     assert right / len(got) > 0.95  # most of them were not among the TRAIN_URLS
 
 
+def test_long_urls(spark):
+    """Hosts and paths of a hundred thousand characters are split and judged whole."""
+    host, path = "a" * 100_000 + ".net", "/" + "p/" * 50_000
+    rows = [(1, f"http://{host}{path}?q=1"), (2, "http://example.com" + path), (3, "x" * 100_000), (4, None)]
+    got = {r.page_id: (r.host, r.path, r.rule) for r in U.judge_urls(spark.createDataFrame(
+        rows, "page_id long, url string")).select("page_id", "host", "path", "rule").collect()}
+    assert got == {1: (host, path, "net/"), 2: ("example.com", path, None), 3: ("", "", None), 4: ("", "", None)}
+
+
 def test_urls_on_an_empty_table(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
