@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read
 again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Edge cases, for all stages: an empty table gives an empty one; texts are read whole at any
+length; nulls in any column but the text are kept as they are, and rows without an id take
+part; columns beyond those of ``documents`` come back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,27 +21,31 @@ from ledgerlens.llm.substring_dedup import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a quality rule, or whose host is rejected, go."""
+    """Documents that fail a quality rule, or whose host is rejected, go. Null, empty and blank
+    texts fail; repeated rows stay or go together."""
     return keep_clean(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays, and one
+    without an id; of rows equal in id and text one stays."""
     return keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside windows that stand anywhere else too are cut out of the texts."""
+    """Words inside windows that stand anywhere else too are cut out of the texts; texts that
+    lose nothing, null ones too, stay as they are."""
     return remove_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; a text without words holds none."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count, length bucket, batch and place in the batch."""
+    """Each document's token count, length bucket, batch and place in the batch; a null or
+    empty text is one end token."""
     return pack(docs)
 
 
