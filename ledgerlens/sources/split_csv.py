@@ -8,11 +8,11 @@ splits, and the quote state is carried by a prefix scan:
    a map either forgets the state before, keeps it, or turns it over; the maps of
    consecutive lines compose to one of the same kind, so a split of a file is one small row.
 2. The state at the start of a split follows from the maps of the splits before it (a
-   window over a file's splits), the state at a line from the lines before it in its split
-   (a window over the split). Both come from the last map that forgets and the number of
-   turns since.
-3. A line that starts outside quotes starts a record. Only records of several lines are
-   grouped; all records are then parsed by ``from_csv``.
+   window over a file's splits, one row each). These rows are broadcast to the lines.
+3. A line that starts outside quotes starts a record. A task holds a split's lines in file
+   order, so it cuts them into records as they stream by. No line is shuffled, but for the
+   pieces of records that begin or end in another split: two to a split, grouped.
+4. All records are then parsed by ``from_csv``.
 
 A quote opens a field only at the field's start and is doubled inside, as Spark's reader
 has it. Lines end in LF or CRLF, and a CRLF inside a field becomes LF. A quote that is never closed makes one record of the
@@ -21,10 +21,16 @@ rest of its file, as with ``multiLine``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ledgerlens.session import stored
 from ledgerlens.sources.raw_csv import RAW_SCHEMA
 
 _QUOTED_REST = r'[^"]*+(?:""[^"]*+)*+"[^,]*+'
@@ -42,16 +48,92 @@ def _state(forgot: Column, turns: Column, start: Column | int) -> Column:
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """(file, block, pos, line, forgets, turns) of every line in file order."""
+    """(file, block, line, a, b) of every line; a task has a split's lines in file order. ``a``
+    and ``b`` are the states after the line, begun outside and inside quotes."""
     raw = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
-    after_outside = (~F.col("line").rlike(_ENDS_FROM_OUTSIDE)).cast("int")
-    after_inside = (~F.col("line").rlike(_ENDS_FROM_INSIDE)).cast("int")
-    here = Window.partitionBy("file", "block").orderBy("at")
-    mapped = raw.withColumns({"a": after_outside, "b": after_inside, "pos": F.row_number().over(here)})
-    return mapped.select("file", "block", "pos", "line", F.when(F.col("a") == F.col("b"), F.col("a")).alias("forgets"),
-                         ((F.col("a") == 1) & (F.col("b") == 0)).cast("int").alias("turns"))
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"))
+    return raw.select("file", "block", "line", (~F.col("line").rlike(_ENDS_FROM_OUTSIDE)).cast("int").alias("a"),
+                      (~F.col("line").rlike(_ENDS_FROM_INSIDE)).cast("int").alias("b"))
+
+
+def _cutters():
+    """``maps`` and ``cut``, for ``mapInArrow``: nested, so that they travel to the executors
+    whole and nothing of this package has to be installed there."""
+    def runs(*keys: pa.Array) -> Iterator[tuple[int, int]]:
+        """(from, to) of the neighbouring rows that are equal in ``keys``."""
+        n = len(keys[0])
+        new = np.zeros(max(n - 1, 0), dtype=bool)
+        for k in keys:
+            new |= pc.not_equal(k.slice(1), k.slice(0, max(n - 1, 0))).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+        return ((lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo)
+
+    def after_all(a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
+        """The state after each of the lines with the maps ``a``, ``b``, begun in ``start``."""
+        turns = np.cumsum((a == 1) & (b == 0)) % 2
+        last = np.maximum.accumulate(np.where(a == b, np.arange(len(a)), -1))
+        base = np.where(last >= 0, a[last] ^ turns[last], start)
+        return base ^ turns
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The composed map of each split: the state it ends in if it forgets the one before, else
+        whether it turns that over."""
+        seen = {}
+        for batch in batches:
+            file, block, a, b = batch.columns
+            a, b = a.to_numpy(), b.to_numpy()
+            for lo, hi in runs(file, block):
+                key = (file[lo].as_py(), block[lo].as_py())
+                ends = seen.get(key, (0, 1))
+                seen[key] = tuple(int(after_all(a[lo:hi], b[lo:hi], s)[-1]) for s in ends)
+        rows = [(f, at, x if x == y else None, int(x != y and x == 1)) for (f, at), (x, y) in seen.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32()))], ["file", "block", "forgets", "turns"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines cut into records. ``head`` is null for a whole record, true for the end of one
+        begun in an earlier split, false for a split's last one, which may go on in the next."""
+        at, piece, head, first, state = None, [], True, False, 0
+
+        def out(records: pa.Array, head: bool | None, first: bool) -> pa.RecordBatch:
+            n = len(records)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int64()), pa.array([head] * n, pa.bool_()),
+                 pa.array([first, *[False] * (n - 1)], pa.bool_()), records], ["fno", "block", "head", "first", "record"])
+
+        def joined() -> pa.Array:
+            return pa.array(["\n".join(piece)], pa.string())
+
+        for batch in batches:
+            fno, block, start, a, b, line = batch.columns
+            a, b = a.to_numpy(), b.to_numpy()
+            for lo, hi in runs(fno, block):
+                key = (fno[lo].as_py(), block[lo].as_py())
+                fresh = key != at
+                if fresh:
+                    if piece:
+                        yield out(joined(), head, first)
+                    at, piece, head, first, state = key, [], True, False, start[lo].as_py()
+                after = after_all(a[lo:hi], b[lo:hi], state)
+                begins = np.flatnonzero(np.concatenate(([state], after[:-1])) == 0)
+                state, lines = int(after[-1]), line.slice(lo, hi - lo)
+                piece += lines.slice(0, begins[0] if len(begins) else hi - lo).to_pylist()
+                if not len(begins):
+                    continue
+                if piece:
+                    yield out(joined(), True if head else None, first)
+                opens_file = fresh and key[1] == 0
+                if len(begins) > 1:
+                    lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), lines)
+                    yield out(pc.binary_join(lists, "\n"), None, opens_file)
+                piece, head = lines.slice(begins[-1]).to_pylist(), False
+                first = opens_file and len(begins) == 1
+        if piece:
+            yield out(joined(), head, first)
+
+    return maps, cut
 
 
 def _scanned(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -66,39 +148,27 @@ def _scanned(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """(file, first, record): the records of the files at ``path``, line breaks inside quotes
+    """(first, record): the records of the files at ``path``, line breaks inside quotes
     kept; ``first`` marks a file's first one. Blank lines between records are left out."""
-    lines = _scanned(_lines(spark, path, encoding), ["file", "block"], "pos")
+    maps, cutter = _cutters()
+    lines = _lines(spark, path, encoding)
     # one row per split
-    whole = lines.groupBy("file", "block").agg(
-        F.sum("turns").alias("turns"),
-        F.max_by("_base", F.when(F.col("_base").isNotNull(), F.col("pos"))).alias("_last"),
-        F.max("pos").alias("n"))
-    ends = F.when(F.col("_last").isNotNull(), _state(F.col("_last"), F.col("turns"), 0))
-    splits = _scanned(whole.select("file", "block", "n", F.col("turns"), ends.alias("forgets")), ["file"], "block")
-    start = splits.select("file", "block", _state(F.col("_forgot"), F.col("_turns"), 0).alias("start"))
-    placed = lines.join(start, ["file", "block"])
-    placed = placed.withColumn("inside", _state(F.col("_forgot"), F.col("_turns"), F.col("start")) == 1)
-    here = Window.partitionBy("file", "block").orderBy("pos")
-    own = F.when(~F.col("inside"), F.struct("block", "pos"))
-    placed = placed.withColumn("_own", F.last(own, ignorenulls=True).over(here))
-    # a split's first lines may belong to a record of an earlier split
-    last = placed.groupBy("file", "block").agg(F.max("_own").alias("_l"))
-    back = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select("file", "block", F.last("_l", ignorenulls=True).over(back).alias("_carried"))
-    owned = placed.join(carried, ["file", "block"]).withColumn("_record", F.coalesce("_own", "_carried"))
-    ahead = Window.partitionBy("file", "block").orderBy("pos")
-    tail = F.lead("inside").over(ahead)
-    # alone: starts a record, and the next line does too (of a split's last line it is not known)
-    marked = owned.withColumn("_alone", ~F.col("inside") & F.coalesce(~tail, F.lit(False)))
-    key = [F.col("file"), F.col("_record")]
-    single = marked.where("_alone").select(*key, F.col("line").alias("record"))
-    several = marked.where("not _alone").groupBy("file", "_record").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("block", "pos", "line"))), lambda s: s["line"]), "\n").alias("record"))
-    first = (F.col("_record.block") == 0) & (F.col("_record.pos") == 1)
+    whole = lines.select("file", "block", "a", "b").mapInArrow(maps, "file string, block long, forgets int, turns int")
+    splits = stored(_scanned(whole, ["file"], "block").select(
+        "file", "block", F.dense_rank().over(Window.orderBy("file")).alias("fno"),
+        _state(F.col("_forgot"), F.col("_turns"), 0).alias("start")))
+    placed = lines.join(F.broadcast(splits), ["file", "block"]).select("fno", "block", "start", "a", "b", "line")
+    cut = placed.mapInArrow(cutter, "fno int, block long, head boolean, first boolean, record string")
+    single = cut.where("head is null").select("first", "record")
+    # a split's first lines belong to the last record begun before
+    upto = Window.partitionBy("fno").orderBy("block", ~F.col("head")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = F.last(F.when(~F.col("head"), F.col("block")), ignorenulls=True).over(upto)
+    several = stored(cut.where("head is not null").withColumn("_owner", owner).groupBy("fno", "_owner").agg(
+        F.max("first").alias("first"), F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("block", "record"))), lambda s: s["record"]), "\n").alias("record")))
     # line ends inside a field come out as LF, as Spark's reader gives them in CRLF files
     text = F.replace(F.regexp_replace("record", "\r$", ""), F.lit("\r\n"), F.lit("\n"))
-    out = single.unionByName(several).select("file", first.alias("first"), text.alias("record"))
+    out = single.unionByName(several.select("first", "record")).select("first", text.alias("record"))
     return out.where((F.trim("record") != "") | F.col("first"))
 
 

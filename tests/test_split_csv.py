@@ -74,3 +74,32 @@ def test_bad_rows_and_blank_lines(spark, tmpdir_path, small_splits):
     assert got.where("bad is null").count() == 40 and got.where("bad is not null").count() == 40
     write(os.path.join(tmpdir_path, "b.csv"), [])
     assert read_split_csv(spark, os.path.join(tmpdir_path, "b.csv")).count() == 0
+
+
+def test_lines_are_not_shuffled(spark, tmpdir_path, small_splits):
+    """Lines are cut into records where they are read; only pieces at split ends were grouped before."""
+    rows = [f'{i},"two\r\nlines",' + ",".join("x" * 19) for i in range(200)]
+    write(os.path.join(tmpdir_path, "a.csv"), rows)
+    got = read_split_csv(spark, tmpdir_path, bad_rows="bad")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan and "SortAggregate" not in plan
+    assert got.where("bad is null").count() == 200
+
+
+@pytest.mark.parametrize("batch", [1, 3, 1000])
+def test_records_over_batches_and_splits(spark, tmpdir_path, small_splits, batch):
+    """The state is carried over batches, splits and files of one task."""
+    rng = random.Random(batch)
+    for part in range(4):
+        rows = [",".join(quoted(field(rng)) if k else f"{part}-{i}" for k in range(21)) for i in range(40)]
+        write(os.path.join(tmpdir_path, f"p{part}.csv"), rows, "\n")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        want = found(read_orders(spark, tmpdir_path, multi_line=True))
+        assert found(read_split_csv(spark, tmpdir_path)) == want
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+        assert found(read_split_csv(spark, tmpdir_path)) == want
+    finally:
+        spark.conf.set(key, old)
