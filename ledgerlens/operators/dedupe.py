@@ -87,24 +87,51 @@ def repeated_keys_by_digest(df: DataFrame, keys: list[str], name: str = "total",
     return repeated_keys(_split(df, again, keys, digest)[1].select(*keys), keys, name)
 
 
+# Above this share of copies (estimated), digests would list most rows and save nothing.
+MANY_COPIES = 0.2
+
+
+def _many_copies(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a large share of ``df`` repeats its ``keys``: one scan, a sketch to a task. Only
+    chooses the plan; both give the same rows."""
+    n, different = df.agg(M.rows(), F.approx_count_distinct(F.xxhash64(*keys), 0.02)).first()
+    return different < (1 - MANY_COPIES) * n
+
+
+def _first_rows(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """``first_per_group`` with the order columns held once where they are plain names, as the
+    least of (order, other columns): half the bytes in the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    sortable = not any(t in df.schema[c].dataType.simpleString() for c in rest for t in ("map<", "variant", "interval"))
+    if not sortable or not all(isinstance(c, str) and c in rest for c in order):
+        return first_per_group(df, keys, order)
+    held = list(dict.fromkeys([*order, *rest]))
+    least = df.groupBy(*keys).agg(F.min(F.struct(*held)).alias("_best"))
+    return least.select(*[F.col(c) if c in keys else F.col("_best").getField(c).alias(c) for c in df.columns])
+
+
 def dedupe(df: DataFrame, keys: list[str], order: list[str | Column], narrow: DataFrame | None = None,
            narrow_keys: list[str] | None = None, digest: Digest = line_digest) -> DataFrame:
     """Keep one row per ``keys`` value: the first under ``order``.
 
     ``order`` must end in a unique column, so the surviving row is defined
     (``dropDuplicates`` keeps an arbitrary one). Digests are counted first; rows of a
-    single digest pass without a shuffle, the others meet in a ``min_by`` aggregate,
-    partial on every executor, so a heavily duplicated key is folded early.
+    single digest pass without a shuffle, the others meet in an aggregate, partial on
+    every executor, so a heavily duplicated key is folded early. Where many rows are
+    copies, all rows go to that aggregate at once: most would be listed, and moved twice.
 
     ``narrow`` may give the same rows with fewer columns for the count, and
     ``narrow_keys`` those of ``keys`` that it has: a coarser key only adds suspects.
     """
     cols = narrow_keys or keys
-    again = suspects(df if narrow is None else narrow, cols, digest)
+    counted = df if narrow is None else narrow
+    if _many_copies(counted, cols):
+        return _first_rows(df, keys, order)
+    again = suspects(counted, cols, digest)
     if again is None:
         return df
     single, rest = _split(df, again, cols, digest)
-    return single.unionByName(first_per_group(rest, keys, order))
+    return single.unionByName(_first_rows(rest, keys, order))
 
 
 def assert_no_duplicates(df: DataFrame, keys: list[str]) -> None:

@@ -310,10 +310,8 @@ _NARROW_KEYS = [c for c in _LINE_DEDUPE_KEYS if c != "profit"]
 
 def _deduped(spark, d, times=1):
     """Lines (``times`` over) de-duplicated on the seven columns, with their order columns."""
-    narrow = sales_lines(spark, d, _NARROW_KEYS)
-    lines = sales_lines(spark, d, LINE_COLUMNS, salt_parts=True)
-    for _ in range(times - 1):
-        narrow, lines = narrow.unionByName(narrow), lines.unionByName(lines)
+    narrow = sales_lines(spark, d, _NARROW_KEYS, times=times)
+    lines = sales_lines(spark, d, LINE_COLUMNS, salt_parts=True, times=times)
     kept = D.dedupe(lines, _LINE_DEDUPE_KEYS, DEDUPE_ORDER, narrow, _NARROW_KEYS)
     return with_order_columns(spark, d, kept)
 
@@ -348,9 +346,8 @@ def c21b(spark, d):
     GROUP BY {", ".join(DEDUPE_KEYS)} HAVING COUNT(*) > 1"""), "C22")
 def c22(spark, d):
     need = [c for c in dict.fromkeys([*DEDUPE_KEYS, *DEDUPE_ORDER]) if c in LINE_COLUMNS]
-    narrow = sales_lines(spark, d, _NARROW_KEYS)
-    lines = sales_lines(spark, d, need, salt_parts=True)
-    kept = D.dedupe(lines.unionByName(lines), _LINE_DEDUPE_KEYS, DEDUPE_ORDER,
-                    narrow.unionByName(narrow), _NARROW_KEYS)
+    narrow = sales_lines(spark, d, _NARROW_KEYS, times=2)
+    lines = sales_lines(spark, d, need, salt_parts=True, times=2)
+    kept = D.dedupe(lines, _LINE_DEDUPE_KEYS, DEDUPE_ORDER, narrow, _NARROW_KEYS)
     left = with_order_columns(spark, d, D.repeated_keys_by_digest(kept, _LINE_DEDUPE_KEYS), ["customer_id"])
     return left.select(*money_out(DEDUPE_KEYS), "total")

@@ -154,8 +154,9 @@ def _profit() -> Column:
 
 
 def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
-                salt_parts: bool = False) -> DataFrame:
-    """Flat sales lines with the requested columns (all when ``None``).
+                salt_parts: bool = False, times: int = 1) -> DataFrame:
+    """Flat sales lines with the requested columns (all when ``None``), ``times`` over: the
+    copies are united before the joins, so what follows can use the joins' partitioning.
 
     ``salt_parts`` is for reports that group by the product afterwards: the grouping
     reuses the part join's partitioning, so AQE cannot split a hot product there. Lines
@@ -167,7 +168,7 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
         raise ValueError(f"unknown sales columns: {unknown}")
     flat = _flat_table(spark, sf_dir)
     if flat is not None:
-        return flat.select(*cols)
+        return _times(flat.select(*cols), times)
     need = set().union(*(_NEEDS[c] for c in cols))
 
     li = _table(spark, sf_dir, "lineitem")
@@ -182,12 +183,13 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
         disc.alias("discount"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("list_price"),
     ).withColumn("sales", F.round(_net(), 2).cast("decimal(18,2)"))
+    fact = _times(fact, times)
 
     if "part" in need:
         hot = None
         if salt_parts:
             counts = li.groupBy(F.col("l_partkey").alias("product_id")).agg(
-                F.count(F.lit(1)).alias("total"))
+                (F.count(F.lit(1)) * times).alias("total"))
             hot = hot_keys(counts, ["product_id"], "total", hot_key_rows(spark))
         fact = salted_join(fact, _part(spark, sf_dir), ["product_id"], hot)
         fact = fact.withColumn("profit", _profit())
@@ -198,6 +200,13 @@ def sales_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     return fact.select(*cols)
 
 
+def _times(df: DataFrame, times: int) -> DataFrame:
+    out = df
+    for _ in range(times - 1):
+        out = out.unionByName(df)
+    return out
+
+
 ORDER_COLUMNS = ["order_date", "ship_mode", "customer_id", "customer_name", "segment", "state",
                  "region"]
 

@@ -1,6 +1,7 @@
 """Audit and de-duplication (C08, C09, C11-C22) on hand-written rows."""
 
 import os
+import re
 
 import pytest
 from decimal import Decimal
@@ -111,6 +112,40 @@ def test_a_third_of_the_rows_one_duplicate(spark):
     assert kept == sorted([0, *[i for i in range(3000) if i % 3]])
 
 
+@pytest.mark.parametrize("order", [["row_id"], ["tag", "row_id"], ["column"]])
+def test_many_copies_are_folded_without_a_digest_search(spark, monkeypatch, order):
+    """Where most rows are copies, their digests are not counted, stored and joined first."""
+    def never(*a, **k):
+        raise AssertionError("digests searched")
+    monkeypatch.setattr(D, "suspects", never)
+    rows = [(i, i % 500 if i % 7 else None, None if i % 3 else "t", float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id long, k int, tag string, x double")
+    kept = D.dedupe(df, ["k"], [F.col("row_id")] if order == ["column"] else order)
+    best = {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[0]) if len(order) == 2 else r[0]):
+        best.setdefault(r[1], r)
+    assert kept.columns == df.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, best.values()))
+
+
+def test_doubled_lines_fold_in_the_part_joins_partitions(spark):
+    """The copies of a line meet where the part join has put them: no shuffle of their own."""
+    from __spark_entry__ import queries
+    from conftest import SF_SMALL
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        doubled = queries()["c21b_dedupe_doubled_lines"](spark, SF_SMALL)
+        plan = doubled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, old)
+    assert "hashpartitioning(product_id" in plan
+    assert "hashpartitioning(order_id" in plan and not re.search(r"hashpartitioning\(order_id#\w+, \w+#", plan)
+    once = queries()["c21_dedupe_lines"](spark, SF_SMALL)
+    assert sorted(map(str, doubled.collect())) == sorted(map(str, once.collect()))
+
+
 def test_snapshot_refuses_to_overwrite(spark, tmpdir_path):
     df = lines(spark)
     path = os.path.join(tmpdir_path, "backup")
