@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.sizing import broadcast_if_bounded
+from ledgerlens.functions.sizing import row_count_at_most
 from ledgerlens.operators.skew import BROADCAST_KEYS
 from ledgerlens.session import stored
 
@@ -21,36 +21,43 @@ def apply_changes(spark: SparkSession, path: str, changes: DataFrame, keys: list
     Rows without a change and keys without a row are left alone. Returns the number of
     partitions rewritten.
 
-    The rows of the touched partitions (where changed rows are, and where an update moves
-    them) are written to the scratch folder first; a dynamic partition overwrite then
-    swaps exactly those partitions in at commit. All other partitions keep their files,
-    and a job that fails before the commit leaves the table as it was. Partitions that
-    lost all rows are removed last.
+    Each row meets its change once. The change list is counted first. A short one is stored
+    and broadcast, so the table is only scanned. A longer one is joined by shuffle and the joined rows are
+    written to the scratch folder, from which the touched partitions (where changed rows
+    are, and where an update moves them) are found and written. A dynamic partition
+    overwrite swaps exactly those partitions in at commit: it stages new files and only
+    then drops the old, so that it may read the table. All other partitions keep their
+    files, and a job that fails before the commit leaves the table as it was. Partitions
+    that lost all rows are removed last.
     """
     table = spark.read.parquet(path)
-    listed = stored(changes.distinct())
-    sets = [c for c in listed.columns if c not in (*keys, OP)]
+    sets = [c for c in changes.columns if c not in (*keys, OP)]
     fresh = [F.col(c).alias(f"_new_{c}") for c in sets]
-    side = broadcast_if_bounded(listed.select(*keys, OP, *fresh), BROADCAST_KEYS)
-    hit = table.join(side, keys)
+    short = row_count_at_most(changes, BROADCAST_KEYS)
+    # by key first: the distinct and the join then share one shuffle
+    listed = stored(changes.distinct()) if short else changes.repartition(*keys).distinct()
+    side = listed.select(*keys, OP, *fresh)
+    met = table.join(F.broadcast(side), keys, "left") if short else stored(table.join(side, keys, "left"))
     moved = [F.col(f"_new_{partition}").alias("p")] if partition in sets else []
     places = F.explode(F.array(F.col(partition).alias("p"), *moved))
     # as many rows as the table has partitions
-    touched = stored(hit.where(F.col(OP).isin(DELETE, UPDATE)).select(places.alias("_p")).distinct())
+    touched = stored(met.where(F.col(OP).isin(DELETE, UPDATE)).select(places.alias("_p")).distinct())
     n = touched.count()
     if n == 0:
         return 0
-    inside = table.join(F.broadcast(touched), table[partition].eqNullSafe(touched["_p"]), "left_semi")
-    met = inside.join(side, keys, "left")
-    kept = met.where(F.coalesce(F.col(OP), F.lit("")) != DELETE)
-    after = stored(kept.select(*[
+    inside = met.join(F.broadcast(touched), met[partition].eqNullSafe(touched["_p"]), "left_semi")
+    kept = inside.where(F.coalesce(F.col(OP), F.lit("")) != DELETE)
+    after = kept.select(*[
         F.when(F.col(OP) == UPDATE, F.col(f"_new_{c}").cast(table.schema[c].dataType)).otherwise(F.col(c)).alias(c)
-        if c in sets else F.col(c) for c in table.columns]))
-    (after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
-    left = after.select(F.col(partition).alias("_p")).distinct()
-    empty = touched.join(left, touched["_p"].eqNullSafe(left["_p"]), "left_anti")
-    for row in empty.collect():
-        _drop_partition(spark, path, partition, row[0])
+        if c in sets else F.col(c) for c in table.columns])
+    # the partitions that have rows, noted while they are written
+    seen = Observation()
+    (after.observe(seen, F.collect_set(F.struct(F.col(partition).alias("_p"))).alias("left"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    left = {row[0] for row in seen.get["left"]}
+    for row in touched.collect():
+        if row[0] not in left:
+            _drop_partition(spark, path, partition, row[0])
     return n
 
 

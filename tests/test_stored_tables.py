@@ -79,6 +79,36 @@ def test_a_job_that_fails_half_way_changes_nothing(spark, table):
     assert files(table) == before and rows(spark, table) == sorted(ROWS)
 
 
+def test_a_long_change_list_meets_the_table_once(spark, table, monkeypatch):
+    """Lists too long to broadcast: one join by shuffle in all, and the same table after it."""
+    from ledgerlens.operators import rewrite
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+    store = rewrite.stored
+    monkeypatch.setattr(rewrite, "stored", noted)
+    monkeypatch.setattr(rewrite, "BROADCAST_KEYS", 0)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    before = files(table)
+    changes = spark.createDataFrame(
+        [(i, "delete" if i % 8 == 1 else "update", 2003 if i == 5 else 2010) for i in range(1, 40, 4)] * 2 + [(777, "delete", None)],
+        "id long, _op string, year int")
+    try:
+        assert apply_changes(spark, table, changes, ["id"], "year") == 3
+    finally:
+        spark.conf.set(key, old)
+    joins = [p.count("SortMergeJoin") for p in plans]
+    assert sum(joins) == 1 and sum(p.count("hashpartitioning(id") for p in plans) == 2
+    assert not any("year=2001" in f for f in files(table))
+    assert all(files(table)[f] == before[f] for f in before if "year=2000" in f or "year=2002" in f)
+    want = [(i, n, a, y if i % 4 != 1 else 2003 if i == 5 else 2010) for i, n, a, y in ROWS if i % 8 != 1]
+    assert rows(spark, table) == sorted(want)
+
+
 def scanned(df):
     """Rows that the file scans of a collected query gave out."""
     df.collect()
