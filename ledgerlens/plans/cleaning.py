@@ -20,7 +20,7 @@ from ledgerlens.operators.clean import clean_orders
 from ledgerlens.plans.common import SCAN_SQL, money_out, money_out_sql, scan
 from ledgerlens.plans.oracle import with_sales
 from ledgerlens.plans.registry import register
-from ledgerlens.session import scratch_dir
+from ledgerlens.session import scratch_dir, stored
 from ledgerlens.sources.lattice import distinct_keys
 from ledgerlens.sources.raw_csv import RAW_COLUMNS, read_orders, write_orders_export
 from ledgerlens.sources.split_csv import read_split_csv, write_crlf_export
@@ -101,7 +101,8 @@ _BROKEN_NAME = "product_name || chr(10) || 'called \"' || sub_category || '\", s
     SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, COUNT(*)
     FROM sales WHERE line_number = 7"""), ("C01", "C02", "C03", "C10"))
 def c01b(spark, d):
-    """The load + clean job on that export, read in splits; a last row counts the torn rows."""
+    """The load + clean job on that export, read in splits; a last row counts the torn rows.
+    The rows read are stored, as the clean job and the count each go through them."""
     path = os.path.join(scratch_dir(spark), f"export-{uuid.uuid4().hex}")
     lines = sales_lines(spark, d, [*SALES_COLUMNS, "list_price"])
     broken = F.concat("product_name", F.lit("\r\ncalled \""), "sub_category", F.lit("\", so"))
@@ -110,7 +111,7 @@ def c01b(spark, d):
         "product_name": F.when(F.col("product_id") % 5 == 0, broken).otherwise(F.col("product_name")),
         "sales": full, **{c: F.date_format(c, "M/d/yyyy") for c in ("order_date", "ship_date")}})
     write_crlf_export(shown, path, RAW_COLUMNS, F.col("line_number") == 7)
-    read = read_split_csv(spark, path, bad_rows="torn", header=False)
+    read = stored(read_split_csv(spark, path, bad_rows="torn", header=False))
     good = clean_orders(read.where("torn is null"))
     out = good.select("order_id", "order_date", "ship_date", "ship_mode", "customer_name", "region", "product_id",
                       "product_name", *[F.col(c).cast("double" if c != "quantity" else "int").alias(c)

@@ -11,9 +11,13 @@ splits, and the quote state is carried by a prefix scan:
    window over a file's splits, one row each). These rows are broadcast to the lines.
 3. A line that starts outside quotes starts a record. A task holds a split's lines in file
    order, so it cuts them into records as they stream by. No line is shuffled, but for the
-   pieces of records that begin or end in another split: two to a split, grouped.
+   pieces of records that begin or end in another split: two to a split, grouped. They are
+   noted in step 1, for either state at the split's start; splits with pieces longer than
+   ``KEPT_CHARS`` are read again for them.
 4. All records are then parsed by ``from_csv``.
 
+Step 1 and step 3 each read the files once.
+
 A quote opens a field only at the field's start and is doubled inside, as Spark's reader
 has it. Lines end in LF or CRLF, and a CRLF inside a field becomes LF. A quote that is never closed makes one record of the
 rest of its file, as with ``multiLine``.
@@ -33,11 +37,15 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerlens.session import stored
 from ledgerlens.sources.raw_csv import RAW_SCHEMA
 
-_QUOTED_REST = r'[^"]*+(?:""[^"]*+)*+"[^,]*+'
-_FIELD = rf'(?:"{_QUOTED_REST}|[^",][^,]*+|)'
+# longest piece of a record noted with its split
+KEPT_CHARS = 1 << 16
+
+# for RE2 (Arrow): linear in the line; a closing quote is one that no quote follows
+_QUOTED_REST = r'[^"]*(?:""[^"]*)*"(?:[^",][^,]*)?'
+_FIELD = rf'(?:"{_QUOTED_REST}|[^",][^,]*)?'
 # a whole line that ends outside quotes, begun outside or inside
-_ENDS_FROM_OUTSIDE = rf"^{_FIELD}(?:,{_FIELD})*+$"
-_ENDS_FROM_INSIDE = rf"^{_QUOTED_REST}(?:,{_FIELD})*+$"
+_ENDS_FROM_OUTSIDE = rf"^{_FIELD}(?:,{_FIELD})*$"
+_ENDS_FROM_INSIDE = rf"^{_QUOTED_REST}(?:,{_FIELD})*$"
 
 
 def _state(forgot: Column, turns: Column, start: Column | int) -> Column:
@@ -48,18 +56,16 @@ def _state(forgot: Column, turns: Column, start: Column | int) -> Column:
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """(file, block, line, a, b) of every line; a task has a split's lines in file order. ``a``
-    and ``b`` are the states after the line, begun outside and inside quotes."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(
+    """(file, block, line) of every line; a task has a split's lines in file order."""
+    return spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.decode(F.col("value").cast("binary"), encoding).alias("line"))
-    return raw.select("file", "block", "line", (~F.col("line").rlike(_ENDS_FROM_OUTSIDE)).cast("int").alias("a"),
-                      (~F.col("line").rlike(_ENDS_FROM_INSIDE)).cast("int").alias("b"))
 
 
-def _cutters():
+def _cutters(kept: int):
     """``maps`` and ``cut``, for ``mapInArrow``: nested, so that they travel to the executors
-    whole and nothing of this package has to be installed there."""
+    whole and nothing of this package has to be installed there. ``maps`` notes pieces of up
+    to ``kept`` characters."""
     def runs(*keys: pa.Array) -> Iterator[tuple[int, int]]:
         """(from, to) of the neighbouring rows that are equal in ``keys``."""
         n = len(keys[0])
@@ -69,6 +75,15 @@ def _cutters():
         edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
         return ((lo, hi) for lo, hi in zip(edges, edges[1:]) if hi > lo)
 
+    def states(line: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The states after each line, begun outside and inside quotes."""
+        return tuple(1 - pc.match_substring_regex(line, ends).to_numpy(zero_copy_only=False).astype(int)
+                     for ends in (_ENDS_FROM_OUTSIDE, _ENDS_FROM_INSIDE))
+
+    def begun(after: np.ndarray, start: int) -> np.ndarray:
+        """The places of the lines that start a record."""
+        return np.flatnonzero(np.concatenate(([start], after[:-1])) == 0)
+
     def after_all(a: np.ndarray, b: np.ndarray, start: int) -> np.ndarray:
         """The state after each of the lines with the maps ``a``, ``b``, begun in ``start``."""
         turns = np.cumsum((a == 1) & (b == 0)) % 2
@@ -76,21 +91,53 @@ def _cutters():
         base = np.where(last >= 0, a[last] ^ turns[last], start)
         return base ^ turns
 
+    def longer(piece: list | None, lines: pa.Array) -> list | None:
+        """``piece`` and ``lines``, null once they are too long to be noted."""
+        if piece is None or lines.nbytes > 4 * kept:
+            return None
+        more = piece + lines.to_pylist()
+        return more if sum(map(len, more)) + len(more) <= kept else None
+
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The composed map of each split: the state it ends in if it forgets the one before, else
-        whether it turns that over."""
-        seen = {}
+        """A row for each split. Its composed map: the state it ends in if it forgets the one
+        before, else whether it turns that over. By the state it starts in, its pieces: ``head``,
+        the lines before the first record, and ``tail``, the last record, null where there is
+        none or (not ``kept``) where they are too long; ``first`` if that is the file's first."""
+        at, ends = None, []
+        piece = pa.struct([("head", pa.string()), ("tail", pa.string()), ("first", pa.bool_()), ("kept", pa.bool_())])
+
+        def out() -> pa.RecordBatch:
+            x, y = (e["state"] for e in ends)
+            row = [*at, x if x == y else None, int(x != y and x == 1), [
+                {"head": "\n".join(e["head"]) if e["head"] else None, "tail": "\n".join(e["tail"]) if e["tail"] else None,
+                 "first": at[1] == 0 and e["n"] == 1, "kept": e["head"] is not None and e["tail"] is not None} for e in ends]]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
+                row, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(piece)))],
+                ["file", "block", "forgets", "turns", "ends"])
+
         for batch in batches:
-            file, block, a, b = batch.columns
-            a, b = a.to_numpy(), b.to_numpy()
+            file, block, line = batch.columns
+            a, b = states(line)
             for lo, hi in runs(file, block):
                 key = (file[lo].as_py(), block[lo].as_py())
-                ends = seen.get(key, (0, 1))
-                seen[key] = tuple(int(after_all(a[lo:hi], b[lo:hi], s)[-1]) for s in ends)
-        rows = [(f, at, x if x == y else None, int(x != y and x == 1)) for (f, at), (x, y) in seen.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32()))], ["file", "block", "forgets", "turns"])
+                if key != at:
+                    if at:
+                        yield out()
+                    at, ends = key, [{"state": s, "n": 0, "head": [], "tail": []} for s in (0, 1)]
+                lines = line.slice(lo, hi - lo)
+                for e in ends:
+                    after = after_all(a[lo:hi], b[lo:hi], e["state"])
+                    begins = begun(after, e["state"])
+                    e["state"] = int(after[-1])
+                    if not e["n"]:
+                        e["head"] = longer(e["head"], lines.slice(0, begins[0] if len(begins) else hi - lo))
+                    if len(begins):
+                        e["tail"] = longer([], lines.slice(begins[-1]))
+                    elif e["n"]:
+                        e["tail"] = longer(e["tail"], lines)
+                    e["n"] += len(begins)
+        if at:
+            yield out()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines cut into records. ``head`` is null for a whole record, true for the end of one
@@ -107,8 +154,8 @@ def _cutters():
             return pa.array(["\n".join(piece)], pa.string())
 
         for batch in batches:
-            fno, block, start, a, b, line = batch.columns
-            a, b = a.to_numpy(), b.to_numpy()
+            fno, block, start, line = batch.columns
+            a, b = states(line)
             for lo, hi in runs(fno, block):
                 key = (fno[lo].as_py(), block[lo].as_py())
                 fresh = key != at
@@ -117,7 +164,7 @@ def _cutters():
                         yield out(joined(), head, first)
                     at, piece, head, first, state = key, [], True, False, start[lo].as_py()
                 after = after_all(a[lo:hi], b[lo:hi], state)
-                begins = np.flatnonzero(np.concatenate(([state], after[:-1])) == 0)
+                begins = begun(after, state)
                 state, lines = int(after[-1]), line.slice(lo, hi - lo)
                 piece += lines.slice(0, begins[0] if len(begins) else hi - lo).to_pylist()
                 if not len(begins):
@@ -150,20 +197,31 @@ def _scanned(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
 def records(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """(first, record): the records of the files at ``path``, line breaks inside quotes
     kept; ``first`` marks a file's first one. Blank lines between records are left out."""
-    maps, cutter = _cutters()
+    maps, cutter = _cutters(KEPT_CHARS)
     lines = _lines(spark, path, encoding)
     # one row per split
-    whole = lines.select("file", "block", "a", "b").mapInArrow(maps, "file string, block long, forgets int, turns int")
-    splits = stored(_scanned(whole, ["file"], "block").select(
-        "file", "block", F.dense_rank().over(Window.orderBy("file")).alias("fno"),
-        _state(F.col("_forgot"), F.col("_turns"), 0).alias("start")))
-    placed = lines.join(F.broadcast(splits), ["file", "block"]).select("fno", "block", "start", "a", "b", "line")
-    cut = placed.mapInArrow(cutter, "fno int, block long, head boolean, first boolean, record string")
-    single = cut.where("head is null").select("first", "record")
+    whole = lines.mapInArrow(maps, "file string, block long, forgets int, turns int, "
+                             "ends array<struct<head: string, tail: string, first: boolean, kept: boolean>>")
+    started = _scanned(whole, ["file"], "block").withColumn("start", _state(F.col("_forgot"), F.col("_turns"), 0))
+    splits = stored(started.select("file", "block", "start", F.get("ends", F.col("start")).alias("end")).select(
+        "file", "block", F.dense_rank().over(Window.orderBy("file")).alias("fno"), "start", "end.*"))
+
+    def cut(some: DataFrame) -> DataFrame:
+        placed = lines.join(F.broadcast(some.select("file", "block", "fno", "start")), ["file", "block"])
+        return placed.select("fno", "block", "start", "line").mapInArrow(
+            cutter, "fno int, block long, head boolean, first boolean, record string")
+
+    single = cut(splits).where("head is null").select("first", "record")
+    noted = [splits.where("kept").select("fno", "block", F.lit(at == "head").alias("head"), (
+        F.col("first") & (at == "tail")).alias("first"), F.col(at).alias("record")) for at in ("head", "tail")]
+    pieces = noted[0].unionByName(noted[1]).where("record is not null")
+    long = splits.where("not kept")
+    if not long.isEmpty():
+        pieces = pieces.unionByName(cut(long).where("head is not null"))
     # a split's first lines belong to the last record begun before
     upto = Window.partitionBy("fno").orderBy("block", ~F.col("head")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     owner = F.last(F.when(~F.col("head"), F.col("block")), ignorenulls=True).over(upto)
-    several = stored(cut.where("head is not null").withColumn("_owner", owner).groupBy("fno", "_owner").agg(
+    several = stored(pieces.withColumn("_owner", owner).groupBy("fno", "_owner").agg(
         F.max("first").alias("first"), F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("block", "record"))), lambda s: s["record"]), "\n").alias("record")))
     # line ends inside a field come out as LF, as Spark's reader gives them in CRLF files
@@ -174,7 +232,8 @@ def records(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> Dat
 
 def write_crlf_export(df: DataFrame, path: str, columns: list[str], bad_row: Column | None = None) -> None:
     """``df`` in the raw layout with CRLF line ends, every text quoted, line breaks and quotes
-    kept. After a row where ``bad_row`` holds, a broken row of three fields follows."""
+    kept. After a row where ``bad_row`` holds, a broken row of three fields follows. Compressed
+    by bzip2, the codec whose files are still read in splits."""
     def text(name: str) -> Column:
         if name not in df.columns:
             return F.lit("")
@@ -186,7 +245,7 @@ def write_crlf_export(df: DataFrame, path: str, columns: list[str], bad_row: Col
     line = F.concat(F.concat_ws(",", *[text(c) for c in columns]), F.lit("\r"))
     broken = F.when(bad_row, F.lit("torn,row,of three\r")) if bad_row is not None else F.lit(None).cast("string")
     rows = df.select(F.explode(F.array(line, broken)).alias("line")).where("line is not null")
-    rows.write.text(path)
+    rows.write.option("compression", "bzip2").text(path)
 
 
 def read_split_csv(spark: SparkSession, path: str, schema: StructType = RAW_SCHEMA, encoding: str = "ISO-8859-1",

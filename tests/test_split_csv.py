@@ -4,9 +4,11 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlens.sources.raw_csv import RAW_COLUMNS, RAW_HEADER, read_orders
-from ledgerlens.sources.split_csv import read_split_csv
+from ledgerlens.sources import split_csv
+from ledgerlens.sources.split_csv import read_split_csv, write_crlf_export
 
 
 @pytest.fixture()
@@ -103,3 +105,49 @@ def test_records_over_batches_and_splits(spark, tmpdir_path, small_splits, batch
         assert found(read_split_csv(spark, tmpdir_path)) == want
     finally:
         spark.conf.set(key, old)
+
+
+@pytest.mark.parametrize("kept", [0, 40, 400])
+def test_pieces_too_long_to_be_noted(spark, tmpdir_path, small_splits, monkeypatch, kept):
+    """Splits whose pieces of records are long are read again; the rows are the same."""
+    monkeypatch.setattr(split_csv, "KEPT_CHARS", kept)
+    rng = random.Random(kept)
+    for part in range(3):
+        rows = [",".join(quoted(field(rng)) if k else f"{part}-{i}" for k in range(21)) for i in range(60)]
+        rows.insert(30, f'{part},"' + "\r\n".join(f"line {i}, of many" for i in range(100)) + '",' + ",".join("x" * 19))
+        write(os.path.join(tmpdir_path, f"p{part}.csv"), rows)
+    with open(os.path.join(tmpdir_path, "never_closed.csv"), "w") as f:
+        f.write("\n".join([",".join(RAW_HEADER), f'7,"{"z" * 50}', *[f"{i}," + "y" * 50 for i in range(60)]]))
+    assert found(read_split_csv(spark, tmpdir_path)) == found(read_orders(spark, tmpdir_path, multi_line=True))
+
+
+def test_export_is_compressed_and_still_split(spark, tmpdir_path):
+    """The export was as large as its text before; its files are read in several splits, with
+    records over their ends."""
+    n = 30_000
+    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit('two\r\n"lines" '), F.sha2(F.col("id").cast("string"), 256)))
+    df = spark.range(0, n, 1, 2).select(
+        "id", F.col("id").cast("string").alias("order_id"), name.alias("product_name"), (F.col("id") % 7).alias("quantity"),
+        F.lit("a ship mode that all lines share, " * 4).alias("ship_mode"))
+    path = os.path.join(tmpdir_path, "export")
+    write_crlf_export(df, path, RAW_COLUMNS, F.col("id") % 1000 == 7)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) == 2 and all(f.endswith(".bz2") for f in files)
+    chars = spark.read.text(path).agg(F.sum(F.length("value") + 1)).head()[0]
+    assert sum(os.path.getsize(os.path.join(path, f)) for f in files) * 3 < chars
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        splits = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start").distinct().count()
+        assert splits > 2 * len(files)
+        got = read_split_csv(spark, path, bad_rows="bad", header=False)
+        assert got.where("bad is not null").count() == n // 1000
+        cols = ["order_id", "product_name", "quantity", "ship_mode"]
+        want = df.select("order_id", F.replace("product_name", F.lit("\r\n"), F.lit("\n")).alias("product_name"),
+                         F.col("quantity").cast("string").alias("quantity"), "ship_mode")
+        rows = got.where("bad is null").select(cols)
+        assert rows.count() == n and rows.exceptAll(want).isEmpty()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
